@@ -102,6 +102,10 @@ class DuckDialect:
     def found(value, pattern):
         return f"regexp_extract({value}, '{pattern}', 1)"
 
+    @staticmethod
+    def table(key, rows):
+        return "CASE " + key + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in rows.items()) + " END"
+
 
 def stem_table(src: str, name: str = "stemmed") -> str:
     """(fr, token, stem) of the distinct (fr, token) of ``src``."""

@@ -282,7 +282,7 @@ def stopword_filter(spark, d):
     rows = vectors.with_language(spread_documents(spark, d), "text")
     rows = rows.select(F.col("doc_id").alias("id"), "language",
                        F.posexplode(text.tokens(F.col("text"))).alias("pos", "token"))
-    return rows.where(vectors.is_content(F.lower("token"), F.col("language"))).select("id", "pos", "token")
+    return rows.where(text.is_content("lower(token)", "language")).select("id", "pos", "token")
 
 
 @query

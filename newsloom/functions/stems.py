@@ -1,8 +1,9 @@
 """Snowball stems (English and French) as staged SQL expressions.
 
-Written from the published Snowball descriptions.  Each stage is a ``CASE``
-over the word ``w`` and the starts of its regions (``p1``, ``p2``, ``pv``), so
-the whole stemmer stays inside the JVM and no word ever visits Python.
+Written from the published Snowball descriptions.  Each stage finds the longest
+ending of its group with one regex and replaces it by table, given the starts
+of the word's regions (``p1``, ``p2``, ``pv``).  The stages are plain columns,
+so the stemmer runs inside the JVM and no word ever visits Python.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 
 class SparkDialect:
-    """How Spark SQL spells the three regex calls the stages use."""
+    """How Spark SQL spells the few calls the stages use."""
 
     @staticmethod
     def like(value: str, pattern: str) -> str:
@@ -27,33 +28,39 @@ class SparkDialect:
 
     @staticmethod
     def found(value: str, pattern: str) -> str:
+        """Group 1 of the first match, or ''."""
         return f"regexp_extract({value}, '{pattern}', 1)"
 
+    @staticmethod
+    def table(key: str, rows: dict[str, str]) -> str:
+        return f"element_at(map({', '.join(f'{_q(k)}, {_q(v)}' for k, v in rows.items())}), {key})"
 
-def _ends(*suffixes: str) -> str:
-    return "(" + " OR ".join(f"w LIKE '%{s}'" for s in suffixes) + ")"
 
+def _q(value: str) -> str:
+    return f"'{value}'"
 
-def _cut(n: int, add: str = "") -> str:
-    stem = f"left(w, length(w) - {n})"
-    return f"concat({stem}, '{add}')" if add else stem
 
+def _ending(words) -> str:
+    """Pattern of the longest listed ending: the leftmost match is the longest."""
+    return "(" + "|".join(words) + ")$"
 
-def _in(region: str, n: int) -> str:
-    return f"length(w) - {n} >= {region}"
 
+def _cut(extra: int = 0, add: str = "''") -> str:
+    """Drop the found ending and ``extra`` letters before it."""
+    return f"concat(left(w, length(w) - length(suf) - {extra}), {add})"
 
-def _case(branches, otherwise: str = "w") -> str:
-    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in branches) + f" ELSE {otherwise} END"
+
+def _in(region: str, extra: int = 0) -> str:
+    return f"length(w) - length(suf) - {extra} >= {region}"
 
 
-def _suffix_rules(rules, region: str) -> list[tuple[str, str]]:
-    """Longest suffix wins; outside the region the word stays as it is."""
-    out = []
-    for suffix, repl in sorted(rules, key=lambda r: -len(r[0])):
-        out.append((_ends(suffix),
-                    f"CASE WHEN {_in(region, len(suffix))} THEN {_cut(len(suffix), repl)} ELSE w END"))
-    return out
+def _before(d, pattern: str) -> str:
+    """The text before the ending ends with ``pattern``."""
+    return d.like("left(w, length(w) - length(suf))", f"({pattern})$")
+
+
+def _case(*branches: tuple[str, str], otherwise: str = "w") -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in branches) + f" ELSE {otherwise} END"
 
 
 def _region(d, value: str, pattern: str, offset: str = "0") -> str:
@@ -77,71 +84,61 @@ _E_IRREGULAR = {
 }
 _E_KEPT = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
 
-# English suffixes and what replaces them.
-_E_STEP2 = [
-    ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"),
-    ("entli", "ent"), ("izer", "ize"), ("ization", "ize"), ("ational", "ate"),
-    ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("aliti", "al"), ("alli", "al"),
-    ("fulness", "ful"), ("ousli", "ous"), ("ousness", "ous"), ("iveness", "ive"),
-    ("iviti", "ive"), ("biliti", "ble"), ("bli", "ble"), ("fulli", "ful"), ("lessli", "less"),
-]
-_E_STEP3 = [
-    ("tional", "tion"), ("ational", "ate"), ("alize", "al"), ("icate", "ic"),
-    ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
-]
-_E_STEP4 = [(s, "") for s in
-            "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize".split()]
+# English endings and what replaces them.
+_E_STEP2 = {
+    "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent",
+    "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate",
+    "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous",
+    "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble",
+    "fulli": "ful", "lessli": "less", "ogi": "og", "li": "",
+}
+_E_STEP3 = {
+    "tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic",
+    "ical": "ic", "ful": "", "ness": "", "ative": "",
+}
+_E_STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
 
 
 def english_stages(d) -> list[dict[str, str]]:
-    """Stages over the fields raw, w, p1, p2, x (x: the answer, once it is settled)."""
-    irregular = " ".join(f"WHEN raw = '{k}' THEN '{v}'" for k, v in _E_IRREGULAR.items())
-    kept = ", ".join(f"'{w}'" for w in _E_KEPT)
-    vowel_before = lambda s: d.like("w", f"[{_EV}].*{s}$")
-    open_ = lambda case: f"CASE WHEN x IS NOT NULL THEN w ELSE {case} END"
-    after_1b = _case([
-        (d.like("w", "(at|bl|iz)$"), "concat(w, 'e')"),
-        (d.like("w", "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), _cut(1)),
-        (f"p1 >= length(w) AND {d.like('w', _E_SHORT)}", "concat(w, 'e')"),
-    ])
-    step1b = _case([
-        (_ends("eedly"), f"CASE WHEN {_in('p1', 5)} THEN {_cut(3)} ELSE w END"),
-        (_ends("eed"), f"CASE WHEN {_in('p1', 3)} THEN {_cut(1)} ELSE w END"),
-    ] + [(f"{_ends(s)} AND {vowel_before(s)}", _cut(len(s))) for s in ("ingly", "edly", "ing", "ed")])
-    was_cut = _case([(f"NOT {_ends('eedly', 'eed')} AND {d.like('w', f'[{_EV}].*(ingly|edly|ing|ed)$')}", "1")],
-                    "0")
+    """Stages over raw, w, p1, p2, suf and x (the answer, once it is settled)."""
+    kept = ", ".join(_q(w) for w in _E_KEPT)
+    irregular = ", ".join(_q(w) for w in _E_IRREGULAR)
+    e_short = d.like("left(w, length(w) - 1)", _E_SHORT)
     return [
         {"w": d.sub("CASE WHEN raw LIKE 'y%' THEN concat('Y', substring(raw, 2)) ELSE raw END",
                     f"([{_EV}])y", "$1Y"),
-         "x": f"CASE WHEN length(raw) <= 2 THEN raw {irregular} END"},
-        {"p1": _region(d, "w", f"^(gener|commun|arsen|{_E_AFTER})")},
+         "x": f"CASE WHEN length(raw) <= 2 THEN raw WHEN raw IN ({irregular}) "
+              f"THEN {d.table('raw', _E_IRREGULAR)} END"},
+        {"p1": _region(d, "w", f"^(gener|commun|arsen|{_E_AFTER})"),
+         "suf": d.found("w", "(sses|ied|ies|us|ss|s)$")},
         {"p2": _region(d, "substring(w, p1 + 1)", f"^({_E_AFTER})", "p1"),
-         "w": open_(_case([
-             (_ends("sses"), _cut(2)),
-             (_ends("ied", "ies"), f"CASE WHEN length(w) > 4 THEN {_cut(2)} ELSE {_cut(1)} END"),
-             (_ends("us", "ss"), "w"),
-             (f"{_ends('s')} AND {d.like('w', f'[{_EV}].+s$')}", _cut(1)),
-         ]))},
-        {"x": f"CASE WHEN x IS NULL AND w IN ({kept}) THEN w ELSE x END", "cut": was_cut},
-        {"w": open_(step1b)},
-        {"w": open_(f"CASE WHEN cut = 1 THEN {after_1b} ELSE w END")},
-        {"w": open_(_case([(d.like("w", f"^.+[^{_EV}][yY]$"), _cut(1, "i"))]))},
-        {"w": open_(_case(_suffix_rules(_E_STEP2, "p1") + [
-            (_ends("ogi"), f"CASE WHEN {_ends('logi')} AND {_in('p1', 3)} THEN {_cut(1)} ELSE w END"),
-            (_ends("li"), f"CASE WHEN {d.like('w', '[cdeghkmnrt]li$')} AND {_in('p1', 2)} "
-                          f"THEN {_cut(2)} ELSE w END"),
-        ]))},
-        {"w": open_(_case(
-            [(_ends("ative"), f"CASE WHEN {_in('p2', 5)} AND {_in('p1', 5)} THEN {_cut(5)} ELSE w END")]
-            + _suffix_rules(_E_STEP3, "p1")))},
-        {"w": open_(_case(_suffix_rules(_E_STEP4, "p2") + [
-            (_ends("ion"), f"CASE WHEN {_ends('sion', 'tion')} AND {_in('p2', 3)} THEN {_cut(3)} ELSE w END"),
-        ]))},
-        {"w": open_(_case([
-            (_ends("e"), f"CASE WHEN {_in('p2', 1)} OR ({_in('p1', 1)} AND NOT "
-                         f"{d.like('left(w, length(w) - 1)', _E_SHORT)}) THEN {_cut(1)} ELSE w END"),
-            (f"{_ends('ll')} AND {_in('p2', 1)}", _cut(1)),
-        ]))},
+         "w": _case(
+             ("suf = 'sses'", "left(w, length(w) - 2)"),
+             ("suf IN ('ied', 'ies')", "left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)"),
+             (f"suf = 's' AND {d.like('w', f'[{_EV}].+s$')}", "left(w, length(w) - 1)"))},
+        {"x": f"CASE WHEN x IS NULL AND w IN ({kept}) THEN w ELSE x END",
+         "suf": d.found("w", "(eedly|eed|ingly|edly|ing|ed)$")},
+        {"w": _case(("suf LIKE 'eed%'", _case((_in("p1"), _cut(0, "'ee'")))),
+                    (f"suf <> '' AND {_before(d, f'[{_EV}].*')}", _cut(0, "'~'")))},
+        {"w": _case(
+            (d.like("w", "(at|bl|iz)~$"), "concat(left(w, length(w) - 1), 'e')"),
+            (d.like("w", "(bb|dd|ff|gg|mm|nn|pp|rr|tt)~$"), "left(w, length(w) - 2)"),
+            (f"w LIKE '%~' AND p1 >= length(w) - 1 AND {e_short}", "concat(left(w, length(w) - 1), 'e')"),
+            ("w LIKE '%~'", "left(w, length(w) - 1)"))},
+        {"w": _case((d.like("w", f"^.+[^{_EV}][yY]$"), "concat(left(w, length(w) - 1), 'i')"))},
+        {"suf": d.found("w", _ending(_E_STEP2))},
+        {"w": _case((f"suf <> '' AND {_in('p1')} AND (suf <> 'ogi' OR w LIKE '%logi') "
+                     f"AND (suf <> 'li' OR {d.like('w', '[cdeghkmnrt]li$')})",
+                     _cut(0, d.table("suf", _E_STEP2))))},
+        {"suf": d.found("w", _ending(_E_STEP3))},
+        {"w": _case((f"suf <> '' AND {_in('p1')} AND (suf <> 'ative' OR {_in('p2')})",
+                     _cut(0, d.table("suf", _E_STEP3))))},
+        {"suf": d.found("w", _ending(_E_STEP4))},
+        {"w": _case((f"suf <> '' AND {_in('p2')} AND (suf <> 'ion' OR {d.like('w', '[st]ion$')})", _cut()))},
+        {"w": _case(
+            (f"w LIKE '%e' AND (length(w) - 1 >= p2 OR (length(w) - 1 >= p1 AND NOT {e_short}))",
+             "left(w, length(w) - 1)"),
+            ("w LIKE '%ll' AND length(w) - 1 >= p2", "left(w, length(w) - 1)"))},
         {"w": "coalesce(x, lower(w))"},
     ]
 
@@ -151,9 +148,24 @@ def english_stages(d) -> list[dict[str, str]]:
 _FV = "aeiouyâàëéêèïîôûù"
 _F_AFTER = f"[^{_FV}]*[{_FV}]+[^{_FV}]"
 
-# French suffix groups.
-_F_PLAIN = "ance iqUe isme able iste eux ances iqUes ismes ables istes".split()
-_F_AGENT = "atrice ateur ation atrices ateurs ations".split()
+# French endings by the rule that handles them.
+_F_GROUPS = {
+    "plain": "ance iqUe isme able iste eux ances iqUes ismes ables istes",
+    "agent": "atrice ateur ation atrices ateurs ations",
+    "log": "logie logies",
+    "u": "usion ution usions utions",
+    "ent": "ence ences",
+    "ement": "ement ements",
+    "ite": "ité ités",
+    "if": "if ive ifs ives",
+    "eaux": "eaux",
+    "aux": "aux",
+    "euse": "euse euses",
+    "isse": "issement issements",
+    "amment": "amment",
+    "emment": "emment",
+    "ment": "ment ments",
+}
 _F_VERB_I = (
     "îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons "
     "iront is issaIent issais issait issant issante issantes issants isse issent isses issez "
@@ -167,102 +179,55 @@ _F_VERB_A = (
 ).split()
 
 
-def _french_step1(d) -> list[tuple[str, str]]:
-    def then(n: int, *branches: tuple[str, str]) -> str:
-        return _case(list(branches), _cut(n))
-
-    def inside(region: str, n: int, value: str, otherwise: str = "w") -> str:
-        return f"CASE WHEN {_in(region, n)} THEN {value} ELSE {otherwise} END"
-
-    rules: list[tuple[str, str]] = []          # (suffix, value)
-    for s in _F_PLAIN:
-        rules.append((s, inside("p2", len(s), _cut(len(s)))))
-    for s in _F_AGENT:
-        n = len(s)
-        rules.append((s, inside("p2", n, then(n, (_ends("ic" + s), inside(
-            "p2", n + 2, _cut(n + 2), _cut(n + 2, "iqU")))))))
-    for s in ("logie", "logies"):
-        rules.append((s, inside("p2", len(s), _cut(len(s), "log"))))
-    for s in ("usion", "ution", "usions", "utions"):
-        rules.append((s, inside("p2", len(s), _cut(len(s), "u"))))
-    for s in ("ence", "ences"):
-        rules.append((s, inside("p2", len(s), _cut(len(s), "ent"))))
-    for s in ("ement", "ements"):
-        n = len(s)
-        rules.append((s, inside("pv", n, then(
-            n,
-            (f"{_ends('ativ' + s)} AND {_in('p2', n + 4)}", _cut(n + 4)),
-            (_ends("iv" + s), inside("p2", n + 2, _cut(n + 2), _cut(n))),
-            (_ends("eus" + s), inside("p2", n + 3, _cut(n + 3),
-                                      inside("p1", n + 3, _cut(n + 3, "eux"), _cut(n)))),
-            (_ends("abl" + s, "iqU" + s), inside("p2", n + 3, _cut(n + 3), _cut(n))),
-            (_ends("ièr" + s, "Ièr" + s), inside("pv", n + 3, _cut(n + 3, "i"), _cut(n))),
-        ))))
-    for s in ("ité", "ités"):
-        n = len(s)
-        rules.append((s, inside("p2", n, then(
-            n,
-            (_ends("abil" + s), inside("p2", n + 4, _cut(n + 4), _cut(n + 4, "abl"))),
-            (_ends("ic" + s), inside("p2", n + 2, _cut(n + 2), _cut(n + 2, "iqU"))),
-            (_ends("iv" + s), inside("p2", n + 2, _cut(n + 2), _cut(n))),
-        ))))
-    for s in ("if", "ive", "ifs", "ives"):
-        n = len(s)
-        rules.append((s, inside("p2", n, then(
-            n,
-            (f"{_ends('icat' + s)} AND {_in('p2', n + 2)}",
-             inside("p2", n + 4, _cut(n + 4), _cut(n + 4, "iqU"))),
-            (_ends("at" + s), inside("p2", n + 2, _cut(n + 2), _cut(n))),
-        ))))
-    rules.append(("eaux", _cut(1)))
-    rules.append(("aux", inside("p1", 3, _cut(3, "al"))))
-    for s in ("euse", "euses"):
-        n = len(s)
-        rules.append((s, inside("p2", n, _cut(n), inside("p1", n, _cut(n, "eux")))))
-    for s in ("issement", "issements"):
-        n = len(s)
-        rules.append((s, f"CASE WHEN {_in('p1', n)} AND {d.like('w', f'[^{_FV}]{s}$')} "
-                         f"THEN {_cut(n)} ELSE w END"))
-    rules.append(("amment", inside("pv", 6, _cut(6, "ant"))))
-    rules.append(("emment", inside("pv", 6, _cut(6, "ent"))))
-    for s in ("ment", "ments"):
-        n = len(s)
-        rules.append((s, f"CASE WHEN {_in('pv', n + 1)} AND {d.like('w', f'[{_FV}]{s}$')} "
-                         f"THEN {_cut(n)} ELSE w END"))
-    rules.sort(key=lambda r: -len(r[0]))
-    return [(_ends(s), v) for s, v in rules]
-
-
 def french_stages(d) -> list[dict[str, str]]:
-    """Stages over raw, w, p1, p2, pv, w0 (word before a step) and alt (altered)."""
-    confined = lambda s: f"({_ends(s)} AND {_in('pv', len(s))})"
-    by_length = lambda words: sorted(words, key=lambda s: -len(s))
-    verb_i = [(confined(s), f"CASE WHEN {_in('pv', len(s) + 1)} AND {d.like('w', f'[^{_FV}]{s}$')} "
-                            f"THEN {_cut(len(s))} ELSE w END") for s in by_length(_F_VERB_I)]
-    verb_b = []
-    for s in by_length(["ions"] + _F_VERB_E + _F_VERB_A):
-        n = len(s)
-        if s == "ions":
-            value = f"CASE WHEN {_in('p2', n)} THEN {_cut(n)} ELSE w END"
-        elif s in _F_VERB_E:
-            value = _cut(n)
-        else:
-            value = (f"CASE WHEN {_ends('e' + s)} AND {_in('pv', n + 1)} THEN {_cut(n + 1)} "
-                     f"ELSE {_cut(n)} END")
-        verb_b.append((confined(s), value))
+    """Stages over raw, w, p1, p2, pv, suf, kind, w0 (word before a step), alt (altered)."""
+    group_of = {s: g for g, words in _F_GROUPS.items() for s in words.split()}
+
+    def before(pattern: str) -> str:
+        return _before(d, pattern)
 
     def between(letter: str, marked: str) -> str:
         # Twice, because neighbouring matches share a vowel.
         pattern, template = f"([{_FV}]){letter}([{_FV}])", f"$1{marked}$2"
         return d.sub(d.sub("w", pattern, template), pattern, template)
 
-    residual = _case([
-        (confined("ion"), f"CASE WHEN {_in('p2', 3)} AND {_in('pv', 4)} AND {_ends('sion', 'tion')} "
-                          f"THEN {_cut(3)} ELSE w END"),
-    ] + [(confined(s), _cut(len(s), "i")) for s in ("ière", "Ière", "ier", "Ier")] + [
-        (confined("e"), _cut(1)),
-        (f"{confined('ë')} AND {_ends('guë')}", _cut(1)),
-    ])
+    def inside(region: str, extra: int, value: str, otherwise: str = "w") -> str:
+        return _case((_in(region, extra), value), otherwise=otherwise)
+
+    ement = _case(
+        (f"{before('ativ')} AND {_in('p2', 4)}", _cut(4)),
+        (f"{before('iv')} AND {_in('p2', 2)}", _cut(2)),
+        (f"{before('eus')} AND {_in('p2', 3)}", _cut(3)),
+        (f"{before('eus')} AND {_in('p1', 3)}", _cut(3, "'eux'")),
+        (f"{before('abl|iqU')} AND {_in('p2', 3)}", _cut(3)),
+        (f"{before('[iI]èr')} AND {_in('pv', 3)}", _cut(3, "'i'")),
+        otherwise=_cut())
+    ite = _case(
+        (before("abil"), inside("p2", 4, _cut(4), _cut(4, "'abl'"))),
+        (before("ic"), inside("p2", 2, _cut(2), _cut(2, "'iqU'"))),
+        (f"{before('iv')} AND {_in('p2', 2)}", _cut(2)),
+        otherwise=_cut())
+    if_ = _case(
+        (f"{before('icat')} AND {_in('p2', 2)}", inside("p2", 4, _cut(4), _cut(4, "'iqU'"))),
+        (f"{before('at')} AND {_in('p2', 2)}", _cut(2)),
+        otherwise=_cut())
+    agent = _case((before("ic"), inside("p2", 2, _cut(2), _cut(2, "'iqU'"))), otherwise=_cut())
+    step1 = _case(
+        ("kind IS NULL", "w"),
+        ("kind = 'plain'", inside("p2", 0, _cut())),
+        ("kind = 'agent'", inside("p2", 0, agent)),
+        ("kind IN ('log', 'u', 'ent')", inside("p2", 0, _cut(0, "kind"))),
+        ("kind = 'ement'", inside("pv", 0, ement)),
+        ("kind = 'ite'", inside("p2", 0, ite)),
+        ("kind = 'if'", inside("p2", 0, if_)),
+        ("kind = 'eaux'", "left(w, length(w) - 1)"),
+        ("kind = 'aux'", inside("p1", 0, _cut(0, "'al'"))),
+        ("kind = 'euse'", inside("p2", 0, _cut(), inside("p1", 0, _cut(0, "'eux'")))),
+        (f"kind = 'isse' AND {_in('p1')} AND {before(f'[^{_FV}]')}", _cut()),
+        (f"kind = 'amment' AND {_in('pv')}", _cut(0, "'ant'")),
+        (f"kind = 'emment' AND {_in('pv')}", _cut(0, "'ent'")),
+        (f"kind = 'ment' AND {_in('pv', 1)} AND {before(f'[{_FV}]')}", _cut()))
+    verb_e = "|".join(_F_VERB_E)
     return [
         {"w": d.sub("raw", "qu", "qU")},
         {"w": between("u", "U")},
@@ -271,37 +236,54 @@ def french_stages(d) -> list[dict[str, str]]:
         {"p1": _region(d, "w", f"^({_F_AFTER})"),
          "pv": f"CASE WHEN {d.like('w', '^(par|col|tap)')} THEN 3 "
                f"WHEN {d.like('w', f'^[{_FV}][{_FV}]')} THEN least(3, length(w)) "
-               f"ELSE {_region(d, 'w', f'^(.[^{_FV}]*[{_FV}])')} END"},
+               f"ELSE {_region(d, 'w', f'^(.[^{_FV}]*[{_FV}])')} END",
+         "suf": d.found("w", _ending(group_of))},
         {"p2": _region(d, "substring(w, p1 + 1)", f"^({_F_AFTER})", "p1"), "w0": "w",
-         "adv": f"CASE WHEN {_ends('amment', 'emment', 'ment', 'ments')} AND NOT "
-                f"{_ends('ement', 'ements')} THEN 1 ELSE 0 END"},
-        {"w": _case(_french_step1(d))},
-        {"alt": "CASE WHEN w <> w0 AND adv = 0 THEN 1 ELSE 0 END", "w0": "w"},
-        {"w": f"CASE WHEN alt = 1 THEN w ELSE {_case(verb_i)} END"},
+         "kind": f"CASE WHEN suf <> '' THEN {d.table('suf', group_of)} END"},
+        {"w": step1},
+        # The adverb endings go on to the verb endings even when they were replaced.
+        {"alt": "CASE WHEN w <> w0 AND kind NOT IN ('amment', 'emment', 'ment') THEN 1 ELSE 0 END",
+         "w0": "w", "suf": d.found("substring(w, pv + 1)", _ending(_F_VERB_I))},
+        {"w": _case((f"alt = 0 AND suf <> '' AND {_in('pv', 1)} AND {before(f'[^{_FV}]')}", _cut()))},
         {"go": "CASE WHEN alt = 0 AND w = w0 THEN 1 ELSE 0 END",
-         "alt": "CASE WHEN w <> w0 THEN 1 ELSE alt END", "w0": "w"},
-        {"w": f"CASE WHEN go = 1 THEN {_case(verb_b)} ELSE w END"},
+         "alt": "CASE WHEN w <> w0 THEN 1 ELSE alt END", "w0": "w",
+         "suf": d.found("substring(w, pv + 1)", _ending(["ions"] + _F_VERB_E + _F_VERB_A))},
+        {"w": _case(
+            ("go = 0 OR suf = ''", "w"),
+            ("suf = 'ions'", inside("p2", 0, _cut())),
+            (f"{d.like('suf', f'^({verb_e})$')}", _cut()),
+            (f"{before('e')} AND {_in('pv', 1)}", _cut(1)),
+            otherwise=_cut())},
         {"alt": "CASE WHEN w <> w0 THEN 1 ELSE alt END"},
-        {"w": _case([
-            ("alt = 1", _case([(_ends("Y"), _cut(1, "i")), (_ends("ç"), _cut(1, "c"))])),
-            (d.like("w", "[^aiouès]s$"), _cut(1)),
-        ])},
-        {"w": f"CASE WHEN alt = 1 THEN w ELSE {residual} END"},
-        {"w": _case([(_ends("enn", "onn", "ett", "ell", "eill"), _cut(1))])},
+        {"w": _case(
+            ("alt = 1 AND w LIKE '%Y'", "concat(left(w, length(w) - 1), 'i')"),
+            ("alt = 1 AND w LIKE '%ç'", "concat(left(w, length(w) - 1), 'c')"),
+            (f"alt = 0 AND {d.like('w', '[^aiouès]s$')}", "left(w, length(w) - 1)"))},
+        {"suf": d.found("substring(w, pv + 1)", "(ion|ière|Ière|ier|Ier|e|ë)$")},
+        {"w": _case(
+            ("alt = 1 OR suf = ''", "w"),
+            ("suf = 'ion'", _case((f"{_in('p2')} AND {_in('pv', 1)} AND {before('[st]')}", _cut()))),
+            ("suf = 'e'", _cut()),
+            ("suf = 'ë'", _case((before("gu"), _cut()))),
+            otherwise=_cut(0, "'i'"))},
+        {"w": _case((d.like("w", "(enn|onn|ett|ell|eill)$"), "left(w, length(w) - 1)"))},
         {"w": f"lower({d.sub('w', f'[éè]([^{_FV}]+)$', 'e$1')})"},
     ]
 
 
 # --- Spark rendering ---------------------------------------------------------
 
-def _staged(df: DataFrame, prefix: str, stages: list[dict[str, str]]) -> DataFrame:
-    """Add the stages as columns ``<prefix><field>``; ``<prefix>raw`` must be there."""
+def _staged(source: str, prefix: str, stages: list[dict[str, str]]) -> str:
+    """Nested selects that add the stages as ``<prefix><field>`` to ``source``."""
     fields = ["raw"]
     for stage in stages:
+        known = re.compile(r"(?<![\w'~])(" + "|".join(fields) + r")(?![\w'(])")
+        new = ", ".join(f"{known.sub(prefix + chr(92) + '1', e)} AS {prefix}{n}" for n, e in stage.items())
+        old = ", ".join(prefix + n for n in stage if n in fields)
+        source = f"(SELECT *{f' EXCEPT ({old})' if old else ''}, {new} FROM {source})"
         fields = list(dict.fromkeys(fields + list(stage)))
-        known = re.compile(r"(?<![\w'])(" + "|".join(fields) + r")(?![\w'(])")
-        df = df.withColumns({prefix + n: F.expr(known.sub(rf"{prefix}\1", e)) for n, e in stage.items()})
-    return df.drop(*[prefix + n for n in fields if n != "w"])
+    drop = ", ".join(prefix + n for n in fields if n != "w")
+    return f"(SELECT * EXCEPT ({drop}) FROM {source})"
 
 
 def with_stem(df: DataFrame, token: str, language: str, out: str = "stem") -> DataFrame:
@@ -315,6 +297,10 @@ def with_stem(df: DataFrame, token: str, language: str, out: str = "stem") -> Da
         "_en_raw": F.when(~french, F.lower(token)),
         "_fr_raw": F.when(french, F.lower(token)),
     })
-    df = _staged(df, "_en_", english_stages(SparkDialect))
-    df = _staged(df, "_fr_", french_stages(SparkDialect))
-    return df.withColumn(out, F.coalesce("_en_w", "_fr_w")).drop("_en_w", "_fr_w")
+    staged = _staged(_staged("{words}", "_en_", english_stages(SparkDialect)), "_fr_",
+                     french_stages(SparkDialect))
+    df = df.sparkSession.sql(f"SELECT * FROM {staged}", words=df)
+    # A generator ends the chain: a filter on the stem must not be pushed below
+    # it, where every use of a stage would be written out again.
+    stem = F.explode(F.array(F.coalesce("_en_w", "_fr_w"))).alias(out)
+    return df.select(*[c for c in df.columns if c not in ("_en_w", "_fr_w")], stem)

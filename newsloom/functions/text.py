@@ -76,12 +76,15 @@ def strip_patterns(title: Column, patterns: Column) -> Column:
                        lambda t, p: F.regexp_replace(t, p, F.lit("")))
 
 
-def language_scores(words: Column, languages=lexicon.LANGUAGES) -> dict[str, Column]:
-    """Per language, how many distinct lower-case tokens are in its stop list."""
-    def hits(name):
-        return F.size(F.filter(words, lambda t: t.isin(*lexicon.base_words(name)))).cast("long")
+def _in(value: str, words) -> str:
+    listed = ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
+    return f"{value} IN ({listed})"
 
-    return {name: hits(name) for name in languages}
+
+def language_scores(words: str, languages=lexicon.LANGUAGES) -> dict[str, Column]:
+    """Per language, how many tokens of the (distinct, lower-case) array are in its stop list."""
+    return {n: F.expr(f"size(filter({words}, t -> {_in('t', lexicon.base_words(n))}))").cast("long")
+            for n in languages}
 
 
 def best_language(scores: dict[str, Column]) -> Column:
@@ -93,11 +96,13 @@ def best_language(scores: dict[str, Column]) -> Column:
     return branch
 
 
-def drop_stop_words(words: Column, language: Column, key=lambda t: t) -> Column:
-    """Tokens whose lower form is not a stop word of the language."""
-    def kept(name):
-        return F.filter(words, lambda t: ~F.lower(key(t)).isin(*lexicon.stop_words(name)))
+def is_content(word: str, language: str) -> Column:
+    """True when the (lower-case) word is not a stop word of the language; SQL names."""
+    return F.expr(f"CASE WHEN {language} = 'french' THEN NOT {_in(word, lexicon.stop_words('french'))} "
+                  f"WHEN {language} = 'english' THEN NOT {_in(word, lexicon.stop_words('english'))} "
+                  f"ELSE NOT {_in(word, lexicon.stop_words(None))} END")
+
 
-    return (F.when(language == "french", kept("french"))
-            .when(language == "english", kept("english"))
-            .otherwise(kept(None)))
+def is_free(word: str) -> Column:
+    """True when the word is on no stop list of French, English, marks or measures."""
+    return F.expr(f"NOT {_in(word, lexicon.stop_words(None))}")

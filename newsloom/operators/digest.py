@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import lexicon, text
 from . import vectors
 
 
@@ -32,7 +32,7 @@ def content_frequency(df: DataFrame, id_: str, body: str, language: str | None =
         placed, language = vectors.with_language(placed, body), "language"
     rows = placed.select(id_, F.col(language).alias("language"),
                          F.posexplode(text.tokens(F.col(body))).alias("pos", "token"))
-    rows = rows.where(vectors.is_content(F.lower("token"), F.col("language")))
+    rows = rows.where(text.is_content("lower(token)", "language"))
     return rows.groupBy(id_, "language", "token").agg(
         F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
@@ -84,11 +84,7 @@ def _frequent(df: DataFrame, id_: str, body: str) -> DataFrame:
 
 
 def _plain_content() -> Column:
-    from ..functions import lexicon
-
-    word = F.col("word")
-    return (vectors.is_content(word, F.col("language"))
-            & ~word.isin(*lexicon.MEASURES))
+    return text.is_content("word", "language") & ~F.col("word").isin(*lexicon.MEASURES)
 
 
 def main_phrases(df: DataFrame, id_: str, body: str, shortest: int = 2, longest: int = 15) -> DataFrame:

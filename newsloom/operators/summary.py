@@ -35,7 +35,7 @@ def centrality(df: DataFrame, id_: str, body: str) -> DataFrame:
     words = every.select(
         id_, "language", "s", F.explode(text.tokens(F.lower("sentence"))).alias("token"))
     words = words.where(F.col("token").rlike(r"^\p{L}+$")
-                        & vectors.is_content(F.col("token"), F.col("language")))
+                        & text.is_content("token", "language"))
     words = stems.with_stem(words, "token", "language", "term")
     counts = words.groupBy(id_, "s", "term").agg(F.count("*").alias("n"))
     counts = counts.withColumn("tf", F.col("n") / F.max("n").over(Window.partitionBy(id_, "s")))

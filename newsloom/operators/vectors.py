@@ -18,7 +18,7 @@ def language_likelihood(df: DataFrame, id_: str, body: str,
                         languages=lexicon.LANGUAGES) -> DataFrame:
     """(id, language, hits): distinct lower-case tokens in each stop list."""
     words = df.select(id_, F.array_distinct(text.tokens(F.lower(body))).alias("_w"))
-    scores = text.language_scores(F.col("_w"), languages)
+    scores = text.language_scores("_w", languages)
     pairs = F.array(*[F.struct(F.lit(n).alias("language"), s.alias("hits")) for n, s in scores.items()])
     return words.select(id_, F.explode(pairs).alias("_p")).select(id_, "_p.language", "_p.hits")
 
@@ -27,7 +27,7 @@ def with_language(df: DataFrame, body: str, out: str = "language",
                   languages=lexicon.LANGUAGES) -> DataFrame:
     """Add the most likely language; row-local."""
     scored = df.withColumn("_w", F.array_distinct(text.tokens(F.lower(body))))
-    scores = text.language_scores(F.col("_w"), languages)
+    scores = text.language_scores("_w", languages)
     scored = scored.withColumns({f"_s{i}": s for i, s in enumerate(scores.values())})
     named = {n: F.col(f"_s{i}") for i, n in enumerate(scores)}
     return (scored.withColumn(out, text.best_language(named))
@@ -45,17 +45,10 @@ def clean_tokens(df: DataFrame, id_: str, body: str, language: str | None = None
     kept = df.select(
         id_, F.col(language).alias("language"),
         F.posexplode(text.tokens(F.col(body))).alias("pos", "token"))
-    kept = kept.where(is_content(F.lower("token"), F.col("language")))
+    kept = kept.where(text.is_content("lower(token)", "language"))
     return stems.with_stem(kept, "token", "language")
 
 
-def is_content(word: Column, language: Column) -> Column:
-    """True when a lower-case word is not a stop word of the language."""
-    return (F.when(language == "french", ~word.isin(*lexicon.stop_words("french")))
-            .when(language == "english", ~word.isin(*lexicon.stop_words("english")))
-            .otherwise(~word.isin(*lexicon.stop_words(None))))
-
-
 def stem_vocabulary(df: DataFrame, id_: str, body: str, language: str) -> DataFrame:
     """(language, token, uses, stem): every distinct word is stemmed once."""
     words = df.select(F.col(language).alias("language"),
@@ -72,11 +65,9 @@ def term_counts(df: DataFrame, id_: str, body: str) -> DataFrame:
     """
     low = df.select(id_, F.lower(body).alias("_t"))
     low = with_language(low, "_t", "language")
-    words = low.select(
-        id_, "language", text.drop_stop_words(text.tokens(F.col("_t")), F.col("language")).alias("_w"))
-    rows = words.select(id_, "language", F.explode("_w").alias("token"))
-    rows = stems.with_stem(rows, "token", "language", "term")
-    rows = rows.where(~F.col("term").isin(*lexicon.stop_words(None)))
+    rows = low.select(id_, "language", F.explode(text.tokens(F.col("_t"))).alias("token"))
+    rows = rows.where(text.is_content("token", "language"))
+    rows = stems.with_stem(rows, "token", "language", "term").where(text.is_free("term"))
     return rows.groupBy(id_, "term").agg(F.count("*").alias("tf"))
 
 
