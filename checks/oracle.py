@@ -144,7 +144,7 @@ raw AS (SELECT id, term, df, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS w
 x AS MATERIALIZED (SELECT id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw)"""
 
 BEST = """best AS (SELECT a.id, b.id AS match_id, sum(a.w * b.w) AS score
-  FROM x a JOIN x b ON a.term = b.term AND b.id < a.id GROUP BY ALL
+  FROM x a JOIN x b ON a.term = b.term AND b.id < a.id GROUP BY a.id, b.id
   QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(sum(a.w * b.w), 9) DESC, b.id) = 1),
 verdict AS (SELECT a.id, m.match_id, round(coalesce(m.score, 0.0), 2) AS similarity,
     coalesce(t.title, '') AS similarity_with, round(coalesce(m.score, 0.0), 2) >= 0.4 AS is_duplicate
@@ -262,8 +262,8 @@ def tags_of(src: str, fold_first: bool = True, name: str = "toptags") -> str:
     """(id, tags list) from (id, text) rows."""
     head = [detect(src, "text", "tlng"), kept_tokens(src, "text", "tlng", "tkept")]
     if fold_first:
-        head.append(f"""{name}_c AS (SELECT id, {fold('token')} AS tag, count(*) AS tf, min(pos) AS p
-  FROM tkept GROUP BY ALL HAVING tag <> '')""")
+        head.append(f"""{name}_c AS (SELECT id, tag, count(*) AS tf, min(pos) AS p
+  FROM (SELECT id, {fold('token')} AS tag, pos FROM tkept) WHERE tag <> '' GROUP BY id, tag)""")
     else:
         head.append(f"""{name}_c AS (SELECT id, {fold('token')} AS tag, tf, p FROM (
   SELECT id, token, count(*) AS tf, min(pos) AS p FROM tkept GROUP BY ALL))""")
@@ -349,7 +349,7 @@ cosine AS (SELECT jw.i, jw.j, sum(jw.w * coalesce(iw.w, 0.0)) / (sqrt(sum(jw.w *
   FROM jw LEFT JOIN iw ON iw.i = jw.i AND iw.term = jw.term JOIN inorm ON inorm.i = jw.i GROUP BY jw.i, jw.j),
 top AS (SELECT i, j, c FROM cosine
   QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(c, 9) DESC, j) = 1)
-SELECT pi.id, pj.id AS match_id, round(coalesce(c, 0.0), 6) AS score
+SELECT pi.id, coalesce(pj.id, -1) AS match_id, round(coalesce(c, 0.0), 6) AS score
 FROM pos pi LEFT JOIN top ON top.i = pi.pos LEFT JOIN pos pj ON pj.pos = top.j"""
 
 
@@ -361,9 +361,9 @@ held AS (SELECT w.pos AS win, t.id, t.pos, t.term, t.tf * (ln((1.0 + {size + 1})
   FROM pos w JOIN tp t ON t.pos BETWEEN w.pos - {size} AND w.pos),
 unit AS (SELECT win, id, pos, term, w / sqrt(sum(w * w) OVER (PARTITION BY win, pos)) AS w FROM held),
 top AS (SELECT a.win, b.id AS match_id, sum(a.w * b.w) AS c FROM unit a JOIN unit b
-  ON b.win = a.win AND b.term = a.term AND a.pos = a.win AND b.pos < a.win GROUP BY ALL
+  ON b.win = a.win AND b.term = a.term AND a.pos = a.win AND b.pos < a.win GROUP BY a.win, b.id
   QUALIFY row_number() OVER (PARTITION BY a.win ORDER BY round(sum(a.w * b.w), 9) DESC, b.id) = 1)
-SELECT p.id, match_id, round(coalesce(c, 0.0), 6) AS score FROM pos p LEFT JOIN top ON top.win = p.pos"""
+SELECT p.id, coalesce(match_id, -1) AS match_id, round(coalesce(c, 0.0), 6) AS score FROM pos p LEFT JOIN top ON top.win = p.pos"""
 
 
 MLT = f"""tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), {TOKEN}, 1)) AS term FROM documents),
@@ -382,7 +382,8 @@ sc AS (SELECT q.query_id, t.id, count(*) AS hits, any_value(need) AS need,
   FROM qn q JOIN tf t USING (term) JOIN len l ON l.id = t.id, st GROUP BY q.query_id, t.id),
 top AS (SELECT query_id, id, score FROM sc WHERE hits >= need
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) = 1)
-SELECT item_id AS query_id, t.id IS NOT NULL AS found, t.id AS match_id, round(t.score, 6) AS score
+SELECT item_id AS query_id, t.id IS NOT NULL AS found, coalesce(t.id, -1) AS match_id,
+  round(coalesce(t.score, 0.0), 6) AS score
 FROM benchmark b LEFT JOIN top t ON t.query_id = b.item_id"""
 
 
@@ -438,8 +439,6 @@ FROM links l LEFT JOIN prules r ON r.lang = {PAGE_LANG}
   NOT (by_title OR by_url OR is_duplicate) AS accepted FROM judged"""
     sql["rule_join"] = with_(A, R) + """SELECT id, a.service, a.lang, mention, array_to_string(title_patterns, '~')
   AS title_patterns FROM articles a JOIN rules r ON r.service = a.service AND r.lang = a.lang"""
-    sql["seen_anti"] = with_(KEYED) + """SELECT min(page_id) AS page_id, lang, feed_host, entry_key,
-  arg_min(link, page_id) AS link FROM keyed ANTI JOIN seen USING (lang, feed_host, entry_key) GROUP BY ALL"""
     sql["seen_anti"] = with_(KEYED) + """SELECT page_id, lang, feed_host, entry_key, link FROM keyed
 ANTI JOIN seen USING (lang, feed_host, entry_key)
 QUALIFY row_number() OVER (PARTITION BY lang, feed_host, entry_key ORDER BY page_id) = 1"""
@@ -491,7 +490,7 @@ SELECT DISTINCT id, phrase FROM (SELECT id, run, string_agg(word, ' ' ORDER BY p
   FROM wk WHERE length(word) BETWEEN 2 AND 15 GROUP BY id, run) WHERE often"""
     sql["summary_topn"] = with_(L, DOCS, summaries("docs")) + "SELECT id, summary FROM summaries"
     sql["near_dup_titles"] = with_(A, L, TF, VECTORS, BEST) + \
-        "SELECT id, match_id, similarity, similarity_with, is_duplicate FROM verdict"
+        "SELECT id, coalesce(match_id, -1) AS match_id, similarity, similarity_with, is_duplicate FROM verdict"
     sql["near_dup_asof"] = with_(A, L, TF) + ", " + asof(50)
     sql["sliding_similar"] = with_(A, L, TF) + ", " + buffer(6)
     sql["sliding_buffer"] = with_(A) + """, p AS (SELECT id, lower(title) AS text, row_number() OVER (ORDER BY id) AS pos

@@ -390,25 +390,31 @@ def summary_topn(spark, d):
         F.col("doc_id").alias("id"), "summary")
 
 
+def _or_none(match_id: str):
+    """-1 where there is no match, so that results compare as plain integers."""
+    return F.coalesce(match_id, F.lit(-1).cast("long")).alias(match_id)
+
+
 # --- similarity ------------------------------------------------------------------
 
 @query
 def near_dup_titles(spark, d):
     rows = titles_of(spark, d)
     best = settle(similarity.best_earlier(rows, "id", "title"))
-    return similarity.verdict(best, rows, "id", "title", OPTIONS.duplicate_at)
+    graded = similarity.verdict(best, rows, "id", "title", OPTIONS.duplicate_at)
+    return graded.withColumn("match_id", _or_none("match_id"))
 
 
 @query
 def near_dup_asof(spark, d):
     best = similarity.best_recent(titles_of(spark, d), "id", "title", 50)
-    return best.select("id", "match_id", F.round("score", 6).alias("score"))
+    return best.select("id", _or_none("match_id"), F.round("score", 6).alias("score"))
 
 
 @query
 def sliding_similar(spark, d):
     best = similarity.best_in_buffer(titles_of(spark, d), "id", "title", OPTIONS.buffer_size)
-    return best.select("id", "match_id", F.round("score", 6).alias("score"))
+    return best.select("id", _or_none("match_id"), F.round("score", 6).alias("score"))
 
 
 @query
@@ -430,7 +436,8 @@ def more_like_this(spark, d):
     asked = spark.read.parquet(f"{d}/benchmark.parquet").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("body"))
     return search.more_like_this(corpus, asked, min_tf=1).select(
-        "query_id", "found", "match_id", F.round("score", 6).alias("score"))
+        "query_id", "found", _or_none("match_id"),
+        F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 # --- retention, figures, export --------------------------------------------------
@@ -670,6 +677,6 @@ def stream_neardup(spark, d):
     out, kept = fresh_path(spark, "verdicts"), fresh_path(spark, "recent")
     jobs.recent_verdicts(jobs.landed(spark, *_land(rows, 2)), "id", "title", out, kept,
                          fresh_path(spark, "ck"), OPTIONS, once=True).awaitTermination()
-    return spark.read.parquet(out).select("id", "match_id", "similarity", "is_duplicate")
+    return spark.read.parquet(out).select("id", _or_none("match_id"), "similarity", "is_duplicate")
 
 
