@@ -81,19 +81,25 @@ def _in(value: str, words) -> str:
     return f"{value} IN ({listed})"
 
 
+def _hits(words: str, language: str) -> str:
+    listed = _in("t", lexicon.base_words(language))
+    return f"cast(size(filter({words}, t -> {listed})) as bigint)"
+
+
 def language_scores(words: str, languages=lexicon.LANGUAGES) -> dict[str, Column]:
     """Per language, how many tokens of the (distinct, lower-case) array are in its stop list."""
-    return {n: F.expr(f"size(filter({words}, t -> {_in('t', lexicon.base_words(n))}))").cast("long")
-            for n in languages}
+    return {n: F.expr(_hits(words, n)) for n in languages}
+
 
+def best_language(words: str, languages=lexicon.LANGUAGES) -> Column:
+    """First language with the highest score; null when nothing was hit.
 
-def best_language(scores: dict[str, Column]) -> Column:
-    """First language with the highest score; null when nothing was hit."""
-    top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    branch = F.when(top <= 0, F.lit(None).cast("string"))
-    for name, score in scores.items():
-        branch = branch.when(score == top, F.lit(name))
-    return branch
+    Each score is written once, so the expression costs one pass per language.
+    """
+    scored = ", ".join(f"struct({_hits(words, n)} AS hits, {-i} AS place, '{n}' AS name)"
+                       for i, n in enumerate(languages))
+    return F.expr(f"transform(array(array_max(array({scored}))), "
+                  "b -> CASE WHEN b.hits > 0 THEN b.name END)[0]")
 
 
 def is_content(word: str, language: str) -> Column:

@@ -11,26 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
-from . import vectors
-
-
-def by_text(df: DataFrame, id_: str) -> DataFrame:
-    """Place rows by id, so that later grouping by id needs no exchange."""
-    return df.repartition(id_)
+from . import joins, vectors
 
 
 def term_frequency(df: DataFrame, id_: str, body: str) -> DataFrame:
     """(id, token, tf, first_pos) of the tokens as written."""
-    rows = vectors.tokenize(by_text(df.select(id_, body), id_), id_, body)
+    rows = vectors.tokenize(joins.placed(df.select(id_, body), id_), id_, body)
     return rows.groupBy(id_, "token").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
 def content_frequency(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
     """(id, language, token, tf, first_pos) without the stop words of the language."""
-    placed = by_text(df.select(id_, body, *([language] if language else [])), id_)
+    texts = joins.placed(df.select(id_, body, *([language] if language else [])), id_)
     if language is None:
-        placed, language = vectors.with_language(placed, body), "language"
-    rows = placed.select(id_, F.col(language).alias("language"),
+        texts, language = vectors.with_language(texts, body), "language"
+    rows = texts.select(id_, F.col(language).alias("language"),
                          F.posexplode(text.tokens(F.col(body))).alias("pos", "token"))
     rows = rows.where(text.is_content("lower(token)", "language"))
     return rows.groupBy(id_, "language", "token").agg(
@@ -68,14 +63,19 @@ def main_words(df: DataFrame, id_: str, body: str) -> DataFrame:
 
 
 def _spaced(df: DataFrame, id_: str, body: str) -> DataFrame:
-    placed = vectors.with_language(by_text(df.select(id_, body), id_), body)
-    placed = placed.where(F.col("language").isin("french", "english"))
-    return placed.select(id_, "language", text.spaced_tokens(F.col(body)).alias("_t"))
+    """(id, language, _t): spaced tokens of French and English texts.
+
+    Explode ``_t`` with the outer form: for the inner one the optimizer adds a
+    filter on its size, which cuts every text a second time below the exchange.
+    """
+    texts = vectors.with_language(joins.placed(df.select(id_, body), id_), body)
+    texts = texts.where(F.col("language").isin("french", "english"))
+    return texts.select(id_, "language", text.spaced_tokens(F.col(body)).alias("_t"))
 
 
 def _frequent(df: DataFrame, id_: str, body: str) -> DataFrame:
     rows = _spaced(df, id_, body).select(
-        id_, "language", F.size("_t").alias("n"), F.posexplode("_t").alias("pos", "token"))
+        id_, "language", F.size("_t").alias("n"), F.posexplode_outer("_t").alias("pos", "token"))
     rows = rows.withColumn("word", F.lower("token"))
     rows = rows.where(_plain_content())
     counted = rows.groupBy(id_, "language", "n", "word").agg(
@@ -94,7 +94,7 @@ def main_phrases(df: DataFrame, id_: str, body: str, shortest: int = 2, longest:
     are kept.  Runs come from a gaps-and-islands window over one text.
     """
     rows = _spaced(df, id_, body).select(
-        id_, "language", F.size("_t").alias("n"), F.posexplode("_t").alias("pos", "token"))
+        id_, "language", F.size("_t").alias("n"), F.posexplode_outer("_t").alias("pos", "token"))
     rows = rows.withColumn("word", F.lower("token")).where(
         _plain_content() & F.col("word").rlike(r"[\p{L}\p{N}]"))
     along = Window.partitionBy(id_).orderBy("pos")
@@ -193,7 +193,7 @@ def entry_content(image: Column, raw: Column, body: Column, tags: Column,
                    ).otherwise(F.lit("[]"))
     return F.concat(
         head, main, F.lit("<p>Tags :"), shown, F.lit("</p><p>Similarity of "),
-        F.coalesce(F.format_string("%.2f", similarity), F.lit("0.00")),
+        F.format_string("%.2f", F.coalesce(similarity, F.lit(0.0))),
         F.lit(" with "), F.coalesce(similarity_with, none), F.lit("</p>"))
 
 

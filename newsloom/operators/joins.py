@@ -15,6 +15,15 @@ BLOCK_ROWS = 1_000_000
 SALT_ROWS = 50_000
 
 
+def placed(df: DataFrame, id_: str) -> DataFrame:
+    """Place texts by id, so that later grouping by id needs no exchange.
+
+    The number of partitions is the session's: word work is heavy for its bytes,
+    and partitions merged by byte size would leave cores idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_)
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
            hot_share: int = HOT_SHARE) -> DataFrame:
     """Left join ``rows`` to one row per ``key`` of ``table``.

@@ -52,7 +52,7 @@ def more_like_this(corpus: DataFrame, queries: DataFrame, min_tf: int = 2, max_t
     only the rarest n - m + 1 terms of a query look up candidates.  The common
     terms are read for the candidates alone.  Long posting lists are salted.
     """
-    words = corpus.repartition("id").select("id", F.explode(text.tokens(F.lower("body"))).alias("term"))
+    words = joins.placed(corpus, "id").select("id", F.explode(text.tokens(F.lower("body"))).alias("term"))
     tf = settle(words.groupBy("id", "term").agg(F.count("*").alias("tf")))
     lengths = tf.groupBy("id").agg(F.sum("tf").alias("len"))
     n_docs, all_words = corpus.count(), tf.agg(F.sum("tf")).first()[0] or 1

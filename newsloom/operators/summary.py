@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stems, text
-from . import digest, vectors
+from . import joins, vectors
 
 SENTENCE_PATTERN = r"([^.!?\n]+[.!?]*)"
 EDGE_ABOVE = 0.1
@@ -20,8 +20,8 @@ def sentences(df: DataFrame, id_: str, body: str) -> DataFrame:
     cut = F.filter(F.transform(
         F.regexp_extract_all(F.col(body), F.lit(SENTENCE_PATTERN), F.lit(1)),
         lambda x: F.trim(x)), lambda x: x != "")
-    placed = vectors.with_language(digest.by_text(df.select(id_, body), id_), body)
-    return placed.select(id_, "language", F.posexplode(cut).alias("s", "sentence"))
+    texts = vectors.with_language(joins.placed(df.select(id_, body), id_), body)
+    return texts.select(id_, "language", F.posexplode(cut).alias("s", "sentence"))
 
 
 def centrality(df: DataFrame, id_: str, body: str) -> DataFrame:

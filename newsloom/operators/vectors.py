@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, stems, text
+from ..session import settle
 from . import joins
 
 
@@ -25,13 +26,14 @@ def language_likelihood(df: DataFrame, id_: str, body: str,
 
 def with_language(df: DataFrame, body: str, out: str = "language",
                   languages=lexicon.LANGUAGES) -> DataFrame:
-    """Add the most likely language; row-local."""
+    """Add the most likely language; row-local.
+
+    The generator keeps a later filter on the language from being pushed below
+    it, where the scores would be worked out a second time.
+    """
     scored = df.withColumn("_w", F.array_distinct(text.tokens(F.lower(body))))
-    scores = text.language_scores("_w", languages)
-    scored = scored.withColumns({f"_s{i}": s for i, s in enumerate(scores.values())})
-    named = {n: F.col(f"_s{i}") for i, n in enumerate(scores)}
-    return (scored.withColumn(out, text.best_language(named))
-            .drop("_w", *[f"_s{i}" for i in range(len(scores))]))
+    scored = scored.select("*", F.explode(F.array(text.best_language("_w", languages))).alias(out))
+    return scored.drop("_w")
 
 
 def clean_tokens(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
@@ -60,10 +62,10 @@ def stem_vocabulary(df: DataFrame, id_: str, body: str, language: str) -> DataFr
 def term_counts(df: DataFrame, id_: str, body: str) -> DataFrame:
     """(id, term, tf) of short texts: lower, detect, drop, stem, drop again.
 
-    The counts of one text are made where its row is, so the only exchange is
-    the final grouping of terms that share a stem.
+    Texts are placed by id first: that spreads the word work, and the grouping
+    by (id, term) then needs no exchange of the far larger word rows.
     """
-    low = df.select(id_, F.lower(body).alias("_t"))
+    low = joins.placed(df.select(id_, F.lower(body).alias("_t")), id_)
     low = with_language(low, "_t", "language")
     rows = low.select(id_, "language", F.explode(text.tokens(F.col("_t"))).alias("token"))
     rows = rows.where(text.is_content("token", "language"))
@@ -102,7 +104,7 @@ def weigh(counts: DataFrame, id_: str, texts: int, df: DataFrame, keep=(),
 def tfidf(df: DataFrame, id_: str, body: str) -> DataFrame:
     """(id, term, tf, df, weight) with unit-length rows."""
     texts = df.count()
-    counts = term_counts(df, id_, body)
+    counts = settle(term_counts(df, id_, body))
     vec = weigh(counts, id_, texts, document_frequency(counts))
     return vec.select(id_, F.explode("vec").alias("e")).select(
         id_, "e.term", F.col("e.df").alias("df"), F.col("e.w").alias("weight"))

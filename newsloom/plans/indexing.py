@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import digest, summary, vectors
+from ..operators import digest, joins, summary, vectors
 
 
 def enrich(articles: DataFrame, title: str = "title", site: str = "source", content: str = "content",
@@ -20,7 +20,7 @@ def enrich(articles: DataFrame, title: str = "title", site: str = "source", cont
                            F.col(site).alias("site"), F.col(content).alias("content"),
                            (F.current_timestamp() if published is None else F.col(published))
                            .alias("published"))
-    rows = vectors.with_language(digest.by_text(rows.dropDuplicates(["id"]), "id"), "content")
+    rows = vectors.with_language(joins.placed(rows.dropDuplicates(["id"]), "id"), "content")
     routed = rows.where(F.col("language").isin("french", "english"))
     words = digest.main_words(routed, "id", "content").select("id", F.col("words").alias("mainwords"))
     short = summary.summarise(routed, "id", "content", sentences).withColumnRenamed("summary", "abstract")
