@@ -89,10 +89,16 @@ def test_lexrank_prefers_the_shared_sentence():
     assert lexrank(2, None, None, None) == [0.5, 0.5]
 
 
-def test_summary_keeps_text_order(spark):
-    df = spark.createDataFrame([(1, "Red cars race. Blue birds sing. Red cars win. Cars race red.")], "id long, t string")
-    got = summary.summarise(df, "id", "t", 2).first().summary
-    assert got in ("Red cars race.Cars race red.", "Red cars race.Red cars win.", "Red cars win.Cars race red.")
+def test_summary_takes_the_hub_and_keeps_text_order(spark):
+    # "Apples meet pears" shares a word with two sentences that share none with
+    # each other; one step from 1/8 each gives it (1/3 + 1/2 + 1/2) / 8, its two
+    # neighbours (1/3 + 1/2) / 8 and every lone sentence 1/8.  So the hub is
+    # first and the earliest lone sentence second.
+    body = ("Apples glow. Pears shrink. Apples meet pears. Robots sing. Clouds drift. Rivers bend. "
+            "Mountains crack. Engines hum.")
+    df = spark.createDataFrame([(1, body)], "id long, t string")
+    assert summary.summarise(df, "id", "t", 1).first().summary == "Apples meet pears."
+    assert summary.summarise(df, "id", "t", 2).first().summary == "Apples meet pears.Robots sing."
 
 
 def test_stores_round_trip(spark, tmp_path):
