@@ -51,30 +51,31 @@ def top_tags(df: DataFrame, id_: str, body: str, k: int, fold_first: bool = True
     return tags.select(id_, F.transform("t", lambda e: e["tag"]).alias("tags"))
 
 
-def main_words(df: DataFrame, id_: str, body: str) -> DataFrame:
+def main_words(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
     """(id, language, words): words used at least 1 + n/100 times, in order of first use.
 
     n counts all tokens of the text.  Only French and English texts get words.
+    With ``language`` the texts are taken as placed by id and detected already.
     """
-    return (_frequent(df, id_, body)
+    return (_frequent(df, id_, body, language)
             .groupBy(id_, "language")
             .agg(F.array_sort(F.collect_list(F.struct("first_pos", "word"))).alias("w"))
             .select(id_, "language", F.transform("w", lambda e: e["word"]).alias("words")))
 
 
-def _spaced(df: DataFrame, id_: str, body: str) -> DataFrame:
+def _spaced(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
     """(id, language, _t): spaced tokens of French and English texts.
 
     Explode ``_t`` with the outer form: for the inner one the optimizer adds a
     filter on its size, which cuts every text a second time below the exchange.
     """
-    texts = vectors.with_language(joins.placed(df.select(id_, body), id_), body)
+    texts = vectors.placed_with_language(df, id_, body, language)
     texts = texts.where(F.col("language").isin("french", "english"))
     return texts.select(id_, "language", text.spaced_tokens(F.col(body)).alias("_t"))
 
 
-def _frequent(df: DataFrame, id_: str, body: str) -> DataFrame:
-    rows = _spaced(df, id_, body).select(
+def _frequent(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
+    rows = _spaced(df, id_, body, language).select(
         id_, "language", F.size("_t").alias("n"), F.posexplode_outer("_t").alias("pos", "token"))
     rows = rows.withColumn("word", F.lower("token"))
     rows = rows.where(_plain_content())

@@ -8,35 +8,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stems, text
-from . import joins, vectors
+from . import vectors
 
 SENTENCE_PATTERN = r"([^.!?\n]+[.!?]*)"
 EDGE_ABOVE = 0.1
 SETTLED_BELOW = 0.1
 
 
-def sentences(df: DataFrame, id_: str, body: str) -> DataFrame:
-    """(id, language, s, sentence): the sentences of every text, in order."""
+def sentences(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
+    """(id, language, s, sentence): the sentences of every text, in order.
+
+    With ``language`` the texts are taken as placed by id and detected already.
+    """
     cut = F.filter(F.transform(
         F.regexp_extract_all(F.col(body), F.lit(SENTENCE_PATTERN), F.lit(1)),
         lambda x: F.trim(x)), lambda x: x != "")
-    texts = vectors.with_language(joins.placed(df.select(id_, body), id_), body)
+    texts = vectors.placed_with_language(df, id_, body, language)
     return texts.select(id_, "language", F.posexplode(cut).alias("s", "sentence"))
 
 
-def centrality(df: DataFrame, id_: str, body: str) -> DataFrame:
+def centrality(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
     """(id, s, sentence, score): LexRank score of every sentence.
 
     Words are counted, stemmed and weighed by Spark, all placed by text.  The
     sentence graph of one text is then a small matrix, worked out where the
     text is; nothing is cut off and no sentence pairs are shuffled.
     """
-    every = sentences(df, id_, body)
+    every = sentences(df, id_, body, language)
     words = every.select(
         id_, "language", "s", F.explode(text.tokens(F.lower("sentence"))).alias("token"))
     words = words.where(F.col("token").rlike(r"^\p{L}+$")
                         & text.is_content("token", "language"))
-    words = stems.with_stem(words, "token", "language", "term")
+    # A word is stemmed once per text, wherever it stands in it.
+    words = words.groupBy(id_, "language", "token").agg(F.collect_list("s").alias("at"))
+    words = stems.with_stem(words, "token", "language", "term").select(
+        id_, "term", F.explode("at").alias("s"))
     counts = words.groupBy(id_, "s", "term").agg(F.count("*").alias("n"))
     counts = counts.withColumn("tf", F.col("n") / F.max("n").over(Window.partitionBy(id_, "s")))
     held = counts.groupBy(id_).agg(
@@ -100,9 +106,9 @@ def lexrank(n: int, rows, terms, tfs, block: int = 512) -> list[float]:
             return p.tolist()
 
 
-def summarise(df: DataFrame, id_: str, body: str, n: int) -> DataFrame:
+def summarise(df: DataFrame, id_: str, body: str, n: int, language: str | None = None) -> DataFrame:
     """(id, summary): the n most central sentences in text order, joined as they are."""
-    scored = centrality(df, id_, body)
+    scored = centrality(df, id_, body, language)
     rank = Window.partitionBy(id_).orderBy(F.desc(F.round("score", 6)), "s")
     kept = scored.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= n)
     return (kept.groupBy(id_)

@@ -36,6 +36,13 @@ def with_language(df: DataFrame, body: str, out: str = "language",
     return scored.drop("_w")
 
 
+def placed_with_language(df: DataFrame, id_: str, body: str, language: str | None) -> DataFrame:
+    """(id, body, language), placed by id; left alone when ``language`` is there already."""
+    if language:
+        return df.select(id_, body, F.col(language).alias("language"))
+    return with_language(joins.placed(df.select(id_, body), id_), body)
+
+
 def clean_tokens(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
     """(id, language, pos, token, stem): detect, cut, drop stop words, stem.
 

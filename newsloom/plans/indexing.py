@@ -20,10 +20,10 @@ def enrich(articles: DataFrame, title: str = "title", site: str = "source", cont
                            F.col(site).alias("site"), F.col(content).alias("content"),
                            (F.current_timestamp() if published is None else F.col(published))
                            .alias("published"))
-    rows = vectors.with_language(joins.placed(rows.dropDuplicates(["id"]), "id"), "content")
+    rows = vectors.with_language(joins.placed(rows, "id").dropDuplicates(["id"]), "content")
     routed = rows.where(F.col("language").isin("french", "english"))
-    words = digest.main_words(routed, "id", "content").select("id", F.col("words").alias("mainwords"))
-    short = summary.summarise(routed, "id", "content", sentences).withColumnRenamed("summary", "abstract")
+    words = digest.main_words(routed, "id", "content", "language").select("id", F.col("words").alias("mainwords"))
+    short = summary.summarise(routed, "id", "content", sentences, "language").withColumnRenamed("summary", "abstract")
     empty = F.lit("")
     return (rows.join(words, "id", "left").join(short, "id", "left")
             .select("id", "title", "content", F.coalesce("abstract", empty).alias("abstract"),
