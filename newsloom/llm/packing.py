@@ -8,6 +8,9 @@ equal treatment; every piece finds its place by its rank among pieces of its len
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -19,46 +22,104 @@ from .common import pick, settle
 CAPACITY = 4096
 END = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_WORDS: dict[str, dict[str, bytes]] = {}
-
-
-def word_ids(tokenizer_path: str, keep: int = 300_000, longest: int = 64):
-    """A function from texts to their ids as little-endian bytes.
-
-    The vocabulary drops white space and never joins what it parts, so ids are
-    worked out once per distinct word.  The memory of words lives as long as the
-    Python worker and starts anew at ``keep`` entries.
+# Characters whose runs the tokenizer's pattern keeps together, and single digits.
+# An apostrophe may begin a contraction, and other scripts may be composed or lowered
+# in their own ways: texts with any of those go through the tokenizer itself.
+LETTERS = {chr(c) for c in range(256) if chr(c).isalpha()}
+BLANKS = {" ", "\n", "\t"}
+MARKS = {chr(c) for c in [*range(33, 127), *range(161, 256)]
+         if not chr(c).isalnum() and unicodedata.category(chr(c))[0] in "PSC"} - {"'", "\xad"}
+DIGITS = set("0123456789")
+_PLAIN = LETTERS | BLANKS | MARKS | DIGITS
+_MARK_RUN = re.compile("[" + re.escape("".join(sorted(MARKS))) + "]+")
+_DIGIT = re.compile("[0-9]")
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letters of the bytes that are not printable Latin-1, in byte order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+def _end_marked(path: str):
+    """The vocabulary as byte ranks, a zero byte standing for the end of a word; ids by rank.
+
+    Merging by ranks gives what the tokenizer's list of merges gives if every token,
+    merged alone by that list, becomes itself: then two neighbours that spell a token
+    are always the pair the list names for it.  That is checked here.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known = _WORDS.setdefault(tokenizer_path, {})
-
-    def packed(encoding) -> bytes:
-        return np.asarray(encoding.ids, dtype="<u4").tobytes()
-
-    def encode(texts: list[str]):
-        if len(known) > keep:
-            known.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(known) if cut else set()
-        rare = {}
-        for group in ([w for w in new if len(w) <= longest], [w for w in new if len(w) > longest]):
-            target = known if not group or len(group[0]) <= longest else rare
-            for at in range(0, len(group), 4096):
-                part = group[at:at + 4096]
-                target.update(zip(part, map(packed, tokenizer.encode_batch(part, add_special_tokens=False))))
-        if rare:
-            for words in cut:
-                yield b"".join([known[w] if w in known else rare[w] for w in words])
-        else:
-            for words in cut:
-                yield b"".join(map(known.__getitem__, words))
-
-    return encode
-
-
-def _groups(texts, budget: int = 1 << 20):
+    import tiktoken
+    from tokenizers import models
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    suffix, vocab = model["end_of_word_suffix"], model["vocab"]
+    inner = models.BPE(vocab=vocab, merges=merges)
+    whole = models.BPE(vocab=vocab, merges=merges, end_of_word_suffix=suffix)
+    back = {chr(b): b for b in range(256)} | {c: b for b, c in _byte_letters().items()}
+    ranks, ids = {}, {}
+
+    def put(token: str, rank: int) -> None:
+        ends = token.endswith(suffix)
+        word = token[:len(token) - len(suffix) * ends]
+        alone = (whole if ends else inner).tokenize(word)
+        if len(alone) != 1 or alone[0].value != token:
+            raise ValueError(f"{token!r} is not merged from its own letters")
+        ranks[bytes(back[c] for c in word) + b"\0" * ends] = rank
+        ids[rank] = vocab[token]
+
+    for b in range(256):
+        letter = _byte_letters().get(b, chr(b))
+        put(letter, b)
+        put(letter + suffix, 256 + b)
+    for k, (left, right) in enumerate(merges):
+        put(left + right, 512 + k)
+    encoding = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+    return encoding, np.array([ids[r] for r in range(len(ids))], "<u4")
+
+
+class Encoder:
+    """Ids of texts as little-endian bytes.
+
+    The vocabulary drops white space and never joins what its pattern parts.  Texts
+    of plain characters are parted here, by a zero byte after every word, and merged
+    by ranks; any other text goes through the tokenizer itself.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merged, self.table = _end_marked(path)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        odd = set().union(*texts) - _PLAIN
+        plain = [not (odd and odd.intersection(t)) and "<|" not in t for t in texts]
+        line = "\1".join([t for t, p in zip(texts, plain) if p]).lower()
+        line = _DIGIT.sub("\0\\g<0>\0", _MARK_RUN.sub("\0\\g<0>\0", line))
+        line = line.replace(" ", "\0").replace("\n", "\0").replace("\t", "\0")
+        parted = iter(line.split("\1"))
+        out = []
+        for t, p in zip(texts, plain):
+            if p:
+                out.append(self.table[self.merged.encode_to_numpy(next(parted) + "\0")].tobytes())
+            else:
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+                out.append(np.array(ids, "<u4").tobytes())
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def groups(texts: list[str], budget: int = 2 << 20):
+    """Spans of neighbouring texts of about ``budget`` characters."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -79,10 +140,10 @@ def pieces(docs: DataFrame, id_: str, text: str, tokenizer_path: str, capacity:
     def run(frames):
         import pandas as pd
 
-        encode = word_ids(tokenizer_path)
+        encode = encoder(tokenizer_path).texts
         for pdf in frames:
-            ids, texts, out = pdf["doc_id"].tolist(), [t or "" for t in pdf["text"]], []
-            for a, b in _groups(texts):
+            ids, texts, out = pdf["doc_id"].tolist(), [t or "" for t in pdf.pop("text")], []
+            for a, b in groups(texts):
                 for doc, data in zip(ids[a:b], encode(texts[a:b])):
                     data += end
                     n = len(data) // 4
