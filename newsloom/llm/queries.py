@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import packing, sharding, simhash
+from . import packing, quality, sharding, simhash, toxicity
 from .common import settle
 
 
@@ -44,6 +44,41 @@ def op8_virtual_slots(spark: SparkSession, d: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_simhash_neardup, op8_virtual_slots)}
+def remainder(n: int):
+    """crc32 of the doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/labels.parquet")
+
+
+def graded(scored: DataFrame, value: str, modulus: int, held_out: int) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(remainder(modulus) == held_out, F.lit(False)).alias("held_out"),
+                         F.col(value).alias("score"), (F.col(value) >= 0.5).cast("int").alias("predicted"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, d: str) -> quality.Additive:
+    return quality.learn(docs, "doc_id", "text", labels(spark, d).where(remainder(3) != 1), "quality")
+
+
+def toxicity_lexicon(spark: SparkSession, docs: DataFrame, d: str) -> toxicity.Lexicon:
+    return toxicity.learn(docs, "doc_id", "text", labels(spark, d).where(remainder(5) != 0), "toxic")
+
+
+def op2_quality_gam(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    scored = quality.score(docs, "doc_id", "text", quality_model(spark, docs, d))
+    return graded(scored, "quality", 3, 1)
+
+
+def op10_toxicity_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    scored = toxicity.score(docs, "doc_id", "text", toxicity_lexicon(spark, docs, d))
+    return graded(scored, "toxicity", 5, 0)
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_quality_gam, op3_best_fit_packing, op4_simhash_neardup, op8_virtual_slots, op10_toxicity_lexicon)}
 
 ORACLE_SQL: dict[str, str] = {}
