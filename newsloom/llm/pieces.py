@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +23,7 @@ from .common import pick
 from .packing import groups
 
 MARK = "\u2581"
+MARKS = ".,;:!?|"
 _RUNS = re.compile(r" +[^ ]*|[^ ]+")
 _SHARED: dict[str, Pieces] = {}
 
@@ -29,7 +31,7 @@ _SHARED: dict[str, Pieces] = {}
 class Pieces:
     """The pieces of one model file: ids, scores, bytes, and whether they merge by rank."""
 
-    def __init__(self, path: str, merges: bool = True, keep: int = 250_000):
+    def __init__(self, path: str, merges: bool = True, keep: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -43,68 +45,69 @@ class Pieces:
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.bytes[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.ids[piece], self.scores[piece] = i, model.get_score(i)
+                self.ids[piece], self.scores[piece] = i.to_bytes(4, "little"), model.get_score(i)
                 self.bytes[i] = piece.replace(MARK, " ").encode()
-        self.longest = max(map(len, self.ids))
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
+        # Ends of pieces: a string that is none cannot end a longer piece either.
+        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
+        self.joined = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        if any(x != MARK and y == MARK for x, y in self.joined):
             raise ValueError("a piece goes on past the end of a word")
+        self.marks = "".join(m for m in MARKS if not any(x.isalpha() and y == m for x, y in self.joined))
         self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
 
     def keeps_apart(self, a: str, b: str) -> bool:
         """Whether merging the letters of two pieces by rank ends in just these two."""
-        known = self.apart.get((a, b))
-        if known is not None:
-            return known
-        symbols, scores, answer = list(a + b), self.scores, True
+        symbols, score, middle = list(a + b), self.scores.get, len(a)
         while len(symbols) > 1:
-            best = max(range(len(symbols) - 1), key=lambda i: (scores.get(symbols[i] + symbols[i + 1], -np.inf), -i))
-            if symbols[best] + symbols[best + 1] not in scores:
+            ranks = [score(x + y, -np.inf) for x, y in zip(symbols, symbols[1:])]
+            best = max(ranks)
+            if best == -np.inf:
                 break
-            before = sum(map(len, symbols[:best]))
-            if before < len(a) < before + len(symbols[best]) + len(symbols[best + 1]):
-                answer = False
-                break
-            symbols[best:best + 2] = [symbols[best] + symbols[best + 1]]
-        answer = answer and symbols == [a, b]
-        if len(self.apart) > 4 * self.keep:
-            self.apart.clear()
-        self.apart[a, b] = answer
-        return answer
+            at = ranks.index(best)
+            joined = symbols[at] + symbols[at + 1]
+            before = len("".join(symbols[:at]))
+            if before < middle < before + len(joined):
+                return False
+            symbols[at:at + 2] = [joined]
+        return symbols == [a, b]
 
     def _lone(self, char: str) -> bytes:
         return np.array([self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")], "<u4").tobytes()
 
     def walk(self, words: list[str]):
         """(word, ids) of sorted distinct words, sharing forward states between neighbours."""
-        ids, scores = self.ids, self.scores
+        ids, scores, tails, apart, merges = self.ids, self.scores, self.tails, self.apart, self.merges
         # One state per character: score, the last piece ("" at the start or after a byte), ids so far.
         states: list[tuple[float, str, bytes]] = [(0.0, "", b"")]
         last = ""
         for word in words:
-            shared = 0
-            for x, y in zip(last, word):
-                if x != y:
-                    break
-                shared += 1
+            shared = len(commonprefix((last, word)))
             del states[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                best = None
-                for start in range(max(0, end - self.longest), end):
-                    piece = word[start:end]
-                    if piece not in ids:
-                        continue
-                    score, before, path = states[start]
-                    if self.merges and before and not self.keeps_apart(before, piece):
-                        continue
-                    if best is None or score + scores[piece] > best[0]:
-                        best = (score + scores[piece], piece, path + ids[piece].to_bytes(4, "little"))
+                best, start = None, end - 1
+                while start >= 0 and (piece := word[start:end]) in tails:
+                    if piece in ids:
+                        score, before, path = states[start]
+                        if merges and before:
+                            fits = apart.get((before, piece))
+                            if fits is None:
+                                fits = apart[before, piece] = self.keeps_apart(before, piece)
+                        else:
+                            fits = True
+                        if fits and (best is None or score + scores[piece] > best[0]):
+                            best = (score + scores[piece], piece, path + ids[piece])
+                            if merges:
+                                break
+                    start -= 1
                 if best is None:
                     score, _, path = states[end - 1]
                     best = (score - 1e6, "", path + self._lone(word[end - 1]))
                 states.append(best)
             last = word
             yield word, states[-1][2]
+        if len(apart) > 4 * self.keep:
+            apart.clear()
 
     def cut(self, text: str) -> list[str]:
         """Marked words: blanks become marks, a run of marks stays with the word after it."""
@@ -120,16 +123,18 @@ class Pieces:
         if len(self.words) > self.keep:
             self.words.clear()
         cut = [self.cut(t) for t in texts]
-        new = sorted(set().union(*cut).difference(self.words)) if cut else []
-        found = dict(self.walk(new))
-        if len(found) < len(new):
-            raise AssertionError("a word was lost")
-        out = []
-        self.words.update((w, i) for w, i in found.items() if len(w) <= 64)
-        find = self.words if all(len(w) <= 64 for w in new) else self.words | found
-        for words in cut:
-            out.append(b"".join([find[w] for w in words]))
-        return out
+        # A tail of marks after a letter is never part of the same piece: cut there too.
+        new = {}
+        for w in set().union(*cut).difference(self.words):
+            base = w.rstrip(self.marks)
+            new[w] = (base, w[len(base):]) if base[-1:].isalpha() else (w, "")
+        found = dict(self.walk(sorted({p for pair in new.values() for p in pair if p})))
+        found[""] = b""
+        new = {w: found[base] + found[tail] for w, (base, tail) in new.items()}
+        self.words.update((w, i) for w, i in new.items() if len(w) <= 64)
+        if any(len(w) > 64 for w in new):
+            return [b"".join([self.words[w] if w in self.words else new[w] for w in words]) for words in cut]
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the blank before the first word is not part of it."""
