@@ -31,7 +31,7 @@ _SHARED: dict[str, Pieces] = {}
 class Pieces:
     """The pieces of one model file: ids, scores, bytes, and whether they merge by rank."""
 
-    def __init__(self, path: str, merges: bool = True, keep: int = 500_000):
+    def __init__(self, path: str, merges: bool = True, keep: int = 350_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -106,7 +106,7 @@ class Pieces:
                 states.append(best)
             last = word
             yield word, states[-1][2]
-        if len(apart) > 4 * self.keep:
+        if len(apart) > self.keep:
             apart.clear()
 
     def cut(self, text: str) -> list[str]:

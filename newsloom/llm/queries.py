@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import chat, packing, pieces, quality, sharding, simhash, toxicity
+from . import chat, packing, pieces, quality, sharding, simhash, suffixes, toxicity
 from .common import settle
 
 
@@ -98,16 +98,43 @@ def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat_records(rows.unionByName(trap)), "conv_id", "record"))
 
 
+def op7_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.repeated(documents(spark, d), "doc_id", "text").drop("kept")
+
+
 def op9_shared_prefix_pieces(spark: SparkSession, d: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     return pieces.digests(pieces.encode(documents(spark, d), "doc_id", "text", path), path)
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_gam, op3_best_fit_packing, op4_simhash_neardup, op5_chat_formatting, op8_virtual_slots,
+    op2_quality_gam, op3_best_fit_packing, op4_simhash_neardup, op5_chat_formatting, op7_suffix_dedup, op8_virtual_slots,
     op9_shared_prefix_pieces, op10_toxicity_lexicon)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_suffix_dedup": """
+        WITH docs AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        strings AS (
+            SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS s
+            FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM docs WHERE n >= 50)),
+        hits AS (
+            SELECT doc_id, p FROM strings JOIN (SELECT s, min(doc_id) AS least FROM strings GROUP BY s) USING (s)
+            WHERE doc_id > least),
+        bytes AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(n)) AS p FROM docs)),
+        marked AS (
+            SELECT b.doc_id, b.p, b.b, h.p IS NOT NULL AND b.p - h.p < 50 AS gone
+            FROM bytes b ASOF LEFT JOIN hits h ON b.doc_id = h.doc_id AND b.p >= h.p),
+        runs AS (
+            SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM marked),
+        sums AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+                sha256(unhex(coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT gone), ''))) AS kept_sha256
+            FROM runs GROUP BY doc_id)
+        SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+            CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+        FROM docs d LEFT JOIN sums USING (doc_id)""",
     # Escapes add one character for each backslash, "<" and "[", and for "|" in roles.
     "op5_chat_formatting": r"""
         WITH rows AS (
