@@ -10,14 +10,17 @@ from __future__ import annotations
 import string
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 from operator import eq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, ship
 from .learning import sample, sigmoid
 
 SAMPLE_ROWS = 20_000
@@ -184,11 +187,17 @@ def learn(docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str,
     return fit(x, np.array([r["y"] > 0 for r in got], float))
 
 
-def score(docs: DataFrame, id_: str, text: str, model: Additive) -> DataFrame:
-    """(doc_id, quality) of every whole text: null texts are scored as empty ones."""
-    def run(frames):
-        for pdf in frames:
-            x = np.array([features(t) for t in pdf.pop("text")], float).reshape(-1, len(NAMES))
-            yield pdf.assign(quality=sigmoid(model.margin(x))).astype({"doc_id": "Int64"})
+def with_score(docs: DataFrame, text: str, model: Additive, out: str = "quality") -> DataFrame:
+    """Add the score of every whole text; null texts are scored as empty ones."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.array([features(t) for t in texts], float).reshape(-1, len(NAMES))
+            yield pd.Series(sigmoid(model.margin(x)))
 
-    return pick(docs, doc_id=id_, text=text).mapInPandas(run, "doc_id long, quality double")
+    ship(docs.sparkSession)
+    return docs.withColumn(out, F.pandas_udf(run, "double")(docs[text]))
+
+
+def score(docs: DataFrame, id_: str, text: str, model: Additive) -> DataFrame:
+    """(doc_id, quality) of every document."""
+    return with_score(pick(docs, doc_id=id_, text=text), "text", model).drop("text")

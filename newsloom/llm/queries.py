@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import chat, packing, pieces, quality, sharding, simhash, suffixes, toxicity
+from . import chat, forest, packing, pieces, pivots, quality, sharding, simhash, suffixes, toxicity
 from .common import settle
 
 
@@ -102,16 +102,40 @@ def op7_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffixes.repeated(documents(spark, d), "doc_id", "text").drop("kept")
 
 
+def embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+def op1_prefix_forest(spark: SparkSession, d: str) -> DataFrame:
+    return forest.search(embeddings(spark, d), "vec_id", "embedding")
+
+
+def op6_pivot_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = embeddings(spark, d).select("vec_id", pivots.scaled("embedding").alias("embedding"))
+    return pivots.search(rows, "vec_id", "embedding")
+
+
 def op9_shared_prefix_pieces(spark: SparkSession, d: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     return pieces.digests(pieces.encode(documents(spark, d), "doc_id", "text", path), path)
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality_gam, op3_best_fit_packing, op4_simhash_neardup, op5_chat_formatting, op7_suffix_dedup, op8_virtual_slots,
+    op1_prefix_forest, op2_quality_gam, op3_best_fit_packing, op4_simhash_neardup, op5_chat_formatting, op6_pivot_topk, op7_suffix_dedup, op8_virtual_slots,
     op9_shared_prefix_pieces, op10_toxicity_lexicon)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_pivot_topk": """
+        WITH rows AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1),
+                lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+            FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+        WHERE rank <= 5""",
     "op7_suffix_dedup": """
         WITH docs AS (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),

@@ -11,13 +11,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, ship
 from .learning import logistic, sample, sigmoid
 
 SAMPLE_ROWS = 20_000
@@ -140,8 +142,6 @@ def learn(docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str,
     rows = rows.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
 
     def count(frames):
-        import pandas as pd
-
         seen: dict[tuple[int, int], Counter] = {}
         for pdf in frames:
             for t, y, half in zip(pdf["text"], pdf["y"], pdf["half"]):
@@ -177,15 +177,21 @@ def learn(docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str,
     return full
 
 
-def score(docs: DataFrame, id_: str, text: str, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, toxicity) of every whole text; null and empty texts score like a text without a match."""
-    def run(frames):
+def with_score(docs: DataFrame, text: str, lexicon: Lexicon, out: str = "toxicity") -> DataFrame:
+    """Add the score of every whole text; null and empty texts score like a text without a match."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = lexicon.matcher()
-        for pdf in frames:
-            folded = [fold(t) for t in pdf.pop("text")]
+        for texts in batches:
+            folded = [fold(t) for t in texts]
             total = np.array([lexicon.hits(machine, t) for t in folded], float)
             words = np.array([t.count(" ") + 1 for t in folded], float)
             z = _features(total, words) @ np.array(lexicon.fit[:2]) + lexicon.fit[2]
-            yield pdf.assign(toxicity=sigmoid(z)).astype({"doc_id": "Int64"})
+            yield pd.Series(sigmoid(z))
 
-    return pick(docs, doc_id=id_, text=text).mapInPandas(run, "doc_id long, toxicity double")
+    ship(docs.sparkSession)
+    return docs.withColumn(out, F.pandas_udf(run, "double")(docs[text]))
+
+
+def score(docs: DataFrame, id_: str, text: str, lexicon: Lexicon) -> DataFrame:
+    """(doc_id, toxicity) of every document."""
+    return with_score(pick(docs, doc_id=id_, text=text), "text", lexicon).drop("text")
