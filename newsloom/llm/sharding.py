@@ -34,28 +34,29 @@ def even_map(shards: int, slots: int = SLOTS) -> np.ndarray:
 
 
 def rebalanced(owner: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
-    """Edit a map until no single move or swap of slots narrows the fullest and emptiest shard.
+    """Edit a map until no single move or swap of slots narrows a fuller and an emptier shard.
 
     ``shards`` may be larger than before: new shards start empty and are filled
     by moves.  Slots that need not move keep their shard.
     """
     owner = owner.copy()
     held = np.bincount(owner, weights=size, minlength=shards).astype(np.int64)
+    stuck = np.zeros(shards, bool)  # shards of one large slot, say, that no move helps
     for _ in range(50 * len(size)):
         # The fullest shard gives to the emptiest one that can improve on it.
-        full = int(np.argmax(held))
+        full = int(np.argmax(np.where(stuck, -1, held)))
+        best = None
         mine = np.flatnonzero(owner == full)
         for low in np.argsort(held, kind="stable"):
             gap = int(held[full] - held[low])
             if low == full or gap <= 1:
-                return owner
+                break
             theirs = np.flatnonzero(owner == low)
             # Moving x and taking y back changes the gap by 2 (x - y); aim at half of it.
             # A move takes nothing back (an entry of zero bytes).
             back = np.append(size[theirs], 0)
             order = np.argsort(back, kind="stable")
             at = np.clip(np.searchsorted(back[order], size[mine] - gap / 2), 0, len(back) - 1)
-            best = None
             for near in (at, np.maximum(at - 1, 0)):
                 step = size[mine] - back[order[near]]
                 left = np.where((step > 0) & (step < gap), np.abs(gap - 2 * step), gap)
@@ -64,8 +65,12 @@ def rebalanced(owner: np.ndarray, size: np.ndarray, shards: int) -> np.ndarray:
                     best = (left[k], mine[k], order[near[k]], step[k])
             if best is not None:
                 break
-        else:
-            return owner
+        if best is None:
+            stuck[full] = True
+            if stuck.all():
+                return owner
+            continue
+        stuck[:] = False
         owner[best[1]] = low
         if best[2] < len(theirs):
             owner[theirs[best[2]]] = full

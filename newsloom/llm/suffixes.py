@@ -175,16 +175,18 @@ def _shared(packs: DataFrame, buckets: int) -> DataFrame:
             for row in pdf.to_dict("records"):
                 data, stops, _ = _opened(row)
                 places, h = anchors(data, stops)
+                if not len(places):
+                    continue
                 doc = np.searchsorted(stops, places, "right")
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
-                new = np.flatnonzero(np.append(True, h[1:] != h[:-1])[:len(h)])
+                new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 ends = np.append(new[1:], len(h))
                 value = (h[new] << np.uint64(1)) | (doc[new] != doc[ends - 1]).astype(np.uint64)
                 bucket = (h[new] * np.uint64(buckets) >> np.uint64(47)).astype(np.int32)
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
+                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 yield pd.DataFrame({"bucket": bucket[cut], "pack": row["pack"], "blob": [
-                    _narrow(v) for v in np.split(value, cut[1:])] if len(cut) else []})
+                    _narrow(v) for v in np.split(value, cut[1:])]})
 
     def answer(pdf):
         import pandas as pd
