@@ -7,11 +7,6 @@ the token pattern are shared.
 
 from __future__ import annotations
 
-import pathlib
-import zipfile
-
-import pyspark
-
 from newsloom.functions import lexicon, stems
 from newsloom.functions.text import CHUNK_PATTERN, TOKEN_PATTERN
 
@@ -29,13 +24,10 @@ def words_list(values) -> str:
 TOKEN, CHUNK = q(TOKEN_PATTERN), q(CHUNK_PATTERN)
 
 
-# --- stop lists, read from the files that come with Spark --------------------------
+# --- stop lists ---------------------------------------------------------------------
 
 def _base(language: str) -> list[str]:
-    jar = next((pathlib.Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        body = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return [w.lower() for w in body.splitlines() if w]
+    return list(lexicon.base_words(language))
 
 
 def _values(rows) -> str:
@@ -54,7 +46,7 @@ def lists() -> str:
 
 
 ARTICLES = """articles AS (
-  SELECT doc_id AS id, left(split_part(text, chr(10), 1), 100) AS title, lang, source AS service, text,
+  SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, lang, source AS service, text,
          TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 30 MINUTE AS published,
          'https://' || source || '.example.com/' || lang || '/' || doc_id AS link
   FROM documents)"""
@@ -388,7 +380,6 @@ FROM benchmark b LEFT JOIN top t ON t.query_id = b.item_id"""
 
 
 DAY = "strftime(DATE '2024-01-01' + (id // 48)::INTEGER, '%Y-%m-%d')"
-PLAIN_TITLE = "regexp_matches(title, '^[ -~]*$') AND trim(title) = title AND title <> ''"
 
 
 def all_sql() -> dict[str, str]:
@@ -491,7 +482,7 @@ SELECT DISTINCT id, phrase FROM (SELECT id, run, string_agg(word, ' ' ORDER BY p
     sql["summary_topn"] = with_(L, DOCS, summaries("docs")) + "SELECT id, summary FROM summaries"
     sql["near_dup_titles"] = with_(A, L, TF, VECTORS, BEST) + \
         "SELECT id, coalesce(match_id, -1) AS match_id, similarity, similarity_with, is_duplicate FROM verdict"
-    sql["near_dup_asof"] = with_(A, L, TF) + ", " + asof(50)
+    sql["near_dup_asof"] = with_(A, L, TF) + ", " + asof(500)
     sql["sliding_similar"] = with_(A, L, TF) + ", " + buffer(6)
     sql["sliding_buffer"] = with_(A) + """, p AS (SELECT id, lower(title) AS text, row_number() OVER (ORDER BY id) AS pos
   FROM articles) SELECT n.id, (n.pos - o.pos)::INTEGER AS slot, o.text FROM p n JOIN p o ON o.pos BETWEEN n.pos - 6 AND n.pos"""
@@ -521,7 +512,7 @@ LEFT JOIN toptags t ON t.id = j.id GROUP BY 1"""
   (CASE WHEN lang = 'fr' THEN '<img src="' || link || '.jpg"/>' ELSE '' END)
   || (CASE WHEN n.id % 2 = 0 THEN '<p>' || title || '</p>' ELSE '<p>' || text || '</p>' END)
   || '<p>Tags :' || (CASE WHEN len(all_tags) > 0 THEN '[''' || array_to_string(all_tags, ''', ''') || ''']'
-    ELSE '[]' END) || '</p><p>Similarity of ' || printf('%.2f', similarity) || ' with ' || similarity_with
+    ELSE '[]' END) || '</p><p>Similarity of ' || round(similarity, 2)::DOUBLE::VARCHAR || ' with ' || similarity_with
   || '</p>' AS content
 FROM (SELECT n.*, list_concat(coalesce(rule_tags, []), coalesce(t.tags, [])) AS all_tags
   FROM newest n LEFT JOIN toptags t ON t.id = n.id) n"""
@@ -540,12 +531,13 @@ FROM docs d JOIN lng l ON l.id = d.id LEFT JOIN summaries s ON s.id = d.id LEFT
     sql["feed_store_scan"] = with_(A) + """SELECT id, service, title, lang, link AS source, service AS tags, text,
   strftime(date_trunc('minute', published) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS published_utc FROM articles"""
     sql["rules_scan"] = with_(A, R, RULED) + f"SELECT id, title, {BLOCKED.format(t='title')} AS blocked FROM ruled"
-    sql["article_files_scan"] = """SELECT source, count(*) AS texts, sum(length(text))::BIGINT AS chars
-FROM documents WHERE text <> '' GROUP BY source"""
-    sql["feed_entries_scan"] = with_(A) + f"SELECT title, link, service AS summary FROM articles WHERE {PLAIN_TITLE}"
-    sql["feed_sink"] = with_(A) + f"SELECT id, title FROM articles WHERE {PLAIN_TITLE} ORDER BY id DESC LIMIT 100"
+    sql["article_files_scan"] = """SELECT source, doc_id::VARCHAR AS title, text AS content FROM documents"""
+    sql["feed_entries_scan"] = with_(A) + "SELECT title, link, service AS summary FROM articles"
+    sql["feed_sink"] = with_(A) + "SELECT id, title FROM articles ORDER BY id DESC LIMIT 100"
     sql["text_sink"] = with_(KEYED, PARAGRAPHS) + f"""SELECT lang, feed_host, count(*) AS entries,
-  sum(length({PAGE_TEXT}))::BIGINT AS chars FROM keyed JOIN paras USING (page_id) GROUP BY ALL"""
+  sum(length({PAGE_TEXT}))::BIGINT AS chars FROM (SELECT *, row_number() OVER (
+    PARTITION BY lang, feed_host, entry_key ORDER BY page_id) AS turn FROM keyed) JOIN paras USING (page_id)
+WHERE turn = 1 GROUP BY lang, feed_host"""
     sql["retained_sink"] = with_(A) + "SELECT id, service, title FROM articles ORDER BY id DESC LIMIT 500"
     sql["daily_sink"] = with_(A) + """SELECT strftime(published, '%Y%m%d') AS day,
   CASE WHEN strftime(published, '%Y%m%d') >= '20240105' THEN 2 ELSE 1 END AS run, count(*) AS articles

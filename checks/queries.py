@@ -21,15 +21,17 @@ from newsloom.streaming import jobs
 from . import fixtures
 
 QUERIES = {}
+# Places and ranks are 64-bit, as in the SQL.
+POSITIONS = ("pos", "first_pos", "rank")
 OPTIONS = RunOptions()
-TITLE_CHARS = 100
 
 
 def query(fn):
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
-        return fn(spark, sf_dir)
+        out = fn(spark, sf_dir)
+        return out.withColumns({c: F.col(c).cast("long") for c in POSITIONS if c in out.columns})
 
     QUERIES[fn.__name__] = run
     return fn
@@ -48,7 +50,7 @@ def spread_documents(spark, d) -> DataFrame:
 
 
 def as_articles(docs: DataFrame) -> DataFrame:
-    title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, TITLE_CHARS)
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
     published = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval("
                        "cast(doc_id div 48 as int), 0, cast((doc_id % 48) * 30 as int), 0)")
     link = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/"),
@@ -407,7 +409,7 @@ def near_dup_titles(spark, d):
 
 @query
 def near_dup_asof(spark, d):
-    best = similarity.best_recent(titles_of(spark, d), "id", "title", 50)
+    best = similarity.best_recent(titles_of(spark, d), "id", "title", OPTIONS.retained)
     return best.select("id", _or_none("match_id"), F.round("score", 6).alias("score"))
 
 
@@ -570,16 +572,12 @@ def rules_scan(spark, d):
 @query
 def article_files_scan(spark, d):
     path = fresh_path(spark, "files")
-    (articles(spark, d).select(F.concat_ws("/", F.col("service"), F.lit("part")).alias("part"),
-                               F.col("service").alias("source"), "text")
-     .select("source", F.col("text").alias("value"))
-     .write.partitionBy("source").option("lineSep", "\u0003").text(path))
-    files = feeds.read_article_files(spark, path)
-    words = files.where(F.col("title").startswith("part-")).select(
-        F.regexp_replace("source", "^source=", "").alias("source"),
-        F.explode(F.split("content", "\u0003")).alias("content")).where("content <> ''")
-    return words.groupBy("source").agg(
-        F.count("*").alias("texts"), F.sum(F.length("content")).cast("long").alias("chars"))
+    (documents(spark, d).select("source", F.col("doc_id").cast("string").alias("title"), F.col("text").alias("value"))
+     .write.partitionBy("source", "title").option("lineSep", "\u0003").text(path))
+    # The writer ends a text with the separator and names folders "column=value".
+    plain = lambda name: F.regexp_replace(name, f"^{name}=", "").alias(name)
+    return feeds.read_article_files(spark, path, below=1).select(
+        plain("source"), plain("title"), F.regexp_replace("content", "\u0003$", "").alias("content"))
 
 
 @query
@@ -587,7 +585,6 @@ def feed_entries_scan(spark, d):
     """Feeds landed as RSS files, read back as entries."""
     path = fresh_path(spark, "rss")
     (articles(spark, d).select("title", "link", F.col("service").alias("description"))
-     .where("title rlike '^[ -~]*$' and trim(title) = title and title <> ''")
      .write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path))
     return feeds.read_entries(spark, path).select("title", "link", "summary")
 
@@ -596,10 +593,10 @@ def feed_entries_scan(spark, d):
 def feed_sink(spark, d):
     """The newest entries written as feed XML and read back."""
     path = fresh_path(spark, "feed")
-    rows = articles(spark, d).where("title rlike '^[ -~]*$' and trim(title) = title and title <> ''")
+    rows = articles(spark, d)
     stores.write_feed(digest.retain(rows, "id", OPTIONS.exported).select(
         F.col("id").cast("string").alias("id"), "title"), path)
-    back = spark.read.format("xml").option("rowTag", "entry").schema("id string, title string").load(path)
+    back = spark.read.format("xml").option("rowTag", "entry").option("ignoreSurroundingSpaces", "false").schema("id string, title string").load(path)
     return back.select(F.col("id").cast("long").alias("id"), "title")
 
 
@@ -610,7 +607,8 @@ def text_sink(spark, d):
         seen.keyed(pages(spark, d).withColumn("page_lang", page_lang()), "url", "page_lang"),
         "html", "article", "p", "paragraphs")
     rows = rows.withColumn("text", page_ops.joined_text(F.col("paragraphs"), fixtures.PARAGRAPH_MARKERS))
-    stores.write_texts(rows, path)
+    stores.write_texts(rows, path, "page_id")
+    stores.write_texts(rows, path, "page_id")
     return spark.read.parquet(path).groupBy("lang", "feed_host").agg(
         F.count("*").alias("entries"), F.sum(F.length("text")).cast("long").alias("chars"))
 
@@ -666,7 +664,8 @@ def stream_dedup(spark, d):
 def stream_daily(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     out = fresh_path(spark, "days")
-    jobs.daily_counts(jobs.landed(spark, *_land(rows, 3)), "ts", out, fresh_path(spark, "ck"),
+    # The files hold the month in no order, so no day may leave the state before the end.
+    jobs.daily_counts(jobs.landed(spark, *_land(rows, 3)), "ts", out, fresh_path(spark, "ck"), late="60 days",
                       once=True).awaitTermination()
     return spark.read.parquet(out).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "total")
 

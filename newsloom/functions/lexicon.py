@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
+from .stop_lists import BASE
 
 # Languages told apart by default, in the order that settles equal scores.
 LANGUAGES = ("english", "french", "german", "spanish")
@@ -15,36 +15,50 @@ PUNCTUATION = (
     ". , : ; ? ! \" ' $ % ( ) « » ’ ` `` '' - _ &".split()
 )
 MEASURES = "mm cm km m".split()
-FRENCH_EXTRA = (
-    # filler
-    "les a tout toute toutes tous plus moins très encore autre comme autres mais ou où et "
-    "donc or ni car si aussi alors vers entre souvent autour chaque chacun chacune quelques "
-    "quelqu lorsque enfin déjà grâce dès ce cette ci ça cela ces dont chez cet ceux aucun "
-    "aucune autant d’ n’ l’ qu’ s’ leur leurs sans avec sous sur bon bien rien depuis ainsi "
-    "selon contre début fin dernier avant après fois dernière derniers dernières peu beaucoup "
-    "grand grands grande grandes petit petite petits petites un deux trois premier première hui "
-    # weak verbs
-    "être etre est sont fut êtes faut falloir font fait faire faites avoir à avez devoir doit "
-    "doivent devrait devraient devez permet permettre voir vu voyez savoir sait su savez "
-    "pouvoir peut peuvent pouvez aller va vont allez "
-    # pronouns
-    "je tu il elle on nous vous ils elles "
-    # months and time units
-    "janvier février fevrier mars avril mai juin juillet aout septembre octobre novembre "
-    "décembre decembre jour jours minutes minute seconde secondes mois année années an ans "
-    "nuit temps"
-).split()
-ENGLISH_EXTRA = (
-    "be have i you he she it we their they them its january february march april may june "
-    "july august september october november december day days minutes minute second seconds "
-    "months month year years night nights time"
-).split()
+# Written from grammar: pronoun tables, present forms of weak verbs, the calendar, quantities.
+FRENCH_PRONOUNS = [
+    "je", "tu", "il", "elle", "on", "nous", "vous", "ils", "elles", "me", "te", "se", "moi", "toi", "soi", "lui", "eux",
+    "mien", "tien", "sien", "nôtre", "vôtre", "celui", "celle", "ceux", "celles", "ceci", "cela", "ça", "qui", "que", "quoi", "dont",
+]
+FRENCH_WEAK_VERBS = [
+    "être", "suis", "es", "est", "sommes", "êtes", "sont", "avoir", "ai", "as", "a", "avons", "avez", "ont",
+    "faire", "fais", "fait", "faisons", "font", "aller", "vais", "vas", "va", "allons", "allez", "vont",
+    "pouvoir", "peux", "peut", "pouvons", "pouvez", "peuvent", "devoir", "dois", "doit", "devons", "devez", "doivent",
+    "vouloir", "veux", "veut", "voulons", "voulez", "veulent", "savoir", "sais", "sait", "savons", "savez", "savent",
+]
+FRENCH_CALENDAR = [
+    "lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche", "janvier", "février", "mars", "avril", "mai",
+    "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre", "seconde", "secondes", "minute", "minutes",
+    "heure", "heures", "jour", "jours", "semaine", "semaines", "mois", "an", "ans", "année", "années", "siècle", "siècles",
+]
+FRENCH_QUANTITIES = [
+    "aucun", "aucune", "chaque", "plusieurs", "quelques", "tout", "toute", "tous", "toutes", "peu", "beaucoup", "trop",
+    "assez", "plus", "moins", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf", "dix",
+]
+FRENCH_LINKS = [
+    "à", "après", "avant", "avec", "chez", "contre", "dans", "depuis", "derrière", "devant", "durant", "entre", "hors",
+    "malgré", "par", "pendant", "pour", "sans", "sauf", "selon", "sous", "sur", "vers", "et", "ou", "mais", "donc", "or", "ni", "car",
+]
+FRENCH_EXTRA = FRENCH_PRONOUNS + FRENCH_WEAK_VERBS + FRENCH_CALENDAR + FRENCH_QUANTITIES + FRENCH_LINKS
+ENGLISH_PRONOUNS = [
+    "i", "me", "my", "mine", "you", "your", "yours", "he", "him", "his", "she", "her", "hers", "it", "its",
+    "we", "us", "our", "ours", "they", "them", "their", "theirs",
+]
+ENGLISH_WEAK_VERBS = [
+    "be", "am", "is", "are", "was", "were", "been", "being", "have", "has", "had", "having", "do", "does", "did", "done",
+    "can", "could", "may", "might", "must", "shall", "should", "will", "would",
+]
+ENGLISH_CALENDAR = [
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april",
+    "may", "june", "july", "august", "september", "october", "november", "december", "second", "seconds", "minute", "minutes",
+    "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "century", "centuries",
+]
+ENGLISH_EXTRA = ENGLISH_PRONOUNS + ENGLISH_WEAK_VERBS + ENGLISH_CALENDAR
 
 
-@lru_cache(maxsize=None)
 def base_words(language: str) -> tuple[str, ...]:
-    """Public stop list shipped with Spark (needs a running session)."""
-    return tuple(dict.fromkeys(w.lower() for w in StopWordsRemover.loadDefaultStopWords(language)))
+    """The public stop list of a language; needs neither a session nor a file."""
+    return tuple(BASE[language])
 
 
 @lru_cache(maxsize=None)

@@ -194,7 +194,7 @@ def entry_content(image: Column, raw: Column, body: Column, tags: Column,
                    ).otherwise(F.lit("[]"))
     return F.concat(
         head, main, F.lit("<p>Tags :"), shown, F.lit("</p><p>Similarity of "),
-        F.format_string("%.2f", F.coalesce(similarity, F.lit(0.0))),
+        F.coalesce(F.round(similarity, 2), F.lit(0.0)).cast("string"),
         F.lit(" with "), F.coalesce(similarity_with, none), F.lit("</p>"))
 
 

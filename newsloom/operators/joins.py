@@ -107,3 +107,14 @@ def positions(df: DataFrame, order: str, out: str = "pos", rows: int | None = No
     n = df.count() if rows is None else rows
     ranked = running(df, None, order, F.lit(1).cast("long"), "sum", out, n, block_rows)
     return ranked.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))
+
+
+def arrival(df: DataFrame, late: str, order: str) -> DataFrame:
+    """Add ``place``: rows with a smaller ``late`` (0 or 1) first, then along ``order``.
+
+    The rows before any late row are counted once; no global sort is needed.
+    """
+    early = positions(df.where(F.col(late) == 0), order, "place")
+    n = df.where(F.col(late) == 0).count()
+    fresh = positions(df.where(F.col(late) == 1), order, "place").withColumn("place", F.col("place") + n)
+    return early.unionByName(fresh)

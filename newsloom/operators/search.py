@@ -22,8 +22,11 @@ def field_by_id(index: DataFrame, id_: str, value, field: str) -> DataFrame:
 
 
 def update_fields(index: DataFrame, updates: DataFrame, id_: str, fields: list[str]) -> DataFrame:
-    """Rows with new values where ``updates`` has them (null keeps the old)."""
-    new = updates.select(id_, *[F.col(f).alias(f"_new_{f}") for f in fields])
+    """Rows with new values where ``updates`` has them (null keeps the old).
+
+    Of several updates of one id each field takes its largest value.
+    """
+    new = updates.groupBy(id_).agg(*[F.max(f).alias(f"_new_{f}") for f in fields])
     joined = index.join(small_side(new), id_, "left")
     out = [F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in index.columns]
     return joined.select(*out)

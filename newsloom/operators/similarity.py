@@ -88,7 +88,6 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
         "reach": F.sum("gain").over(so_far),
         "mass": F.sum(F.col("w") * F.col("w")).over(so_far),
         "place": F.row_number().over(hot_first),
-        "vec": F.collect_list(F.struct("df", "term", "w")).over(whole),
     })
     hottest = (x.where((F.col("place") == 1) & F.col("peak").isNotNull())
                .select("id", (-F.col("peak.neg")).alias("match_id"), F.col("gain").alias("score")))
@@ -96,20 +95,28 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
     # Posting lists hold one row per text and word; queries only their colder words.
     later = F.col("reach") - F.col("gain")
     later_mass = F.greatest(F.col("mass") - F.col("w") * F.col("w"), F.lit(0.0))
-    post = x.select("term", F.col("id").alias("j"), F.col("w").alias("wj"), "df",
-                    F.sqrt(later_mass).alias("mj"), F.col("vec").alias("vj"))
     ask = (x.where((F.col("place") > 1) & F.col("peak").isNotNull()
                    & (F.col("reach") >= F.col("floor") - _EPS))
            .select("term", F.col("id").alias("i"), F.col("w").alias("wi"), "floor",
-                   later.alias("ri"), F.sqrt(later_mass).alias("mi"), F.col("vec").alias("vi"), "df"))
-    salts = F.ceil(F.col("df") / F.lit(salt_rows)).cast("int")
-    ask = ask.withColumn("salt", F.pmod(F.xxhash64("i"), salts).cast("int")).drop("df")
-    post = post.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("df")
+                   later.alias("ri"), F.sqrt(later_mass).alias("mi")))
+    # Postings that no asking text can use are left out before anything is paired.
+    wanted = ask.groupBy("term").agg(
+        F.min((F.col("floor") - F.col("ri") - 2 * _EPS) / F.col("wi")).alias("least"), F.min("i").alias("first"),
+        F.max("i").alias("last"), F.ceil(F.count("*") / F.lit(salt_rows)).cast("int").alias("salts"))
+    post = (x.select("term", F.col("id").alias("j"), F.col("w").alias("wj"), F.sqrt(later_mass).alias("mj"))
+            .join(wanted, "term").where((F.col("wj") >= F.col("least")) & (F.col("j") < F.col("last"))))
+    ask = ask.join(wanted.select("term", "salts"), "term").withColumn(
+        "salt", F.pmod(F.xxhash64("i"), F.col("salts")).cast("int")).drop("salts")
+    post = post.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
+        "term", "salt", "j", "wj", "mj")
     reachable = (F.col("wi") * F.col("wj") + F.least("ri", F.col("mi") * F.col("mj"))
                  >= F.col("floor") - _EPS)
+    # Narrow rows are paired; each pair gets its two vectors once.
     pairs = ask.join(post, ["term", "salt"]).where((F.col("j") < F.col("i")) & reachable)
-    scored = pairs.select(F.col("i").alias("id"), F.col("j").alias("match_id"),
-                          _dot(F.col("vi"), F.col("vj")).alias("score"))
+    pairs = settle(pairs.select("i", "j").distinct())
+    side = lambda n: vec.select(F.col("id").alias(n), F.col("vec").alias(f"v{n}"))
+    scored = pairs.join(side("i"), "i").join(side("j"), "j").select(
+        F.col("i").alias("id"), F.col("j").alias("match_id"), _dot(F.col("vi"), F.col("vj")).alias("score"))
     best = (scored.unionByName(hottest).where("score > 0")
             .groupBy("id")
             .agg(F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("match_id")).alias("neg"),
@@ -182,24 +189,28 @@ def _recent_scores(window: int):
         import numpy as np
         import pandas as pd
 
-        pos, row_of = np.unique(pdf["pos"].to_numpy(), return_inverse=True)
-        _, col_of = np.unique(pdf["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
-        ids = np.zeros(len(pos), dtype=np.int64)
-        ids[row_of] = pdf["id"].to_numpy()
-        tf = np.zeros((len(pos), col_of.max() + 1))
-        tf[row_of, col_of] = pdf["tf"].to_numpy()
-        base = np.full(tf.shape[1], np.iinfo(np.int64).max)
-        np.minimum.at(base, col_of, pdf["before"].to_numpy())
-        df = base + np.cumsum(tf > 0, axis=0)
-        out = []
-        for i in np.flatnonzero(pos // window == key[0]):
+        pos, row = np.unique(pdf["pos"].to_numpy(), return_inverse=True)
+        _, col = np.unique(pdf["term"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        order = np.lexsort((col, row))
+        row, col, tf = row[order], col[order], pdf["tf"].to_numpy(float)[order]
+        at = np.searchsorted(row, np.arange(len(pos) + 1))
+        ids = pdf["id"].to_numpy()[order][at[:-1]]
+        df = np.full(col.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(df, col, pdf["before"].to_numpy()[order])
+        query, out = np.zeros(len(df)), []
+        for i in range(len(pos)):
+            own = slice(at[i], at[i + 1])
+            df[col[own]] += 1
             first = np.searchsorted(pos, pos[i] - window)
-            if first == i:
+            if pos[i] // window != key[0] or first == i:
                 continue
-            idf = np.log((2.0 + pos[i]) / (1.0 + df[i])) + 1.0
-            mine, theirs = tf[i] * idf, tf[first:i] * idf
-            dots = theirs @ mine
-            cos = dots / (np.linalg.norm(theirs, axis=1) * np.linalg.norm(mine))
+            held = slice(at[first], at[i])
+            weight = lambda e: tf[e] * (np.log((2.0 + pos[i]) / (1.0 + df[col[e]])) + 1.0)
+            mine, theirs, where = weight(own), weight(held), row[held] - first
+            query[col[own]] = mine
+            dots = np.bincount(where, theirs * query[col[held]], i - first)
+            query[col[own]] = 0.0
+            cos = dots / np.sqrt(np.bincount(where, theirs * theirs, i - first) * (mine @ mine))
             best = int(np.argmax(np.round(cos, 9)))
             if dots[best] > 0:
                 out.append((ids[i], ids[first + best], cos[best]))

@@ -76,8 +76,10 @@ def term_counts(df: DataFrame, id_: str, body: str) -> DataFrame:
     low = with_language(low, "_t", "language")
     rows = low.select(id_, "language", F.explode(text.tokens(F.col("_t"))).alias("token"))
     rows = rows.where(text.is_content("token", "language"))
+    # A word is stemmed once per text, however often it occurs there.
+    rows = rows.groupBy(id_, "language", "token").agg(F.count("*").alias("n"))
     rows = stems.with_stem(rows, "token", "language", "term").where(text.is_free("term"))
-    return rows.groupBy(id_, "term").agg(F.count("*").alias("tf"))
+    return rows.groupBy(id_, "term").agg(F.sum("n").alias("tf"))
 
 
 def document_frequency(counts: DataFrame, copies: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only when it was counted and holds at most this many rows.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -44,12 +47,12 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a bounded count shows ``df`` is small, else leave
-    the join to be shuffled."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when a bounded look shows ``df`` is small in rows and bytes,
+    else leave the join to be shuffled."""
+    some = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("n"))
+    rows, size = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def ship(spark: SparkSession) -> None:

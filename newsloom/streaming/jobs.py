@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import digest, seen, similarity
+from ..operators import digest, joins, seen, similarity
 from ..options import RunOptions
+from ..session import settle
 
 POLL = "5 minutes"
 
 
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
+    # Keys that never expire do not fit the heap.
+    SparkSession.getActiveSession().conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
 
@@ -42,15 +47,16 @@ def first_entries(stream: DataFrame, url: str, lang: str, out: str, checkpoint:
 
 def daily_counts(stream: DataFrame, ts: str, out: str, checkpoint: str, late: str = "1 day",
                  once: bool = False) -> StreamingQuery:
-    """Rows per day; the table is replaced by each batch with all days so far."""
+    """Rows per day; each batch replaces the days it changed, older days leave the state."""
     counts = (stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"))
               .agg(F.count("*").alias("total"))
               .select(F.to_date("w.start").alias("day"), "total"))
 
     def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day").parquet(out))
 
-    return _start(counts.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, once)
+    return _start(counts.writeStream.outputMode("update").foreachBatch(replace), checkpoint, once)
 
 
 def recent_verdicts(stream: DataFrame, id_: str, title: str, out: str, retained: str, checkpoint: str,
@@ -67,10 +73,15 @@ def recent_verdicts(stream: DataFrame, id_: str, title: str, out: str, retained:
             history = spark.read.schema(new.schema).parquet(f"{retained}/{n - 1}")
         else:
             history = new.limit(0)
-        corpus = history.unionByName(new)
-        best = similarity.best_earlier(corpus, "id", "title")
-        graded = similarity.verdict(best, corpus, "id", "title", options.duplicate_at)
-        fresh = graded.join(new, "id")
+        # History counts as earlier whatever its ids: places in the order of (history, id).
+        both = history.withColumn("late", F.lit(0)).unionByName(new.withColumn("late", F.lit(1)))
+        corpus = settle(joins.arrival(both, "late", "id"))
+        best = similarity.best_earlier(corpus, "place", "title")
+        graded = similarity.verdict(best, corpus, "place", "title", options.duplicate_at)
+        names = corpus.select(F.col("place").alias("match_id"), F.col("id").alias("_match"))
+        graded = graded.join(names, "match_id", "left").drop("match_id").withColumnsRenamed(
+            {"id": "place", "_match": "match_id"})
+        fresh = corpus.where("late = 1").select("place", "id", "title").join(graded, "place").drop("place")
         fresh.write.mode("overwrite").parquet(f"{out}/batch={n}")
         done = spark.read.schema(fresh.schema).parquet(f"{out}/batch={n}")
         accepted = done.where(~F.col("is_duplicate")).select("id", "title")

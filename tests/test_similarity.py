@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import joins, similarity, vectors
 
-TITLES = ["red phone shows up", "a phone with a new red colour", "galaxy rivals phone",
-          "galaxy first maker of handsets", "red phone available", "téléphone rouge disponible",
-          "red phone shows up", "the biggest maker of handsets is galaxy", "12 34", "zebra"]
+TITLES = ["harbour bridge closes for repairs", "repairs close the old harbour bridge", "city orchestra plays at dawn",
+          "dawn concert by the orchestra of the city", "bridge painters wanted", "le vieux pont ferme pour travaux",
+          "harbour bridge closes for repairs", "travaux sur le pont du port", "56 78", "walrus"]
 
 
 def brute(counts, n):
