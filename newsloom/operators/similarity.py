@@ -7,7 +7,7 @@ given query texts.  None of them emits all pairs of a hot word.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle, small_side
@@ -16,13 +16,6 @@ from . import joins, vectors
 _EPS = 1e-9
 
 
-def _dot(a: Column, b: Column) -> Column:
-    """Dot product of two (df, term, w) arrays."""
-    weights = F.map_from_arrays(F.transform(b, lambda e: e["term"]), F.transform(b, lambda e: e["w"]))
-    return F.aggregate(
-        a, F.lit(0.0), lambda acc, e: acc + e["w"] * F.coalesce(weights[e["term"]], F.lit(0.0)))
-
-
 def _directions(counts: DataFrame) -> DataFrame:
     """One row per text with terms: ``key`` is equal for proportional counts."""
     rows = counts.groupBy("id").agg(
@@ -111,12 +104,14 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
         "term", "salt", "j", "wj", "mj")
     reachable = (F.col("wi") * F.col("wj") + F.least("ri", F.col("mi") * F.col("mj"))
                  >= F.col("floor") - _EPS)
-    # Narrow rows are paired; each pair gets its two vectors once.
+    # Narrow rows are paired; then each pair adds up the words that both hold.
     pairs = ask.join(post, ["term", "salt"]).where((F.col("j") < F.col("i")) & reachable)
     pairs = settle(pairs.select("i", "j").distinct())
-    side = lambda n: vec.select(F.col("id").alias(n), F.col("vec").alias(f"v{n}"))
-    scored = pairs.join(side("i"), "i").join(side("j"), "j").select(
-        F.col("i").alias("id"), F.col("j").alias("match_id"), _dot(F.col("vi"), F.col("vj")).alias("score"))
+    words = lambda n: vec.select(F.col("id").alias(n), F.explode("vec").alias("e")).select(
+        n, "e.term", F.col("e.w").alias(f"w{n}"))
+    scored = pairs.join(words("i"), "i").join(words("j"), ["j", "term"]).groupBy("i", "j").agg(
+        F.sum(F.col("wi") * F.col("wj")).alias("score")).select(
+        F.col("i").alias("id"), F.col("j").alias("match_id"), "score")
     best = (scored.unionByName(hottest).where("score > 0")
             .groupBy("id")
             .agg(F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("match_id")).alias("neg"),
