@@ -27,6 +27,49 @@ def page_rules():
             for s in ("example.com", "example.net") for lang, (u, w) in select.items()]
 
 
+def watched_rules():
+    """Rules of the watched run over pages, per (service, lang)."""
+    out = []
+    for k, service in enumerate(("example.com", "example.net", "example.org")):
+        for lang in ("de", "en", "es", "fr"):
+            out.append({
+                "service": service, "lang": lang, "tags": [f"site{k}", lang] if k < 2 else [],
+                "title_patterns": ["^[A-Z][a-z]+ "] if k == 0 else [],
+                "title_blocks": ["THION", "ellea"] if lang in ("en", "fr") else [],
+                "url_blocks": ["/1"] if k == 1 else [],
+                "content_blocks": [("div", "ad", "aulich"), ("div", "none", "aulich")] if k == 2 else [],
+                "element_blocks": [("div", "ad")] if (k, lang) == (1, "de") else [],
+                "url_selects": ["/fr/4", "/fr/8"] if (k, lang) == (0, "fr") else [],
+                "label_selects": ["the", "and", "for"] if (k, lang) == (0, "en") else [],
+            })
+    return out
+
+
+def watched_settings() -> str:
+    """The same as XML settings."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    def element(of, value="", /, **attrs):
+        return f"<{of}{''.join(f' {a}={quoteattr(v)}' for a, v in attrs.items())}>{escape(value)}</{of}>"
+
+    def service(r):
+        filters = ([element("filter", v, type="title") for v in r["title_blocks"]]
+                   + [element("filter", v, type="url") for v in r["url_blocks"]]
+                   + [element("filter", v, type="class", name=c, section=t) for t, c, v in r["content_blocks"]]
+                   + [element("filter", c, type=t) for t, c in r["element_blocks"]])
+        selects = ([element("select", v, type="url") for v in r["url_selects"]]
+                   + [element("select", v, type="nav", section="a") for v in r["label_selects"]])
+        return "".join([
+            f"<service name={quoteattr(r['service'])} lang={quoteattr(r['lang'])}>",
+            element("text", type="article", section="p"), element("image", type="nav", section="img", attribute="src"),
+            element("image_alt", type="nav", section="a", attribute="href"),
+            "<selection>", *selects, "</selection><sanitize>",
+            *[element("remove", v, type="title") for v in r["title_patterns"]], "</sanitize><filters>",
+            *filters, "</filters><hashtags>", *[element("tag", v) for v in r["tags"]], "</hashtags></service>"])
+
+    return "<data>" + "\n".join(service(r) for r in watched_rules()) + "</data>"
+
+
 DOCUMENT_RULE_TYPE = ("service string, lang string, mention string, tags array<string>, "
                       "title_patterns array<string>, title_blocks array<string>, url_blocks array<string>")
 PAGE_RULE_TYPE = "service string, lang string, url_selects array<string>, label_selects array<string>"

@@ -235,6 +235,44 @@ def page_rules() -> str:
     return "prules(service, lang, url_selects, label_selects) AS (" + _values(rows) + ")"
 
 
+def watched_rules() -> str:
+    rows = [(q(r["service"]), q(r["lang"]), *[words_list(r[c]) for c in (
+        "tags", "title_patterns", "title_blocks", "url_blocks", "url_selects", "label_selects")],
+        words_list([t for _, _, t in r["content_blocks"][:1]]), str(bool(r["element_blocks"])))
+        for r in fixtures.watched_rules()]
+    return ("rules(service, lang, rule_tags, title_patterns, title_blocks, url_blocks, url_selects, "
+            "label_selects, ad_words, no_ads) AS (" + _values(rows) + ")")
+
+
+def watched() -> str:
+    """The run over pages: first unseen entries of watched sources, judged and read."""
+    title = strip_tags("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")
+    picture = HREF
+    return ",\n".join([
+        KEYED, watched_rules(), PARAGRAPHS, LINKS, lists(),
+        """fresh AS (SELECT * FROM keyed ANTI JOIN seen USING (lang, feed_host, entry_key)
+  QUALIFY row_number() OVER (PARTITION BY lang, feed_host, entry_key ORDER BY page_id) = 1)""",
+        f"""entries AS (SELECT f.page_id AS id, f.link, f.url, f.lang, regexp_extract({HOST.replace('url', 'f.url')},
+    '([^.]+[.][^.]+)$', 1) AS service, {title} AS title, {PAGE_TEXT} AS text, {PAGE_RAW} AS raw, l.links,
+    {picture} AS href, {HAS_AD} AS has_ad, lower({strip_tags(AD)}) AS ad
+  FROM fresh f JOIN pages p ON p.page_id = f.page_id JOIN paras ON paras.page_id = f.page_id
+  JOIN links l ON l.page_id = f.page_id)""".replace(VISIBLE, VISIBLE.replace("html", "p.html")).replace(
+            "regexp_extract(html,", "regexp_extract(p.html,"),
+        f"""articles AS MATERIALIZED (SELECT a.* REPLACE ({CLEAN_TITLE} AS title), r.* EXCLUDE (service, lang)
+  FROM entries a JOIN rules r ON r.service = a.service AND r.lang = a.lang)""",
+        terms("articles", "title"), VECTORS, BEST,
+        f"""judged AS MATERIALIZED (SELECT a.*, v.match_id, v.similarity, list_filter([
+    CASE WHEN len(url_selects) + len(label_selects) > 0
+      AND NOT len(list_filter(url_selects, lambda u: contains(a.url, u))) > 0
+      AND NOT list_has_any(links, label_selects) THEN 'selection' END,
+    CASE WHEN has_ad AND len(list_filter(ad_words, lambda w: contains(ad, w))) > 0 THEN 'content' END,
+    CASE WHEN has_ad AND no_ads THEN 'element' END,
+    CASE WHEN {BLOCKED.format(t='a.title')} THEN 'title' END, CASE WHEN {URL_BLOCKED} THEN 'url' END,
+    CASE WHEN is_duplicate THEN 'duplicate' END], lambda x: x IS NOT NULL) AS reasons
+  FROM articles a JOIN verdict v USING (id))""",
+        "good AS (SELECT id, text FROM judged WHERE len(reasons) = 0)", tags_of("good")])
+
+
 KEYED = (f"keyed AS (SELECT page_id, url, {PAGE_LANG} AS lang, {HOST} AS feed_host, "
          f"{key_of(CANONICAL)} AS entry_key, {CANONICAL} AS link FROM pages),\n"
          "seen AS (SELECT DISTINCT lang, feed_host, entry_key FROM keyed WHERE url LIKE 'http://%')")
@@ -498,13 +536,28 @@ QUALIFY row_number() OVER (PARTITION BY service ORDER BY id DESC) <= 7"""
   generate_subscripts(tags, 1) AS pos FROM toptags),
 c AS (SELECT day, tag, count(*) AS uses, min((id, pos)) AS f FROM u GROUP BY ALL)
 SELECT day, row_number() OVER (PARTITION BY day ORDER BY uses DESC, f) AS rank, tag, uses FROM c QUALIFY rank <= 10"""
-    sql["daily_stats"] = with_(judged(), tags_of("articles")) + f"""SELECT {DAY.replace('id', 'j.id')} AS day,
-  count(*) AS total, count(*) FILTER (ok) AS twitted, count(*) FILTER (NOT ok) AS filtered,
+    counters = f"""count(*) AS total, count(*) FILTER (ok) AS twitted, count(*) FILTER (NOT ok) AS filtered,
   count(*) FILTER (is_duplicate) AS duplicates,
-  coalesce(sum(len(regexp_extract_all(j.text, {CHUNK}, 1))) FILTER (ok), 0)::BIGINT AS nbwords,
-  coalesce(sum(len(coalesce(rule_tags, [])) + len(coalesce(t.tags, []))) FILTER (ok), 0)::BIGINT AS nbtags
-FROM (SELECT *, NOT (by_title OR by_url OR is_duplicate) AS ok FROM judged) j
-LEFT JOIN toptags t ON t.id = j.id GROUP BY 1"""
+  coalesce(sum(len(regexp_extract_all(text, {CHUNK}, 1))) FILTER (ok), 0)::BIGINT AS nbwords,
+  coalesce(sum(len(all_tags)) FILTER (ok), 0)::BIGINT AS nbtags"""
+    figures = with_(judged(), tags_of("articles"), f"""told AS (SELECT j.*, {DAY.replace('id', 'j.id')} AS day,
+  NOT (by_title OR by_url OR is_duplicate) AS ok, list_concat(coalesce(rule_tags, []), coalesce(t.tags, [])) AS all_tags
+  FROM judged j LEFT JOIN toptags t ON t.id = j.id)""", """uses AS (SELECT day, tag, count(*) AS n, min((id, pos)) AS f FROM (
+  SELECT id, day, unnest(all_tags) AS tag, generate_subscripts(all_tags, 1) AS pos FROM told WHERE ok) GROUP BY ALL),
+tops AS (SELECT day, string_agg(tag, ' ' ORDER BY r) AS top_trend FROM (
+  SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, f) AS r FROM uses) WHERE r <= 10 GROUP BY day)""",
+                    f"stats AS (SELECT day, {counters} FROM told GROUP BY day)")
+    sql["daily_stats"] = figures + "SELECT stats.*, top_trend FROM stats LEFT JOIN tops USING (day)"
+    sql["stats_merge"] = figures + "SELECT * FROM stats"
+    sql["daily_store_scan"] = figures + """SELECT stats.*, coalesce(top_trend, '') AS top_trend, id, service, title, lang,
+  array_to_string(all_tags, ' ') AS tags FROM told JOIN stats USING (day) LEFT JOIN tops USING (day) WHERE ok"""
+    sql["watcher_run"] = with_(watched()) + f"""SELECT j.id, link, title, array_to_string(reasons, ',') AS reasons,
+  len(reasons) = 0 AS accepted, coalesce(match_id, -1) AS match_id, similarity, j.text, raw,
+  CASE WHEN href LIKE '//%' THEN 'https:' || href
+    WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href WHEN href <> '' THEN href END AS image,
+  CASE WHEN len(reasons) = 0 THEN array_to_string(list_concat(rule_tags, coalesce(t.tags, [])), ' ') END AS tags,
+  CASE WHEN len(reasons) = 0 THEN len(regexp_extract_all(j.text, {CHUNK}, 1)) END AS nbwords
+FROM judged j LEFT JOIN toptags t ON t.id = j.id"""
     sql["feed_export"] = with_(judged(), """newest AS (SELECT * FROM judged
   WHERE NOT (by_title OR by_url OR is_duplicate) ORDER BY id DESC LIMIT 100)""", tags_of("newest")) + \
         """SELECT n.id::VARCHAR AS id, title, service AS author, strftime(published, '%Y-%m-%d %H:%M:%S') AS published,

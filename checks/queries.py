@@ -212,7 +212,7 @@ def page_parse(spark, d):
         "text_rule": _locator("article", "p"), "image_rule": _locator("nav", "img", None, "src"),
         "image_alt_rule": _locator("nav", "a", None, "href"), "tag_rule": _locator("nav", "a"),
         "content_rule": _locator("div", "div", "ad")})
-    parsed = page_ops.parse_pages(ruled, "page_id", "html")
+    parsed = page_ops.located(ruled, "html")
     marks = fixtures.PARAGRAPH_MARKERS
     return parsed.select(
         "page_id", page_ops.joined_text(F.col("paragraphs"), marks).alias("text"),
@@ -462,10 +462,55 @@ def tag_trend(spark, d):
     return digest.tag_trend(rows, "day", "id")
 
 
+def _counted(spark, d):
+    rows = watcher.counted(articles(spark, d), document_rules(spark), OPTIONS)
+    return rows.withColumn("day", F.date_format("published", "yyyy-MM-dd"))
+
+
 @query
 def daily_stats(spark, d):
-    stats = watcher.daily(articles(spark, d), document_rules(spark), OPTIONS)
-    return stats.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return watcher.daily(_counted(spark, d), "day").withColumn("top_trend", F.array_join("top_trend", " "))
+
+
+@query
+def stats_merge(spark, d):
+    """Counters of two runs a day added up."""
+    rows = _counted(spark, d)
+    morning = F.hour("published") < 12
+    return digest.merge_stats(digest.daily_stats(rows.where(morning), "day"),
+                              digest.daily_stats(rows.where(~morning), "day"), "day")
+
+
+@query
+def daily_store_scan(spark, d):
+    """Stores of all days, with their counters, written and read back."""
+    path = fresh_path(spark, "days")
+    rows = _counted(spark, d).withColumn("store", F.date_format("published", "yyyyMMdd"))
+    kept = rows.where("accepted").select("store", "id", "service", "title", "lang", F.col("all_tags").alias("tags"))
+    stores.write_daily_store(kept, watcher.daily(rows, "store"), path)
+    stored, counters = feeds.read_daily_store(spark, f"{path}/*")
+    back = stored.select(F.col("id").cast("long").alias("id"), "service", "title", "lang",
+                         F.array_join("tags", " ").alias("tags"),
+                         F.date_format(F.expr("date_add(date '2024-01-01', cast(cast(id as long) div 48 as int))"),
+                                       "yyyy-MM-dd").alias("day"))
+    counters = counters.withColumns({"day": F.date_format("day", "yyyy-MM-dd"),
+                                     "top_trend": F.array_join("top_trend", " ")})
+    return back.join(counters, "day")
+
+
+@query
+def watcher_run(spark, d):
+    """Pages as fetched entries, the rules read from XML settings."""
+    path = fresh_path(spark, "settings")
+    spark.createDataFrame([(fixtures.watched_settings(),)], "value string").write.text(path)
+    table = feeds.flatten_rules(feeds.read_rules(spark, path))
+    title = markup.plain_text(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))
+    entries = pages(spark, d).select(F.col("page_id").alias("id"), page_service().alias("service"),
+                                     page_lang().alias("lang"), "url", title.alias("title"), "html")
+    done = watcher.run(entries, seen_pages(spark, d), table, OPTIONS)
+    return done.select("id", "link", "title", F.array_join("reasons", ",").alias("reasons"), "accepted",
+                       _or_none("match_id"), "similarity", "text", "raw", "image",
+                       F.array_join("all_tags", " ").alias("tags"), F.col("nbwords").cast("long").alias("nbwords"))
 
 
 @query

@@ -1,7 +1,7 @@
-"""Native page extraction for plain ``container / section`` rules.
+"""Native page extraction for ``container / section`` rules.
 
-Good for rules whose sections do not nest (paragraphs, links).  Rules that need
-classes or nesting go through ``operators.pages.parse_pages``.
+Tags, classes, sections and attributes are plain texts or columns, so every row
+may follow a rule of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ INLINE = ("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"))
 
+# Elements without content.
+VOID = r"(?i)^<(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b"
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
@@ -26,35 +28,92 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(html, HIDDEN, "")
 
 
-def container(html: Column, tag: str, class_: str | None = None) -> Column:
-    """Inner markup of the first such element, null when there is none.
+def _column(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
 
-    A class matches as one token of the attribute, or as the whole attribute.
+
+def _pattern(*parts) -> Column:
+    """A pattern put together from texts and columns."""
+    if any(isinstance(p, Column) for p in parts):
+        return F.concat(*[_column(p) for p in parts])
+    return F.lit("".join(parts))
+
+
+def container(html: Column, tag, class_=None) -> Column:
+    """Inner markup of the first such element up to its own end tag.
+
+    A class matches as one token of the attribute, or as the whole attribute; a
+    null class asks for none.  Elements of the same name may nest.  Null when there
+    is no such element or it is never closed.
     """
+    bare = _pattern("(?is)<", tag, r"\b[^>]*>.*")
     if class_ is None:
-        opened = rf"<{tag}\b[^>]*>"
+        opened = bare
     else:
-        opened = rf'<{tag}\b[^>]*\bclass="(?:{class_}|[^"]* {class_}|{class_} [^"]*|[^"]* {class_} [^"]*)"[^>]*>'
-    pattern = rf"(?is){opened}(.*?)</{tag}>"
-    return F.when(F.regexp_like(html, F.lit(pattern)), F.regexp_extract(html, pattern, 1))
+        name = F.concat(F.lit("\\Q"), _column(class_), F.lit("\\E"))
+        classed = F.concat(
+            F.lit("(?is)<"), _column(tag), F.lit(r"""\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?"""), name,
+            F.lit(r"""(?:\s[^"']*)?["'][^>]*>.*"""))
+        opened = F.when(F.coalesce(_column(class_), F.lit("")) == "", bare).otherwise(classed)
+    pieces = F.split(F.regexp_substr(html, opened), _pattern(r"(?i)(?=</?", tag, r"[\s/>])"))
+    # The pieces are named once for the two uses below.
+    return F.transform(F.array(pieces), lambda ps: _balanced(ps, tag))[0]
+
+
+def _balanced(pieces: Column, tag) -> Column:
+    """Pieces up to the end tag that closes the first one, without its start tag."""
+    opens, closes = _pattern(r"(?i)^<", tag, r"[\s/>]"), _pattern(r"(?i)^</", tag, r"[\s/>]")
+
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(F.regexp_like(piece, closes), -1).when(F.regexp_like(piece, opens), 1).otherwise(0)
+        done = (s["n"] > 0) & (s["depth"] == 0)
+        return F.when(done, s).otherwise(F.struct(
+            depth.alias("depth"), (s["n"] + F.when(depth == 0, 0).otherwise(1)).alias("n")))
+
+    found = F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")), step)
+    inner = F.transform(F.array(found), lambda f: F.when(
+        f["depth"] == 0, F.array_join(F.slice(pieces, 1, f["n"]), "")))[0]
+    return F.regexp_replace(inner, "^<[^>]*>", "")
 
 
-def section_pattern(section: str) -> str:
+def section_pattern(section) -> Column:
     """A section runs until its end tag or the next block tag."""
-    inline = "|".join(t for t in INLINE if t != section)
-    return rf"(?is)<{section}\b[^>]*>([^<]*(?:</?(?:{inline})\b[^>]*>[^<]*)*)"
+    inline = "|".join(t for t in INLINE if isinstance(section, Column) or t != section)
+    # A section named by a column may be an inline element itself, which then ends it.
+    other = F.concat(F.lit("(?!"), section, F.lit(r"\b)")) if isinstance(section, Column) else ""
+    return _pattern("(?is)<", section, r"\b[^>]*>([^<]*(?:</?", other, f"(?:{inline})", r"\b[^>]*>[^<]*)*)")
 
 
-def sections(inner: Column, section: str) -> Column:
+def section_markup(inner: Column, section) -> Column:
+    return F.regexp_extract_all(inner, section_pattern(section), F.lit(1))
+
+
+def sections(inner: Column, section) -> Column:
     """Texts of all sections, tags removed and references decoded."""
-    found = F.regexp_extract_all(inner, F.lit(section_pattern(section)), F.lit(1))
-    return F.transform(found, plain_text)
+    return F.transform(section_markup(inner, section), plain_text)
+
+
+def own_texts(inner: Column, section) -> Column:
+    """Texts that stand directly in a section, not in an element inside it."""
+    return F.flatten(F.transform(section_markup(inner, section), _direct))
+
+
+def _direct(markup: Column) -> Column:
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).when(
+            F.startswith(piece, F.lit("<")) & ~F.regexp_like(piece, F.lit(VOID)), 1).otherwise(0)
+        text = plain_text(piece)
+        return F.struct(depth.alias("depth"), F.when(
+            (depth == 0) & (text != ""), F.array_append(s["texts"], text)).otherwise(s["texts"]).alias("texts"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("texts"))
+    return F.aggregate(F.split(markup, "(?=<)"), start, step, lambda s: s["texts"])
 
 
-def attributes(inner: Column, section: str, attribute: str) -> Column:
+def attributes(inner: Column, section, attribute) -> Column:
     """Values of the attribute over all sections."""
-    pattern = rf'(?is)<{section}\b[^>]*\b{attribute}="([^"]*)"'
-    return F.transform(F.regexp_extract_all(inner, F.lit(pattern), F.lit(1)), decode)
+    pattern = _pattern("(?is)<", section, r"\b[^>]*\b", attribute, r"""\s*=\s*["']([^"']*)["']""")
+    return F.transform(F.regexp_extract_all(inner, pattern, F.lit(1)), decode)
 
 
 def plain_text(markup: Column) -> Column:

@@ -1,15 +1,11 @@
 """Page extraction: texts, formatted texts, attributes, tags, content checks.
 
-Two builders give the same columns.  ``native_sections`` stays in the JVM and
-serves plain rules.  ``parse_pages`` serves any rule: each page is parsed once,
-where it is, and all rules of its source are read off that one parse.
+Everything stays in the JVM.  ``native_sections`` serves one rule for all pages;
+``located`` lets every page follow the locators of its own source.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,90 +52,6 @@ def first_of(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
-# --- any rule: one standard parse per page ------------------------------------
-
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_CLOSES_P = frozenset(
-    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main "
-    "nav ol p pre section table ul".split())
-
-
-class _Elements(HTMLParser):
-    """Flat list of elements in document order: [tag, attrs, texts, own texts, parent, has child]."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.all, self.open = [], []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _CLOSES_P and any(self.all[i][0] == "p" for i in self.open):
-            self.handle_endtag("p")
-        if tag == "li" and self.open and self.all[self.open[-1]][0] == "li":
-            self.open.pop()
-        parent = self.open[-1] if self.open else -1
-        self.all.append([tag, dict(attrs), [], [], parent])
-        if tag not in _VOID:
-            self.open.append(len(self.all) - 1)
-
-    def handle_startendtag(self, tag, attrs):
-        self.all.append([tag, dict(attrs), [], [], self.open[-1] if self.open else -1])
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.all[self.open[depth]][0] == tag:
-                del self.open[depth:]
-                return
-
-    def handle_data(self, data):
-        if self.open and self.all[self.open[-1]][0] in ("script", "style"):
-            return
-        for i in self.open:
-            self.all[i][2].append(data)
-        if self.open:
-            self.all[self.open[-1]][3].append(data)
-
-    def first(self, tag, class_, under=None):
-        for i, e in enumerate(self.all):
-            if e[0] == tag and (under is None or self.inside(i, under)):
-                got = e[1].get("class") or ""
-                if not class_ or class_ == got or class_ in got.split():
-                    return i
-        return None
-
-    def inside(self, i, ancestor):
-        i = self.all[i][4]
-        while i > ancestor:
-            i = self.all[i][4]
-        return i == ancestor
-
-    def under(self, ancestor, tag):
-        return [i for i in range(ancestor + 1, len(self.all))
-                if self.all[i][0] == tag and self.inside(i, ancestor)]
-
-    def texts(self, ancestor, tag):
-        """Texts of the innermost sections, each once."""
-        found = self.under(ancestor, tag)
-        outer = {i for i in found if any(self.inside(j, i) for j in found if j > i)}
-        return ["".join(self.all[i][3 if i in outer else 2]) for i in found]
-
-
-def _read(doc: _Elements, rule, want: str):
-    """What one locator finds on a parsed page."""
-    if rule is None or not rule["type"] or (rule["name"] or "class") != "class":
-        return None
-    box = doc.first(rule["type"], rule["value"])
-    if box is None:
-        return None
-    if want == "texts":
-        return doc.texts(box, rule["section"])
-    if want == "own":
-        return [t for i in doc.under(box, rule["section"]) for t in doc.all[i][3]]
-    if want == "attribute":
-        found = doc.under(box, rule["section"])
-        return (doc.all[found[0]][1].get(rule["attribute"]) or "") if found else ""
-    return "".join(doc.all[box][2]).lower()
-
-
 # Column of the rule -> (output column, what to read).
 _READS = {
     "text_rule": ("paragraphs", "texts"), "image_rule": ("image", "attribute"),
@@ -148,32 +60,51 @@ _READS = {
 }
 
 
-def parse_pages(pages: DataFrame, id_: str, html: str) -> DataFrame:
-    """(id, paragraphs, image, image_alt, tag_texts, labels, content) per page.
+def _read(shown: Column, rule: Column, want: str) -> Column:
+    """What one locator finds in the visible markup."""
+    box = F.when(F.coalesce(rule["name"], F.lit("class")) == "class",
+                 markup.container(shown, rule["type"], F.coalesce(rule["value"], F.lit(""))))
+    if want == "texts":
+        return markup.sections(box, rule["section"])
+    if want == "own":
+        return markup.own_texts(box, rule["section"])
+    if want == "attribute":
+        values = markup.attributes(box, rule["section"], rule["attribute"])
+        return F.when(values.isNotNull(), F.coalesce(F.try_element_at(values, F.lit(1)), F.lit("")))
+    return F.lower(markup.plain_text(box))
 
-    ``pages`` carries any of the locator columns ``text_rule``, ``image_rule``,
-    ``image_alt_rule``, ``tag_rule``, ``label_rule`` and ``content_rule`` (type
-    ``LOCATOR``), joined on beforehand.  What a rule does not find is null.
+
+def located(pages: DataFrame, html: str) -> DataFrame:
+    """Add paragraphs, image, image_alt, tag_texts, labels and content, as far as ``pages`` carries
+    the locator columns ``text_rule``, ``image_rule``, ``image_alt_rule``, ``tag_rule``,
+    ``label_rule`` and ``content_rule`` (type ``LOCATOR``).
+
+    What a rule does not find is null; all rules of a row read the same visible markup.
     """
     rules = [c for c in _READS if c in pages.columns]
-    kind = pages.schema[id_].dataType.simpleString()
-    lists = ("texts", "own")
-    schema = ", ".join([f"{id_} {kind}"] + [
-        f"{_READS[r][0]} " + ("array<string>" if _READS[r][1] in lists else "string") for r in rules])
-
-    def parse(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                doc = _Elements()
-                doc.feed(row[html] or "")
-                doc.close()
-                rows.append([row[id_]] + [_read(doc, row[r], _READS[r][1]) for r in rules])
-            yield pd.DataFrame(rows, columns=[id_] + [_READS[r][0] for r in rules])
-
-    return pages.select(id_, html, *rules).mapInPandas(parse, schema)
+    shown = pages.withColumn("_shown", markup.visible(F.col(html)))
+    return shown.withColumns({
+        _READS[r][0]: _read(F.col("_shown"), F.col(r), _READS[r][1]) for r in rules}).drop("_shown")
+
+
+def content_rejected(html: Column, blocks: Column) -> Column:
+    """Some block (tag, class, text) names an element whose lower-cased text holds its text."""
+    return F.coalesce(F.exists(blocks, lambda b: F.coalesce(F.contains(
+        F.lower(markup.plain_text(markup.container(html, b["tag"], b["class"]))), F.lower(b["text"])),
+        F.lit(False))), F.lit(False))
+
+
+def element_rejected(html: Column, blocks: Column) -> Column:
+    """Some block (tag, class) names an element that the page has."""
+    return F.coalesce(F.exists(blocks, lambda b: markup.container(html, b["tag"], b["class"]).isNotNull()),
+                      F.lit(False))
+
+
+def selection_labels(html: Column, selects: Column) -> Column:
+    """Of the label rules (tag, class, section, text) the texts of those that admit the page."""
+    held = F.filter(selects, lambda s: F.array_contains(
+        markup.own_texts(markup.container(html, s["tag"], s["class"]), s["section"]), s["text"]))
+    return F.transform(held, lambda s: s["text"])
 
 
 def content_blocked(content: Column, words: Column) -> Column:

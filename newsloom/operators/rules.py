@@ -6,8 +6,6 @@ url_blocks).  Rules are configuration, so they are broadcast after a count.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +61,3 @@ def with_reasons(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     named = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in reasons.items()])
     df = df.withColumn("reasons", F.array_compact(named))
     return df.withColumn("accepted", F.size("reasons") == 0)
-
-
-def any_reason(*flags: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in flags])

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from newsloom.functions import markup
 from newsloom.operators import digest, pages, search, seen, summary
 from newsloom.operators.summary import lexrank
 from newsloom.sinks import stores
@@ -15,30 +16,38 @@ def locator(type_, value, section, attribute=None, name="class"):
     return (type_, name, value, section, attribute)
 
 
-def test_parse_pages(spark):
+def test_located(spark):
     rows = [(1, HTML, locator("div", "post", "p"), locator("div", "pic", "img", "src"),
              locator("ul", "labels", "li")),
             (2, HTML, locator("div", "main post big", "p"), locator("div", "nope", "img", "src"),
              locator("ul", "labels", "li", name="id"))]
     df = spark.createDataFrame(rows, f"id long, html string, text_rule {pages.LOCATOR}, "
                                      f"image_rule {pages.LOCATOR}, label_rule {pages.LOCATOR}")
-    got = {r.id: r for r in pages.parse_pages(df, "id", "html").collect()}
+    got = {r.id: r for r in pages.located(df, "html").collect()}
     assert [p.strip() for p in got[1].paragraphs] == ["One & two", "Read next: no", "deep"]
     assert got[1].image == "/i.png" and got[1].labels == ["Tech"]
     assert got[2].paragraphs == got[1].paragraphs and got[2].image is None and got[2].labels is None
-    text = pages.parse_pages(df, "id", "html").select(
+    text = pages.located(df, "html").select(
         pages.formatted_text(F.col("paragraphs"), ["Read next:"]).alias("t")).first().t
     assert text == "<p>One & two</p><p>deep</p>"
 
 
-def test_native_and_parser_agree(spark):
+def test_fixed_and_row_rules_agree(spark):
     html = "<article><h1>t</h1><p>a <b>b</b><p>c&quot;<br>d</p></article><nav><a href='x'>L</a></nav>"
     df = spark.createDataFrame([(1, html)], "id long, html string")
     native = pages.native_sections(df, "html", "article", "p", "ps").first().ps
     ruled = df.withColumn("text_rule", F.struct(
         F.lit("article").alias("type"), F.lit("class").alias("name"), F.lit(None).cast("string").alias("value"),
         F.lit("p").alias("section"), F.lit(None).cast("string").alias("attribute")))
-    assert pages.parse_pages(ruled, "id", "html").first().paragraphs == native == ["a b", 'c"d']
+    assert pages.located(ruled, "html").first().paragraphs == native == ["a b", 'c"d']
+
+
+def test_container_ends_at_its_own_end_tag(spark):
+    html = "<div class='a'>x<div>y</div><div class=\"b c\"><DIV>z</DIV> w</div>v</div>u<div class='d'>open"
+    df = spark.createDataFrame([(html,)], "html string")
+    read = lambda class_: df.select(markup.container(F.col("html"), "div", class_)).first()[0]
+    assert read(None) == read("a") == "x<div>y</div><div class=\"b c\"><DIV>z</DIV> w</div>v"
+    assert read("c") == "<DIV>z</DIV> w" and read("d") is None and read("e") is None
 
 
 def test_unseen_keeps_the_first_of_each_key(spark):
