@@ -35,9 +35,9 @@ def watched_rules():
             out.append({
                 "service": service, "lang": lang, "tags": [f"site{k}", lang] if k < 2 else [],
                 "title_patterns": ["^[A-Z][a-z]+ "] if k == 0 else [],
-                "title_blocks": ["THION", "ellea"] if lang in ("en", "fr") else [],
+                "title_blocks": ["THAN", "ellea"] if lang in ("en", "fr") else [],
                 "url_blocks": ["/1"] if k == 1 else [],
-                "content_blocks": [("div", "ad", "aulich"), ("div", "none", "aulich")] if k == 2 else [],
+                "content_blocks": [("div", "ad", "la "), ("div", "none", "la ")] if k == 2 else [],
                 "element_blocks": [("div", "ad")] if (k, lang) == (1, "de") else [],
                 "url_selects": ["/fr/4", "/fr/8"] if (k, lang) == (0, "fr") else [],
                 "label_selects": ["the", "and", "for"] if (k, lang) == (0, "en") else [],
@@ -77,6 +77,19 @@ PAGE_RULE_TYPE = "service string, lang string, url_selects array<string>, label_
 # Tag dictionary: (canonical, aliases).
 TAG_ALIASES = [("article", ["The", "le", "das"]), ("pronoun", ["elle", "she"]), ("oreille", []),
                ("thing", ["thion", "tion", "Ention"]), ("src", ["src0", "src2", "src4"])]
+
+
+def tag_dictionary() -> str:
+    """The same as an XML dictionary; its last entries are of the other kind."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    def group(kind, entries):
+        tags = "".join(f"<tag value={quoteattr(c)}>{escape(', '.join(names))}</tag>" for c, names in entries)
+        return f"<{kind}>{tags}</{kind}>"
+
+    return f"<data>{group('hashtags', TAG_ALIASES[:3])}{group('simplify', TAG_ALIASES[3:])}</data>"
+
+
 PARAGRAPH_MARKERS = ("adsbygoogle", "toto", "Read next:")
 AD_WORDS = ["aulich", "the", "leaux"]
 NEEDLE = "tion and"

@@ -396,6 +396,20 @@ top AS (SELECT a.win, b.id AS match_id, sum(a.w * b.w) AS c FROM unit a JOIN uni
 SELECT p.id, coalesce(match_id, -1) AS match_id, round(coalesce(c, 0.0), 6) AS score FROM pos p LEFT JOIN top ON top.win = p.pos"""
 
 
+def batch(b: str, corpus: str) -> str:
+    """Verdicts of the late rows of a batch; its corpus sets the document frequencies."""
+    return f"""{b}_c AS MATERIALIZED (SELECT id, late, row_number() OVER (ORDER BY late, id) AS place FROM ({corpus})),
+{b}_r AS (SELECT id, place, term, tf * (ln((1.0 + (SELECT count(*) FROM {b}_c))
+    / (1.0 + count(*) OVER (PARTITION BY term))) + 1.0) AS w FROM {b}_c JOIN tf USING (id)),
+{b}_x AS MATERIALIZED (SELECT id, place, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM {b}_r),
+{b}_m AS (SELECT p.id, q.id AS match_id, sum(p.w * q.w) AS score
+  FROM {b}_x p JOIN {b}_x q ON q.term = p.term AND q.place < p.place GROUP BY p.id, q.id, q.place
+  QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY round(sum(p.w * q.w), 9) DESC, q.place) = 1),
+{b}_told AS MATERIALIZED (SELECT c.id, coalesce(m.match_id, -1) AS match_id, round(coalesce(m.score, 0.0), 2) AS similarity,
+    round(coalesce(m.score, 0.0), 2) >= 0.4 AS is_duplicate
+  FROM {b}_c c LEFT JOIN {b}_m m ON m.id = c.id WHERE late = 1)"""
+
+
 MLT = f"""tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), {TOKEN}, 1)) AS term FROM documents),
 tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL),
 len AS (SELECT id, sum(tf) AS len FROM tf GROUP BY id),
@@ -473,6 +487,8 @@ ANTI JOIN seen USING (lang, feed_host, entry_key)
 QUALIFY row_number() OVER (PARTITION BY lang, feed_host, entry_key ORDER BY page_id) = 1"""
     sql["publish_eligible"] = with_(KEYED) + """SELECT page_id, lang, feed_host,
   (lang, feed_host) IN (SELECT (lang, feed_host) FROM seen) AS publish_ok FROM keyed"""
+    sql["word_membership"] = f"""SELECT doc_id AS id, list_contains(t, 'the') AS has_the, list_contains(t, lang) AS has_lang
+FROM (SELECT doc_id, lang, regexp_extract_all(text, {TOKEN}, 1) AS t FROM documents)"""
     sql["stopword_filter"] = with_(L, DOCS, detect("docs", "text"), kept_tokens("docs", "text")) + \
         "SELECT id, pos, token FROM kept"
     sql["find_by_text"] = with_(A) + f"""SELECT id, title FROM articles WHERE contains(text, {q(fixtures.NEEDLE)})
@@ -586,7 +602,10 @@ FROM docs d JOIN lng l ON l.id = d.id LEFT JOIN summaries s ON s.id = d.id LEFT
     sql["rules_scan"] = with_(A, R, RULED) + f"SELECT id, title, {BLOCKED.format(t='title')} AS blocked FROM ruled"
     sql["article_files_scan"] = """SELECT source, doc_id::VARCHAR AS title, text AS content FROM documents"""
     sql["feed_entries_scan"] = with_(A) + "SELECT title, link, service AS summary FROM articles"
-    sql["feed_sink"] = with_(A) + "SELECT id, title FROM articles ORDER BY id DESC LIMIT 100"
+    sql["feed_sink"] = with_(A) + """SELECT id, title, service AS author, strftime(published, '%Y-%m-%d %H:%M:%S') AS published,
+  strftime(published, '%Y-%m-%d %H:%M:%S') AS updated, link, '<img src="' || link || '.jpg?a&b"/><p>' || text
+  || '</p><p>Tags :[\'\'' || service || '\'\']</p><p>Similarity of 0.0 with ' || title || '</p>' AS content
+FROM articles ORDER BY id DESC LIMIT 100"""
     sql["text_sink"] = with_(KEYED, PARAGRAPHS) + f"""SELECT lang, feed_host, count(*) AS entries,
   sum(length({PAGE_TEXT}))::BIGINT AS chars FROM (SELECT *, row_number() OVER (
     PARTITION BY lang, feed_host, entry_key ORDER BY page_id) AS turn FROM keyed) JOIN paras USING (page_id)
@@ -597,5 +616,8 @@ WHERE turn = 1 GROUP BY lang, feed_host"""
 FROM articles GROUP BY ALL"""
     sql["stream_ingest"] = with_(KEYED) + "SELECT page_id, lang, feed_host, entry_key, link FROM keyed"
     sql["stream_dedup"] = with_(KEYED) + "SELECT DISTINCT lang, feed_host, entry_key FROM keyed"
+    sql["stream_neardup"] = with_(A, L, TF, batch("a", "SELECT id, 1 AS late FROM articles WHERE id % 2 = 1"), batch(
+        "b", """SELECT id, 0 AS late FROM (SELECT id FROM a_told WHERE NOT is_duplicate ORDER BY id DESC LIMIT 500)
+  UNION ALL SELECT id, 1 FROM articles WHERE id % 2 = 0""")) + "SELECT * FROM a_told UNION ALL SELECT * FROM b_told"
     sql["stream_daily"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total FROM events GROUP BY 1"""
     return sql

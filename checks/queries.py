@@ -279,6 +279,13 @@ def publish_eligible(spark, d):
     return rows.select("page_id", "lang", "feed_host", "publish_ok")
 
 
+@query
+def word_membership(spark, d):
+    rows = spread_documents(spark, d).select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("t"), "lang")
+    return rows.select("id", digest.contains_word(F.col("t"), F.lit("the")).alias("has_the"),
+                       digest.contains_word(F.col("t"), F.col("lang")).alias("has_lang"))
+
+
 @query
 def stopword_filter(spark, d):
     rows = vectors.with_language(spread_documents(spark, d), "text")
@@ -294,9 +301,10 @@ def find_by_text(spark, d):
 
 @query
 def tag_canonical(spark, d):
-    aliases = spark.createDataFrame(
-        [("hashtags", c, a) for c, names in fixtures.TAG_ALIASES for a in (names or [None])],
-        "kind string, canonical string, alias string")
+    """Tags of the pages by a dictionary read from XML."""
+    path = fresh_path(spark, "dictionary")
+    spark.createDataFrame([(fixtures.tag_dictionary(),)], "value string").write.text(path)
+    aliases = feeds.read_tag_aliases(spark, path)
     rows = page_ops.native_sections(pages(spark, d), "html", "nav", "a", "links")
     tags = rows.select("page_id", F.posexplode("links").alias("pos", "tag"))
     return digest.canonical_tags(tags, aliases).select("page_id", "pos", "tag", "canonical", "known")
@@ -638,11 +646,15 @@ def feed_entries_scan(spark, d):
 def feed_sink(spark, d):
     """The newest entries written as feed XML and read back."""
     path = fresh_path(spark, "feed")
-    rows = articles(spark, d)
-    stores.write_feed(digest.retain(rows, "id", OPTIONS.exported).select(
-        F.col("id").cast("string").alias("id"), "title"), path)
-    back = spark.read.format("xml").option("rowTag", "entry").option("ignoreSurroundingSpaces", "false").schema("id string, title string").load(path)
-    return back.select(F.col("id").cast("long").alias("id"), "title")
+    rows = articles(spark, d).withColumns({
+        "image": F.concat(F.col("link"), F.lit(".jpg?a&b")), "raw": F.lit(None).cast("string"),
+        "tags": F.array("service"), "source": F.col("link"), "similarity": F.lit(0.0),
+        "similarity_with": F.col("title"), "published": F.date_format("published", "yyyy-MM-dd HH:mm:ss")})
+    entries = digest.feed_entries(rows, "id", OPTIONS.exported)
+    stores.write_feed(entries, path)
+    back = (spark.read.format("xml").option("rowTag", "entry").option("ignoreSurroundingSpaces", "false")
+            .schema(", ".join(f"{c} string" for c in entries.columns)).load(path))
+    return back.withColumn("id", F.col("id").cast("long"))
 
 
 @query
@@ -717,10 +729,12 @@ def stream_daily(spark, d):
 
 @query
 def stream_neardup(spark, d):
+    """Titles landed in two batches, the odd ids first: the history holds higher ids, too."""
     rows = titles_of(spark, d)
-    out, kept = fresh_path(spark, "verdicts"), fresh_path(spark, "recent")
-    jobs.recent_verdicts(jobs.landed(spark, *_land(rows, 2)), "id", "title", out, kept,
-                         fresh_path(spark, "ck"), OPTIONS, once=True).awaitTermination()
+    landing, out, kept = fresh_path(spark, "landing"), fresh_path(spark, "verdicts"), fresh_path(spark, "recent")
+    check = fresh_path(spark, "ck")
+    for part in ("id % 2 = 1", "id % 2 = 0"):
+        rows.where(part).write.mode("append").parquet(landing)
+        stream = jobs.landed(spark, landing, rows.schema, files_per_batch=100_000)
+        jobs.recent_verdicts(stream, "id", "title", out, kept, check, OPTIONS, once=True).awaitTermination()
     return spark.read.parquet(out).select("id", _or_none("match_id"), "similarity", "is_duplicate")
-
-
