@@ -55,17 +55,19 @@ def more_like_this(corpus: DataFrame, queries: DataFrame, min_tf: int = 2, max_t
     only the rarest n - m + 1 terms of a query look up candidates.  The common
     terms are read for the candidates alone.  Long posting lists are salted.
     """
-    words = joins.placed(corpus, "id").select("id", F.explode(text.tokens(F.lower("body"))).alias("term"))
-    tf = settle(words.groupBy("id", "term").agg(F.count("*").alias("tf")))
-    lengths = tf.groupBy("id").agg(F.sum("tf").alias("len"))
-    n_docs, all_words = corpus.count(), tf.agg(F.sum("tf")).first()[0] or 1
-    avg = all_words / max(n_docs, 1)
-    n = F.lit(float(n_docs))
-    qwords = queries.select("query_id", F.explode(text.tokens(F.lower("body"))).alias("term"))
-    qtf = qwords.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).where(F.col("qtf") >= min_tf)
+    tokens = text.tokens(F.lower("body"))
+    qwords = queries.select("query_id", F.explode(tokens).alias("term"))
+    qtf = settle(qwords.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).where(F.col("qtf") >= min_tf))
     wanted = qtf.select("term").distinct()
-    df = (tf.join(small_side(wanted), "term", "left_semi")
-          .groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_doc_freq))
+    # Of a text only its length and the words some query asks for leave the row.
+    n_docs, all_words = corpus.select(F.size(tokens).alias("n")).agg(F.count("*"), F.sum("n")).first()
+    # Cut once a row, below the explode; the outer form keeps the optimizer from cutting again for a filter.
+    words = corpus.select("id", tokens.alias("_t")).select("id", F.size("_t").alias("len"), F.explode_outer("_t").alias("term"))
+    held = settle(words.join(small_side(wanted), "term", "left_semi")
+                  .groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
+    avg = (all_words or 1) / max(n_docs, 1)
+    n = F.lit(float(n_docs))
+    df = held.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_doc_freq)
     weighed = qtf.join(df, "term").withColumn("idf", bm25_idf(n, F.col("df")))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("qtf") * F.col("idf"), 9)), "term")
     weighed = (weighed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_terms))
@@ -79,13 +81,12 @@ def more_like_this(corpus: DataFrame, queries: DataFrame, min_tf: int = 2, max_t
     leads = (terms.where(F.col("place") <= F.col("n_terms") - F.col("need") + 1)
              .select("query_id", "term", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")))
     sizes = terms.select("term", "df").distinct()
-    posts = tf.select("id", "term").join(small_side(sizes), "term")
+    posts = held.select("id", "term").join(small_side(sizes), "term")
     posts = posts.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
     candidates = leads.join(posts, ["term", "salt"]).select("query_id", "id").distinct()
 
     asked = terms.select("query_id", "term", "idf", "need")
-    held = tf.join(small_side(wanted), "term", "left_semi")
-    pairs = candidates.join(held, "id").join(small_side(asked), ["query_id", "term"]).join(lengths, "id")
+    pairs = candidates.join(held, "id").join(small_side(asked), ["query_id", "term"])
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(avg))
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
     scores = (pairs.groupBy("query_id", "id")

@@ -28,11 +28,11 @@ def sentences(df: DataFrame, id_: str, body: str, language: str | None = None) -
 
 
 def centrality(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
-    """(id, s, sentence, score): LexRank score of every sentence.
+    """(id, sentences, scores): LexRank score of every sentence of a text, side by side.
 
     Words are counted, stemmed and weighed by Spark, all placed by text.  The
-    sentence graph of one text is then a small matrix, worked out where the
-    text is; nothing is cut off and no sentence pairs are shuffled.
+    sentence graph of one text is then worked out where the text is; nothing is
+    cut off, no sentence pairs are shuffled and no sentence is joined again.
     """
     every = sentences(df, id_, body, language)
     words = every.select(
@@ -50,27 +50,28 @@ def centrality(df: DataFrame, id_: str, body: str, language: str | None = None)
         F.collect_list("tf").alias("tfs"))
     texts = every.groupBy(id_).agg(
         F.array_sort(F.collect_list(F.struct("s", "sentence"))).alias("sentences"))
-    joined = texts.join(held, id_, "left").withColumn("n", F.size("sentences"))
-    ranked = joined.select(id_, "n", "rows", "terms", "tfs").mapInPandas(
-        _rank_batches(id_), f"{id_} {df.schema[id_].dataType.simpleString()}, scores array<double>")
-    scored = ranked.select(id_, F.posexplode("scores").alias("s", "score"))
-    return every.join(scored, [id_, "s"]).select(id_, "s", "sentence", "score")
+    joined = texts.join(held, id_, "left")
+    plain = F.transform("sentences", lambda e: e["sentence"]).alias("sentences")
+    return joined.select(id_, plain, "rows", "terms", "tfs").mapInPandas(
+        _rank_batches(id_),
+        f"{id_} {df.schema[id_].dataType.simpleString()}, sentences array<string>, scores array<double>")
 
 
 def _rank_batches(id_: str):
     def rank(batches: Iterator) -> Iterator:
         for pdf in batches:
-            pdf["scores"] = [lexrank(*v) for v in zip(pdf["n"], pdf["rows"], pdf["terms"], pdf["tfs"])]
-            yield pdf[[id_, "scores"]]
+            pdf["scores"] = [lexrank(*v) for v in zip(map(len, pdf["sentences"]), pdf["rows"], pdf["terms"], pdf["tfs"])]
+            yield pdf[[id_, "sentences", "scores"]]
 
     return rank
 
 
-def lexrank(n: int, rows, terms, tfs, block: int = 512) -> list[float]:
+def lexrank(n: int, rows, terms, tfs, products: int = 1 << 22) -> list[float]:
     """Stationary scores of the sentence graph of one text.
 
     ``rows``, ``terms`` and ``tfs`` list the cells of its sentence-term matrix.
-    Edges are found a block of sentences at a time.
+    Edges are found a block of sentences at a time, from the cells alone: a block
+    takes at most about ``products`` products.
     """
     import numpy as np
 
@@ -83,14 +84,19 @@ def lexrank(n: int, rows, terms, tfs, block: int = 512) -> list[float]:
     weight = weight / np.where(length[row] > 0, length[row], 1.0)
     # A word of a single sentence makes no edge to another one.
     shared = uses[col] > 1
-    _, col = np.unique(col[shared], return_inverse=True)
-    x = np.zeros((n, col.max() + 1 if len(col) else 1))
-    x[row[shared], col] = weight[shared]
+    order = np.flatnonzero(shared)[np.argsort(row[shared], kind="stable")]
+    near_row, near_weight = row[order], weight[order]
+    words, near_col = np.unique(col[order], return_inverse=True)
+    distinct, first = np.unique(near_row, return_index=True)
+    step = max(1, min(n, products // max(len(order), 1)))
     heads, tails = [], []
-    for start in range(0, n, block):
-        near = np.round(x[start:start + block] @ x.T, 9) > EDGE_ABOVE
-        head, tail = np.nonzero(near)
-        head = head + start
+    for start in range(0, n if len(order) else 0, step):
+        low, high = np.searchsorted(near_row, [start, start + step])
+        x = np.zeros((len(words), step))
+        x[near_col[low:high], near_row[low:high] - start] = near_weight[low:high]
+        cosine = np.add.reduceat(x[near_col] * near_weight[:, None], first)
+        tail, head = np.nonzero(np.round(cosine, 9) > EDGE_ABOVE)
+        head, tail = head + start, distinct[tail]
         other = head != tail
         heads.append(head[other])
         tails.append(tail[other])
@@ -108,9 +114,9 @@ def lexrank(n: int, rows, terms, tfs, block: int = 512) -> list[float]:
 
 def summarise(df: DataFrame, id_: str, body: str, n: int, language: str | None = None) -> DataFrame:
     """(id, summary): the n most central sentences in text order, joined as they are."""
-    scored = centrality(df, id_, body, language)
-    rank = Window.partitionBy(id_).orderBy(F.desc(F.round("score", 6)), "s")
-    kept = scored.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= n)
-    return (kept.groupBy(id_)
-            .agg(F.array_sort(F.collect_list(F.struct("s", "sentence"))).alias("k"))
-            .select(id_, F.array_join(F.transform("k", lambda e: e["sentence"]), "").alias("summary")))
+    told = centrality(df, id_, body, language)
+    graded = F.transform(F.arrays_zip("sentences", "scores"), lambda e, s: F.struct(
+        (-F.round(e["scores"], 6)).alias("low"), s.alias("s"), e["sentences"].alias("sentence")))
+    best = F.slice(F.array_sort(graded), 1, n)
+    in_order = F.array_sort(F.transform(best, lambda e: F.struct(e["s"].alias("s"), e["sentence"].alias("sentence"))))
+    return told.select(id_, F.array_join(F.transform(in_order, lambda e: e["sentence"]), "").alias("summary"))

@@ -94,7 +94,7 @@ def test_updates_and_fields(spark):
 def test_lexrank_prefers_the_shared_sentence():
     # Sentences 0 and 1 share words, 2 stands alone; blocks do not change the answer.
     rows, terms, tfs = [0, 0, 1, 1, 2, 3], ["a", "b", "a", "b", "c", "d"], [1.0] * 6
-    assert lexrank(4, rows, terms, tfs) == lexrank(4, rows, terms, tfs, block=1)
+    assert lexrank(4, rows, terms, tfs) == lexrank(4, rows, terms, tfs, products=1)
     assert lexrank(2, None, None, None) == [0.5, 0.5]
 
 
