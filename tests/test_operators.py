@@ -50,6 +50,19 @@ def test_container_ends_at_its_own_end_tag(spark):
     assert read("c") == "<DIV>z</DIV> w" and read("d") is None and read("e") is None
 
 
+def test_page_blocks_name_elements_by_tag_and_class(spark):
+    df = spark.createDataFrame(
+        [(HTML, [("div", "pic", "x"), ("ul", "labels", "SCIENCE")], [("p", "main")],
+          [("ul", "labels", "li", "Tech"), ("ul", "labels", "li", "Science")]),
+         (HTML, [("div", "pic", "x")], [("div", "main")], None), (None, None, None, None)],
+        "html string, c array<struct<tag:string,class:string,text:string>>, e array<struct<tag:string,class:string>>, "
+        "s array<struct<tag:string,class:string,section:string,text:string>>")
+    html = F.col("html")
+    got = df.select(pages.content_rejected(html, F.col("c")).alias("c"), pages.element_rejected(html, F.col("e")).alias("e"),
+                    pages.selection_labels(html, F.col("s")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [(True, False, ["Tech"]), (False, True, None), (False, False, None)]
+
+
 def test_unseen_keeps_the_first_of_each_key(spark):
     rows = spark.createDataFrame([(3, "http://h/a?x", "fr"), (1, "http://h/a?y", "fr"), (2, "http://h/b", "fr")],
                                  "id long, url string, lang string")
