@@ -11,6 +11,11 @@ from .common import pick, shuffle_partitions
 SHARD_ROWS = 4096
 
 
+def finite(vector: str | Column) -> Column:
+    """Whether every component is there and finite."""
+    return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
 def clean(rows: DataFrame, id_: str, vector: str, zero: bool) -> DataFrame:
     """(vec_id, vector as doubles) of the rows that take part.
 
@@ -18,8 +23,7 @@ def clean(rows: DataFrame, id_: str, vector: str, zero: bool) -> DataFrame:
     the most common length, and zero vectors (unless ``zero``) do not.
     """
     v = pick(rows, vec_id=id_, vector=vector).withColumn("vector", F.col("vector").cast("array<double>"))
-    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    v = v.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & fine & (F.size("vector") > 0))
+    v = v.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite("vector") & (F.size("vector") > 0))
     if not zero:
         v = v.where(F.exists("vector", lambda x: x != 0))
     size = v.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()

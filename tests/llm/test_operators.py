@@ -289,3 +289,11 @@ def test_pipeline_stages(spark, texts, tmp_path):
     assert sorted(x for x in ids if x is not None) == sorted({g for i, g in groups.items() if i is not None})
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns[:3] == ["doc_id", "piece", "start"] and out.count() > 0
+
+
+def test_pivots_leave_out_one_odd_component(spark):
+    rows = [(i, [1.0 + i / 8, 2.0]) for i in range(8)] + [(50, [9.0, float("nan")]), (51, [9.0, float("inf")]), (52, [9.0, None])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = pivots.search(df.withColumn("v", pivots.scaled("v")), "vec_id", "v", every=50, k=5).collect()
+    assert {r.query_id for r in got} == {0}
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [7, 6, 5, 4, 3]
