@@ -46,21 +46,23 @@ def _shard(turns: np.ndarray, symbols: int, k: int, share: float, fewest: int):
         keys, bits = strings(rows, turns, symbols)
         order = np.argsort(keys, axis=1, kind="stable")
         keys = np.take_along_axis(keys, order, axis=1)
-        enough = max(fewest, share * len(ids))
+        enough = max(fewest, share * len(ids), k)
+        same = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
 
         def search(id_, query):
             own = strings(query[None, :], turns, symbols)[0][:, 0]
+            chosen = np.zeros(len(ids), bool)
             for level in range(symbols, -1, -1):
                 shift = np.uint64(bits * (symbols - level))
                 low = (own >> shift) << shift
                 high = low | ((np.uint64(1) << shift) - np.uint64(1))
                 spans = [(np.searchsorted(t, a), np.searchsorted(t, b, "right")) for t, a, b in zip(keys, low, high)]
-                if sum(b - a for a, b in spans) >= enough or level == 0:
+                # Shorter prefixes hold all rows of longer ones, so the marks stay.
+                for tree, (a, b) in zip(order, spans):
+                    chosen[tree[a:b]] = True
+                chosen &= ids != id_
+                if np.count_nonzero(chosen) >= enough and len(np.unique(same[chosen])) >= enough:
                     break
-            chosen = np.zeros(len(ids), bool)
-            for tree, (a, b) in zip(order, spans):
-                chosen[tree[a:b]] = True
-            chosen &= ids != id_
             near = np.flatnonzero(chosen)
             apart = rows[near] - query
             distance = np.sqrt((apart * apart).sum(axis=1))
@@ -79,8 +81,9 @@ def search(rows: DataFrame, id_: str, vector: str, every: int = 100, k: int = 10
 
     All rows are indexed, in shards by a hash of the id.  Rows of the query's own id
     are no candidates.  Fewer candidates than ``k`` give fewer rows; an empty table
-    gives none.  ``share`` of a shard (or ``fewest`` rows) must share a prefix before
-    the ascent ends; isotropic vectors need such a share for a steady recall.
+    gives none.  ``share`` of a shard (or ``fewest`` rows, and at least ``k``) must share a
+    prefix before the ascent ends; rows count once over all trees, and so do equal
+    vectors.  Isotropic vectors need such a share for a steady recall.
     """
     clean = settle(vectors.clean(rows, id_, vector, zero=False))
     first = clean.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size")).first()

@@ -297,3 +297,11 @@ def test_pivots_leave_out_one_odd_component(spark):
     got = pivots.search(df.withColumn("v", pivots.scaled("v")), "vec_id", "v", every=50, k=5).collect()
     assert {r.query_id for r in got} == {0}
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [7, 6, 5, 4, 3]
+
+
+def test_forest_passes_a_group_of_copies(spark):
+    x = np.random.default_rng(7).standard_normal((2000, 64))
+    x[100:108] = x[100]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<double>")
+    got = forest.search(df, "vec_id", "v", k=10).where("query_id = 100").orderBy("rank").collect()
+    assert [r.vec_id for r in got][:7] == list(range(101, 108)) and len(got) == 10
