@@ -78,8 +78,8 @@ class Pieces:
     def walk(self, words: list[str]):
         """(word, ids) of sorted distinct words, sharing forward states between neighbours."""
         ids, scores, tails, apart, merges = self.ids, self.scores, self.tails, self.apart, self.merges
-        # One state per character: score, the last piece ("" at the start or after a byte), ids so far.
-        states: list[tuple[float, str, bytes]] = [(0.0, "", b"")]
+        # One state per character: score, the last piece ("" at the start or after a byte), its start and ids.
+        states: list[tuple[float, str, int, bytes]] = [(0.0, "", 0, b"")]
         last = ""
         for word in words:
             shared = len(commonprefix((last, word)))
@@ -88,7 +88,7 @@ class Pieces:
                 best, start = None, end - 1
                 while start >= 0 and (piece := word[start:end]) in tails:
                     if piece in ids:
-                        score, before, path = states[start]
+                        score, before, _, _ = states[start]
                         if merges and before:
                             fits = apart.get((before, piece))
                             if fits is None:
@@ -96,16 +96,19 @@ class Pieces:
                         else:
                             fits = True
                         if fits and (best is None or score + scores[piece] > best[0]):
-                            best = (score + scores[piece], piece, path + ids[piece])
+                            best = (score + scores[piece], piece, start, ids[piece])
                             if merges:
                                 break
                     start -= 1
                 if best is None:
-                    score, _, path = states[end - 1]
-                    best = (score - 1e6, "", path + self._lone(word[end - 1]))
+                    best = (states[end - 1][0] - 1e6, "", end - 1, self._lone(word[end - 1]))
                 states.append(best)
             last = word
-            yield word, states[-1][2]
+            path, at = [], len(word)
+            while at:
+                _, _, at, own = states[at]
+                path.append(own)
+            yield word, b"".join(path[::-1])
         if len(apart) > self.keep:
             apart.clear()
 

@@ -305,3 +305,17 @@ def test_forest_passes_a_group_of_copies(spark):
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<double>")
     got = forest.search(df, "vec_id", "v", k=10).where("query_id = 100").orderBy("rank").collect()
     assert [r.vec_id for r in got][:7] == list(range(101, 108)) and len(got) == 10
+
+
+def test_pieces_of_a_long_word_take_linear_memory():
+    import tracemalloc
+
+    model = pieces.shared(queries.tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    text = "".join(rng.choice("日本語中文字漢学校人") for _ in range(20_000))
+    model.encode([text[:3000]])
+    tracemalloc.start()
+    ids = np.frombuffer(model.encode([text])[0], "<u4")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.decode(ids) == text and most < 50e6
