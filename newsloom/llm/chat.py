@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import in_frames, pick
 
 TURN = "array<struct<role:string,text:string>>"
 # Control strings of the template: fixed values.
@@ -142,15 +142,16 @@ def format_chats(records: DataFrame, id_: str, record: str, mappings=MAPPINGS) -
 
         for pdf in frames:
             out = []
-            for conv, text in zip(pdf["conv_id"], pdf["record"]):
+            for text in pdf["record"]:
                 layout, turns = canonical(text, table)
                 formatted, spans = render(turns) if turns is not None else (None, None)
-                out.append((conv, layout, formatted, spans and [{"start": a, "stop": b} for a, b in spans] or (
+                out.append((layout, formatted, spans and [{"start": a, "stop": b} for a, b in spans] or (
                     None if spans is None else [])))
-            frame = pd.DataFrame(out, columns=["conv_id", "layout", "formatted", "loss"])
-            yield frame.astype({"conv_id": "Int64"})
+            frame = pd.DataFrame(out, columns=["layout", "formatted", "loss"])
+            frame.insert(0, "conv_id", pdf["conv_id"].array)
+            yield frame
 
-    return pick(records, conv_id=id_, record=record).mapInPandas(
+    return in_frames(pick(records, conv_id=id_, record=record),
         run, "conv_id long, layout string, formatted string, loss array<struct<start:long,stop:long>>")
 
 
@@ -161,14 +162,15 @@ def digests(formatted: DataFrame) -> DataFrame:
 
         for pdf in frames:
             out = []
-            for conv, text, loss in zip(pdf["conv_id"], pdf["formatted"], pdf["loss"]):
+            for text, loss in zip(pdf["formatted"], pdf["loss"]):
                 turns = parse(text)
                 said = "".join(unescape(text[s["start"]:s["stop"]]) for s in loss)
                 whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                out.append((conv, len(turns), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(), len(said),
+                out.append((len(turns), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(), len(said),
                             hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
-                                             "formatted_chars"]).astype({"conv_id": "Int64"})
+            frame = pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            frame.insert(0, "conv_id", pdf["conv_id"].array)
+            yield frame
 
-    return formatted.where("formatted is not null").select("conv_id", "formatted", "loss").mapInPandas(
+    return in_frames(formatted.where("formatted is not null").select("conv_id", "formatted", "loss"),
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

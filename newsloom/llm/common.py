@@ -21,6 +21,35 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_frames(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInPandas that keeps whole numbers whole.
+
+    There a column with a null becomes floats, which hold no id above 2**53.  Here
+    such a column is a nullable integer, and results go back without floats.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def arrow(batches):
+        import pandas as pd
+        import pyarrow as pa
+
+        def frames():
+            for batch in batches:
+                pdf = batch.to_pandas()
+                for name, column in zip(batch.schema.names, batch.columns):
+                    if pa.types.is_integer(column.type) and column.null_count:
+                        pdf[name] = pd.array(column.to_pylist(), "Int64")
+                yield pdf
+
+        for pdf in run(frames()):
+            yield pa.RecordBatch.from_pandas(pdf, out, preserve_index=False)
+
+    return df.mapInArrow(arrow, schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b): root is the
     smallest node that can be reached.

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, settle
+from .common import in_frames, pick, settle
 
 CAPACITY = 4096
 END = 1
@@ -142,18 +142,18 @@ def pieces(docs: DataFrame, id_: str, text: str, tokenizer_path: str, capacity:
 
         encode = encoder(tokenizer_path).texts
         for pdf in frames:
-            ids, texts, out = pdf["doc_id"].tolist(), [t or "" for t in pdf.pop("text")], []
+            ids, texts, out = pdf["doc_id"], [t or "" for t in pdf.pop("text")], []
             for a, b in groups(texts):
-                for doc, data in zip(ids[a:b], encode(texts[a:b])):
+                for doc, data in zip(range(a, b), encode(texts[a:b])):
                     data += end
                     n = len(data) // 4
                     for k, s in enumerate(range(0, n, capacity)):
                         part = data[4 * s:4 * (s + capacity)]
                         out.append((doc, k, s, len(part) // 4, zlib.crc32(part)))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield frame.assign(doc_id=ids.array.take(frame["doc_id"].to_numpy(np.int64)))
 
-    return pick(docs, doc_id=id_, text=text).mapInPandas(run, PIECES)
+    return in_frames(pick(docs, doc_id=id_, text=text), run, PIECES)
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -280,4 +280,4 @@ def pack(docs: DataFrame, id_: str, text: str, tokenizer_path: str, capacity: in
             pdf["offset"] = run[:, 4]
             yield pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    return ranked(cut, int(counts.sum())).mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return in_frames(ranked(cut, int(counts.sum())), place, PIECES + ", sequence_id long, offset long")

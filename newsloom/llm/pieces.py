@@ -19,7 +19,7 @@ from os.path import commonprefix
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import in_frames, pick
 from .packing import groups
 
 MARK = "\u2581"
@@ -162,10 +162,10 @@ def encode(docs: DataFrame, id_: str, text: str, model_path: str, merges: bool =
         for pdf in frames:
             ids, texts = pdf["doc_id"], [t or "" for t in pdf["text"]]
             for a, b in groups(texts, 4 << 20):
-                yield pd.DataFrame({"doc_id": ids.iloc[a:b].astype("Int64"), "ids": [
+                yield pd.DataFrame({"doc_id": ids.array[a:b], "ids": [
                     np.frombuffer(x, "<u4").astype(np.int32) for x in model.encode(texts[a:b])]})
 
-    return pick(docs, doc_id=id_, text=text).mapInPandas(run, "doc_id long, ids array<int>")
+    return in_frames(pick(docs, doc_id=id_, text=text), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, id_: str, ids: str, model_path: str) -> DataFrame:
@@ -174,9 +174,9 @@ def decode(encoded: DataFrame, id_: str, ids: str, model_path: str) -> DataFrame
         model = shared(model_path)
         for pdf in frames:
             pdf["text"] = [None if x is None else model.decode(np.asarray(x)) for x in pdf.pop("ids")]
-            yield pdf.astype({"doc_id": "Int64"})
+            yield pdf
 
-    return pick(encoded, doc_id=id_, ids=ids).mapInPandas(run, "doc_id long, text string")
+    return in_frames(pick(encoded, doc_id=id_, ids=ids), run, "doc_id long, text string")
 
 
 def digests(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -188,6 +188,6 @@ def digests(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [model.decode(x) for x in ids]
             yield pdf.assign(n_ids=list(map(len, ids)), ids_crc32=[zlib.crc32(x.tobytes()) for x in ids],
                              decoded_crc32=[zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts],
-                             decoded_chars=list(map(len, texts))).astype({"doc_id": "Int64"})
+                             decoded_chars=list(map(len, texts)))
 
-    return encoded.mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, decoded_chars long")
+    return in_frames(encoded, run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, decoded_chars long")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup
-from .common import components, pick, settle
+from .common import components, in_frames, pick, settle
 
 RADIUS = 3
 SEED = 42
@@ -49,9 +49,9 @@ def fingerprints(docs: DataFrame, id_: str, text: str, shingle: int = 3) -> Data
     def run(frames):
         for pdf in frames:
             fp = np.array([fingerprint(t, shingle) for t in pdf.pop("text")], np.uint64)
-            yield pdf.assign(fp=fp.view(np.int64)).astype({"doc_id": "Int64"})
+            yield pdf.assign(fp=fp.view(np.int64))
 
-    return pick(docs, doc_id=id_, text=text).mapInPandas(run, "doc_id long, fp long")
+    return in_frames(pick(docs, doc_id=id_, text=text), run, "doc_id long, fp long")
 
 
 def _cell(fp: Column) -> Column:

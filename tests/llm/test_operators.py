@@ -319,3 +319,20 @@ def test_pieces_of_a_long_word_take_linear_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert model.decode(ids) == text and most < 50e6
+
+
+def test_large_ids_beside_a_null_id(spark):
+    big = 2**60 + 1
+    rows = [(big, "one text"), (big + 1, "another text, quite different from that"), (None, "no id")]
+    want = {big, big + 1, None}
+    df = docs(spark, rows).coalesce(1)
+    ids = lambda out, name="doc_id": {r[name] for r in out.select(name).collect()}
+    assert ids(simhash.near_duplicates(df, "doc_id", "text")) == want
+    assert ids(packing.pack(df, "doc_id", "text", queries.tokenizer_path("word_bpe_49k.json"))) == want
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    encoded = pieces.encode(df, "doc_id", "text", path)
+    assert ids(encoded) == want and ids(pieces.decode(encoded, "doc_id", "ids", path)) == want
+    assert ids(pieces.digests(encoded, path)) == want
+    chats = df.withColumn("text", F.lit('{"prompt":"p","completion":"c"}'))
+    formatted = chat.format_chats(chats, "doc_id", "text")
+    assert ids(formatted, "conv_id") == want and ids(chat.digests(formatted), "conv_id") == want
