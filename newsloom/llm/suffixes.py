@@ -12,6 +12,11 @@
 4. The merged common prefixes say which suffixes share how many bytes to the right of
    the anchor; with the bytes to its left that decides every string of ``least`` bytes
    around the anchor.
+
+A pack sends one suffix for all that have the same bytes on both sides, the one of its
+least document, and decides the others by itself.  Grams with more than ``HOT`` anchors
+are not sorted at all: their strings are compared by 128-bit hashes, dealt out by hash,
+so a passage in very many documents never comes together in one range.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ GRAM = 20
 LEFT = LEAST - GRAM
 WINDOW = LEFT + 1
 PACK_BYTES = 4 << 20
+HOT = 1 << 14
+TWIN = np.uint32(1 << 31)
 PAD = 0xFF  # no byte of UTF-8 text
 _TOP = np.uint64(2**64 - 1)
 _BYTES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
@@ -166,8 +173,9 @@ def _copies(packs: DataFrame) -> DataFrame:
     return later.groupBy("pack").agg(F.collect_list("place").alias("copies"))
 
 
-def _shared(packs: DataFrame, buckets: int) -> DataFrame:
-    """(pack, blob): the anchor hashes of a pack that more than one document holds."""
+def _shared(packs: DataFrame, buckets: int, most: int) -> DataFrame:
+    """(pack, blob): the anchor hashes of a pack that more than one document holds, each
+    followed by a bit that says whether it has about ``most`` anchors or more."""
     def send(frames):
         import pandas as pd
 
@@ -185,21 +193,28 @@ def _shared(packs: DataFrame, buckets: int) -> DataFrame:
                 value = (h[new] << np.uint64(1)) | (doc[new] != doc[ends - 1]).astype(np.uint64)
                 bucket = (h[new] * np.uint64(buckets) >> np.uint64(47)).astype(np.int32)
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                power = np.ceil(np.log2(ends - new)).astype(np.uint8)
                 yield pd.DataFrame({"bucket": bucket[cut], "pack": row["pack"], "blob": [
-                    _narrow(v) for v in np.split(value, cut[1:])]})
+                    _narrow(v) for v in np.split(value, cut[1:])], "powers": [
+                    v.tobytes() for v in np.split(power, cut[1:])]})
 
     def answer(pdf):
         import pandas as pd
 
         sent = [_widen(b) for b in pdf["blob"]]
-        every = np.sort(np.concatenate(sent))
+        every = np.concatenate(sent)
+        order = np.argsort(every, kind="stable")
+        every, weight = every[order], 2.0 ** np.frombuffer(b"".join(pdf["powers"]), np.uint8)[order]
         h = every >> np.uint64(1)
         twice = np.append(h[1:] == h[:-1], False)
         shared = np.unique(h[twice | (every & np.uint64(1)).astype(bool)])
+        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        hot = h[new][np.add.reduceat(weight, new) >= most]
         own = [x[np.isin(x, shared, assume_unique=True)] for x in (s >> np.uint64(1) for s in sent)]
+        own = [(x << np.uint64(1)) | np.isin(x, hot, assume_unique=True).astype(np.uint64) for x in own]
         return pd.DataFrame([(p, _narrow(o)) for p, o in zip(pdf["pack"], own) if len(o)], columns=["pack", "blob"])
 
-    sent = packs.select("pack", "stops", "ids", "body").mapInPandas(send, "bucket int, pack long, blob binary")
+    sent = packs.select("pack", "stops", "ids", "body").mapInPandas(send, "bucket int, pack long, blob binary, powers binary")
     return sent.groupBy("bucket").applyInPandas(answer, "pack long, blob binary")
 
 
@@ -215,11 +230,37 @@ def _around(data: np.ndarray, stops: np.ndarray, places: np.ndarray):
     return doc, ahead, behind
 
 
-def _sorted_rows(x: np.ndarray) -> np.ndarray:
-    """Order of byte rows."""
+def _numbers(x: np.ndarray) -> np.ndarray:
+    """Byte rows as columns of numbers of the same order."""
     wide = np.zeros((len(x), -(-x.shape[1] // 8) * 8), np.uint8)
     wide[:, :x.shape[1]] = x
-    return np.lexsort(wide.view(">u8").T[::-1])
+    return wide.view(">u8").astype(np.uint64).T
+
+
+def _groups(keys: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by ``keys`` and then by document, and where in it new keys begin."""
+    order = np.lexsort((docs, *keys[::-1]))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _open_offsets(places: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Bit o: the LEAST bytes that start o before a place lie inside its document."""
+    doc = np.searchsorted(stops, places, "right")
+    left, right = places - np.append(0, stops)[doc], stops[doc] - places
+    mask = np.zeros(len(places), np.uint32)
+    for o in range(WINDOW):
+        mask |= ((left >= o) & (right >= LEAST - o)).astype(np.uint32) << np.uint32(o)
+    return mask
+
+
+def _starts(places: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The places of all strings that the bits of ``masks`` name."""
+    return np.concatenate([places[(masks >> np.uint32(o)) & np.uint32(1) == 1] - o for o in range(WINDOW)])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -228,9 +269,23 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))
 
 
-def _runs(splitters: list[bytes]):
-    """Packs to front-coded sorted runs, cut at the splitters."""
+def _hashed(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """128-bit hashes of the strings at ``starts``, as two columns."""
+    import xxhash
+
+    body, digest = data.tobytes(), xxhash.xxh3_128_digest
+    hashes = b"".join([digest(body[p:p + LEAST]) for p in starts.tolist()])
+    return list(np.frombuffer(hashes, "<u8").reshape(-1, 2).T)
+
+
+def _runs(splitters: list[bytes], parts: int):
+    """Packs to front-coded sorted runs, cut at the splitters: ranges below ``parts``.
+
+    The next ``parts`` ranges get hashes of strings around hot grams, the ones after
+    them what a pack decides alone: masks, or TWIN and the place that decides.
+    """
     cuts = np.array(splitters, dtype=f"S{GRAM}")
+    columns = ["range", "pack", "shared", "tails", "behind", "docs", "places"]
 
     def run(frames):
         import pandas as pd
@@ -242,20 +297,56 @@ def _runs(splitters: list[bytes]):
                 data, stops, ids = _opened(row)
                 places, h = anchors(data, stops)
                 wanted = np.concatenate([_widen(b) for b in row["blobs"]])
-                places = places[np.isin(h, wanted)]
+                hot = wanted[wanted & np.uint64(1) == 1] >> np.uint64(1)
+                keep = np.isin(h, wanted >> np.uint64(1))
                 if row["copies"] is not None:
                     whole = np.isin(np.arange(len(stops)), np.asarray(row["copies"], np.int64))
-                    places = places[~whole[np.searchsorted(stops, places, "right")]]
+                    keep &= ~whole[np.searchsorted(stops, places, "right")]
+                places, hot = places[keep], np.isin(h[keep], hot)
                 if not len(places):
                     continue
                 doc, ahead, behind = _around(data, stops, places)
-                order = _sorted_rows(ahead)
-                doc, ahead, behind, places = doc[order], ahead[order], behind[order], places[order]
+                order, first = _groups([*_numbers(ahead), *_numbers(behind)], ids[doc])
+                doc, ahead, behind, places, hot = doc[order], ahead[order], behind[order], places[order], hot[order]
+                one = np.repeat(first, np.diff(np.append(first, len(order))))
+                later = ids[doc] > ids[doc[one]]
+                twin = ~later & (np.arange(len(order)) != one)
+                at = [places[later], places[twin]]
+                masks = [_open_offsets(places[later], stops), places[one[twin]].astype(np.uint32) | TWIN]
+                out = []
+                starts = first[hot[first]]
+                if len(starts):
+                    starts = np.unique(_starts(places[starts], _open_offsets(places[starts], stops)))
+                if len(starts):
+                    keys = _hashed(data, starts)
+                    owner = ids[np.searchsorted(stops, starts, "right")]
+                    order, new = _groups(keys, owner)
+                    starts, owner, keys = starts[order], owner[order], [k[order] for k in keys]
+                    least = np.repeat(owner[new], np.diff(np.append(new, len(order))))
+                    at.append(starts[owner > least])
+                    masks.append(np.ones(len(at[-1]), np.uint32))
+                    sent = np.flatnonzero(owner == least)
+                    bucket = (keys[0][sent] % np.uint64(parts)).astype(np.int64)
+                    sent = sent[np.argsort(bucket, kind="stable")]
+                    bucket = np.sort(bucket)
+                    for x in np.split(np.arange(len(sent)), np.flatnonzero(np.diff(bucket)) + 1):
+                        own = sent[x]
+                        out.append((parts + int(bucket[x[0]]), row["pack"], b"", np.stack([k[own] for k in keys], 1).tobytes(),
+                                    b"", owner[own].tobytes(), starts[own].astype("<i4").tobytes()))
+                at, masks = np.concatenate(at), np.concatenate(masks)
+                if len(at):
+                    spread = ((row["pack"] >> 32) * 31 + (row["pack"] & 0xFFFFFFFF)) % parts
+                    out.append((2 * parts + spread, row["pack"], b"", masks.astype("<u4").tobytes(), b"", b"",
+                                at.astype("<i4").tobytes()))
+                first = first[~hot[first]]
+                if not len(first):
+                    yield pd.DataFrame(out, columns=columns)
+                    continue
+                doc, ahead, behind, places = doc[first], ahead[first], behind[first], places[first]
                 known = np.append(0, _common(ahead[1:], ahead[:-1])).astype(np.uint8)
                 lead = np.ascontiguousarray(ahead[:, :GRAM]).view(f"S{GRAM}").ravel()
                 part = np.searchsorted(cuts, lead, "right")
                 first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                out = []
                 for a, b in zip(first, np.append(first[1:], len(part))):
                     shared = known[a:b].copy()
                     shared[0] = 0
@@ -263,7 +354,7 @@ def _runs(splitters: list[bytes]):
                     out.append((int(part[a]), row["pack"], shared.tobytes(), squeeze(tails),
                                 squeeze(behind[a:b].tobytes()), ids[doc[a:b]].tobytes(),
                                 places[a:b].astype("<i4").tobytes()))
-                yield pd.DataFrame(out, columns=["range", "pack", "shared", "tails", "behind", "docs", "places"])
+                yield pd.DataFrame(out, columns=columns)
 
     return run
 
@@ -408,6 +499,50 @@ def _merged(pdf):
     return pd.DataFrame(out, columns=["pack", "places", "masks"])
 
 
+def _matched(pdf):
+    """Strings around hot grams: those whose hash a document with a smaller id holds too."""
+    import pandas as pd
+
+    keys = list(np.frombuffer(b"".join(pdf["tails"]), "<u8").reshape(-1, 2).T)
+    docs = np.frombuffer(b"".join(pdf["docs"]), "<i8")
+    order, new = _groups(keys, docs)
+    least = np.empty(len(docs), np.int64)
+    least[order] = np.repeat(docs[order][new], np.diff(np.append(new, len(order))))
+    out, start = [], 0
+    for pack, places in zip(pdf["pack"], pdf["places"]):
+        places = np.frombuffer(places, "<i4")
+        hit = docs[start:start + len(places)] > least[start:start + len(places)]
+        if hit.any():
+            out.append((pack, places[hit].tobytes(), np.ones(int(hit.sum()), "<u4").tobytes()))
+        start += len(places)
+    return pd.DataFrame(out, columns=["pack", "places", "masks"])
+
+
+def _decided(parts: int):
+    def run(pdf):
+        kind = int(pdf["range"].iloc[0]) // parts
+        if kind == 2:
+            return pdf[["pack", "places", "tails"]].rename(columns={"tails": "masks"})
+        return _matched(pdf) if kind else _merged(pdf)
+
+    return run
+
+
+def _hits(found: list[tuple[bytes, bytes]], stops: np.ndarray, size: int) -> np.ndarray:
+    """Whether the string at a place of a pack also starts in a document with a smaller id."""
+    hit = np.zeros(size, bool)
+    at = np.frombuffer(b"".join(p for p, _ in found), "<i4").astype(np.int64)
+    masks = np.frombuffer(b"".join(m for _, m in found), "<u4")
+    twin = masks >= TWIN
+    hit[_starts(at[~twin], masks[~twin])] = True
+    at, one = at[twin], (masks[twin] ^ TWIN).astype(np.int64)
+    inside = _open_offsets(at, stops)
+    for o in range(WINDOW):
+        k = (inside >> np.uint32(o)) & np.uint32(1) == 1
+        hit[at[k] - o] |= hit[one[k] - o]
+    return hit
+
+
 def _splitters(packs: DataFrame, count: int, ranges: int, sampled: int = 64) -> list[bytes]:
     """Cuts for about even ranges, from anchors of about ``sampled`` packs; they only
     balance the work."""
@@ -426,7 +561,15 @@ def _splitters(packs: DataFrame, count: int, ranges: int, sampled: int = 64) ->
     return [grams[len(grams) * i // ranges] for i in range(1, ranges)] if grams else []
 
 
-def repeated(docs: DataFrame, id_: str, text: str, rest: list[str] | None = None) -> DataFrame:
+def _entries(packs: DataFrame, copies: DataFrame, count: int, parts: int, hot: int = HOT) -> DataFrame:
+    """What the packs send to be decided, see ``_runs``."""
+    shared = _shared(packs, parts, hot).groupBy("pack").agg(F.collect_list("blob").alias("blobs"))
+    asked = packs.select("pack", "stops", "ids", "body").join(shared, "pack").join(copies, "pack", "left")
+    return asked.mapInPandas(_runs(_splitters(packs, count, parts), parts), "range int, pack long, shared binary, "
+                             "tails binary, behind binary, docs binary, places binary")
+
+
+def repeated(docs: DataFrame, id_: str, text: str, rest: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, and
     the columns named in ``rest``.
 
@@ -440,11 +583,8 @@ def repeated(docs: DataFrame, id_: str, text: str, rest: list[str] | None = None
     count = packs.count()
     parts = max(shuffle_partitions(docs), -(-count // 2))
     copies = settle(_copies(packs))
-    shared = _shared(packs, parts).groupBy("pack").agg(F.collect_list("blob").alias("blobs"))
-    asked = packs.select("pack", "stops", "ids", "body").join(shared, "pack").join(copies, "pack", "left")
-    runs = asked.mapInPandas(_runs(_splitters(packs, count, parts)), "range int, pack long, shared binary, "
-                             "tails binary, behind binary, docs binary, places binary")
-    found = runs.groupBy("range").applyInPandas(_merged, "pack long, places binary, masks binary")
+    runs = _entries(packs, copies, count, parts, hot)
+    found = runs.groupBy("range").applyInPandas(_decided(parts), "pack long, places binary, masks binary")
     found = settle(found).groupBy("pack").agg(F.collect_list("places").alias("places"), F.collect_list("masks").alias("masks"))
     all_ = packs.join(found, "pack", "left").join(copies, "pack", "left")
     kinds = {docs.schema[c].name: docs.schema[c].dataType.simpleString() for c in rest}
@@ -455,14 +595,8 @@ def repeated(docs: DataFrame, id_: str, text: str, rest: list[str] | None = None
         for batch in batches:
             for row in batch.to_pylist():
                 data, stops, ids = _opened(row)
-                edge = np.zeros(len(data) + 1, np.int32)
-                for places, masks in zip(row["places"] or [], row["masks"] or []):
-                    places, masks = np.frombuffer(places, "<i4"), np.frombuffer(masks, "<u4")
-                    for o in range(WINDOW):
-                        at = places[(masks >> np.uint32(o)) & np.uint32(1) == 1] - o
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + LEAST, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                so_far = np.cumsum(_hits(list(zip(row["places"] or [], row["masks"] or [])), stops, len(data)), dtype=np.int32)
+                gone = so_far > np.append(np.zeros(LEAST, np.int32), so_far)[:len(data)]
                 starts = np.append(0, stops[:-1])
                 for k in row["copies"] or []:
                     if stops[k] - starts[k] >= LEAST:

@@ -336,3 +336,27 @@ def test_large_ids_beside_a_null_id(spark):
     chats = df.withColumn("text", F.lit('{"prompt":"p","completion":"c"}'))
     formatted = chat.format_chats(chats, "doc_id", "text")
     assert ids(formatted, "conv_id") == want and ids(chat.digests(formatted), "conv_id") == want
+
+
+@pytest.mark.parametrize("hot", [1, 40, suffixes.HOT])
+def test_suffixes_of_a_passage_in_many_documents(spark, texts, hot):
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(n))
+    passage = say(20)
+    rows = texts + [(1000 + i, say(6) + " " + passage + " " + say(6)) for i in range(120)] + [
+        (2000, (passage + " ") * 5), (2001, say(4) + "x" * 300), (1000, passage + "y"), (None, passage + " " + say(3))]
+    got = suffixes.repeated(docs(spark, rows).repartition(3), "doc_id", "text", hot=hot)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute_suffixes(rows)
+
+
+def test_a_passage_in_many_documents_is_not_one_group(spark):
+    rng = random.Random(13)
+    say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(n))
+    passage = say(20)
+    rows = [(i, say(6) + " " + passage + " " + say(6)) for i in range(400)]
+    packs = suffixes.settle(suffixes.packed(docs(spark, rows).repartition(2), "doc_id", "text", []))
+    runs = suffixes._entries(packs, suffixes._copies(packs), packs.count(), 4, hot=100)
+    sizes = {}
+    for r in runs.where("range < 4").collect():
+        sizes[r.range] = sizes.get(r.range, 0) + len(r.docs) // 8
+    assert sum(sizes.values()) < 400
