@@ -31,9 +31,10 @@ def op4_simhash_neardup(spark: SparkSession, d: str) -> DataFrame:
 
 def op8_virtual_slots(spark: SparkSession, d: str) -> DataFrame:
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 8
-    rows = sharding.measured(documents(spark, d), F.col("doc_id"), size)
-    rows = settle(rows.select("doc_id", "size", "vslot",
-                              F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")))
+    check = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    # The text counts too: rows with a null or repeated id do not share one slot.
+    rows = sharding.measured(documents(spark, d), F.struct(F.col("doc_id"), check, size), size)
+    rows = settle(rows.select("doc_id", "size", "vslot", check.alias("text_crc32")))
     held, count = sharding.loads(rows)
     path, first = fresh_path(spark, "slots"), sharding.even_map(24)
     sharding.save_map(spark, path, 1, first, count)

@@ -360,3 +360,11 @@ def test_a_passage_in_many_documents_is_not_one_group(spark):
     for r in runs.where("range < 4").collect():
         sizes[r.range] = sizes.get(r.range, 0) + len(r.docs) // 8
     assert sum(sizes.values()) < 400
+
+
+def test_rows_without_an_id_spread_over_shards(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, f"text {i} " * 20) for i in range(3000)]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_virtual_slots(spark, str(tmp_path)).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+    assert len(got) == 24 and sum(r.n for r in got) == 3000
+    assert max(r.s for r in got) < 1.2 * min(r.s for r in got)
