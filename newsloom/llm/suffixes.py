@@ -223,10 +223,14 @@ def _around(data: np.ndarray, stops: np.ndarray, places: np.ndarray):
     doc = np.searchsorted(stops, places, "right")
     start = np.append(0, stops)[doc]
     right, left = np.minimum(stops[doc] - places, LEAST), np.minimum(places - start, LEFT)
-    at = places[:, None] + np.arange(LEAST)
-    ahead = np.where(np.arange(LEAST) < right[:, None], data[np.minimum(at, len(data) - 1)], PAD).astype(np.uint8)
-    at = places[:, None] - 1 - np.arange(LEFT)
-    behind = np.where(np.arange(LEFT) < left[:, None], data[np.maximum(at, 0)], PAD).astype(np.uint8)
+    ahead, behind = np.empty((len(places), LEAST), np.uint8), np.empty((len(places), LEFT), np.uint8)
+    # In blocks: the places of all these bytes at once would take many times the bytes.
+    for a in range(0, len(places), 1 << 14):
+        b = slice(a, a + (1 << 14))
+        at = places[b, None] + np.arange(LEAST)
+        ahead[b] = np.where(np.arange(LEAST) < right[b, None], data[np.minimum(at, len(data) - 1)], PAD)
+        at = places[b, None] - 1 - np.arange(LEFT)
+        behind[b] = np.where(np.arange(LEFT) < left[b, None], data[np.maximum(at, 0)], PAD)
     return doc, ahead, behind
 
 
@@ -258,9 +262,12 @@ def _open_offsets(places: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return mask
 
 
-def _starts(places: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """The places of all strings that the bits of ``masks`` name."""
-    return np.concatenate([places[(masks >> np.uint32(o)) & np.uint32(1) == 1] - o for o in range(WINDOW)])
+def _starts(places: np.ndarray, masks: np.ndarray, size: int) -> np.ndarray:
+    """Marks, at ``size`` places, of the strings that the bits of ``masks`` name."""
+    out = np.zeros(size, bool)
+    for o in range(WINDOW):
+        out[places[(masks >> np.uint32(o)) & np.uint32(1) == 1] - o] = True
+    return out
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -316,7 +323,7 @@ def _runs(splitters: list[bytes], parts: int):
                 out = []
                 starts = first[hot[first]]
                 if len(starts):
-                    starts = np.unique(_starts(places[starts], _open_offsets(places[starts], stops)))
+                    starts = np.flatnonzero(_starts(places[starts], _open_offsets(places[starts], stops), len(data)))
                 if len(starts):
                     keys = _hashed(data, starts)
                     owner = ids[np.searchsorted(stops, starts, "right")]
@@ -530,12 +537,11 @@ def _decided(parts: int):
 
 def _hits(found: list[tuple[bytes, bytes]], stops: np.ndarray, size: int) -> np.ndarray:
     """Whether the string at a place of a pack also starts in a document with a smaller id."""
-    hit = np.zeros(size, bool)
-    at = np.frombuffer(b"".join(p for p, _ in found), "<i4").astype(np.int64)
+    at = np.frombuffer(b"".join(p for p, _ in found), "<i4")
     masks = np.frombuffer(b"".join(m for _, m in found), "<u4")
     twin = masks >= TWIN
-    hit[_starts(at[~twin], masks[~twin])] = True
-    at, one = at[twin], (masks[twin] ^ TWIN).astype(np.int64)
+    hit = _starts(at[~twin], masks[~twin], size)
+    at, one = at[twin], (masks[twin] ^ TWIN).astype(np.int32)
     inside = _open_offsets(at, stops)
     for o in range(WINDOW):
         k = (inside >> np.uint32(o)) & np.uint32(1) == 1
