@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import chat, forest, packing, pieces, pivots, quality, sharding, simhash, suffixes, toxicity
+from . import (chat, forest, language, merkle, packing, pieces, pivots, quality, sharding, simhash, suffixes, toxicity,
+               whitening)
 from .common import settle
+from .merkle_sql import manifest_sql
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -121,11 +123,37 @@ def op9_shared_prefix_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.digests(pieces.encode(documents(spark, d), "doc_id", "text", path), path)
 
 
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    others = [merkle.field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    cut = F.translate("text", "\n", "")
+    # A text without line ends is left as it is, so its altered leaf would be the same one.
+    tampered = (remainder(2) == 0) & F.contains("text", F.lit("\n"))
+    trees, tops = merkle.manifest(docs, "doc_id", "source", merkle.leaf_digest(*others, merkle.field("text")),
+                                  F.when(tampered, merkle.leaf_digest(*others, merkle.field("text", cut))))
+    if not trees:
+        return spark.createDataFrame([], merkle.CHECKED).withColumnRenamed("id", "doc_id")
+    return merkle.checked(trees, tops).withColumnRenamed("id", "doc_id")
+
+
+def op12_bit_sliced_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, d), "vec_id", "embedding")
+
+
+def op13_language_filters(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    model = language.learn(docs.where(remainder(4) != 2), "text", "lang")
+    found = language.predict(docs, "doc_id", "text", model)
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_prefix_forest, op2_quality_gam, op3_best_fit_packing, op4_simhash_neardup, op5_chat_formatting, op6_pivot_topk, op7_suffix_dedup, op8_virtual_slots,
-    op9_shared_prefix_pieces, op10_toxicity_lexicon)}
+    op9_shared_prefix_pieces, op10_toxicity_lexicon, op11_merkle_manifest, op12_bit_sliced_whitening,
+    op13_language_filters)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": manifest_sql(),
     "op6_pivot_topk": """
         WITH rows AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
