@@ -210,6 +210,31 @@ def section_list(inside: str, section: str) -> str:
     return f"list_transform({found}, lambda s: {strip_tags('s')})"
 
 
+def _quoted(name: str) -> str:
+    return decode(rf"regexp_extract(piece, '(?i)^<[^>]*\b{name}\s*=\s*[\x22'']([^\x22'']*)[\x22'']', 1)")
+
+
+# Every tag of a page, the end tag of each start tag by counting along its name, and the closed elements around it.
+ELEMENTS = (rf"""pieces AS (SELECT page_id, unnest(ps) AS piece, generate_subscripts(ps, 1) - 1 AS place
+  FROM (SELECT page_id, regexp_extract_all({VISIBLE}, '<[^<]*|^[^<]+') AS ps FROM pages))""",
+            r"""tags AS (SELECT *, lower(regexp_extract(piece, '^</?([a-zA-Z][^\s/>]*)', 1)) AS tag,
+  CASE WHEN piece LIKE '</%' THEN -1 WHEN regexp_matches(piece, '^<[a-zA-Z]') AND NOT regexp_matches(piece,
+    '(?i)^<(area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b') THEN 1 ELSE 0 END AS step FROM pieces)""",
+            """levels AS (SELECT *, CASE WHEN step < 0 THEN 1 ELSE 0 END
+    + sum(step) OVER (PARTITION BY page_id, tag ORDER BY place) AS level FROM tags WHERE step <> 0)""",
+            """pairs AS (SELECT page_id, place, stop FROM (SELECT *,
+    lead(place) OVER w AS stop, lead(step) OVER w AS next FROM levels
+    WINDOW w AS (PARTITION BY page_id, tag, level ORDER BY place)) WHERE step > 0 AND next < 0)""",
+            """bounds AS (SELECT page_id, place, 1 AS s FROM pairs UNION ALL SELECT page_id, stop, -1 FROM pairs)""",
+            rf"""elements AS (SELECT t.page_id, t.place, coalesce(p.stop, -1) AS stop, tag,
+    CAST(coalesce((SELECT sum(s) FROM bounds b WHERE b.page_id = t.page_id AND b.place < t.place), 0) AS BIGINT) AS depth,
+    trim(regexp_replace({_quoted('class')}, '\s+', ' ', 'g')) AS classes,
+    {_quoted('href')} AS href,
+    regexp_matches(piece, '(?i)^<[^>]*href\s*=') AS linked, {strip_tags('piece')} AS text
+    FROM tags t LEFT JOIN pairs p ON p.page_id = t.page_id AND p.place = t.place
+    WHERE regexp_matches(piece, '^<[a-zA-Z][^>]*>'))""")
+
+
 def sanitised(e: str, markers) -> str:
     hit = " OR ".join(f"contains({e}, {q(m)})" for m in markers)
     return rf"CASE WHEN {hit} THEN '' ELSE replace({e}, '\r', '') END"
@@ -244,15 +269,19 @@ def watched_rules() -> str:
             "label_selects, ad_words, no_ads) AS (" + _values(rows) + ")")
 
 
-def watched() -> str:
-    """The run over pages: first unseen entries of watched sources, judged and read."""
+def watched(part: str = "true") -> str:
+    """The run over pages: first unseen entries of watched sources, judged and read.
+
+    ``part`` names the pages of the run by their id.
+    """
     title = strip_tags("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")
     picture = HREF
     return ",\n".join([
         KEYED, watched_rules(), PARAGRAPHS, LINKS, lists(),
-        """fresh AS (SELECT * FROM keyed ANTI JOIN seen USING (lang, feed_host, entry_key)
+        f"""fresh AS (SELECT * FROM keyed ANTI JOIN seen USING (lang, feed_host, entry_key)
+  WHERE {part.replace('id', 'page_id')}
   QUALIFY row_number() OVER (PARTITION BY lang, feed_host, entry_key ORDER BY page_id) = 1)""",
-        f"""entries AS (SELECT f.page_id AS id, f.link, f.url, f.lang, regexp_extract({HOST.replace('url', 'f.url')},
+        f"""entries AS (SELECT f.page_id AS id, f.link, f.url, f.lang, f.feed_host, f.entry_key, regexp_extract({HOST.replace('url', 'f.url')},
     '([^.]+[.][^.]+)$', 1) AS service, {title} AS title, {PAGE_TEXT} AS text, {PAGE_RAW} AS raw, l.links,
     {picture} AS href, {HAS_AD} AS has_ad, lower({strip_tags(AD)}) AS ad
   FROM fresh f JOIN pages p ON p.page_id = f.page_id JOIN paras ON paras.page_id = f.page_id
@@ -467,6 +496,19 @@ SELECT page_id, CASE WHEN img = '' OR img LIKE 'data:%' THEN NULL WHEN img LIKE
     sql["page_parse"] = with_(PARAGRAPHS, LINKS) + f"""SELECT page_id, {PAGE_TEXT} AS text, {PAGE_RAW} AS raw,
 {HREF} AS image, {PAGE_TAGS} AS tags, {HAS_AD} AS has_ad FROM paras JOIN links USING (page_id)"""
     hit = " OR ".join(f"contains(lower(ad), {q(w)})" for w in fixtures.AD_WORDS)
+    sql["page_elements"] = with_(*ELEMENTS) + """SELECT page_id, place AS start, stop, depth, tag, classes, href, text
+FROM elements"""
+    # Pieces of an element are joined by their places; the article's own tags are no text.
+    sql["page_blocks"] = with_(*ELEMENTS, rf"""whole AS (
+  SELECT e.page_id, e.place, e.tag, any_value(e.href) AS href, string_agg(p.piece, '' ORDER BY p.place) AS markup
+  FROM elements e JOIN pieces p ON p.page_id = e.page_id AND p.place BETWEEN e.place AND e.stop - 1
+  WHERE e.stop >= 0 AND e.tag IN ('a', 'article') GROUP BY ALL),
+texts AS (SELECT *, {strip_tags('markup')} AS text FROM whole)""") + """SELECT g.page_id,
+  coalesce((SELECT string_agg(text, '|' ORDER BY place) FROM texts t WHERE t.page_id = g.page_id AND tag = 'article'), '') AS articles,
+  coalesce((SELECT string_agg(e.href || ' ' || coalesce(t.text, ''), '|' ORDER BY e.place) FROM elements e
+    LEFT JOIN texts t ON t.page_id = e.page_id AND t.place = e.place WHERE e.page_id = g.page_id AND e.tag = 'a' AND e.linked), '') AS links,
+  (SELECT count(*) FROM elements e WHERE e.page_id = g.page_id AND tag = 'div' AND list_contains(string_split(classes, ' '), 'ad')) AS ads
+FROM pages g"""
     sql["filter_content"] = (f"WITH a AS (SELECT page_id, CASE WHEN {HAS_AD} THEN {strip_tags(AD)} END AS ad FROM pages) "
                              f"SELECT page_id, coalesce({hit}, false) AS blocked, ad IS NOT NULL AS has_ad FROM a")
     sql["filter_selection"] = with_(LINKS, page_rules()) + f"""SELECT l.page_id,
@@ -574,6 +616,24 @@ tops AS (SELECT day, string_agg(tag, ' ' ORDER BY r) AS top_trend FROM (
   CASE WHEN len(reasons) = 0 THEN array_to_string(list_concat(rule_tags, coalesce(t.tags, [])), ' ') END AS tags,
   CASE WHEN len(reasons) = 0 THEN len(regexp_extract_all(j.text, {CHUNK}, 1)) END AS nbwords
 FROM judged j LEFT JOIN toptags t ON t.id = j.id"""
+    # The second run: what the first one stored comes first, whatever its ids.
+    told = "SELECT id, title, link, reasons, len(reasons) = 0 AS accepted, match_id, similarity, lang, feed_host, entry_key"
+    both = watched("id % 2 = 0").replace("articles AS MATERIALIZED", "fetched AS MATERIALIZED").replace(
+        terms("articles", "title"), """corpus AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY late, id) - 1 AS place FROM (
+    SELECT id, title, 0 AS late FROM (SELECT id, title FROM run1 WHERE accepted ORDER BY id DESC LIMIT 40)
+    UNION ALL SELECT id, title, 1 FROM fetched)),
+articles AS MATERIALIZED (SELECT place AS id, title FROM corpus),
+""" + terms("articles", "title")).replace("FROM articles a JOIN verdict v USING (id))", """FROM fetched a
+  JOIN corpus c ON c.late = 1 AND c.id = a.id JOIN verdict v ON v.id = c.place)""").replace(
+        "FROM keyed ANTI JOIN seen", "FROM keyed ANTI JOIN (SELECT * FROM seen UNION SELECT lang, feed_host, entry_key FROM run1) s")
+    sql["watcher_two_runs"] = f"""WITH run1 AS MATERIALIZED (WITH {watched("id % 2 = 1")} {told} FROM judged),
+run2 AS MATERIALIZED (WITH {both} {told} FROM judged)
+SELECT CAST(1 AS BIGINT) AS run, id, title, array_to_string(reasons, ',') AS reasons, accepted, coalesce(match_id, -1) AS match_id, similarity FROM run1
+UNION ALL SELECT 2, r.id, r.title, array_to_string(reasons, ','), accepted, coalesce(c.id, -1), similarity
+FROM run2 r LEFT JOIN (SELECT *, row_number() OVER (ORDER BY late, id) - 1 AS place FROM (
+    SELECT id, 0 AS late FROM (SELECT id FROM run1 WHERE accepted ORDER BY id DESC LIMIT 40)
+    UNION ALL SELECT id, 1 FROM run2)) c ON c.place = r.match_id"""
     sql["feed_export"] = with_(judged(), """newest AS (SELECT * FROM judged
   WHERE NOT (by_title OR by_url OR is_duplicate) ORDER BY id DESC LIMIT 100)""", tags_of("newest")) + \
         """SELECT n.id::VARCHAR AS id, title, service AS author, strftime(published, '%Y-%m-%d %H:%M:%S') AS published,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
@@ -222,6 +223,31 @@ def page_parse(spark, d):
         F.col("content").isNotNull().alias("has_ad"))
 
 
+@query
+def page_elements(spark, d):
+    """Every element of every page: place, depth, classes, link and the text up to the next tag."""
+    rows = pages(spark, d).select("page_id", markup.parsed(F.col("html")).alias("page"))
+    rows = rows.select("page_id", F.explode("page.elements").alias("e"))
+    return rows.select("page_id", F.col("e.start").cast("long").alias("start"),
+                       F.coalesce("e.stop", F.lit(-1)).cast("long").alias("stop"), F.col("e.depth").cast("long").alias("depth"),
+                       "e.tag", F.array_join("e.classes", " ").alias("classes"),
+                       F.coalesce(markup.attribute(F.col("e"), "href"), F.lit("")).alias("href"), "e.text")
+
+
+@query
+def page_blocks(spark, d):
+    """Whole texts of all articles and their lists of links, read from the parsed page."""
+    rows = pages(spark, d).select("page_id", markup.parsed(F.col("html")).alias("page"))
+    page = F.col("page")
+    links = F.transform(markup.find_all(page, "a"), lambda a: F.concat(
+        markup.attribute(a, "href"), F.lit(" "), F.coalesce(markup.element_text(page, a), F.lit(""))))
+    articles_ = F.filter(F.transform(markup.find_all(page, "article"), lambda a: markup.element_text(page, a)),
+                         lambda t: t.isNotNull())
+    ads = F.size(markup.find_all(page, "div", "ad")).cast("long")
+    return rows.select("page_id", F.array_join(articles_, "|").alias("articles"), F.array_join(links, "|").alias("links"),
+                       ads.alias("ads"))
+
+
 @query
 def filter_content(spark, d):
     ad = markup.container(markup.visible(F.col("html")), "div", "ad")
@@ -410,7 +436,7 @@ def _or_none(match_id: str):
 @query
 def near_dup_titles(spark, d):
     rows = titles_of(spark, d)
-    best = settle(similarity.best_earlier(rows, "id", "title"))
+    best = similarity.best_earlier(rows, "id", "title")
     graded = similarity.verdict(best, rows, "id", "title", OPTIONS.duplicate_at)
     return graded.withColumn("match_id", _or_none("match_id"))
 
@@ -506,21 +532,47 @@ def daily_store_scan(spark, d):
     return back.join(counters, "day")
 
 
-@query
-def watcher_run(spark, d):
-    """Pages as fetched entries, the rules read from XML settings."""
+def _settings(spark) -> DataFrame:
+    """The rules of the watched sources, read from XML settings."""
     path = fresh_path(spark, "settings")
     spark.createDataFrame([(fixtures.watched_settings(),)], "value string").write.text(path)
-    table = feeds.flatten_rules(feeds.read_rules(spark, path))
+    return feeds.flatten_rules(feeds.read_rules(spark, path))
+
+
+def _fetched(spark, d) -> DataFrame:
+    """Pages as fetched entries."""
     title = markup.plain_text(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1))
-    entries = pages(spark, d).select(F.col("page_id").alias("id"), page_service().alias("service"),
-                                     page_lang().alias("lang"), "url", title.alias("title"), "html")
-    done = watcher.run(entries, seen_pages(spark, d), table, OPTIONS)
+    return pages(spark, d).select(F.col("page_id").alias("id"), page_service().alias("service"),
+                                  page_lang().alias("lang"), "url", title.alias("title"), "html")
+
+
+@query
+def watcher_run(spark, d):
+    done = watcher.run(_fetched(spark, d), seen_pages(spark, d), _settings(spark), OPTIONS)
     return done.select("id", "link", "title", F.array_join("reasons", ",").alias("reasons"), "accepted",
                        _or_none("match_id"), "similarity", "text", "raw", "image",
                        F.array_join("all_tags", " ").alias("tags"), F.col("nbwords").cast("long").alias("nbwords"))
 
 
+@query
+def watcher_two_runs(spark, d):
+    """The odd pages, then the even ones, against what the first run stored.
+
+    The store keeps the newest 40 accepted titles; its ids lie between those of the
+    second run.  Keys that the first run met are known to the second one.
+    """
+    options = dataclasses.replace(OPTIONS, retained=40)
+    store, table, known = fresh_path(spark, "titles"), _settings(spark), seen_pages(spark, d)
+    out = None
+    for n, part in enumerate(("id % 2 = 1", "id % 2 = 0"), 1):
+        done = settle(watcher.run(_fetched(spark, d).where(part), known, table, options, store, n))
+        known = known.unionByName(done.select(*seen.KEYS))
+        told = done.select(F.lit(n).cast("long").alias("run"), "id", "title", F.array_join("reasons", ",").alias("reasons"),
+                           "accepted", _or_none("match_id"), "similarity")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 @query
 def feed_export(spark, d):
     judged = watcher.judge(articles(spark, d), document_rules(spark), OPTIONS)

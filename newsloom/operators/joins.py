@@ -45,7 +45,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int,
     cold = packed.where(F.col("_n") < floor).select(F.col("_k").alias("_ck"), F.col("_v").alias("_cold"))
     once = rows.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left").drop("_k")
     spread = F.xxhash64(*[F.col(c) for c in rows.columns if c != key] or [F.col(key)])
-    once = once.withColumn("_jk", F.when(F.col("_hot").isNull(), F.struct(
+    # A null key finds nothing: such rows are spread like the answered ones.
+    once = once.withColumn("_jk", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.struct(
         F.col(key).alias("k"), F.lit(0).cast("long").alias("s"))).otherwise(F.struct(
             F.lit(None).cast(rows.schema[key].dataType).alias("k"), spread.alias("s"))))
     cold = cold.withColumn("_cjk", F.struct(

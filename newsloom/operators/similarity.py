@@ -27,9 +27,14 @@ def _directions(counts: DataFrame) -> DataFrame:
 
 def best_earlier(titles: DataFrame, id_: str, title: str,
                  block_rows: int = joins.BLOCK_ROWS, salt_rows: int = joins.SALT_ROWS,
-                 hot_share: int = joins.HOT_SHARE) -> DataFrame:
+                 hot_share: int = joins.HOT_SHARE, counts: DataFrame | None = None,
+                 df: DataFrame | None = None, asked_from: int = 0) -> DataFrame:
     """(id, match_id, score): for each text the earlier text with the highest cosine.
 
+    Only texts from the id ``asked_from`` on ask; the ones before it are matches only.
+    Where terms are known already, ``counts`` (id, term, tf) and ``df`` (term, df) of
+    all texts are taken instead of cutting the texts.
+
     Equal scores go to the lowest id; texts that share no word with an earlier
     one get a null match and score 0.  The result is exact:
 
@@ -47,8 +52,9 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
       below the floor.
     """
     texts = titles.select(F.col(id_).alias("id"), F.col(title).alias("title"))
-    counts = settle(vectors.term_counts(texts, "id", "title"))
+    counts = settle(vectors.term_counts(texts, "id", "title")) if counts is None else counts
     n_texts = texts.count()
+    texts = texts.where(F.col("id") >= asked_from)
     rows = settle(_directions(counts))
     groups = rows.groupBy("key").agg(
         F.min(F.struct("id", "terms")).alias("first"), F.count("*").alias("copies"))
@@ -57,16 +63,21 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
 
     # Copies: everything but the first of a group.
     table = groups.where("copies > 1").select("key", F.col("id").alias("match_id"), "copies")
-    copied = (joins.lookup(rows.select("id", "key"), table, "key", "copies", n_rows, hot_share)
+    asking = rows.where(F.col("id") >= asked_from).select("id", "key")
+    copied = (joins.lookup(asking, table, "key", "copies", n_rows, hot_share)
               .where("match_id < id")
               .select("id", "match_id", F.lit(1.0).alias("score")))
 
     # Vectors of the first texts; document frequencies count the copies too.
     firsts = groups.select("id", "copies", F.explode("terms").alias("e")).select(
         "id", "copies", "e.term", "e.tf")
-    df = vectors.document_frequency(firsts, "copies")
+    df = vectors.document_frequency(firsts, "copies") if df is None else df
     vec = settle(vectors.weigh(firsts.drop("copies"), "id", n_texts, df))
     x = vec.select("id", F.explode("vec").alias("e")).select("id", "e.df", "e.term", "e.w")
+    if asked_from:
+        # Words that nobody asks for add nothing to any score.
+        sought = x.where(F.col("id") >= asked_from).select("term").distinct()
+        x = x.join(small_side(sought), "term", "left_semi")
 
     # What each word can add at most, and who would add it.
     seen = F.struct(F.round("w", 12).alias("w"), (-F.col("id")).alias("neg"))
@@ -82,13 +93,13 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
         "mass": F.sum(F.col("w") * F.col("w")).over(so_far),
         "place": F.row_number().over(hot_first),
     })
-    hottest = (x.where((F.col("place") == 1) & F.col("peak").isNotNull())
+    hottest = (x.where((F.col("place") == 1) & F.col("peak").isNotNull() & (F.col("id") >= asked_from))
                .select("id", (-F.col("peak.neg")).alias("match_id"), F.col("gain").alias("score")))
 
     # Posting lists hold one row per text and word; queries only their colder words.
     later = F.col("reach") - F.col("gain")
     later_mass = F.greatest(F.col("mass") - F.col("w") * F.col("w"), F.lit(0.0))
-    ask = (x.where((F.col("place") > 1) & F.col("peak").isNotNull()
+    ask = (x.where((F.col("place") > 1) & F.col("peak").isNotNull() & (F.col("id") >= asked_from)
                    & (F.col("reach") >= F.col("floor") - _EPS))
            .select("term", F.col("id").alias("i"), F.col("w").alias("wi"), "floor",
                    later.alias("ri"), F.sqrt(later_mass).alias("mi")))
@@ -122,12 +133,25 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
             .select("id", "match_id", F.coalesce("score", F.lit(0.0)).alias("score")))
 
 
+def with_matched(best: DataFrame, table: DataFrame) -> DataFrame:
+    """Add the columns of ``table`` (match_id, ...) to the rows of ``best`` that have a match, else nulls.
+
+    Very many rows may name one match: such matches are answered by a bounded broadcast,
+    and rows without a match are not joined at all.
+    """
+    best = settle(best)
+    found, alone = best.where("match_id is not null"), best.where("match_id is null")
+    uses = found.groupBy("match_id").agg(F.count("*").alias("_uses"))
+    joined = joins.lookup(found, table.join(uses, "match_id"), "match_id", "_uses", found.count())
+    more = [f for f in table.schema.fields if f.name != "match_id"]
+    return joined.unionByName(alone.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in more]))
+
+
 def verdict(best: DataFrame, titles: DataFrame, id_: str, title: str, threshold: float) -> DataFrame:
     """Add the rounded score, the matched text ('' when none) and the duplicate flag."""
     words = titles.select(F.col(id_).alias("match_id"), F.col(title).alias("similarity_with"))
-    joined = best.join(words, "match_id", "left")
     grade = F.round("score", 2)
-    return joined.select(
+    return with_matched(best, words).select(
         "id", "match_id", grade.alias("similarity"),
         F.coalesce("similarity_with", F.lit("")).alias("similarity_with"),
         (grade >= threshold).alias("is_duplicate"))

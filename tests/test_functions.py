@@ -100,3 +100,57 @@ def test_entry_content_without_similarity(spark):
         F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("body"), F.array(F.lit("a"), F.lit("b")),
         F.lit(None).cast("double"), F.lit(None).cast("string")).alias("c")).first().c
     assert got == "<p>body</p><p>Tags :['a', 'b']</p><p>Similarity of 0.0 with </p>"
+
+
+SOUP = ("<html><article class='x  y'><p>one <b>two</b> a < b</p><p>three<br>four<div id='d'>not</div>after</article>"
+        "<p>out</p><!-- <p>no</p> --><A HREF='/q&amp;r' href='second'>Link <i>it</i></A></html>")
+
+
+def test_parsed_page_counts_along_each_name(spark):
+    from newsloom.functions import markup
+
+    page = spark.createDataFrame([(SOUP,), (None,), ("",), ("no tags",)], "html string").select(
+        markup.parsed(F.col("html")).alias("page"))
+    rows = page.select("page.elements").collect()
+    found = [(e.tag, e.classes, e.start, e.stop, e.depth, e.text) for e in rows[0].elements]
+    assert found == [
+        ("html", [], 0, 17, 0, ""), ("article", ["x", "y"], 1, 10, 1, ""), ("p", [], 2, 5, 2, "one "), ("b", [], 3, 4, 3, "two"),
+        ("p", [], 6, None, 2, "three"), ("br", [], 7, None, 2, "four"), ("div", [], 8, 9, 2, "not"),
+        ("p", [], 11, 12, 1, "out"), ("a", [], 13, 16, 1, "Link "), ("i", [], 14, 15, 2, "it")]
+    assert [list(r.elements or []) for r in rows[1:]] == [[], [], []]
+    p = F.col("page")
+    got = page.limit(1).select(
+        F.transform(markup.find_all(p, "ARTICLE", "y"), lambda e: markup.element_text(p, e)).alias("article"),
+        F.size(markup.find_all(p, "article", "z")).alias("none"),
+        F.transform(markup.find_all(p, "a"), lambda e: markup.attribute(e, "href")).alias("href"),
+        F.transform(markup.find_all(p, "a"), lambda e: markup.element_markup(p, e)).alias("inner")).first()
+    assert got.article == ["one two a < bthreefournotafter"] and got.none == 0
+    assert got.href == ["/q&r"] and got.inner == ["Link <i>it</i>"]
+
+
+def test_pages_with_very_many_tags(spark):
+    """Patterns that recurse once per tag end the process from about 500 tags on."""
+    from newsloom.functions import markup
+    from newsloom.operators import pages
+
+    many = "<b>w</b> " * 100_000
+    rows = [(0, f"<article><p>{many}</p></article>"), (1, f"<article><p>{'x' * 5_000_000}</p></article>"),
+            (2, "<article>" + "<p>k <i>l</i></p>" * 30_000 + "</article>"), (3, f"<article><p>{'<b>w ' * 60_000}</p></article>")]
+    df = spark.createDataFrame(rows, "id int, html string").repartition(4)
+    got = {r.id: r.ps for r in pages.native_sections(df, "html", "article", "p", "ps").collect()}
+    assert got[0] == ["w " * 100_000] and got[1] == ["x" * 5_000_000]
+    assert got[2] == ["k l"] * 30_000 and got[3] == ["w " * 60_000]
+    inner = markup.container(markup.visible(F.col("html")), "article")
+    own = {r.id: r.own for r in df.select("id", markup.own_texts(inner, "p").alias("own")).collect()}
+    assert own[0] == [" "] * 100_000 and own[2] == ["k "] * 30_000 and own[3] == []
+    parsed = {r.id: (r.n, r.stops) for r in df.select("id", markup.parsed(F.col("html")).alias("page")).select(
+        "id", F.size("page.elements").alias("n"), F.transform(F.slice("page.elements", 1, 3), lambda e: e["stop"]).alias("stops")).collect()}
+    assert parsed[0] == (100_002, [200_003, 200_002, 3]) and parsed[2][0] == 60_001 and parsed[3] == (60_002, [60_003, 60_002, None])
+
+
+def test_running_sum(spark):
+    from newsloom.functions import arrays
+
+    rows = [([1] * 1000,), ([],), ([3, -1] * 300,), ([7],), (list(range(256)),), (list(range(257)),)]
+    for (r,), (v,) in zip(spark.createDataFrame(rows, "v array<int>").select(arrays.running_sum(F.col("v"))).collect(), rows):
+        assert r == [sum(v[:i + 1]) for i in range(len(v))]

@@ -115,3 +115,40 @@ def test_running_values_in_blocks(spark):
     assert sorted(map(tuple, whole)) == sorted((r.id, r.k, r.v, r.s) for r in blocks)
     placed = {r.id: r.pos for r in joins.positions(rows, "id", block_rows=6).collect()}
     assert placed == {i: i for i in range(50)}
+
+
+def test_lookup_spreads_null_keys(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 else i % 5) for i in range(200)], "id long, k long")
+    table = spark.createDataFrame([(k, 1, f"v{k}") for k in range(5)], "k long, n long, v string")
+    got = joins.lookup(rows, table, "k", "n", 200, hot_share=2).collect()
+    assert len(got) == 200 and all(r.v == (None if r.k is None else f"v{r.k}") for r in got)
+
+
+def test_new_titles_against_stored_ones(spark, tmp_path):
+    """Only new titles ask; what is stored counts as earlier, and idf is that of all."""
+    from newsloom.operators import title_store
+
+    path = str(tmp_path)
+    first = [(10, "storm closes northern harbour"), (30, "storm closes harbour again"), (20, "bakers win bread prize"),
+             (40, ""), (50, "river floods old market")]
+    new = [(5, "storm closes northern harbour"), (15, "bread prize for village bakers"), (25, "quiet sunday"),
+           (35, "bread prize for village bakers"), (45, None), (55, "river market floods")]
+    rows = lambda r: title_store.with_terms(spark.createDataFrame(r, "id long, title string"), "id", "title")
+    alone = {r.id: r for r in title_store.verdicts(rows(first), path, 0, 0.4).collect()}
+    assert alone[10].match_id is None and alone[30].match_id == 10
+    for _ in range(2):  # writing a version again changes nothing
+        title_store.write(rows(first), path, 1, 4)
+    assert {r.id for r in title_store.titles(spark, path, 1).collect()} == {50, 40, 30, 20}
+    got = {r.id: r for r in title_store.verdicts(rows(new), path, 1, 0.4).collect()}
+    assert set(got) == {i for i, _ in new}
+    assert got[5].match_id == 30 and got[15].match_id == 20 and got[55].match_id == 50
+    assert got[35].match_id == 15 and got[35].similarity == 1.0 and got[35].is_duplicate
+    assert got[25].match_id is None and got[45].match_id is None and got[45].similarity_with == ""
+    # The same by the plain operator over both sets, places in place of ids.
+    order = sorted([r for r in first if r[0] > 10]) + sorted(new, key=lambda r: r[0])
+    whole = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(order)], "id long, title string")
+    plain = {r.id: r for r in similarity.best_earlier(whole, "id", "title").collect()}
+    for i in range(4, len(order)):
+        match = plain[i].match_id
+        assert got[order[i][0]].match_id == (None if match is None else order[match][0])
+        assert got[order[i][0]].similarity == round(plain[i].score, 2)
