@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ GRAM = 20
 LEFT = LEAST - GRAM
 WINDOW = LEFT + 1
 PACK_BYTES = 4 << 20
+# What a row counts in a pack besides its text.
+ROW_BYTES = 64
 HOT = 1 << 14
 TWIN = np.uint32(1 << 31)
 PAD = 0xFF  # no byte of UTF-8 text
@@ -130,7 +133,8 @@ def packed(docs: DataFrame, id_: str, text: str, rest: list[str]) -> DataFrame:
                 ("pack", pa.int64()), *((c, pa.binary()) for c in ("ids", "stops", "same", "rest", "body"))]))
 
         for batch in batches:
-            lengths = np.array([len(x) if x is not None else 0 for x in batch.column("text").to_pylist()])
+            # UTF-8 bytes; a row counts even when it is empty.
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy() + ROW_BYTES
             start = 0
             for i, n in enumerate(lengths):
                 size += int(n)
@@ -191,7 +195,7 @@ def _shared(packs: DataFrame, buckets: int, most: int) -> DataFrame:
                 new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 ends = np.append(new[1:], len(h))
                 value = (h[new] << np.uint64(1)) | (doc[new] != doc[ends - 1]).astype(np.uint64)
-                bucket = (h[new] * np.uint64(buckets) >> np.uint64(47)).astype(np.int32)
+                bucket = ((h[new] >> np.uint64(15)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
                 cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 power = np.ceil(np.log2(ends - new)).astype(np.uint8)
                 yield pd.DataFrame({"bucket": bucket[cut], "pack": row["pack"], "blob": [
@@ -277,12 +281,19 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _hashed(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """128-bit hashes of the strings at ``starts``, as two columns."""
+    """128-bit hashes of the strings at ``starts``, as two columns.
+
+    In blocks: an object per string would take many times the bytes of the hashes.
+    """
     import xxhash
 
-    body, digest = data.tobytes(), xxhash.xxh3_128_digest
-    hashes = b"".join([digest(body[p:p + LEAST]) for p in starts.tolist()])
-    return list(np.frombuffer(hashes, "<u8").reshape(-1, 2).T)
+    body, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    hashes = np.empty((len(starts), 16), np.uint8)
+    for a in range(0, len(starts), 1 << 14):
+        some = starts[a:a + (1 << 14)].tolist()
+        hashes[a:a + len(some)] = np.frombuffer(
+            b"".join([digest(body[p:p + LEAST]) for p in some]), np.uint8).reshape(-1, 16)
+    return list(hashes.view("<u8").T)
 
 
 def _runs(splitters: list[bytes], parts: int):
@@ -550,8 +561,10 @@ def _hits(found: list[tuple[bytes, bytes]], stops: np.ndarray, size: int) -> np.
 
 
 def _splitters(packs: DataFrame, count: int, ranges: int, sampled: int = 64) -> list[bytes]:
-    """Cuts for about even ranges, from anchors of about ``sampled`` packs; they only
-    balance the work."""
+    """Cuts for about even ranges, from anchors of ``sampled`` packs, or of more where
+    that gives less than eight per range; they only balance the work."""
+    sampled = max(sampled, -(-ranges * 8 // 256))
+
     def run(frames):
         import pandas as pd
 
@@ -599,7 +612,7 @@ def repeated(docs: DataFrame, id_: str, text: str, rest: list[str] | None = None
         import zstandard
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 data, stops, ids = _opened(row)
                 so_far = np.cumsum(_hits(list(zip(row["places"] or [], row["masks"] or [])), stops, len(data)), dtype=np.int32)
                 gone = so_far > np.append(np.zeros(LEAST, np.int32), so_far)[:len(data)]
