@@ -8,7 +8,6 @@ stage works on all that the stage before it kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsloom.llm import packing, quality, queries, simhash, suffixes, toxicity
@@ -30,16 +29,20 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group; of repeated rows of that id, one.
+    """One document of every group: the one of the smallest id, null ids last, and of the smallest text hash.
 
-    A group is named by an id, so rows without one stay.
+    Ids need not be unique: two texts under one id that are no near-duplicates both stay.
     """
-    groups = simhash.near_duplicates(docs, "doc_id", "text")
-    firsts = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    one = kept.withColumn("_turn", turn).where("_turn = 1")
-    return one.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    order = [F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"]
+    firsts = simhash.near_duplicates(docs, "doc_id", "text").groupBy("root").agg(F.min(F.struct(*order)).alias("one"))
+    firsts = firsts.select("one.doc_id", "one.text_hash")
+    hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    same = hashed["doc_id"].eqNullSafe(firsts["doc_id"]) & (hashed["text_hash"] == firsts["text_hash"])
+    kept = hashed.join(firsts, same, "left_semi")
+    # Equal rows fold before the exchange.
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one = kept.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*rest)).alias("row"))
+    return one.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,13 +45,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_: str, text: str, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp as a signed long.  Null and empty texts have fingerprint 0."""
+    """(doc_id, text_hash, fp): fp as a signed long.  Null and empty texts have fingerprint 0."""
     def run(frames):
         for pdf in frames:
             fp = np.array([fingerprint(t, shingle) for t in pdf.pop("text")], np.uint64)
             yield pdf.assign(fp=fp.view(np.int64))
 
-    return in_frames(pick(docs, doc_id=id_, text=text), run, "doc_id long, fp long")
+    rows = pick(docs, doc_id=id_, text=text).withColumn("text_hash", F.xxhash64("text"))
+    return in_frames(rows.select("doc_id", "text_hash", "text"), run, "doc_id long, text_hash long, fp long")
 
 
 def _cell(fp: Column) -> Column:
@@ -151,7 +152,8 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_: str, text: str, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable.
+    """(doc_id, text_hash, fp, component_id, root): component_id is the smallest doc_id reachable,
+    root a fingerprint that names the component also where ids repeat or are null.
 
     Null and empty texts share fingerprint 0 and link like any other.  Repeated
     rows and ids give as many rows.  A null doc_id keeps its row; it names a
@@ -165,7 +167,7 @@ def near_duplicates(docs: DataFrame, id_: str, text: str, shingle: int = 3, radi
         prints["fp"], "least", "copies", F.coalesce(roots["root"], prints["fp"]).alias("root"))
     joined = settle(joined)
     names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = joined.join(names, "root").select("fp", "component_id", "copies")
+    table = joined.join(names, "root").select("fp", "component_id", "root", "copies")
     return lookup(marked, table, "fp", "copies", marked.count())
 
 

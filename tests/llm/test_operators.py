@@ -284,9 +284,21 @@ def test_pipeline_stages(spark, texts, tmp_path):
         str(tmp_path / "labels.parquet"))
     near = corpus_pipeline.without_near_duplicates(spark, table, str(tmp_path))
     assert near.columns == corpus_pipeline.COLUMNS
-    ids = [r.doc_id for r in near.collect()]
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(table, "doc_id", "text").collect()}
-    assert sorted(x for x in ids if x is not None) == sorted({g for i, g in groups.items() if i is not None})
+    found = simhash.near_duplicates(table, "doc_id", "text").collect()
+    best = {}
+    for r in found:
+        mine = (r.doc_id is None, r.doc_id or 0, r.text_hash)
+        best[r.root] = min(mine, best.get(r.root, mine))
+    kept = [(r.doc_id is None, r.doc_id or 0, r.h) for r in near.withColumn("h", F.xxhash64("text")).collect()]
+    assert sorted(kept) == sorted(best.values())
+    # Another text under an id that is there already is no near-duplicate, and rows without an id are rows, too.
+    more = table.unionByName(docs(spark, [(0, "entirely other words stand here and nowhere else"), (None, "no id at all"),
+                                          (None, "no id at all")]).select(*corpus_pipeline.COLUMNS))
+    again = corpus_pipeline.without_near_duplicates(spark, more, str(tmp_path))
+    assert again.where("doc_id = 0").count() == 2 and again.where("doc_id is null").count() == 1
+    empty = table.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns[:3] == ["doc_id", "piece", "start"] and out.count() > 0
 
