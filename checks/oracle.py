@@ -598,13 +598,14 @@ SELECT day, row_number() OVER (PARTITION BY day ORDER BY uses DESC, f) AS rank,
   count(*) FILTER (is_duplicate) AS duplicates,
   coalesce(sum(len(regexp_extract_all(text, {CHUNK}, 1))) FILTER (ok), 0)::BIGINT AS nbwords,
   coalesce(sum(len(all_tags)) FILTER (ok), 0)::BIGINT AS nbtags"""
-    figures = with_(judged(), tags_of("articles"), f"""told AS (SELECT j.*, {DAY.replace('id', 'j.id')} AS day,
+    figures_of = lambda verdicts: with_(verdicts, tags_of("articles"), f"""told AS (SELECT j.*, {DAY.replace('id', 'j.id')} AS day,
   NOT (by_title OR by_url OR is_duplicate) AS ok, list_concat(coalesce(rule_tags, []), coalesce(t.tags, [])) AS all_tags
   FROM judged j LEFT JOIN toptags t ON t.id = j.id)""", """uses AS (SELECT day, tag, count(*) AS n, min((id, pos)) AS f FROM (
   SELECT id, day, unnest(all_tags) AS tag, generate_subscripts(all_tags, 1) AS pos FROM told WHERE ok) GROUP BY ALL),
 tops AS (SELECT day, string_agg(tag, ' ' ORDER BY r) AS top_trend FROM (
   SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, f) AS r FROM uses) WHERE r <= 10 GROUP BY day)""",
-                    f"stats AS (SELECT day, {counters} FROM told GROUP BY day)")
+                                        f"stats AS (SELECT day, {counters} FROM told GROUP BY day)")
+    figures = figures_of(judged())
     sql["daily_stats"] = figures + "SELECT stats.*, top_trend FROM stats LEFT JOIN tops USING (day)"
     sql["stats_merge"] = figures + "SELECT * FROM stats"
     sql["daily_store_scan"] = figures + """SELECT stats.*, coalesce(top_trend, '') AS top_trend, id, service, title, lang,
@@ -679,5 +680,18 @@ FROM articles GROUP BY ALL"""
     sql["stream_neardup"] = with_(A, L, TF, batch("a", "SELECT id, 1 AS late FROM articles WHERE id % 2 = 1"), batch(
         "b", """SELECT id, 0 AS late FROM (SELECT id FROM a_told WHERE NOT is_duplicate ORDER BY id DESC LIMIT 500)
   UNION ALL SELECT id, 1 FROM articles WHERE id % 2 = 0""")) + "SELECT * FROM a_told UNION ALL SELECT * FROM b_told"
-    sql["stream_daily"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total FROM events GROUP BY 1"""
+    sql["stream_event_days"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total FROM events GROUP BY 1"""
+    # The odd ids are judged first; the even ones against what was accepted of them.
+    kept = f"""SELECT a.id FROM a_told t JOIN articles a USING (id) WHERE NOT t.is_duplicate
+    AND NOT ({BLOCKED.format(t='title')}) AND NOT ({URL_BLOCKED}) ORDER BY a.id DESC LIMIT 500"""
+    batches = ",\n".join([
+        batch("a", "SELECT id, 1 AS late FROM articles WHERE id % 2 = 1"),
+        batch("b", f"SELECT id, 0 AS late FROM ({kept}) UNION ALL SELECT id, 1 FROM articles WHERE id % 2 = 0"),
+        "verdict AS (SELECT *, '' AS similarity_with FROM a_told UNION ALL SELECT *, '' FROM b_told)"])
+    sql["stream_daily"] = figures_of(judged().replace(f"{VECTORS},\n{BEST}", batches)) + """
+SELECT stats.*, coalesce(top_trend, '') AS top_trend FROM stats LEFT JOIN tops USING (day)"""
+    sql["stream_window"] = with_(A) + """, p AS (SELECT id, service, lower(title) AS text,
+  row_number() OVER (PARTITION BY service ORDER BY id % 2 DESC, id) AS pos FROM articles)
+SELECT n.service, n.id, n.pos - o.pos AS slot, o.text FROM p n JOIN p o ON o.service = n.service
+  AND o.pos BETWEEN n.pos - 6 AND n.pos"""
     return sql

@@ -770,7 +770,8 @@ def stream_dedup(spark, d):
 
 
 @query
-def stream_daily(spark, d):
+def stream_event_days(spark, d):
+    """Rows per day of the events, with a watermark."""
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     out = fresh_path(spark, "days")
     # The files hold the month in no order, so no day may leave the state before the end.
@@ -779,6 +780,31 @@ def stream_daily(spark, d):
     return spark.read.parquet(out).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "total")
 
 
+@query
+def stream_daily(spark, d):
+    """All figures of the days over two landed batches, the second one done twice."""
+    rows, table = articles(spark, d), document_rules(spark)
+    landing, out, store, check = (fresh_path(spark, x) for x in ("landing", "figures", "titles", "ck"))
+    for part in ("id % 2 = 1", "id % 2 = 0"):
+        rows.where(part).write.mode("append").parquet(landing)
+        stream = jobs.landed(spark, landing, rows.schema, files_per_batch=100_000)
+        jobs.day_figures(stream, table, out, store, check, OPTIONS, once=True).awaitTermination()
+    jobs.figures_of(table, out, store, OPTIONS)(rows.where("id % 2 = 0"), 1)
+    return watcher.day_figures(spark, out).withColumn("top_trend", F.array_join("top_trend", " "))
+
+
+@query
+def stream_window(spark, d):
+    """The register of each source after every title, over two landed batches: the odd ids first."""
+    rows = articles(spark, d).select("id", "service", "title")
+    landing, out, check = (fresh_path(spark, x) for x in ("landing", "windows", "ck"))
+    for part in ("id % 2 = 1", "id % 2 = 0"):
+        rows.where(part).write.mode("append").parquet(landing)
+        stream = jobs.landed(spark, landing, rows.schema, files_per_batch=100_000)
+        jobs.recent_windows(stream, "service", "id", "title", OPTIONS.buffer_size, out, check, once=True).awaitTermination()
+    return spark.read.parquet(out).select(F.col("source").alias("service"), "id", F.col("slot").cast("long").alias("slot"), "text")
+
+
 @query
 def stream_neardup(spark, d):
     """Titles landed in two batches, the odd ids first: the history holds higher ids, too."""

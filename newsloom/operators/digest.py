@@ -139,20 +139,35 @@ def canonical_tags(tags: DataFrame, aliases: DataFrame) -> DataFrame:
                          F.col("_c").isNotNull().alias("known"))
 
 
-def tag_trend(tags: DataFrame, day: str, order: str, k: int = 10) -> DataFrame:
-    """(day, rank, tag, uses): the most used tags of each day, ties by first use.
+def tag_uses(tags: DataFrame, day: str, order: str) -> DataFrame:
+    """(day, tag, uses, first): how often a day uses a tag, and where first.
 
-    ``tags`` holds one array of tags per article.  Counts combine before the
-    exchange, and so does the top k of a day.
+    ``tags`` holds one array of tags per article.  Counts combine before the exchange.
     """
     uses = tags.select(day, order, F.posexplode("tags").alias("pos", "tag"))
-    counts = uses.groupBy(day, "tag").agg(
-        F.count("*").alias("uses"), F.min(F.struct(order, "pos")).alias("_first"))
-    rank = Window.partitionBy(day).orderBy(F.desc("uses"), "_first")
-    return (counts.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return uses.groupBy(day, "tag").agg(F.count("*").alias("uses"), F.min(F.struct(order, "pos")).alias("first"))
+
+
+def merge_uses(parts: DataFrame, day: str) -> DataFrame:
+    """The uses of several runs of a day added up."""
+    return parts.groupBy(day, "tag").agg(F.sum("uses").alias("uses"), F.min("first").alias("first"))
+
+
+def top_uses(uses: DataFrame, day: str, k: int) -> DataFrame:
+    """(day, rank, tag, uses): the k most used tags of each day, ties by first use."""
+    rank = Window.partitionBy(day).orderBy(F.desc("uses"), "first")
+    return (uses.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
             .select(day, "rank", "tag", "uses"))
 
 
+def tag_trend(tags: DataFrame, day: str, order: str, k: int = 10) -> DataFrame:
+    """(day, rank, tag, uses): the most used tags of each day, ties by first use.
+
+    Counts combine before the exchange, and so does the top k of a day.
+    """
+    return top_uses(tag_uses(tags, day, order), day, k)
+
+
 def daily_stats(articles: DataFrame, day: str) -> DataFrame:
     """Counters per day.
 
@@ -169,10 +184,11 @@ def daily_stats(articles: DataFrame, day: str) -> DataFrame:
         F.coalesce(F.sum(F.when(ok, F.col("nbtags"))), F.lit(0)).cast("long").alias("nbtags"))
 
 
-def merge_stats(stored: DataFrame, run: DataFrame, day: str) -> DataFrame:
+def merge_stats(stored: DataFrame, run: DataFrame | None, day: str) -> DataFrame:
     """Counters of earlier runs of a day plus those of this run."""
     sums = ["total", "twitted", "filtered", "duplicates", "nbwords", "nbtags"]
-    both = stored.select(day, *sums).unionByName(run.select(day, *sums))
+    both = stored.select(day, *sums)
+    both = both if run is None else both.unionByName(run.select(day, *sums))
     return both.groupBy(day).agg(*[F.sum(c).alias(c) for c in sums])
 
 

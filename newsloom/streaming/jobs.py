@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import digest, joins, seen, similarity
 from ..options import RunOptions
+from ..plans import watcher
 from ..session import settle
 
 POLL = "5 minutes"
@@ -91,6 +92,70 @@ def recent_verdicts(stream: DataFrame, id_: str, title: str, out: str, retained:
     return _start(stream.writeStream.foreachBatch(step), checkpoint, once)
 
 
+def day_figures(stream: DataFrame, rule_table: DataFrame, out: str, store: str, checkpoint: str,
+                options: RunOptions = RunOptions(), once: bool = False) -> StreamingQuery:
+    """All six counters and the trend per day of ``published``, kept up to date batch by batch.
+
+    ``stream`` holds articles (id, service, lang, title, link, text, published).  See
+    ``figures_of`` for a batch.
+    """
+    return _start(stream.writeStream.foreachBatch(figures_of(rule_table, out, store, options)), checkpoint, once)
+
+
+def figures_of(rule_table: DataFrame, out: str, store: str, options: RunOptions = RunOptions()):
+    """What a batch of articles does: judged against the retained titles, its sums go into the days it touches.
+
+    Batch n reads version n of the title store and writes version n + 1, and replaces its
+    own sums, so a batch that is run again changes nothing.
+    """
+    def step(batch: DataFrame, n: int) -> None:
+        held = settle(batch)
+        rows = watcher.counted(held, rule_table, options, store, n + 1)
+        watcher.add_day_parts(rows.withColumn("day", F.date_format("published", "yyyy-MM-dd")), out, n)
+
+    return step
+
+
+class _Recent(StatefulProcessor):
+    """The last titles of one source, oldest first, in a list state."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "id long, text string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        held = [(r[0], r[1]) for r in self.recent.get()]
+        new = pd.concat(list(rows)).sort_values("id", kind="stable")
+        line = held + list(zip(new["id"].tolist(), new["text"].tolist()))
+        block = max(1, 65_536 // (self.size + 1))
+        for a in range(len(held), len(line), block):
+            at = range(a, min(a + block, len(line)))
+            slots = [(line[i][0], k, line[i - k][1]) for i in at for k in range(min(self.size, i) + 1)]
+            yield pd.DataFrame(slots, columns=["id", "slot", "text"]).assign(source=key[0])[["source", "id", "slot", "text"]]
+        self.recent.put(line[-self.size:])
+
+    def close(self) -> None:
+        pass
+
+
+def recent_windows(stream: DataFrame, source: str, id_: str, title: str, size: int, out: str, checkpoint: str,
+                   once: bool = False) -> StreamingQuery:
+    """(source, id, slot, text): what the shift register of a source holds after each arrival, slot 0 newest.
+
+    A source keeps its last ``size`` lower-cased titles in the state store, however
+    long it has been silent.  Titles of one batch arrive in the order of their ids; a
+    task holds the titles of one source and one batch, which the trigger bounds.
+    """
+    rows = stream.select(F.col(source).alias("source"), F.col(id_).cast("long").alias("id"), F.lower(title).alias("text"))
+    windows = rows.groupBy("source").transformWithStateInPandas(
+        _Recent(size), "source string, id long, slot int, text string", "Append", "None")
+    return _start(windows.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, once)
+
+
 def landed(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """Parquet files of a landing folder, a few per batch."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path))
