@@ -586,6 +586,10 @@ SELECT DISTINCT id, phrase FROM (SELECT id, run, string_agg(word, ' ' ORDER BY p
 SELECT a.id AS query_id, row_number() OVER (PARTITION BY a.id ORDER BY round(sum(a.w * b.w), 9) DESC, b.id) AS rank,
   b.id AS match_id, round(sum(a.w * b.w), 6) AS score
 FROM x a JOIN qs ON qs.id = a.id JOIN x b ON b.term = a.term AND b.id <> a.id GROUP BY a.id, b.id QUALIFY rank <= 3"""
+    sql["similar_all"] = with_(A, L, TF, VECTORS) + """SELECT a.id AS query_id,
+  row_number() OVER (PARTITION BY a.id ORDER BY round(sum(a.w * b.w), 9) DESC, b.id) AS rank,
+  b.id AS match_id, round(sum(a.w * b.w), 6) AS score
+FROM x a JOIN x b ON b.term = a.term AND b.id <> a.id GROUP BY a.id, b.id QUALIFY rank <= 3"""
     sql["more_like_this"] = "WITH " + MLT
     sql["retention"] = with_(A) + "SELECT id, title FROM articles ORDER BY id DESC LIMIT 500"
     sql["retention_per_source"] = with_(A) + """SELECT id, service, title FROM articles

@@ -466,6 +466,14 @@ def similar_topn(spark, d):
         "query_id", "rank", "match_id", F.round("score", 6).alias("score"))
 
 
+@query
+def similar_all(spark, d):
+    """The three most similar other titles of every title."""
+    rows = titles_of(spark, d)
+    return similarity.similar_topn_all(rows, rows, "id", "title", 3).select(
+        "query_id", "rank", "match_id", F.round("score", 6).alias("score"))
+
+
 @query
 def more_like_this(spark, d):
     corpus = documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("body"))

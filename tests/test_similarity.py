@@ -152,3 +152,25 @@ def test_new_titles_against_stored_ones(spark, tmp_path):
         match = plain[i].match_id
         assert got[order[i][0]].match_id == (None if match is None else order[match][0])
         assert got[order[i][0]].similarity == round(plain[i].score, 2)
+
+
+@pytest.mark.parametrize("n,salt_rows,hot_share", [(1, 50_000, 10_000), (3, 4, 5), (5, 3, 10_000)])
+def test_topn_of_all_texts_is_exact(spark, n, salt_rows, hot_share):
+    """Against all pairs: copies, ties, texts without words, a word in every text."""
+    rng = random.Random(n)
+    words = "harbour bridge closes orchestra dawn city concert painter bakery flood market storm".split()
+    rows = [(i, "harbour " + " ".join(rng.choices(words, [12 - k for k in range(12)], k=rng.randrange(1, 6)))) for i in range(60)]
+    rows += [(100 + i, rows[3][1]) for i in range(7)] + [(200, ""), (201, None), (202, "walrus"), (203, "walrus walrus"), (204, "unique")]
+    df = spark.createDataFrame(rows, "id long, title string")
+    asked = df.where("id % 3 <> 1")
+    got = similarity.similar_topn_all(df, asked, "id", "title", n, salt_rows, hot_share).collect()
+    vecs = {}
+    for r in vectors.tfidf(df, "id", "title").collect():
+        vecs.setdefault(r.id, {})[r.term] = r.weight
+    want = []
+    for i in sorted(r[0] for r in rows if r[0] % 3 != 1 and r[0] in vecs):
+        scores = [(round(sum(w * vecs[j].get(t, 0) for t, w in vecs[i].items()), 9), j) for j in vecs if j != i]
+        best = sorted((-s, j) for s, j in scores if s > 0)[:n]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.match_id, round(r.score, 9)) for r in got) == want
+    assert similarity.similar_topn_all(df.limit(0), df.limit(0), "id", "title", n).count() == 0
