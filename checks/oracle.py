@@ -667,6 +667,11 @@ FROM docs d JOIN lng l ON l.id = d.id LEFT JOIN summaries s ON s.id = d.id LEFT
     sql["rules_scan"] = with_(A, R, RULED) + f"SELECT id, title, {BLOCKED.format(t='title')} AS blocked FROM ruled"
     sql["article_files_scan"] = """SELECT source, doc_id::VARCHAR AS title, text AS content FROM documents"""
     sql["feed_entries_scan"] = with_(A) + "SELECT title, link, service AS summary FROM articles"
+    sql["atom_entries_scan"] = with_(A) + """SELECT title, link, service AS summary,
+  CASE WHEN id % 2 = 1 THEN strftime(published, '%Y-%m-%d %H:%M') ELSE strftime(published, '%Y-%m-%d') END AS published
+FROM articles"""
+    sql["stream_entries"] = with_(A) + """SELECT title, link, service AS summary,
+  CASE WHEN id % 2 = 0 THEN strftime(published, '%Y-%m-%d') ELSE '' END AS published FROM articles"""
     sql["feed_sink"] = with_(A) + """SELECT id, title, service AS author, strftime(published, '%Y-%m-%d %H:%M:%S') AS published,
   strftime(published, '%Y-%m-%d %H:%M:%S') AS updated, link, '<img src="' || link || '.jpg?a&b"/><p>' || text
   || '</p><p>Tags :[\'\'' || service || '\'\']</p><p>Similarity of 0.0 with ' || title || '</p>' AS content
@@ -681,6 +686,15 @@ WHERE turn = 1 GROUP BY lang, feed_host"""
 FROM articles GROUP BY ALL"""
     sql["stream_ingest"] = with_(KEYED) + "SELECT page_id, lang, feed_host, entry_key, link FROM keyed"
     sql["stream_dedup"] = with_(KEYED) + "SELECT DISTINCT lang, feed_host, entry_key FROM keyed"
+    # The first two days are known to the third; on the fourth only the third is remembered.
+    days = ["2024-03-01", "2024-03-02", "2024-03-08", "2024-03-09"]
+    came = ",\n".join(f"""d{k} AS (SELECT DISTINCT '{day}' AS day, lang, service || '.example.com' AS feed_host,
+    id % 5 || '.txt' AS entry_key FROM articles WHERE id // 20 % 4 = {k}{' AND id % 9 <> 0' if k == 3 else ''})""" for k, day in enumerate(days))
+    keys = "USING (lang, feed_host, entry_key)"
+    sql["stream_dedup_bounded"] = with_(A, came, f"e1 AS (SELECT * FROM d1 ANTI JOIN d0 {keys})",
+                                        f"e2 AS (SELECT * FROM d2 ANTI JOIN d0 {keys} ANTI JOIN d1 {keys})",
+                                        f"e3 AS (SELECT * FROM d3 ANTI JOIN e2 {keys})") + \
+        "SELECT * FROM d0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3"
     sql["stream_neardup"] = with_(A, L, TF, batch("a", "SELECT id, 1 AS late FROM articles WHERE id % 2 = 1"), batch(
         "b", """SELECT id, 0 AS late FROM (SELECT id FROM a_told WHERE NOT is_duplicate ORDER BY id DESC LIMIT 500)
   UNION ALL SELECT id, 1 FROM articles WHERE id % 2 = 0""")) + "SELECT * FROM a_told UNION ALL SELECT * FROM b_told"

@@ -702,6 +702,38 @@ def feed_entries_scan(spark, d):
     return feeds.read_entries(spark, path).select("title", "link", "summary")
 
 
+def _atom(rows: DataFrame, path: str) -> None:
+    """Articles as Atom files: a link to the feed before the one to the page."""
+    link = lambda rel, href: F.struct(F.lit(rel).alias("_rel"), href.alias("_href"))
+    odd = F.col("id") % 2 == 1
+    own = F.when(odd, link("alternate", F.col("link"))).otherwise(link(None, F.col("link")))
+    rows.select("title", F.array(link("self", F.lit("https://feed.example.com/")), own).alias("link"),
+                F.when(odd, F.date_format("published", "yyyy-MM-dd HH:mm")).alias("published"),
+                F.date_format("published", "yyyy-MM-dd").alias("updated"), F.col("service").alias("summary")).write.mode(
+        "append").format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
+
+
+@query
+def atom_entries_scan(spark, d):
+    """Feeds landed as Atom files, read back as entries."""
+    path = fresh_path(spark, "atom")
+    _atom(articles(spark, d), path)
+    return feeds.read_atom_entries(spark, path)
+
+
+@query
+def stream_entries(spark, d):
+    """RSS and Atom files that land in two turns, read as one stream."""
+    rss, atom, out, check = (fresh_path(spark, x) for x in ("rss", "atom", "entries", "ck"))
+    for half in (0, 1):
+        rows = articles(spark, d).where(F.floor(F.col("id") % 4 / 2) == half)
+        _atom(rows.where("id % 2 = 0"), atom)
+        (rows.where("id % 2 = 1").select("title", "link", F.col("service").alias("description"))
+         .write.mode("append").format("xml").option("rootTag", "channel").option("rowTag", "item").save(rss))
+        jobs.entries(spark, out, check, rss, atom, once=True).awaitTermination()
+    return spark.read.parquet(out).select("title", "link", "summary", F.coalesce("published", F.lit("")).alias("published"))
+
+
 @query
 def feed_sink(spark, d):
     """The newest entries written as feed XML and read back."""
@@ -777,6 +809,26 @@ def stream_dedup(spark, d):
     return spark.read.parquet(out).select(*seen.KEYS)
 
 
+# Days on which the parts of the bounded dedup land; a key is kept for three.
+LANDED = ("2024-03-01", "2024-03-02", "2024-03-08", "2024-03-09")
+
+
+@query
+def stream_dedup_bounded(spark, d):
+    """Entries that land on four days.  What came on the first two days is forgotten on the last one,
+    and may come again; every ninth row of the last day is dated so early that it is left out."""
+    url = F.concat(F.lit("https://"), "service", F.lit(".example.com/"), (F.col("id") % 5).cast("string"))
+    rows = articles(spark, d).select("id", "lang", url.alias("url"))
+    landing, out, check = (fresh_path(spark, x) for x in ("landing", "first", "ck"))
+    for k, day in enumerate(LANDED):
+        early = (F.lit(k == 3)) & (F.col("id") % 9 == 0)
+        part = rows.where(F.floor(F.col("id") / 20) % 4 == k).withColumn("landed", F.when(early, F.lit(LANDED[0])).otherwise(F.lit(day)).cast("timestamp"))
+        part.write.mode("append").parquet(landing)
+        stream = jobs.landed(spark, landing, part.schema, files_per_batch=100_000)
+        jobs.first_entries(stream, "url", "lang", out, check, once=True, event_time="landed", keep_for="3 days").awaitTermination()
+    return spark.read.parquet(out).select(F.date_format("landed", "yyyy-MM-dd").alias("day"), *seen.KEYS)
+
+
 @query
 def stream_event_days(spark, d):
     """Rows per day of the events, with a watermark."""

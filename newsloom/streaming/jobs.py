@@ -10,6 +10,7 @@ from ..operators import digest, joins, seen, similarity
 from ..options import RunOptions
 from ..plans import watcher
 from ..session import settle
+from ..sources import feeds
 
 POLL = "5 minutes"
 
@@ -36,7 +37,9 @@ def first_entries(stream: DataFrame, url: str, lang: str, out: str, checkpoint:
     """First entry per key.
 
     State is kept for ever, or, given ``event_time`` and ``keep_for``, only as
-    long as a repeat may still come.
+    long as a repeat may still come: a key leaves the state when the watermark passes
+    the time of its entry plus ``keep_for``, and may then come again as a new one.
+    Entries behind the watermark are left out; ``late_rows`` counts them.
     """
     keyed = seen.keyed(stream, url, lang)
     if event_time and keep_for:
@@ -46,6 +49,20 @@ def first_entries(stream: DataFrame, url: str, lang: str, out: str, checkpoint:
     return _start(unique.writeStream.format("parquet").option("path", out), checkpoint, once)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark, over the recent batches of a query."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def entries(spark: SparkSession, out: str, checkpoint: str, rss: str | None = None, atom: str | None = None,
+            once: bool = False) -> StreamingQuery:
+    """Entries of RSS and Atom files as they land, written as one table."""
+    parts = [feeds.read_entries(spark, rss, streaming=True)] if rss else []
+    parts += [feeds.read_atom_entries(spark, atom, streaming=True)] if atom else []
+    both = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+    return _start(both.writeStream.format("parquet").option("path", out), checkpoint, once)
+
+
 def daily_counts(stream: DataFrame, ts: str, out: str, checkpoint: str, late: str = "1 day",
                  once: bool = False) -> StreamingQuery:
     """Rows per day; each batch replaces the days it changed, older days leave the state."""

@@ -81,3 +81,31 @@ def test_counters_of_a_replayed_batch(spark, tmp_path):
         step(make([row(10, titles[1]), row(11, "harbour closes in northern storm"), row(12, "new bridge opens")]), 1)
         got = watcher.day_figures(spark, str(tmp_path / "f")).first()
         assert (got.day, got.total, got.twitted, got.filtered, got.duplicates) == ("2024-02-03", 7, 5, 2, 2)
+
+
+def test_bounded_dedup_counts_late_rows(spark, tmp_path):
+    landing, out, check = (str(tmp_path / x) for x in ("landing", "out", "ck"))
+    day = lambda n: f"2024-05-{n:02}"
+    late = 0
+    for n, rows in enumerate([[(1, "a", 1), (2, "a", 1), (3, "b", 1)], [(4, "a", 2)], [(5, "c", 20)], [(6, "a", 21), (7, "b", 3)]]):
+        df = spark.createDataFrame([(i, f"https://h.example/{k}", "en", day(d)) for i, k, d in rows],
+                                   "id long, url string, lang string, at string").withColumn("at", F.col("at").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(landing)
+        query = jobs.first_entries(jobs.landed(spark, landing, df.schema, 100), "url", "lang", out, check, once=True,
+                                   event_time="at", keep_for="3 days")
+        query.awaitTermination()
+        late += jobs.late_rows(query)
+    got = Counter((r.entry_key, str(r.at)[:10]) for r in spark.read.parquet(out).collect())
+    assert got == {("a.txt", day(1)): 1, ("b.txt", day(1)): 1, ("c.txt", day(20)): 1, ("a.txt", day(21)): 1}
+    assert late == 1
+
+
+def test_atom_links(spark, tmp_path):
+    from newsloom.sources import feeds
+
+    (tmp_path / "f.xml").write_text("""<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title>
+<entry><title>One</title><link rel="self" href="https://f/"/><link href="https://a/1"/><published>p</published><updated>u</updated></entry>
+<entry><title>Two</title><link rel="enclosure" href="https://e/2"/><updated>u</updated><summary>S &amp; s</summary></entry>
+<entry><title>Three</title></entry></feed>""")
+    got = {tuple(r) for r in feeds.read_atom_entries(spark, str(tmp_path)).collect()}
+    assert got == {("One", "https://a/1", "p", None), ("Two", "https://e/2", "u", "S & s"), ("Three", None, None, None)}
