@@ -357,7 +357,7 @@ def lang_detect(spark, d):
 
 @query
 def term_freq(spark, d):
-    return digest.term_frequency(documents(spark, d), "doc_id", "text").select(
+    return digest.term_frequency(spread_documents(spark, d), "doc_id", "text").select(
         F.col("doc_id").alias("id"), "token", "tf", "first_pos")
 
 
@@ -387,20 +387,20 @@ def tfidf(spark, d):
 
 @query
 def top_tags(spark, d):
-    return digest.top_tags(documents(spark, d), "doc_id", "text", OPTIONS.tags_per_article).select(
+    return digest.top_tags(spread_documents(spark, d), "doc_id", "text", OPTIONS.tags_per_article).select(
         F.col("doc_id").alias("id"), F.array_join("tags", " ").alias("tags"))
 
 
 @query
 def top_tags_literal(spark, d):
-    return digest.top_tags(documents(spark, d), "doc_id", "text", OPTIONS.tags_per_article,
+    return digest.top_tags(spread_documents(spark, d), "doc_id", "text", OPTIONS.tags_per_article,
                            fold_first=False).select(
         F.col("doc_id").alias("id"), F.array_join("tags", " ").alias("tags"))
 
 
 @query
 def article_tags(spark, d):
-    found = digest.top_tags(documents(spark, d), "doc_id", "text", OPTIONS.tags_per_article)
+    found = digest.top_tags(spread_documents(spark, d), "doc_id", "text", OPTIONS.tags_per_article)
     rows = articles(spark, d).select("id", "service", "lang").join(
         found.select(F.col("doc_id").alias("id"), F.col("tags").alias("found")), "id", "left")
     ruled = rules.with_rules(rows, document_rules(spark)).select(
@@ -410,7 +410,7 @@ def article_tags(spark, d):
 
 @query
 def main_words(spark, d):
-    return digest.main_words(documents(spark, d), "doc_id", "text").select(
+    return digest.main_words(spread_documents(spark, d), "doc_id", "text").select(
         F.col("doc_id").alias("id"), "language", F.array_join("words", " ").alias("words"))
 
 
@@ -498,7 +498,7 @@ def retention_per_source(spark, d):
 
 @query
 def tag_trend(spark, d):
-    found = digest.top_tags(documents(spark, d), "doc_id", "text", OPTIONS.tags_per_article)
+    found = digest.top_tags(spread_documents(spark, d), "doc_id", "text", OPTIONS.tags_per_article)
     day = F.expr("date_add(date '2024-01-01', cast(doc_id div 48 as int))")
     rows = found.select(F.date_format(day, "yyyy-MM-dd").alias("day"), F.col("doc_id").alias("id"), "tags")
     return digest.tag_trend(rows, "day", "id")

@@ -41,3 +41,31 @@ def running_sum(values: Column, block: int = BLOCK) -> Column:
         return let(F.transform(cuts, lambda at: sums(F.slice(whole, at, block))), joined)
 
     return let(values, lambda v: F.when(F.size(v) > 0, split(v)).otherwise(none))
+
+
+def _runs(entries: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body(entries, start, length)`` of every run of equal ``value`` in sorted entries."""
+    def cut(rows: Column) -> Column:
+        starts = F.filter(F.transform(rows, lambda e, k: F.when(k == 0, k).when(
+            F.element_at(rows, k)["value"] != e["value"], k)), lambda k: k.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda s, k: body(
+            rows, s, F.coalesce(F.try_element_at(at, k + 2), F.size(rows)) - s)))
+
+    return let(entries, lambda found: F.when(F.size(found) > 0, let(F.array_sort(found), cut)))
+
+
+def counted(values: Column) -> Column:
+    """The distinct texts of an array as array<struct<value, first, n>>: first place and number of uses.
+
+    A sort and a pass over its runs inside the row; nothing is exchanged.  Null for an empty array.
+    """
+    placed = F.transform(values, lambda v, k: F.struct(v.alias("value"), k.alias("first")))
+    return _runs(placed, lambda rows, s, n: F.struct(
+        rows[s]["value"].alias("value"), rows[s]["first"].alias("first"), n.cast("long").alias("n")))
+
+
+def summed(entries: Column) -> Column:
+    """Entries of ``counted`` with values that may repeat, added up per value."""
+    return _runs(entries, lambda rows, s, n: F.struct(
+        rows[s]["value"].alias("value"), rows[s]["first"].alias("first"), F.when(n == 1, rows[s]["n"]).otherwise(
+            F.aggregate(F.slice(rows, s + 1, n), F.lit(0).cast("long"), lambda a, e: a + e["n"])).alias("n")))

@@ -60,7 +60,8 @@ def fold(token: Column) -> Column:
     plain = F.regexp_replace(token, r"[^\p{L}\p{N}]", "")
     plain = F.translate(plain, "".join(a for a, _ in _ACCENTED), "".join(b for _, b in _ACCENTED))
     plain = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), _LIGATURES, plain)
-    return F.lower(plain)
+    # Most words are what they fold to.
+    return F.when(token.rlike("^[a-z0-9]+$"), token).otherwise(F.lower(plain))
 
 
 def sanitise_paragraph(text: Column, markers) -> Column:
@@ -102,11 +103,22 @@ def best_language(words: str, languages=lexicon.LANGUAGES) -> Column:
                   "b -> CASE WHEN b.hits > 0 THEN b.name END)[0]")
 
 
+def _content(word: str, language: str) -> str:
+    return (f"CASE WHEN {language} = 'french' THEN NOT {_in(word, lexicon.stop_words('french'))} "
+            f"WHEN {language} = 'english' THEN NOT {_in(word, lexicon.stop_words('english'))} "
+            f"ELSE NOT {_in(word, lexicon.stop_words(None))} END")
+
+
 def is_content(word: str, language: str) -> Column:
     """True when the (lower-case) word is not a stop word of the language; SQL names."""
-    return F.expr(f"CASE WHEN {language} = 'french' THEN NOT {_in(word, lexicon.stop_words('french'))} "
-                  f"WHEN {language} = 'english' THEN NOT {_in(word, lexicon.stop_words('english'))} "
-                  f"ELSE NOT {_in(word, lexicon.stop_words(None))} END")
+    return F.expr(_content(word, language))
+
+
+def content_word(word: Column, language: Column, also: tuple[str, ...] = ()) -> Column:
+    """The same for columns; the words of ``also`` are left out, too."""
+    listed = lambda of: list(lexicon.stop_words(of)) + list(also)
+    return F.when(language == "french", ~word.isin(listed("french"))).when(
+        language == "english", ~word.isin(listed("english"))).otherwise(~word.isin(listed(None)))
 
 
 def is_free(word: str) -> Column:

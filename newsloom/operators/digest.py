@@ -1,8 +1,8 @@
 """Tags, words, phrases, daily figures, retention and feed entries.
 
-Operators that look inside one text first place the text by its id.  Words are
-then counted, ranked and collected where they are: one exchange of the text,
-none of the (far larger) word rows.
+Words of one text are counted, ranked and collected inside its row: neither the text
+nor its words are exchanged.  Phrases, which need windows over words, place the text by
+its id first.
 """
 
 from __future__ import annotations
@@ -10,26 +10,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexicon, text
-from . import joins, vectors
+from ..functions import arrays, lexicon, text
+from . import vectors
 
 
 def term_frequency(df: DataFrame, id_: str, body: str) -> DataFrame:
     """(id, token, tf, first_pos) of the tokens as written."""
-    rows = vectors.tokenize(joins.placed(df.select(id_, body), id_), id_, body)
-    return rows.groupBy(id_, "token").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
+    words = df.select(id_, F.explode(arrays.counted(text.tokens(F.col(body)))).alias("w"))
+    return words.select(id_, F.col("w.value").alias("token"), F.col("w.n").alias("tf"), F.col("w.first").alias("first_pos"))
 
 
-def content_frequency(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
-    """(id, language, token, tf, first_pos) without the stop words of the language."""
-    texts = joins.placed(df.select(id_, body, *([language] if language else [])), id_)
+def content_words(df: DataFrame, body: str, language: str | None = None) -> DataFrame:
+    """Add ``_words``: the content words of a text as array<struct<value, first, n>>."""
     if language is None:
-        texts, language = vectors.with_language(texts, body), "language"
-    rows = texts.select(id_, F.col(language).alias("language"),
-                         F.posexplode(text.tokens(F.col(body))).alias("pos", "token"))
-    rows = rows.where(text.is_content("lower(token)", "language"))
-    return rows.groupBy(id_, "language", "token").agg(
-        F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
+        df, language = vectors.with_language(df, body, "_language"), "_language"
+    held = df.withColumn("_all", arrays.counted(text.tokens(F.col(body))))
+    held = held.withColumn("_words", F.filter("_all", lambda w: text.content_word(
+        F.lower(w["value"]), F.col(language)))).drop("_all")
+    return held.drop("_language") if language == "_language" else held
+
+
+def tag_list(words: Column, k: int, fold_first: bool = True) -> Column:
+    """The k most frequent of ``_words``, folded, ties by first use."""
+    folded = lambda ws: F.transform(ws, lambda w: F.struct(
+        text.fold(w["value"]).alias("value"), w["first"].alias("first"), w["n"].alias("n")))
+    if fold_first:
+        words = arrays.summed(F.filter(folded(words), lambda w: w["value"] != ""))
+    ranked = F.array_sort(F.transform(words, lambda w: F.struct(
+        (-w["n"]).alias("down"), w["first"].alias("first"), w["value"].alias("value"))))
+    best = F.transform(F.slice(ranked, 1, k), lambda w: w["value"])
+    return F.filter(best if fold_first else F.transform(best, text.fold), lambda t: t != "")
 
 
 def top_tags(df: DataFrame, id_: str, body: str, k: int, fold_first: bool = True) -> DataFrame:
@@ -37,30 +47,35 @@ def top_tags(df: DataFrame, id_: str, body: str, k: int, fold_first: bool = True
 
     ``fold_first`` merges spellings before counting; without it the k most
     frequent spellings are taken and folded afterwards, which may repeat or
-    lose some.
+    lose some.  A text without such words gives no row.
     """
-    counts = content_frequency(df, id_, body)
-    folded = counts.withColumn("tag", text.fold(F.col("token")))
-    if fold_first:
-        folded = (folded.where("tag <> ''").groupBy(id_, "tag")
-                  .agg(F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos")))
-    rank = Window.partitionBy(id_).orderBy(F.desc("tf"), "first_pos")
-    kept = folded.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    kept = kept.where("tag <> ''")
-    tags = kept.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("t"))
-    return tags.select(id_, F.transform("t", lambda e: e["tag"]).alias("tags"))
+    words = content_words(df.select(id_, body), body)
+    return words.select(id_, tag_list(F.col("_words"), k, fold_first).alias("tags")).where(F.size("tags") > 0)
 
 
 def main_words(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
     """(id, language, words): words used at least 1 + n/100 times, in order of first use.
 
     n counts all tokens of the text.  Only French and English texts get words.
-    With ``language`` the texts are taken as placed by id and detected already.
+    With ``language`` it is known already.
     """
-    return (_frequent(df, id_, body, language)
-            .groupBy(id_, "language")
-            .agg(F.array_sort(F.collect_list(F.struct("first_pos", "word"))).alias("w"))
-            .select(id_, "language", F.transform("w", lambda e: e["word"]).alias("words")))
+    texts = (df.select(id_, body, F.col(language).alias("language")) if language
+             else vectors.with_language(df.select(id_, body), body))
+    texts = texts.where(F.col("language").isin("french", "english"))
+    texts = texts.select(id_, "language", word_list(F.col(body), "language").alias("words"))
+    return texts.where(F.size("words") > 0)
+
+
+def word_list(body: Column, language: str) -> Column:
+    """The main words of a text, see ``main_words``; ``language`` names a column."""
+    def kept(tokens: Column) -> Column:
+        words = arrays.counted(F.transform(tokens, lambda t: F.lower(t)))
+        often = F.filter(words, lambda w: w["n"] >= 1 + F.size(tokens) / 100)
+        return F.filter(often, lambda w: text.content_word(w["value"], F.col(language), lexicon.MEASURES))
+
+    entries = arrays.let(text.spaced_tokens(body), kept)
+    ordered = F.array_sort(F.transform(entries, lambda w: F.struct(w["first"].alias("first"), w["value"].alias("value"))))
+    return F.transform(ordered, lambda w: w["value"])
 
 
 def _spaced(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
@@ -74,16 +89,6 @@ def _spaced(df: DataFrame, id_: str, body: str, language: str | None = None) ->
     return texts.select(id_, "language", text.spaced_tokens(F.col(body)).alias("_t"))
 
 
-def _frequent(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
-    rows = _spaced(df, id_, body, language).select(
-        id_, "language", F.size("_t").alias("n"), F.posexplode_outer("_t").alias("pos", "token"))
-    rows = rows.withColumn("word", F.lower("token"))
-    rows = rows.where(_plain_content())
-    counted = rows.groupBy(id_, "language", "n", "word").agg(
-        F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
-    return counted.where(F.col("tf") >= 1 + F.col("n") / 100)
-
-
 def _plain_content() -> Column:
     return text.is_content("word", "language") & ~F.col("word").isin(*lexicon.MEASURES)
 
