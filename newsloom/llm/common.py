@@ -21,6 +21,21 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give freed memory back to the system.
+
+    A Python worker lives on after its task; what it keeps would add to the next stage.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def in_frames(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInPandas that keeps whole numbers whole.
 

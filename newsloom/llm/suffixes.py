@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup
-from .common import settle, ship, shuffle_partitions
+from .common import release, settle, ship, shuffle_partitions
 
 LEAST = 50
 GRAM = 20
@@ -185,6 +185,7 @@ def _shared(packs: DataFrame, buckets: int, most: int) -> DataFrame:
 
         for pdf in frames:
             for row in pdf.to_dict("records"):
+                release()
                 data, stops, _ = _opened(row)
                 places, h = anchors(data, stops)
                 if not len(places):
@@ -296,6 +297,23 @@ def _hashed(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return list(hashes.view("<u8").T)
 
 
+def _sliced(data: np.ndarray, stops: np.ndarray, ids: np.ndarray, starts: np.ndarray, parts: int, slices: int = 8):
+    """The strings at ``starts`` with owner, hash and bucket, a slice of the buckets at a time.
+
+    Nearly every place of a pack may start a string around a hot gram; sorting them all
+    at once would take a hundred times the pack.
+    """
+    if not len(starts):
+        return
+    keys = _hashed(data, starts)
+    bucket = (keys[0] % np.uint64(parts)).astype(np.int32)
+    for s in range(slices):
+        some = np.flatnonzero(bucket % slices == s)
+        if len(some):
+            own = starts[some]
+            yield own, ids[np.searchsorted(stops, own, "right")], [k[some] for k in keys], bucket[some]
+
+
 def _runs(splitters: list[bytes], parts: int):
     """Packs to front-coded sorted runs, cut at the splitters: ranges below ``parts``.
 
@@ -312,6 +330,7 @@ def _runs(splitters: list[bytes], parts: int):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for pdf in frames:
             for row in pdf.to_dict("records"):
+                release()
                 data, stops, ids = _opened(row)
                 places, h = anchors(data, stops)
                 wanted = np.concatenate([_widen(b) for b in row["blobs"]])
@@ -334,22 +353,17 @@ def _runs(splitters: list[bytes], parts: int):
                 out = []
                 starts = first[hot[first]]
                 if len(starts):
-                    starts = np.flatnonzero(_starts(places[starts], _open_offsets(places[starts], stops), len(data)))
-                if len(starts):
-                    keys = _hashed(data, starts)
-                    owner = ids[np.searchsorted(stops, starts, "right")]
+                    starts = np.flatnonzero(_starts(places[starts], _open_offsets(places[starts], stops), len(data))).astype(np.int32)
+                for starts, owner, keys, bucket in _sliced(data, stops, ids, starts, parts):
                     order, new = _groups(keys, owner)
-                    starts, owner, keys = starts[order], owner[order], [k[order] for k in keys]
+                    starts, owner, bucket = starts[order], owner[order], bucket[order]
                     least = np.repeat(owner[new], np.diff(np.append(new, len(order))))
                     at.append(starts[owner > least])
                     masks.append(np.ones(len(at[-1]), np.uint32))
                     sent = np.flatnonzero(owner == least)
-                    bucket = (keys[0][sent] % np.uint64(parts)).astype(np.int64)
-                    sent = sent[np.argsort(bucket, kind="stable")]
-                    bucket = np.sort(bucket)
-                    for x in np.split(np.arange(len(sent)), np.flatnonzero(np.diff(bucket)) + 1):
-                        own = sent[x]
-                        out.append((parts + int(bucket[x[0]]), row["pack"], b"", np.stack([k[own] for k in keys], 1).tobytes(),
+                    sent = sent[np.argsort(bucket[sent], kind="stable")]
+                    for own in np.split(sent, np.flatnonzero(np.diff(bucket[sent])) + 1):
+                        out.append((parts + int(bucket[own[0]]), row["pack"], b"", np.stack([k[order[own]] for k in keys], 1).tobytes(),
                                     b"", owner[own].tobytes(), starts[own].astype("<i4").tobytes()))
                 at, masks = np.concatenate(at), np.concatenate(masks)
                 if len(at):
@@ -541,6 +555,7 @@ def _decided(parts: int):
         kind = int(pdf["range"].iloc[0]) // parts
         if kind == 2:
             return pdf[["pack", "places", "tails"]].rename(columns={"tails": "masks"})
+        release()
         return _matched(pdf) if kind else _merged(pdf)
 
     return run
@@ -613,6 +628,7 @@ def repeated(docs: DataFrame, id_: str, text: str, rest: list[str] | None = None
 
         for batch in batches:
             for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                release()
                 data, stops, ids = _opened(row)
                 so_far = np.cumsum(_hits(list(zip(row["places"] or [], row["masks"] or [])), stops, len(data)), dtype=np.int32)
                 gone = so_far > np.append(np.zeros(LEAST, np.int32), so_far)[:len(data)]
