@@ -39,7 +39,8 @@ def fingerprint(field_paths: set[str]) -> str:
 @dataclass(frozen=True)
 class Mapping:
     """One layout.  Either ``turns`` names a list whose items hold ``role`` and ``text``,
-    or ``fixed`` lists (role, field names), the texts of one turn joined by a blank line."""
+    or ``fixed`` lists (role, field names), the texts of one turn joined by a blank line.
+    ``renamed`` are roles that a foreign layout names otherwise; all others stay as they are."""
 
     name: str
     fields: tuple[str, ...]
@@ -48,6 +49,7 @@ class Mapping:
     text: str = "content"
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
     lead: tuple[tuple[str, str], ...] = ()
+    renamed: tuple[tuple[str, str], ...] = ()
 
     @property
     def key(self) -> str:
@@ -56,17 +58,18 @@ class Mapping:
     def apply(self, record: dict) -> list[tuple[str, str]]:
         out = [(role, record[name] or "") for role, name in self.lead]
         if self.turns:
-            out += [(ROLES.get(m[self.role], m[self.role]) or "", m[self.text] or "") for m in record[self.turns]]
+            names = dict(self.renamed)
+            out += [(names.get(m[self.role], m[self.role]) or "", m[self.text] or "") for m in record[self.turns]]
         for role, names in self.fixed:
             out.append((role, "\n\n".join(x for x in (record[n] or "" for n in names) if x)))
         return out
 
 
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
 MAPPINGS = (
     Mapping("messages", ("messages[].role:text", "messages[].content:text"), turns="messages"),
     Mapping("shared", ("conversations[].from:text", "conversations[].value:text"), turns="conversations",
-            role="from", text="value"),
+            role="from", text="value", renamed=ROLES),
     Mapping("led messages", ("system:text", "messages[].role:text", "messages[].content:text"),
             turns="messages", lead=(("system", "system"),)),
     Mapping("prompt", ("prompt:text", "completion:text"),

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,7 +36,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.merges, self.keep = merges, keep
-        self.ids, self.scores, self.bytes = {}, {}, [b""] * n
+        self.known, self.scores, self.bytes = {}, {}, [b""] * n
         self.byte_ids = [0] * 256
         for i in range(n):
             piece = model.id_to_piece(i)
@@ -45,15 +44,16 @@ class Pieces:
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.bytes[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.ids[piece], self.scores[piece] = i.to_bytes(4, "little"), model.get_score(i)
+                self.scores[piece] = model.get_score(i)
+                # Score, id and, by the next piece, whether merging keeps the two apart.
+                self.known[piece] = (model.get_score(i), i.to_bytes(4, "little"), {})
                 self.bytes[i] = piece.replace(MARK, " ").encode()
         # Ends of pieces: a string that is none cannot end a longer piece either.
-        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
-        self.joined = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.tails = {p[k:] for p in self.known for k in range(len(p))}
+        self.joined = {p[k:k + 2] for p in self.known for k in range(len(p) - 1)}
         if any(x != MARK and y == MARK for x, y in self.joined):
             raise ValueError("a piece goes on past the end of a word")
         self.marks = "".join(m for m in MARKS if not any(x.isalpha() and y == m for x, y in self.joined))
-        self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
 
     def keeps_apart(self, a: str, b: str) -> bool:
@@ -77,49 +77,60 @@ class Pieces:
 
     def walk(self, words: list[str]):
         """(word, ids) of sorted distinct words, sharing forward states between neighbours."""
-        ids, scores, tails, apart, merges = self.ids, self.scores, self.tails, self.apart, self.merges
-        # One state per character: score, the last piece ("" at the start or after a byte), its start and ids.
-        states: list[tuple[float, str, int, bytes]] = [(0.0, "", 0, b"")]
+        known, tails, merges, keeps_apart, lone = self.known, self.tails, self.merges, self.keeps_apart, self._lone
+        # One state per character: score, what may follow the last piece (none at the start or after a
+        # byte), the start of that piece and its ids.
+        states: list[tuple[float, dict | None, int, bytes]] = [(0.0, None, 0, b"")]
         last = ""
         for word in words:
-            shared = len(commonprefix((last, word)))
+            shared, most = 0, min(len(last), len(word))
+            while shared < most and last[shared] == word[shared]:
+                shared += 1
             del states[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                best, start = None, end - 1
-                while start >= 0 and (piece := word[start:end]) in tails:
-                    if piece in ids:
-                        score, before, _, _ = states[start]
-                        if merges and before:
-                            fits = apart.get((before, piece))
-                            if fits is None:
-                                fits = apart[before, piece] = self.keeps_apart(before, piece)
-                        else:
-                            fits = True
-                        if fits and (best is None or score + scores[piece] > best[0]):
-                            best = (score + scores[piece], piece, start, ids[piece])
-                            if merges:
-                                break
-                    start -= 1
+                best = None
+                for start in range(end - 1, -1, -1):
+                    piece = word[start:end]
+                    found = known.get(piece)
+                    if found is None:
+                        if piece in tails:
+                            continue
+                        break
+                    before = states[start]
+                    score, own, follows = found
+                    if merges and before[1] is not None:
+                        fits = before[1].get(piece)
+                        if fits is None:
+                            fits = before[1][piece] = keeps_apart(word[before[2]:start], piece)
+                        if not fits:
+                            continue
+                    score += before[0]
+                    if best is None or score > best[0]:
+                        best = (score, follows, start, own)
+                        if merges:
+                            break
                 if best is None:
-                    best = (states[end - 1][0] - 1e6, "", end - 1, self._lone(word[end - 1]))
+                    best = (states[end - 1][0] - 1e6, None, end - 1, lone(word[end - 1]))
                 states.append(best)
             last = word
             path, at = [], len(word)
             while at:
                 _, _, at, own = states[at]
                 path.append(own)
-            yield word, b"".join(path[::-1])
-        if len(apart) > self.keep:
-            apart.clear()
+            path.reverse()
+            yield word, b"".join(path)
 
     def cut(self, text: str) -> list[str]:
-        """Marked words: blanks become marks, a run of marks stays with the word after it."""
+        """Marked words: blanks become marks, a run of marks stays with the word after it.
+
+        A mark in the text itself is a blank like any other.
+        """
         if not text:
             return []
-        line = " " + text
+        line = " " + text.replace(MARK, " ")
         if "  " in line:
             return [w.replace(" ", MARK) for w in _RUNS.findall(line)]
-        return [MARK + w for w in text.split(" ")]
+        return [MARK + w for w in line[1:].split(" ")]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian bytes."""
@@ -179,15 +190,45 @@ def decode(encoded: DataFrame, id_: str, ids: str, model_path: str) -> DataFrame
     return in_frames(pick(encoded, doc_id=id_, ids=ids), run, "doc_id long, text string")
 
 
+DIGESTS = "n_ids long, ids_crc32 long, decoded_crc32 long, decoded_chars long"
+
+
+def _digest(model: Pieces, ids: np.ndarray) -> tuple[int, int, int, int]:
+    """Of one text's ids: how many, their checksum, and that and the length of the text they decode to."""
+    text = model.decode(ids)
+    return len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text)
+
+
 def digests(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_crc32, decoded_chars) of (doc_id, ids)."""
     def run(frames):
+        import pandas as pd
+
+        model = shared(model_path)
+        for pdf in frames:
+            found = [_digest(model, np.asarray(x, "<u4")) for x in pdf.pop("ids")]
+            found = pd.DataFrame(found, columns=[c.split()[0] for c in DIGESTS.split(", ")], dtype="int64")
+            yield pd.concat([pdf.reset_index(drop=True), found], axis=1)
+
+    return in_frames(encoded, run, f"doc_id long, {DIGESTS}")
+
+
+def encode_digests(docs: DataFrame, id_: str, text: str, model_path: str) -> DataFrame:
+    """``digests(encode(...))`` in one pass: the ids stay in the task that makes them.
+
+    Null and empty texts have no ids; equal rows give equal rows.
+    """
+    def run(frames):
+        import pandas as pd
+
         model = shared(model_path)
+        names = [c.split()[0] for c in DIGESTS.split(", ")]
         for pdf in frames:
-            ids = [np.asarray(x, "<u4") for x in pdf.pop("ids")]
-            texts = [model.decode(x) for x in ids]
-            yield pdf.assign(n_ids=list(map(len, ids)), ids_crc32=[zlib.crc32(x.tobytes()) for x in ids],
-                             decoded_crc32=[zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts],
-                             decoded_chars=list(map(len, texts)))
+            ids, texts = pdf["doc_id"], [t or "" for t in pdf["text"]]
+            for a, b in groups(texts, 4 << 20):
+                found = [_digest(model, np.frombuffer(x, "<u4")) for x in model.encode(texts[a:b])]
+                out = pd.DataFrame(found, columns=names, dtype="int64")
+                out.insert(0, "doc_id", ids.array[a:b])
+                yield out
 
-    return in_frames(encoded, run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, decoded_chars long")
+    return in_frames(pick(docs, doc_id=id_, text=text), run, f"doc_id long, {DIGESTS}")

@@ -120,7 +120,7 @@ def op6_pivot_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def op9_shared_prefix_pieces(spark: SparkSession, d: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    return pieces.digests(pieces.encode(documents(spark, d), "doc_id", "text", path), path)
+    return pieces.encode_digests(documents(spark, d), "doc_id", "text", path)
 
 
 def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:

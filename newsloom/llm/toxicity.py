@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, ship
+from .common import pick, settle, ship
 from .learning import logistic, sample, sigmoid
 
 SAMPLE_ROWS = 20_000
@@ -104,7 +104,16 @@ class Lexicon:
             weight = max(word if closed else 0.0, stem)
             if weight > found.get(start, 0.0):
                 found[start] = weight
-        return sum(w for at, w in found.items() if not any(a <= at < b for a, b in free))
+        if not free:
+            return sum(found.values())
+        # One sweep: the furthest end of the exceptions that begin before a word covers it or none does.
+        free.sort()
+        total, reach, k = 0.0, 0, 0
+        for at in sorted(found):
+            while k < len(free) and free[k][0] <= at:
+                reach, k = max(reach, free[k][1]), k + 1
+            total += found[at] if at >= reach else 0.0
+        return total
 
 
 def _entries(text: str) -> set[str]:
@@ -129,16 +138,50 @@ def _lexicon(counts: dict[str, np.ndarray], docs: np.ndarray, least: int, floor:
     return Lexicon(words, stems)
 
 
+def _exceptions(rows: DataFrame, lexicon: Lexicon, docs: np.ndarray, least: int) -> list[str]:
+    """Neighbouring words, one of them an entry, that belong to clean documents."""
+    def count(frames):
+        seen = (Counter(), Counter())
+        for pdf in frames:
+            for t, y in zip(pdf["text"], pdf["y"]):
+                seen[int(y > 0)].update(_pairs(fold(t), lexicon))
+        for y, c in enumerate(seen):
+            if c:
+                yield pd.DataFrame({"y": y, "phrase": list(c), "n": list(c.values())})
+
+    sums = rows.select("text", "y").mapInPandas(count, "y int, phrase string, n long").groupBy("phrase").agg(
+        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"),
+        F.sum(F.when(F.col("y") > 0, F.col("n")).otherwise(0)).alias("toxic"))
+    weight = F.log((F.col("toxic") + 0.5) / (docs[1] + 1)) - F.log((F.col("clean") + 0.5) / (docs[0] + 1))
+    return sorted(r["phrase"] for r in sums.where((F.col("clean") >= least) & (weight < 0)).collect())
+
+
+def _pairs(text: str, lexicon: Lexicon) -> set[str]:
+    """Pairs of words next to each other, with one blank between, that hold an entry."""
+    heavy = lambda w: w in lexicon.words or any(w[:k] in lexicon.stems for k in PREFIXES if len(w) > k)
+    found, last = set(), None
+    for m in _WORD.finditer(text):
+        own = (m.group(), m.end(), heavy(m.group()))
+        if last and (last[2] or own[2]) and text[last[1]:m.start()] == " ":
+            found.add(f"{last[0]} {own[0]}")
+        last = own
+    return found
+
+
 def learn(docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str,
-          sample_rows: int = SAMPLE_ROWS, least: int = 3, floor: float = 2.5,
-          entries: int = 200_000) -> Lexicon:
+          sample_rows: int = SAMPLE_ROWS, least: int = 3, floor: float = 2.5) -> Lexicon:
     """Fit on at most ``sample_rows`` labelled documents, equal texts counted once.
 
     Entry weights are log ratios of document frequencies.  The final weighing is
-    fitted on documents scored by a lexicon of the other half of the sample.
-    At most ``entries`` entries, those of most toxic documents, reach the driver.
+    fitted on documents scored by a lexicon of the other half of the sample.  Only
+    entries that are heavy enough for one of the three lexicons reach the driver.
+
+    Exceptions are the given phrases and what the sample teaches: pairs of words with an
+    entry in them that at least ``least`` clean documents hold and toxic ones hardly do.
     """
-    rows = sample(docs, id_, text, labels, label, sample_rows).dropDuplicates(["text"])
+    # Of equal texts the smallest id counts, so that learning again gives the same lexicon.
+    rows = sample(docs, id_, text, labels, label, sample_rows).groupBy("text").agg(
+        F.min(F.struct("doc_id", "y")).alias("r")).select("r.doc_id", "text", "r.y")
     rows = rows.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
 
     def count(frames):
@@ -153,16 +196,29 @@ def learn(docs: DataFrame, id_: str, text: str, labels: DataFrame, label: str,
     cell = lambda half, y: F.sum(F.when((F.col("half") == half) & (F.col("y") == y), F.col("n")).otherwise(0))
     table = sums.groupBy("entry").agg(cell(0, 0).alias("c0"), cell(0, 1).alias("t0"),
                                       cell(1, 0).alias("c1"), cell(1, 1).alias("t1"))
-    table = table.where(((F.col("t0") + F.col("t1")) >= least) & (
-        (F.col("entry") == "") | (F.col("c0") + F.col("c1") <= 2 * (F.col("t0") + F.col("t1")))))
-    got = {r["entry"]: np.array([[r["c0"], r["t0"]], [r["c1"], r["t1"]]], float) for r in
-           table.orderBy(F.desc(F.col("t0") + F.col("t1")), "entry").limit(entries).collect()}
-    size = got.pop("", np.zeros((2, 2)))
+    table = settle(table)
+    sizes = table.where("entry = ''").first()
+    size = np.array([[sizes["c0"], sizes["t0"]], [sizes["c1"], sizes["t1"]]], float) if sizes else np.zeros((2, 2))
+
+    def heavy(toxic, clean, docs, fewest):
+        weight = F.log((toxic + 0.5) / (docs[1] + 1)) - F.log((clean + 0.5) / (docs[0] + 1))
+        return (toxic >= fewest) & (weight >= floor - 1e-9)
+
+    c0, t0, c1, t1 = (F.col(c) for c in ("c0", "t0", "c1", "t1"))
+    # Entries of mostly clean documents are no lexicon's, however few toxic documents there are.
+    some = (c0 + c1 <= 2 * (t0 + t1)) & (heavy(t0, c0, size[0], max(2, least - 1)) | heavy(t1, c1, size[1], max(2, least - 1))
+            | heavy(t0 + t1, c0 + c1, size.sum(axis=0), least))
+    got = {r["entry"]: np.array([[r["c0"], r["t0"]], [r["c1"], r["t1"]]], float)
+           for r in table.where((F.col("entry") != "") & some).collect()}
     if not got or not size.sum(axis=0).all():
         return Lexicon({}, {}, fit=(0.0, 0.0, -3.0))
     half = [_lexicon({e: c[k] for e, c in got.items()}, size[k], max(2, least - 1), floor) for k in (0, 1)]
     full = _lexicon({e: c.sum(axis=0) for e, c in got.items()}, size.sum(axis=0), least, floor)
 
+    learned = _exceptions(rows, full, size.sum(axis=0), least)
+    for lexicon in (full, *half):
+        lexicon.exceptions = (*EXCEPTIONS, *learned)
+
     def measure(frames):
         machines = [h.matcher() for h in half]
         for pdf in frames:

@@ -154,13 +154,16 @@ def test_pieces(spark, texts):
 
     path = queries.tokenizer_path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    odd = [(400, "  two  blanks "), (401, "日本 😀 é\n\n\tx"), (402, "<s> </s>"), (403, "1234567 ..!!")]
+    odd = [(400, "  two  blanks "), (401, "日本 😀 é\n\n\tx"), (402, "<s> </s>"), (403, "1234567 ..!!"), (404, "a  \u2581  b"),
+           (405, "\u2581 x\u2581\u2581y \u2581"), (406, "end \u2581")]
     rows = texts + odd
     encoded = pieces.encode(docs(spark, rows), "doc_id", "text", path)
     got = sorted(((r.doc_id, list(r.ids)) for r in encoded.collect()), key=str)
     assert got == sorted(((i, model.encode(t or "")) for i, t in rows), key=str)
     back = pieces.decode(encoded, "doc_id", "ids", path).collect()
-    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
+    # As with SentencePiece itself, a mark in a text comes back as a blank.
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(
+        ((i, (t or "").replace("\u2581", " ")) for i, t in rows), key=str)
 
 
 def test_chat(spark):
@@ -380,3 +383,68 @@ def test_rows_without_an_id_spread_over_shards(spark, tmp_path):
     got = queries.op8_virtual_slots(spark, str(tmp_path)).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     assert len(got) == 24 and sum(r.n for r in got) == 3000
     assert max(r.s for r in got) < 1.2 * min(r.s for r in got)
+
+
+def test_pivots_exact_for_large_numbers(spark):
+    """Products near the bounds of a double and of a long."""
+    rng = np.random.default_rng(3)
+    for top in (3e5, 2**27, 1e9, 3e9):
+        x = np.floor(rng.uniform(-top, top, (120, 4)))
+        x[:40] = x[0] + rng.integers(0, 3, (40, 4))
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, v array<double>")
+        got = pivots.search(df, "vec_id", "v", every=20, k=5, pivots=3, sample=30, shard_rows=40, step=8).collect()
+        whole = [[int(c) for c in v] for v in x]
+        for q in range(0, 120, 20):
+            scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in enumerate(whole) if i != q)[:5]
+            mine = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+            assert mine == [(i, min(max(-s, -2**63), 2**63 - 1)) for s, i in scores]
+
+
+def test_roles_of_the_own_layout_stay(spark):
+    rows = spark.createDataFrame([(1, 0, "human", "q"), (1, 1, "gpt", "a"), (1, 2, "assistant", None), (2, 0, None, "x"), (2, 1, None, "x"),
+                                  (3, None, "user", "late"), (3, 0, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(chat.format_chats(queries.chat_records(rows), "conv_id", "record")).collect()}
+    sha = lambda *turns: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    assert got[1].turns_sha256 == sha(("human", "q"), ("gpt", "a"), ("assistant", "")) and got[1].loss_chars == 0
+    assert got[2].turns_sha256 == sha(("", "x"), ("", "x")) and got[2].n_turns == 2
+    assert got[3].n_turns == 2 and got[3].loss_chars == 1
+
+
+def plain_hits(lexicon, text):
+    """Sum of the best entry at each word, words inside exception phrases left out; by trying every place."""
+    bounds = lambda a, b: not (a and text[a - 1].isalpha()) and (b == len(text) or not text[b].isalpha())
+    free = [range(a, a + len(p)) for p in map(toxicity.fold, lexicon.exceptions) for a in range(len(text))
+            if text.startswith(p, a) and bounds(a, a + len(p))]
+    total = 0.0
+    for a in range(len(text)):
+        if a and text[a - 1].isalpha() or any(a in f for f in free):
+            continue
+        total += max([w for e, w in lexicon.words.items() if text.startswith(e, a) and bounds(a, a + len(e))]
+                     + [w for e, w in lexicon.stems.items() if text.startswith(e, a)] + [0.0])
+    return total
+
+
+def test_lexicon_hits_against_every_place():
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon({"trash": 3.0, "clown": 2.0, "vile": 4.0}, {"tras": 1.0, "stup": 2.5}, ("trash can", "clown fish", "can stupid"))
+    machine = lexicon.matcher()
+    words = ["trash", "can", "clown", "fish", "stupid", "tr4sh", "vile", "x", "trashy", "стupid"]
+    for _ in range(200):
+        text = toxicity.fold(" ".join(rng.choices(words, k=rng.randrange(0, 14))))
+        assert lexicon.hits(machine, text) == pytest.approx(plain_hits(lexicon, text))
+    import time
+
+    long = "trash can clown vile " * 100_000
+    start = time.process_time()
+    assert lexicon.hits(machine, long) == pytest.approx(600_000.0)
+    assert time.process_time() - start < 20
+
+
+def test_exceptions_are_learned(spark):
+    rows = [(i, f"you are grublin today number {i}", 1) for i in range(30)] + [(100 + i, f"we ate grublin pie today at {i}", 0) for i in range(4)]
+    rows += [(200 + i, f"a quiet day number {i}", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df, "doc_id", "text", df, "toxic")
+    assert "grublin" in lexicon.words and "grublin pie" in lexicon.exceptions and "are grublin" not in lexicon.exceptions
+    score = {r.doc_id: r.toxicity for r in toxicity.score(df, "doc_id", "text", lexicon).collect()}
+    assert score[0] > 0.5 > score[100] and score[200] < 0.5
