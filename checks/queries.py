@@ -505,7 +505,7 @@ def tag_trend(spark, d):
 
 
 def _counted(spark, d):
-    rows = watcher.counted(articles(spark, d), document_rules(spark), OPTIONS)
+    rows = watcher.counted(as_articles(spread_documents(spark, d)), document_rules(spark), OPTIONS)
     return rows.withColumn("day", F.date_format("published", "yyyy-MM-dd"))
 
 

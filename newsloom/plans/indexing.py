@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import digest, joins, summary, vectors
+from ..session import settle
 
 
 def enrich(articles: DataFrame, title: str = "title", site: str = "source", content: str = "content",
@@ -21,11 +22,13 @@ def enrich(articles: DataFrame, title: str = "title", site: str = "source", cont
                            (F.current_timestamp() if published is None else F.col(published))
                            .alias("published"))
     rows = vectors.with_language(joins.placed(rows, "id").dropDuplicates(["id"]), "content")
-    routed = rows.where(F.col("language").isin("french", "english"))
-    words = digest.main_words(routed, "id", "content", "language").select("id", F.col("words").alias("mainwords"))
-    short = summary.summarise(routed, "id", "content", sentences, "language").withColumnRenamed("summary", "abstract")
+    routed = F.col("language").isin("french", "english")
+    # Texts are cut for their words once, where they lie; summaries read what was written.
+    rows = settle(rows.withColumn("mainwords", F.when(routed, digest.word_list(F.col("content"), "language"))))
+    texts = joins.placed(rows.where(routed).select("id", "content", "language"), "id")
+    short = summary.summarise(texts, "id", "content", sentences, "language").withColumnRenamed("summary", "abstract")
     empty = F.lit("")
-    return (rows.join(words, "id", "left").join(short, "id", "left")
+    return (rows.join(short, "id", "left")
             .select("id", "title", "content", F.coalesce("abstract", empty).alias("abstract"),
                     "site", empty.alias("mainsentences"),
                     F.coalesce("mainwords", F.array().cast("array<string>")).alias("mainwords"),
