@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, settle
 
 UNKNOWN = "und"
 # Bytes of one n-gram; four of them are one 32-bit number.
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, text: str, lang: str, grams: int = GRAMS) -> Filters:
     if not langs:
         return Filters([], UNKNOWN, np.zeros((1, 1), np.uint64), np.zeros(0))
     named = docs.sparkSession.createDataFrame([(x, k) for k, x in enumerate(langs)], "lang string, code int")
-    counts = gram_counts(rows.join(F.broadcast(named), "lang", "left_semi"))
+    counts = settle(gram_counts(rows.join(F.broadcast(named), "lang", "left_semi")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = F.col("n") / F.col("total")
     known = counts.join(F.broadcast(named), "lang").join(F.broadcast(totals), "lang").select("gram", "code", share.alias("share"))
