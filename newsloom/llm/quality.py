@@ -199,5 +199,5 @@ def with_score(docs: DataFrame, text: str, model: Additive, out: str = "quality"
 
 
 def score(docs: DataFrame, id_: str, text: str, model: Additive) -> DataFrame:
-    """(doc_id, quality) of every document."""
+    """(doc_id, quality) of every row: repeated rows and ids give as many rows, equal texts equal scores."""
     return with_score(pick(docs, doc_id=id_, text=text), "text", model).drop("text")

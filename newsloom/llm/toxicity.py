@@ -249,5 +249,5 @@ def with_score(docs: DataFrame, text: str, lexicon: Lexicon, out: str = "toxicit
 
 
 def score(docs: DataFrame, id_: str, text: str, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, toxicity) of every document."""
+    """(doc_id, toxicity) of every row: repeated rows and ids give as many rows, equal texts equal scores."""
     return with_score(pick(docs, doc_id=id_, text=text), "text", lexicon).drop("text")

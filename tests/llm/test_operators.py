@@ -448,3 +448,74 @@ def test_exceptions_are_learned(spark):
     assert "grublin" in lexicon.words and "grublin pie" in lexicon.exceptions and "are grublin" not in lexicon.exceptions
     score = {r.doc_id: r.toxicity for r in toxicity.score(df, "doc_id", "text", lexicon).collect()}
     assert score[0] > 0.5 > score[100] and score[200] < 0.5
+
+
+def test_quality_scores_are_sums_of_tables(spark, texts):
+    """Every score by walking edges and tables one value at a time; long, null, empty and repeated texts, no rows."""
+    import bisect
+    import math
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 60))) + ("!!" * 9 if i % 4 == 0 else ".")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i, _ in rows], "doc_id long, quality int")
+    model = quality.learn(docs(spark, rows), "doc_id", "text", labels, "quality")
+    probe = texts + [(900, "river stone " * 200_000), (901, "tied text"), (902, "tied text"), (901, "tied text")]
+    got = quality.score(docs(spark, probe), "doc_id", "text", model).collect()
+
+    def plain(text):
+        bins = [bisect.bisect_right(list(e), v) for e, v in zip(model.edges, quality.features(text))]
+        z = model.constant + sum(t[b] for t, b in zip(model.tables, bins))
+        for (f, g), table in model.pairs.items():
+            z += table[model.coarse[f][bins[f]]][model.coarse[g][bins[g]]]
+        return 1 / (1 + math.exp(-z))
+
+    want = sorted((str(i), round(plain(t), 9)) for i, t in probe)
+    assert sorted((str(r.doc_id), round(r.quality, 9)) for r in got) == want
+    assert quality.score(docs(spark, []), "doc_id", "text", model).count() == 0
+
+
+def test_toxicity_scores_by_hand(spark, texts):
+    """Every score from the plain count of hits; long, null, empty and repeated texts, no rows."""
+    import math
+
+    lexicon = toxicity.Lexicon({"vile": 3.0, "maple": 1.0}, {"rive": 0.5}, ("maple north",), (0.7, 1.1, -2.0))
+    probe = texts + [(900, "vile river " * 60_000), (901, "V1LE maple north"), (902, "maple"), (902, "maple")]
+    got = toxicity.score(docs(spark, probe), "doc_id", "text", lexicon).collect()
+
+    def plain(text):
+        folded = toxicity.fold(text)
+        total = 60_000 * 3.5 if text and len(text) > 100_000 else plain_hits(lexicon, folded)
+        a, b, c = lexicon.fit
+        z = a * math.log1p(total) + b * math.log1p(100 * total / (folded.count(" ") + 1)) + c
+        return 1 / (1 + math.exp(-z))
+
+    assert sorted((str(r.doc_id), round(r.toxicity, 9)) for r in got) == sorted((str(i), round(plain(t), 9)) for i, t in probe)
+    assert toxicity.score(docs(spark, []), "doc_id", "text", lexicon).count() == 0
+
+
+def test_shards_by_their_contract(spark, texts, tmp_path):
+    rows = texts + [(301, ""), (301, ""), (None, None), (None, None)]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_virtual_slots(spark, str(tmp_path)).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=str) == sorted(
+        ((i, size(t), zlib.crc32((t or "").encode())) for i, t in rows), key=str)
+    slots = {}
+    for r in got:
+        assert 0 <= r.shard < 24 and r.law == "bytes" and r.grown_shard is None
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    docs(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.op8_virtual_slots(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_piece_digests_in_one_pass(spark, texts, tmp_path):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op9_shared_prefix_pieces(spark, str(tmp_path)).collect()
+    two = pieces.digests(pieces.encode(docs(spark, texts), "doc_id", "text", path), path).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, two), key=str)
+    assert sum(r.n_ids == 0 for r in got) == 2 and all(r.decoded_crc32 == zlib.crc32((dict(texts)[r.doc_id] or "").encode())
+                                                       for r in got if r.doc_id not in (0, None))
+    docs(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.op9_shared_prefix_pieces(spark, str(tmp_path / "none")).count() == 0
