@@ -527,6 +527,7 @@ FROM links l LEFT JOIN prules r ON r.lang = {PAGE_LANG}
     sql["seen_anti"] = with_(KEYED) + """SELECT page_id, lang, feed_host, entry_key, link FROM keyed
 ANTI JOIN seen USING (lang, feed_host, entry_key)
 QUALIFY row_number() OVER (PARTITION BY lang, feed_host, entry_key ORDER BY page_id) = 1"""
+    sql["seen_store_anti"] = sql["seen_anti"]
     sql["publish_eligible"] = with_(KEYED) + """SELECT page_id, lang, feed_host,
   (lang, feed_host) IN (SELECT (lang, feed_host) FROM seen) AS publish_ok FROM keyed"""
     sql["word_membership"] = f"""SELECT doc_id AS id, list_contains(t, 'the') AS has_the, list_contains(t, lang) AS has_lang
@@ -676,10 +677,9 @@ FROM articles"""
   strftime(published, '%Y-%m-%d %H:%M:%S') AS updated, link, '<img src="' || link || '.jpg?a&b"/><p>' || text
   || '</p><p>Tags :[\'\'' || service || '\'\']</p><p>Similarity of 0.0 with ' || title || '</p>' AS content
 FROM articles ORDER BY id DESC LIMIT 100"""
-    sql["text_sink"] = with_(KEYED, PARAGRAPHS) + f"""SELECT lang, feed_host, count(*) AS entries,
-  sum(length({PAGE_TEXT}))::BIGINT AS chars FROM (SELECT *, row_number() OVER (
-    PARTITION BY lang, feed_host, entry_key ORDER BY page_id) AS turn FROM keyed) JOIN paras USING (page_id)
-WHERE turn = 1 GROUP BY lang, feed_host"""
+    sql["text_sink"] = with_(KEYED, PARAGRAPHS) + f"""SELECT lang, feed_host, entry_key, {PAGE_TEXT} AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, feed_host, entry_key ORDER BY page_id) AS turn FROM keyed)
+JOIN paras USING (page_id) WHERE turn = 1"""
     sql["retained_sink"] = with_(A) + "SELECT id, service, title FROM articles ORDER BY id DESC LIMIT 500"
     sql["daily_sink"] = with_(A) + """SELECT strftime(published, '%Y%m%d') AS day,
   CASE WHEN strftime(published, '%Y%m%d') >= '20240105' THEN 2 ELSE 1 END AS run, count(*) AS articles

@@ -299,6 +299,15 @@ def seen_anti(spark, d):
     return fresh.select("page_id", "lang", "feed_host", "entry_key", "link")
 
 
+@query
+def seen_store_anti(spark, d):
+    """As ``seen_anti``, against keys stored by language and host."""
+    path = fresh_path(spark, "seen")
+    seen_pages(spark, d).withColumn("text", F.lit("")).write.partitionBy("lang", "feed_host").parquet(path)
+    fresh = seen.unseen_in_store(keyed_pages(spark, d), stores.seen_keys(spark, path), "page_id")
+    return fresh.select("page_id", "lang", "feed_host", "entry_key", "link")
+
+
 @query
 def publish_eligible(spark, d):
     rows = seen.publish_eligible(keyed_pages(spark, d), seen_pages(spark, d), ["lang", "feed_host"])
@@ -758,8 +767,7 @@ def text_sink(spark, d):
     rows = rows.withColumn("text", page_ops.joined_text(F.col("paragraphs"), fixtures.PARAGRAPH_MARKERS))
     stores.write_texts(rows, path, "page_id")
     stores.write_texts(rows, path, "page_id")
-    return spark.read.parquet(path).groupBy("lang", "feed_host").agg(
-        F.count("*").alias("entries"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return spark.read.schema(stores.TEXT).parquet(path)
 
 
 @query

@@ -185,3 +185,26 @@ def test_streams_equal_batches(spark, tmp_path):
                          once=True).awaitTermination()
     verdicts = spark.read.parquet(str(tmp_path / "v"))
     assert verdicts.count() == 20 and verdicts.where("not is_duplicate").count() >= 1
+
+
+def test_unseen_in_a_store_of_folders(spark, tmp_path):
+    """Same rows as the plain anti join; only the folders of the run's sources are read."""
+    from newsloom.operators import seen
+    from newsloom.sinks import stores
+
+    path = str(tmp_path / "store")
+    held = [(lang, f"h{k % 30}.example", f"e{k}.txt", "text") for k in range(900) for lang in ("en", "fr")]
+    (spark.createDataFrame(held, "lang string, feed_host string, entry_key string, text string")
+     .write.partitionBy("lang", "feed_host").parquet(path))
+    run = [(i, "en" if i % 2 else "fr", f"h{i % 7}.example", f"e{i % 1500}.txt") for i in range(2000)]
+    run += [(5000, None, "h1.example", "e1.txt"), (5001, "en", None, "e1.txt"), (5002, "en", "new.example", "e1.txt"), (5003, "en", "h1.example", None)]
+    entries = spark.createDataFrame(run, "id long, lang string, feed_host string, entry_key string")
+    store = stores.seen_keys(spark, path)
+    want = sorted(map(tuple, seen.unseen(entries, store, "id").collect()), key=str)
+    assert 0 < len(want) < len({r[1:] for r in run})
+    for named, bits in ((2000, 1 << 27), (3, 1 << 15), (2000, 1 << 15)):
+        got = seen.unseen_in_store(entries, store, "id", named, bits)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    plan = seen.unseen_in_store(entries.where("id < 2000"), store, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "h6.example" in plan and "h8.example" not in plan
+    assert seen.unseen_in_store(entries.limit(0), store, "id").count() == 0
