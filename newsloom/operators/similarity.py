@@ -14,6 +14,12 @@ from ..session import settle, small_side
 from . import joins, vectors
 
 _EPS = 1e-9
+# Cells (a text and a word) of the block that a task holds, and texts that ask it.
+BLOCK_CELLS = 5_000_000
+ASK_ROWS = 131_072
+# Blocks that a corpus is cut into at least, unless they would hold few rows.
+BLOCKS = 8
+FEW_ROWS = 1_000
 
 
 def _directions(counts: DataFrame) -> DataFrame:
@@ -25,8 +31,97 @@ def _directions(counts: DataFrame) -> DataFrame:
     return rows.select("id", "terms", key.alias("key"))
 
 
+def _unit_rows(counts: DataFrame, texts: int, df: DataFrame, hot_share: int) -> DataFrame:
+    """(id, terms, weights): words as numbers, weights of a text of length one.
+
+    Words of a single text count for its length only: they add nothing to any score.
+    """
+    uses = counts.groupBy("term").agg(F.count("*").alias("uses")).join(df, "term")
+    words = settle(uses.select("term", "uses", "df", F.monotonically_increasing_id().alias("no")))
+    words = words.withColumn("shared", F.col("uses") > 1)
+    rows = joins.lookup(counts, words, "term", "uses", counts.count(), hot_share)
+    rows = rows.withColumn("w", F.col("tf") * vectors.smooth_idf(F.lit(float(texts)), F.col("df")))
+    rows = rows.groupBy("id").agg(F.collect_list(F.when(F.col("shared"), F.struct("no", "w"))).alias("v"),
+                                  F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return rows.where(F.size("v") > 0).select(
+        "id", F.col("v.no").alias("terms"), F.transform("v", lambda e: e["w"] / F.col("norm")).alias("weights"))
+
+
+def _nearest(vec: DataFrame, asking: DataFrame, n: int, earlier: bool, block_rows: int, salt_rows: int) -> DataFrame:
+    """(i, j, score): for each of the ``asking`` ids of ``vec`` the n highest cosines of every block.
+
+    The texts are cut along their ids into blocks, and every pair of a block that asks and a
+    block that answers (with ``earlier`` only those not after it) is one tile.  A task holds
+    the posting lists of one block and adds them up for one asking text after the other, so
+    neither postings nor pairs are joined, exchanged or written: each row is sent once per
+    block, and a tile gives at most n rows per asking text.  Exact, with no bound on a list.
+    """
+    rows, cells = vec.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, min(BLOCKS, -(-rows // FEW_ROWS)), -(-rows // block_rows), -(-cells // BLOCK_CELLS))
+    size = max(1, -(-rows // blocks))
+    slices = -(-min(size, rows) // salt_rows) or 1
+    placed = settle(joins.block_of(vec, "id", rows, "theirs", size))
+    own = F.col("theirs") * slices + F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")
+    last = F.col("theirs") if earlier else F.lit(blocks - 1)
+    ask = placed.join(asking, "id", "left_semi").withColumn("mine", own).withColumn(
+        "theirs", F.explode(F.sequence(F.lit(0), last)))
+    first = F.col("theirs") * slices if earlier else F.lit(0)
+    held = placed.withColumn("mine", F.explode(F.sequence(first, F.lit(blocks * slices - 1))))
+    tiles = blocks * blocks * slices
+    # Columns are named anew: both sides come from one table.
+    named = lambda part: part.select(*[F.col(c).alias(c) for c in ("mine", "theirs", "id", "terms", "weights")])
+    dealt = lambda part: named(part).repartition(min(2 * tiles, 4096), "mine", "theirs").groupBy("mine", "theirs")
+    return dealt(ask).cogroup(dealt(held)).applyInPandas(_tile(n, earlier), "i long, j long, score double")
+
+
+def _tile(n: int, earlier: bool):
+    def score(asking, held):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        if len(asking) and len(held):
+            held = held.sort_values("id")
+            ids = held["id"].to_numpy()
+            row = np.repeat(np.arange(len(ids)), held["terms"].map(len))
+            words, col = np.unique(np.concatenate(held["terms"].to_list()), return_inverse=True)
+            order = np.argsort(col, kind="stable")
+            row, weight = row[order], np.concatenate(held["weights"].to_list())[order]
+            at = np.searchsorted(col[order], np.arange(len(words) + 1))
+            for i, terms, weights in zip(asking["id"], asking["terms"], asking["weights"]):
+                k = np.minimum(np.searchsorted(words, terms), len(words) - 1)
+                known = words[k] == terms
+                lists = [(at[x], at[x + 1], w) for x, w in zip(k[known], weights[known])]
+                if not lists:
+                    continue
+                dots = np.bincount(np.concatenate([row[a:b] for a, b, _ in lists]),
+                                   np.concatenate([weight[a:b] * w for a, b, w in lists]), len(ids))
+                place = np.searchsorted(ids, i)
+                if earlier:
+                    dots = dots[:place]
+                elif place < len(ids) and ids[place] == i:
+                    dots[place] = 0.0
+                out += [(i, ids[j], dots[j]) for j in _largest(dots, n)]
+        return pd.DataFrame(out, columns=["i", "j", "score"])
+
+    return score
+
+
+def _largest(scores, n: int, step: int = 256):
+    """Places of the n highest scores above 0 at nine decimals, ties by place."""
+    import numpy as np
+
+    if not len(scores):
+        return []
+    # The n-th highest of the maxima of pieces is no higher than the n-th highest score.
+    tops = np.sort(np.maximum.reduceat(scores, np.arange(0, len(scores), step)))
+    least = tops[-n] if len(tops) >= n else 0.0
+    near = np.flatnonzero((scores > 0) & (scores >= least - 2 * _EPS))
+    return near[np.lexsort((near, -np.round(scores[near], 9)))[:n]]
+
+
 def best_earlier(titles: DataFrame, id_: str, title: str,
-                 block_rows: int = joins.BLOCK_ROWS, salt_rows: int = joins.SALT_ROWS,
+                 block_rows: int = joins.BLOCK_ROWS, salt_rows: int = ASK_ROWS,
                  hot_share: int = joins.HOT_SHARE, counts: DataFrame | None = None,
                  df: DataFrame | None = None, asked_from: int = 0) -> DataFrame:
     """(id, match_id, score): for each text the earlier text with the highest cosine.
@@ -41,15 +136,8 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
     * Texts with proportional word counts form one group.  All but the first
       score 1 with the first, so a group of copies of any size costs one
       lookup, and only the first text of each group is compared further.
-    * For each text and word, the largest weight the word has in any earlier
-      text bounds what the word can add (a two-level running maximum).  The
-      best single word gives a score the answer must reach (``floor``).
-    * The hottest words of a text whose bounds together stay below the floor
-      are never joined; a pair that shares only the single hottest word is
-      answered by the running maximum itself.
-    * The remaining words join to their posting lists, long lists salted on
-      both sides, and a pair survives only when what it can still reach is not
-      below the floor.
+    * The first texts are compared in tiles of blocks (``_nearest``), which
+      form no pair as a row.
     """
     texts = titles.select(F.col(id_).alias("id"), F.col(title).alias("title"))
     counts = settle(vectors.term_counts(texts, "id", "title")) if counts is None else counts
@@ -59,12 +147,11 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
     groups = rows.groupBy("key").agg(
         F.min(F.struct("id", "terms")).alias("first"), F.count("*").alias("copies"))
     groups = settle(groups.select("key", "first.id", "first.terms", "copies"))
-    n_rows, n_groups = rows.count(), groups.count()
 
     # Copies: everything but the first of a group.
     table = groups.where("copies > 1").select("key", F.col("id").alias("match_id"), "copies")
     asking = rows.where(F.col("id") >= asked_from).select("id", "key")
-    copied = (joins.lookup(asking, table, "key", "copies", n_rows, hot_share)
+    copied = (joins.lookup(asking, table, "key", "copies", rows.count(), hot_share)
               .where("match_id < id")
               .select("id", "match_id", F.lit(1.0).alias("score")))
 
@@ -72,60 +159,10 @@ def best_earlier(titles: DataFrame, id_: str, title: str,
     firsts = groups.select("id", "copies", F.explode("terms").alias("e")).select(
         "id", "copies", "e.term", "e.tf")
     df = vectors.document_frequency(firsts, "copies") if df is None else df
-    vec = settle(vectors.weigh(firsts.drop("copies"), "id", n_texts, df))
-    x = vec.select("id", F.explode("vec").alias("e")).select("id", "e.df", "e.term", "e.w")
-    if asked_from:
-        # Words that nobody asks for add nothing to any score.
-        sought = x.where(F.col("id") >= asked_from).select("term").distinct()
-        x = x.join(small_side(sought), "term", "left_semi")
-
-    # What each word can add at most, and who would add it.
-    seen = F.struct(F.round("w", 12).alias("w"), (-F.col("id")).alias("neg"))
-    x = joins.running(x, "term", "id", seen, "max", "peak", n_groups, block_rows)
-    gain = F.col("w") * F.coalesce(F.col("peak.w"), F.lit(0.0))
-    x = x.withColumn("gain", gain)
-    whole = Window.partitionBy("id")
-    hot_first = whole.orderBy(F.desc("df"), F.desc("term"))
-    so_far = hot_first.rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({
-        "floor": F.max("gain").over(whole),
-        "reach": F.sum("gain").over(so_far),
-        "mass": F.sum(F.col("w") * F.col("w")).over(so_far),
-        "place": F.row_number().over(hot_first),
-    })
-    hottest = (x.where((F.col("place") == 1) & F.col("peak").isNotNull() & (F.col("id") >= asked_from))
-               .select("id", (-F.col("peak.neg")).alias("match_id"), F.col("gain").alias("score")))
-
-    # Posting lists hold one row per text and word; queries only their colder words.
-    later = F.col("reach") - F.col("gain")
-    later_mass = F.greatest(F.col("mass") - F.col("w") * F.col("w"), F.lit(0.0))
-    ask = (x.where((F.col("place") > 1) & F.col("peak").isNotNull() & (F.col("id") >= asked_from)
-                   & (F.col("reach") >= F.col("floor") - _EPS))
-           .select("term", F.col("id").alias("i"), F.col("w").alias("wi"), "floor",
-                   later.alias("ri"), F.sqrt(later_mass).alias("mi")))
-    # Postings that no asking text can use are left out before anything is paired.
-    wanted = ask.groupBy("term").agg(
-        F.min((F.col("floor") - F.col("ri") - 2 * _EPS) / F.col("wi")).alias("least"), F.min("i").alias("first"),
-        F.max("i").alias("last"), F.ceil(F.count("*") / F.lit(salt_rows)).cast("int").alias("salts"))
-    post = (x.select("term", F.col("id").alias("j"), F.col("w").alias("wj"), F.sqrt(later_mass).alias("mj"))
-            .join(wanted, "term").where((F.col("wj") >= F.col("least")) & (F.col("j") < F.col("last"))))
-    ask = ask.join(wanted.select("term", "salts"), "term").withColumn(
-        "salt", F.pmod(F.xxhash64("i"), F.col("salts")).cast("int")).drop("salts")
-    post = post.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(
-        "term", "salt", "j", "wj", "mj")
-    reachable = (F.col("wi") * F.col("wj") + F.least("ri", F.col("mi") * F.col("mj"))
-                 >= F.col("floor") - _EPS)
-    # Narrow rows are paired; then each pair adds up the words that both hold.
-    pairs = ask.join(post, ["term", "salt"]).where((F.col("j") < F.col("i")) & reachable)
-    pairs = settle(pairs.select("i", "j").distinct())
-    words = lambda n: vec.select(F.col("id").alias(n), F.explode("vec").alias("e")).select(
-        n, "e.term", F.col("e.w").alias(f"w{n}"))
-    scored = pairs.join(words("i"), "i").join(words("j"), ["j", "term"]).groupBy("i", "j").agg(
-        F.sum(F.col("wi") * F.col("wj")).alias("score")).select(
-        F.col("i").alias("id"), F.col("j").alias("match_id"), "score")
-    best = (scored.unionByName(hottest).where("score > 0")
-            .groupBy("id")
-            .agg(F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("match_id")).alias("neg"),
+    vec = settle(_unit_rows(firsts.drop("copies"), n_texts, df, hot_share))
+    near = _nearest(vec, texts.select("id"), 1, True, block_rows, salt_rows)
+    best = (near.groupBy(F.col("i").alias("id"))
+            .agg(F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("j")).alias("neg"),
                                 "score")).alias("b"))
             .select("id", (-F.col("b.neg")).alias("match_id"), "b.score"))
     found = best.unionByName(copied)

@@ -174,3 +174,21 @@ def test_topn_of_all_texts_is_exact(spark, n, salt_rows, hot_share):
         want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
     assert sorted((r.query_id, r["rank"], r.match_id, round(r.score, 9)) for r in got) == want
     assert similarity.similar_topn_all(df.limit(0), df.limit(0), "id", "title", n).count() == 0
+
+
+def test_earlier_titles_are_compared_without_a_row_per_pair(spark):
+    """Titles that all share words, none a copy: what is written grows with the titles, not with their pairs."""
+    from newsloom import session
+
+    rnd = random.Random(5)
+    words = [f"kw{k}x" for k in range(12)]
+    rows = [(i, " ".join(rnd.choices(words, k=8)) + f" only{i}x") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, title string")
+    written = []
+    kept, similarity.settle = similarity.settle, lambda d: written.append(session.settle(d)) or written[-1]
+    try:
+        best = similarity.best_earlier(df, "id", "title")
+        assert best.where("match_id is not null").count() == 599
+    finally:
+        similarity.settle = kept
+    assert max(w.count() for w in written) < 20 * len(rows)
