@@ -192,3 +192,19 @@ def test_earlier_titles_are_compared_without_a_row_per_pair(spark):
     finally:
         similarity.settle = kept
     assert max(w.count() for w in written) < 20 * len(rows)
+
+
+def test_top_titles_are_compared_without_a_row_per_pair(spark):
+    from newsloom import session
+
+    rnd = random.Random(6)
+    words = [f"kw{k}x" for k in range(12)]
+    rows = [(i, " ".join(rnd.choices(words, k=8)) + f" only{i}x") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, title string")
+    written = []
+    kept, similarity.settle = similarity.settle, lambda d: written.append(session.settle(d)) or written[-1]
+    try:
+        assert similarity.similar_topn_all(df, df, "id", "title", 3).count() == 3 * len(rows)
+    finally:
+        similarity.settle = kept
+    assert max(w.count() for w in written) < 20 * len(rows)
