@@ -51,15 +51,19 @@ def _runs(entries: Column, body: Callable[[Column, Column, Column], Column]) ->
         return let(starts, lambda at: F.transform(at, lambda s, k: body(
             rows, s, F.coalesce(F.try_element_at(at, k + 2), F.size(rows)) - s)))
 
-    return let(entries, lambda found: F.when(F.size(found) > 0, let(F.array_sort(found), cut)))
+    return let(entries, lambda found: F.when(F.size(found) > 0, let(F.sort_array(found), cut)))
 
 
-def counted(values: Column) -> Column:
+def counted(values: Column, kept: Callable[[Column], Column] | None = None) -> Column:
     """The distinct texts of an array as array<struct<value, first, n>>: first place and number of uses.
 
+    With ``kept`` only the texts for which it holds; places are those among all.
+
     A sort and a pass over its runs inside the row; nothing is exchanged.  Null for an empty array.
     """
     placed = F.transform(values, lambda v, k: F.struct(v.alias("value"), k.alias("first")))
+    if kept:
+        placed = F.filter(placed, lambda e: kept(e["value"]))
     return _runs(placed, lambda rows, s, n: F.struct(
         rows[s]["value"].alias("value"), rows[s]["first"].alias("first"), n.cast("long").alias("n")))
 

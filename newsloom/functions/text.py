@@ -60,8 +60,9 @@ def fold(token: Column) -> Column:
     plain = F.regexp_replace(token, r"[^\p{L}\p{N}]", "")
     plain = F.translate(plain, "".join(a for a, _ in _ACCENTED), "".join(b for _, b in _ACCENTED))
     plain = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), _LIGATURES, plain)
-    # Most words are what they fold to.
-    return F.when(token.rlike("^[a-z0-9]+$"), token).otherwise(F.lower(plain))
+    # Most words are what they fold to, but for their case.
+    return F.when(token.rlike("^[a-z0-9]+$"), token).when(
+        token.rlike("^[A-Za-z0-9]+$"), F.lower(token)).otherwise(F.lower(plain))
 
 
 def sanitise_paragraph(text: Column, markers) -> Column:

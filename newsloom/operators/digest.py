@@ -24,7 +24,9 @@ def content_words(df: DataFrame, body: str, language: str | None = None) -> Data
     """Add ``_words``: the content words of a text as array<struct<value, first, n>>."""
     if language is None:
         df, language = vectors.with_language(df, body, "_language"), "_language"
-    held = df.withColumn("_all", arrays.counted(text.tokens(F.col(body))))
+    # Stop words written in lower case go before the sort, the others once per spelling.
+    held = df.withColumn("_all", arrays.counted(
+        text.tokens(F.col(body)), lambda w: text.content_word(w, F.col(language))))
     held = held.withColumn("_words", F.filter("_all", lambda w: text.content_word(
         F.lower(w["value"]), F.col(language)))).drop("_all")
     return held.drop("_language") if language == "_language" else held
@@ -36,7 +38,7 @@ def tag_list(words: Column, k: int, fold_first: bool = True) -> Column:
         text.fold(w["value"]).alias("value"), w["first"].alias("first"), w["n"].alias("n")))
     if fold_first:
         words = arrays.summed(F.filter(folded(words), lambda w: w["value"] != ""))
-    ranked = F.array_sort(F.transform(words, lambda w: F.struct(
+    ranked = F.sort_array(F.transform(words, lambda w: F.struct(
         (-w["n"]).alias("down"), w["first"].alias("first"), w["value"].alias("value"))))
     best = F.transform(F.slice(ranked, 1, k), lambda w: w["value"])
     return F.filter(best if fold_first else F.transform(best, text.fold), lambda t: t != "")
@@ -50,7 +52,12 @@ def top_tags(df: DataFrame, id_: str, body: str, k: int, fold_first: bool = True
     lose some.  A text without such words gives no row.
     """
     words = content_words(df.select(id_, body), body)
-    return words.select(id_, tag_list(F.col("_words"), k, fold_first).alias("tags")).where(F.size("tags") > 0)
+    return words.select(id_, _once(tag_list(F.col("_words"), k, fold_first)).alias("tags")).where(F.size("tags") > 0)
+
+
+def _once(value: Column) -> Column:
+    """A generator: a filter on the value is not pushed below it, where the value would be worked out a second time."""
+    return F.explode(F.array(value))
 
 
 def main_words(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
@@ -62,7 +69,7 @@ def main_words(df: DataFrame, id_: str, body: str, language: str | None = None)
     texts = (df.select(id_, body, F.col(language).alias("language")) if language
              else vectors.with_language(df.select(id_, body), body))
     texts = texts.where(F.col("language").isin("french", "english"))
-    texts = texts.select(id_, "language", word_list(F.col(body), "language").alias("words"))
+    texts = texts.select(id_, "language", _once(word_list(F.col(body), "language")).alias("words"))
     return texts.where(F.size("words") > 0)
 
 
@@ -74,7 +81,7 @@ def word_list(body: Column, language: str) -> Column:
         return F.filter(often, lambda w: text.content_word(w["value"], F.col(language), lexicon.MEASURES))
 
     entries = arrays.let(text.spaced_tokens(body), kept)
-    ordered = F.array_sort(F.transform(entries, lambda w: F.struct(w["first"].alias("first"), w["value"].alias("value"))))
+    ordered = F.sort_array(F.transform(entries, lambda w: F.struct(w["first"].alias("first"), w["value"].alias("value"))))
     return F.transform(ordered, lambda w: w["value"])
 
 

@@ -31,7 +31,9 @@ def with_language(df: DataFrame, body: str, out: str = "language",
     The generator keeps a later filter on the language from being pushed below
     it, where the scores would be worked out a second time.
     """
-    scored = df.withColumn("_w", F.array_distinct(text.tokens(F.lower(body))))
+    # Words of no list are dropped before the others are made distinct: they hit nothing.
+    listed = sorted({w for name in languages for w in lexicon.base_words(name)})
+    scored = df.withColumn("_w", F.array_distinct(F.filter(text.tokens(F.lower(body)), lambda t: t.isin(listed))))
     scored = scored.select("*", F.explode(F.array(text.best_language("_w", languages))).alias(out))
     return scored.drop("_w")
 

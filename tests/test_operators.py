@@ -208,3 +208,12 @@ def test_unseen_in_a_store_of_folders(spark, tmp_path):
     plan = seen.unseen_in_store(entries.where("id < 2000"), store, "id")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "h6.example" in plan and "h8.example" not in plan
     assert seen.unseen_in_store(entries.limit(0), store, "id").count() == 0
+
+
+def test_words_of_a_text_are_worked_out_once(spark):
+    """A filter on the found words must not bring their work into the plan a second time."""
+    docs = spark.createDataFrame([(1, "Harbour bridge harbour. The old bridge")], "doc_id long, text string")
+    for found in (digest.top_tags(docs, "doc_id", "text", 3), digest.main_words(docs, "doc_id", "text")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter" in line]
+        assert not any("regexp_" in line for line in filters)
