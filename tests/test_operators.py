@@ -217,3 +217,14 @@ def test_words_of_a_text_are_worked_out_once(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         filters = [line for line in plan.splitlines() if "Filter" in line]
         assert not any("regexp_" in line for line in filters)
+
+
+def test_feed_store_is_cut_by_its_own_size(spark, tmp_path):
+    """Many small stores are one object each, a large one several; all rows come back."""
+    rows = [(i, f"s{i % 30}" if i < 300 else "hot", "src") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, store string, service string")
+    stores.write_feed_store(df, str(tmp_path / "s"), per_object=25)
+    files = lambda name: list((tmp_path / "s" / f"store={name}").glob("part-*"))
+    assert all(len(files(f"s{k}")) == 1 for k in range(30)) and 2 <= len(files("hot")) <= 4
+    back = feeds.read_feed_store(spark, str(tmp_path / "s" / "*"))
+    assert sorted(int(r.id) for r in back.collect()) == list(range(400))
