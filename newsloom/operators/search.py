@@ -42,6 +42,12 @@ def bm25_idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
+# Cells (a text and a word that is asked for) and queries of one tile, and products formed at a time.
+TILE_CELLS = 2_000_000
+TILE_QUERIES = 1_024
+PRODUCTS = 4_000_000
+
+
 def more_like_this(corpus: DataFrame, queries: DataFrame, min_tf: int = 2, max_terms: int = 70,
                    min_doc_freq: int = 5, should_match: float = 0.3, min_score: float = 0.0,
                    k1: float = 1.2, b: float = 0.75, salt_rows: int = joins.SALT_ROWS) -> DataFrame:
@@ -51,50 +57,98 @@ def more_like_this(corpus: DataFrame, queries: DataFrame, min_tf: int = 2, max_t
     the ``max_terms`` best by tf-idf; a document must hold ``should_match`` of
     them (rounded down, at least one); score is BM25.
 
-    A document that holds m of n terms holds one of any n - m + 1 of them, so
-    only the rarest n - m + 1 terms of a query look up candidates.  The common
-    terms are read for the candidates alone.  Long posting lists are salted.
+    Texts are cut once; only their length and the terms that some query asks for leave
+    the row.  Slices of at most about ``salt_rows`` texts meet blocks of queries in tiles
+    (``_best_of_tile``): no pair of a text and a query is a row, and a tile gives one
+    text per query.
     """
     tokens = text.tokens(F.lower("body"))
     qwords = queries.select("query_id", F.explode(tokens).alias("term"))
-    qtf = settle(qwords.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).where(F.col("qtf") >= min_tf))
-    wanted = qtf.select("term").distinct()
-    # Of a text only its length and the words some query asks for leave the row.
-    n_docs, all_words = corpus.select(F.size(tokens).alias("n")).agg(F.count("*"), F.sum("n")).first()
-    # Cut once a row, below the explode; the outer form keeps the optimizer from cutting again for a filter.
+    qtf = settle(qwords.groupBy("query_id", "term").agg(F.count("*").alias("qtf")).where((F.col("qtf") >= min_tf) & F.col("query_id").isNotNull()))
+    wanted = settle(qtf.select("term").distinct().select("term", F.monotonically_increasing_id().alias("no")))
+    # The outer form keeps the optimizer from cutting again for a filter; words that nobody asks for are one row a text.
     words = corpus.select("id", tokens.alias("_t")).select("id", F.size("_t").alias("len"), F.explode_outer("_t").alias("term"))
-    held = settle(words.join(small_side(wanted), "term", "left_semi")
-                  .groupBy("id", "len", "term").agg(F.count("*").alias("tf")))
+    held = settle(words.join(small_side(wanted), "term", "left")
+                  .groupBy("id", "len", "no").agg(F.count("term").alias("tf")))
+    n_docs, all_words = corpus.count(), held.agg(F.sum("tf")).first()[0]
     avg = (all_words or 1) / max(n_docs, 1)
-    n = F.lit(float(n_docs))
-    df = held.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_doc_freq)
-    weighed = qtf.join(df, "term").withColumn("idf", bm25_idf(n, F.col("df")))
+    held = held.where("no is not null and id is not null")
+    df = held.groupBy("no").agg(F.count("*").alias("df")).where(F.col("df") >= min_doc_freq)
+    weighed = qtf.join(wanted, "term").join(df, "no").withColumn("idf", bm25_idf(F.lit(float(n_docs)), F.col("df")))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("qtf") * F.col("idf"), 9)), "term")
-    weighed = (weighed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_terms))
-    all_ = Window.partitionBy("query_id")
-    rarest = all_.orderBy("df", "term")
-    need = F.greatest(F.floor(F.count("*").over(all_) * F.lit(should_match) + 1e-9), F.lit(1))
-    terms = settle(weighed.withColumns({"need": need, "n_terms": F.count("*").over(all_),
-                                        "place": F.row_number().over(rarest)}).drop("_r"))
-
-    salts = F.ceil(F.col("df") / F.lit(salt_rows)).cast("int")
-    leads = (terms.where(F.col("place") <= F.col("n_terms") - F.col("need") + 1)
-             .select("query_id", "term", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")))
-    sizes = terms.select("term", "df").distinct()
-    posts = held.select("id", "term").join(small_side(sizes), "term")
-    posts = posts.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int"))
-    candidates = leads.join(posts, ["term", "salt"]).select("query_id", "id").distinct()
-
-    asked = terms.select("query_id", "term", "idf", "need")
-    pairs = candidates.join(held, "id").join(small_side(asked), ["query_id", "term"])
+    weighed = weighed.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_terms)
+    need = F.greatest(F.floor(F.count("*").over(Window.partitionBy("query_id")) * F.lit(should_match) + 1e-9), F.lit(1))
+    terms = settle(weighed.select("query_id", "no", "idf", need.alias("need")))
+
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(avg))
-    part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
-    scores = (pairs.groupBy("query_id", "id")
-              .agg(F.sum(part).alias("score"), F.count("*").alias("hits"), F.first("need").alias("need"))
-              .where(F.col("hits") >= F.col("need")))
+    part = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
+    cells = held.join(small_side(terms.select("no").distinct()), "no", "left_semi").select("id", "no", part.alias("part"))
+    asking = terms.select(F.countDistinct("query_id")).first()[0]
+    blocks = -(-asking // TILE_QUERIES) or 1
+    slices = max(-(-n_docs // salt_rows), -(-cells.count() // TILE_CELLS), 1)
+    held_in = cells.select(F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice"),
+                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "no", "part")
+    asked_in = terms.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"),
+                            F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "no", "idf", "need")
+    dealt = lambda rows: rows.repartition(min(2 * blocks * slices, 4096), "slice", "block").groupBy("slice", "block")
+    kinds = {f.name: f.dataType.simpleString() for f in (queries.schema["query_id"], corpus.schema["id"])}
+    scores = dealt(held_in).cogroup(dealt(asked_in)).applyInPandas(
+        _best_of_tile, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
     top = scores.groupBy("query_id").agg(F.max(F.struct(
         F.round("score", 9).alias("r"), (-F.col("id")).alias("neg"), "score")).alias("t"))
     top = top.where(F.col("t.score") > min_score)
     return (queries.select("query_id").join(top, "query_id", "left").select(
         "query_id", F.col("t").isNotNull().alias("found"),
         (-F.col("t.neg")).alias("match_id"), F.col("t.score").alias("score")))
+
+
+def _best_of_tile(held, asked):
+    """The best text of a slice for every query of a block, ties to the smaller id.
+
+    Every cell is multiplied with the queries that ask for its term, about ``PRODUCTS`` at a
+    time, and the products of a text and a query are added up in place.
+    """
+    import numpy as np
+    import pandas as pd
+
+    none = pd.DataFrame({"query_id": [], "id": [], "score": []})
+    if not len(held) or not len(asked):
+        return none
+    names, who = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    need = np.zeros(len(names))
+    need[who] = asked["need"]
+    by_term = np.argsort(asked["no"].to_numpy(), kind="stable")
+    who, idf = who[by_term], asked["idf"].to_numpy()[by_term]
+    terms, first, uses = np.unique(asked["no"].to_numpy()[by_term], return_index=True, return_counts=True)
+    held = held.sort_values("id", kind="stable")
+    ids, start = np.unique(held["id"].to_numpy(), return_index=True)
+    at = np.minimum(np.searchsorted(terms, held["no"].to_numpy()), len(terms) - 1)
+    part = held["part"].to_numpy()
+    count = np.where(terms[at] == held["no"].to_numpy(), uses[at], 0)
+    before = np.concatenate([[0], np.cumsum(count)])
+    start = np.append(start, len(held))
+    top, winner = np.full(len(names), -np.inf), np.zeros(len(names), dtype=np.int64)
+    grade, step = np.full(len(names), -np.inf), max(1, PRODUCTS // len(names))
+    low = 0
+    while low < len(ids):
+        # Texts up to the bound on products and on sums, one at least.
+        high = int(np.searchsorted(before[start], before[start[low]] + PRODUCTS, "right")) - 1
+        high = min(max(high, low + 1), low + step, len(ids))
+        a, z = start[low], start[high]
+        n = count[a:z]
+        cell = np.repeat(np.arange(a, z), n)
+        entry = first[at[cell]] + np.arange(len(cell)) - np.repeat(before[a:z] - before[a], n)
+        text_no = np.searchsorted(start, cell, "right") - 1 - low
+        place = text_no * len(names) + who[entry]
+        size = (high - low) * len(names)
+        score = np.bincount(place, part[cell] * idf[entry], size).reshape(-1, len(names))
+        hits = np.bincount(place, minlength=size).reshape(-1, len(names))
+        score[hits < need] = -np.inf
+        graded = np.round(score, 9)
+        row, col = graded.argmax(axis=0), np.arange(len(names))
+        better = graded[row, col] > grade
+        grade = np.where(better, graded[row, col], grade)
+        top, winner = np.where(better, score[row, col], top), np.where(better, row + low, winner)
+        low = high
+    hit = np.isfinite(top)
+    return pd.DataFrame({"query_id": names[hit], "id": ids[winner[hit]], "score": top[hit]}) if hit.any() else none

@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from newsloom.functions import markup
@@ -96,6 +100,35 @@ def test_more_like_this_matches_plain_scoring(spark):
     assert not got[2].found and got[2].score is None
 
 
+def test_more_like_this_scores_in_tiles(spark, monkeypatch):
+    """Slices, blocks of queries and steps of a tile give what plain scoring gives; ties go to the smaller id."""
+    rng = random.Random(5)
+    body = lambda n: " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(n))
+    docs = [(2**53 + i, body(rng.randrange(0, 40))) for i in range(150)]
+    docs += [(2**53 + 500 + i, docs[i][1]) for i in range(60)] + [(7, None), (None, "w1 w2")]
+    asked = [(q, body(12)) for q in range(30)] + [(99, "zzz")]
+    monkeypatch.setattr(search, "TILE_QUERIES", 8)
+    monkeypatch.setattr(search, "PRODUCTS", 50)
+    got = {r.query_id: r for r in search.more_like_this(
+        spark.createDataFrame(docs, "id long, body string"), spark.createDataFrame(asked, "query_id long, body string"),
+        min_tf=1, max_terms=9, min_doc_freq=3, salt_rows=40).collect()}
+    cut = [(i, t.split()) for i, t in docs if t is not None]
+    df = Counter(w for i, t in cut if i is not None for w in set(t))
+    avg = sum(len(t) for _, t in cut) / len(docs)
+    for q, t in asked:
+        idf = {w: math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) for w in t.split() if df[w] >= 3}
+        best = sorted(idf, key=lambda w: (-round(t.split().count(w) * idf[w], 9), w))[:9]
+        need, scored = max(int(len(best) * 0.3 + 1e-9), 1), []
+        for i, words in cut:
+            tf = [(w, words.count(w)) for w in best if w in words]
+            if i is not None and len(tf) >= need:
+                norm = 1.2 * (0.25 + 0.75 * len(words) / avg)
+                scored.append((-round(sum(idf[w] * n * 2.2 / (n + norm) for w, n in tf), 9), i))
+        assert got[q].found == bool(scored)
+        if scored:
+            assert (got[q].match_id, round(got[q].score, 6)) == (min(scored)[1], round(-min(scored)[0], 6))
+
+
 def test_updates_and_fields(spark):
     index = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, title string, note string")
     new = spark.createDataFrame([(2, "z")], "id long, note string")
