@@ -129,6 +129,20 @@ def test_more_like_this_scores_in_tiles(spark, monkeypatch):
             assert (got[q].match_id, round(got[q].score, 6)) == (min(scored)[1], round(-min(scored)[0], 6))
 
 
+def test_article_files_come_back_whole(spark, tmp_path):
+    """One file per article right below its source, whatever its name holds; equal names lose nothing."""
+    rows = [("src", "1", "a\nb\n"), ("src", "2", ""), ("s/x", "a.gz", "é\u0003"), ("_s", "_1", "x"), (".s", "..", "y"),
+            (None, "n", "z"), ("e", None, "w"), ("e", "", "v"), ("p", "100% +~2", "q"), ("src", "1", "other"), ("src", "1", "other"),
+            ("src", "3", "\n"), ("src", "4", None), ("src", "4", ""), ("src", "4", "t")]
+    df = spark.createDataFrame(rows, "source string, title string, content string")
+    for _ in range(2):
+        stores.write_article_files(df, f"file://{tmp_path}/f")
+    files = [f for f in (tmp_path / "f").rglob("*") if f.is_file()]
+    assert len(files) == len(rows) and {len(f.relative_to(tmp_path / "f").parts) for f in files} == {2}
+    got = [tuple(r) for r in feeds.read_article_files(spark, f"file://{tmp_path}/f", encoded=True).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
 def test_updates_and_fields(spark):
     index = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, title string, note string")
     new = spark.createDataFrame([(2, "z")], "id long, note string")
