@@ -431,7 +431,7 @@ def main_phrases(spark, d):
 
 @query
 def summary_topn(spark, d):
-    return summary.summarise(documents(spark, d), "doc_id", "text", OPTIONS.summary_sentences).select(
+    return summary.summarise(spread_documents(spark, d), "doc_id", "text", OPTIONS.summary_sentences).select(
         F.col("doc_id").alias("id"), "summary")
 
 

@@ -4,102 +4,127 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stems, text
-from . import vectors
+from ..session import BROADCAST_ROWS, settle
+from . import joins, vectors
 
 SENTENCE_PATTERN = r"([^.!?\n]+[.!?]*)"
 EDGE_ABOVE = 0.1
 SETTLED_BELOW = 0.1
 
 
-def sentences(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
-    """(id, language, s, sentence): the sentences of every text, in order.
-
-    With ``language`` the texts are taken as placed by id and detected already.
-    """
-    cut = F.filter(F.transform(
-        F.regexp_extract_all(F.col(body), F.lit(SENTENCE_PATTERN), F.lit(1)),
-        lambda x: F.trim(x)), lambda x: x != "")
-    texts = vectors.placed_with_language(df, id_, body, language)
-    return texts.select(id_, "language", F.posexplode(cut).alias("s", "sentence"))
+def sentences(body: Column) -> Column:
+    """The sentences of a text, in order."""
+    return F.filter(F.transform(F.regexp_extract_all(body, F.lit(SENTENCE_PATTERN), F.lit(1)),
+                                lambda x: F.trim(x)), lambda x: x != "")
 
 
 def centrality(df: DataFrame, id_: str, body: str, language: str | None = None) -> DataFrame:
     """(id, sentences, scores): LexRank score of every sentence of a text, side by side.
 
-    Words are counted, stemmed and weighed by Spark, all placed by text.  The
-    sentence graph of one text is then worked out where the text is; nothing is
-    cut off, no sentence pairs are shuffled and no sentence is joined again.
+    Texts are cut where they lie and written once, under a number of their own.  Words are
+    stemmed once for the whole corpus; from then on a word is the number of its stem.  The
+    sentence graph of one text is worked out from its numbers alone; nothing is cut off,
+    no sentence pairs are shuffled, and sentences meet their scores again at the end.
+    """
+    texts = (df.select(id_, body, F.col(language).alias("language")) if language
+             else vectors.with_language(df.select(id_, body), body))
+    texts = settle(texts.select(id_, "language", sentences(F.col(body)).alias("sentences"),
+                                F.monotonically_increasing_id().alias("_t"))).where(F.size("sentences") > 0)
+    words = texts.select("_t", "language", F.posexplode("sentences").alias("s", "sentence"))
+    words = words.select("_t", "language", "s", F.explode(text.tokens(F.lower("sentence"))).alias("token"))
+    words = words.where(F.col("token").rlike(r"^\p{L}+$") & text.is_content("token", "language"))
+    words = settle(words.select("_t", "s", F.col("language").eqNullSafe("french").alias("french"), "token"))
+    cells = joins.placed(_numbered(words), "_t")
+    held = cells.groupBy("_t").agg(F.collect_list("s").alias("rows"), F.collect_list("no").alias("stems"))
+    scores = texts.select("_t", F.size("sentences").alias("n")).join(held, "_t", "left").mapInPandas(
+        _rank_batches, "_t long, scores array<double>")
+    return texts.join(scores, "_t").select(id_, "sentences", "scores")
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    """(_t, s, no): the number of the stem of every word of (_t, s, french, token).
+
+    Frequent words are answered by a bounded broadcast, only the others are exchanged.
     """
-    every = sentences(df, id_, body, language)
-    words = every.select(
-        id_, "language", "s", F.explode(text.tokens(F.lower("sentence"))).alias("token"))
-    words = words.where(F.col("token").rlike(r"^\p{L}+$")
-                        & text.is_content("token", "language"))
-    # A word is stemmed once per text, wherever it stands in it.
-    words = words.groupBy(id_, "language", "token").agg(F.collect_list("s").alias("at"))
-    words = stems.with_stem(words, "token", "language", "term").select(
-        id_, "term", F.explode("at").alias("s"))
-    counts = words.groupBy(id_, "s", "term").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("tf", F.col("n") / F.max("n").over(Window.partitionBy(id_, "s")))
-    held = counts.groupBy(id_).agg(
-        F.collect_list("s").alias("rows"), F.collect_list("term").alias("terms"),
-        F.collect_list("tf").alias("tfs"))
-    texts = every.groupBy(id_).agg(
-        F.array_sort(F.collect_list(F.struct("s", "sentence"))).alias("sentences"))
-    joined = texts.join(held, id_, "left")
-    plain = F.transform("sentences", lambda e: e["sentence"]).alias("sentences")
-    return joined.select(id_, plain, "rows", "terms", "tfs").mapInPandas(
-        _rank_batches(id_),
-        f"{id_} {df.schema[id_].dataType.simpleString()}, sentences array<string>, scores array<double>")
-
-
-def _rank_batches(id_: str):
-    def rank(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            pdf["scores"] = [lexrank(*v) for v in zip(map(len, pdf["sentences"]), pdf["rows"], pdf["terms"], pdf["tfs"])]
-            yield pdf[[id_, "sentences", "scores"]]
-
-    return rank
+    known = words.groupBy("french", "token").agg(F.count("*").alias("uses"))
+    known = known.withColumn("language", F.when(F.col("french"), "french"))
+    known = settle(stems.with_stem(known, "token", "language", "term"))
+    numbers = known.select("term").distinct().select("term", F.monotonically_increasing_id().alias("no"))
+    table = settle(known.join(numbers, "term").select("french", "token", "uses", "no"))
+    total = table.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    often = F.col("uses") >= max(total / BROADCAST_ROWS, 1.0)
+    key, hot, cold = ["french", "token"], table.where(often), table.where(~often)
+    answered = words.join(F.broadcast(hot), key)
+    rest = words.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key)
+    return answered.select("_t", "s", "no").unionByName(rest.select("_t", "s", "no"))
+
+
+def _rank_batches(batches: Iterator) -> Iterator:
+    for pdf in batches:
+        pdf["scores"] = [lexrank(n, *_cells(rows, stem)) for n, rows, stem in zip(pdf["n"], pdf["rows"], pdf["stems"])]
+        yield pdf[["_t", "scores"]]
+
+
+def _cells(rows, stem):
+    """(rows, terms, tfs) of the sentence-term matrix; tf by the most frequent word of a sentence."""
+    import numpy as np
+
+    if rows is None or not len(rows):
+        return None, None, None
+    terms, col = np.unique(np.asarray(stem), return_inverse=True)
+    cell, n = np.unique(np.asarray(rows, dtype=np.int64) * len(terms) + col, return_counts=True)
+    row = cell // len(terms)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    most = np.repeat(np.maximum.reduceat(n, first), np.diff(np.append(first, len(row))))
+    return row, cell % len(terms), n / most
 
 
 def lexrank(n: int, rows, terms, tfs, products: int = 1 << 22) -> list[float]:
     """Stationary scores of the sentence graph of one text.
 
     ``rows``, ``terms`` and ``tfs`` list the cells of its sentence-term matrix.
-    Edges are found a block of sentences at a time, from the cells alone: a block
-    takes at most about ``products`` products.
+    Edges are found a block of sentences at a time, along the sentences that share a
+    word: a block takes at most about ``products`` products.
     """
     import numpy as np
 
     if rows is None or not len(rows):
         return [1.0 / n] * n
     row = np.asarray(rows)
-    _, col, uses = np.unique(np.asarray(terms, dtype=str), return_inverse=True, return_counts=True)
+    _, col, uses = np.unique(np.asarray(terms), return_inverse=True, return_counts=True)
     weight = np.asarray(tfs) * np.log(n / (1.0 + uses[col]))
     length = np.sqrt(np.bincount(row, weight * weight, n))
     weight = weight / np.where(length[row] > 0, length[row], 1.0)
     # A word of a single sentence makes no edge to another one.
     shared = uses[col] > 1
     order = np.flatnonzero(shared)[np.argsort(row[shared], kind="stable")]
-    near_row, near_weight = row[order], weight[order]
-    words, near_col = np.unique(col[order], return_inverse=True)
-    distinct, first = np.unique(near_row, return_index=True)
-    step = max(1, min(n, products // max(len(order), 1)))
+    near_row, near_weight, near_col = row[order], weight[order], col[order]
+    by_word = np.argsort(near_col, kind="stable")
+    list_row, list_weight = near_row[by_word], near_weight[by_word]
+    first, count = np.searchsorted(near_col[by_word], near_col), uses[near_col]
+    before = np.concatenate([[0], np.cumsum(count)])
     heads, tails = [], []
-    for start in range(0, n if len(order) else 0, step):
-        low, high = np.searchsorted(near_row, [start, start + step])
-        x = np.zeros((len(words), step))
-        x[near_col[low:high], near_row[low:high] - start] = near_weight[low:high]
-        cosine = np.add.reduceat(x[near_col] * near_weight[:, None], first)
-        tail, head = np.nonzero(np.round(cosine, 9) > EDGE_ABOVE)
-        head, tail = head + start, distinct[tail]
+    start, low, most = 0, 0, max(1, products // n)
+    while low < len(order):
+        # Sentences up to the bound on products and on sums, one at least.
+        high = int(np.searchsorted(before, before[low] + products, "right")) - 1
+        stop = min(max(int(near_row[high]) if high < len(order) else n, start + 1), start + most, n)
+        high = int(np.searchsorted(near_row, stop))
+        m = count[low:high]
+        cell = np.repeat(np.arange(low, high), m)
+        entry = first[cell] + np.arange(len(cell)) - np.repeat(before[low:high] - before[low], m)
+        cosine = np.bincount((near_row[cell] - start) * n + list_row[entry], near_weight[cell] * list_weight[entry],
+                             (stop - start) * n)
+        pair = np.flatnonzero(np.round(cosine, 9) > EDGE_ABOVE)
+        head, tail = pair // n + start, pair % n
         other = head != tail
         heads.append(head[other])
         tails.append(tail[other])
+        start, low = stop, high
     itself = np.flatnonzero(length > 0)
     head, tail = np.concatenate(heads + [itself]), np.concatenate(tails + [itself])
     degree = np.maximum(np.bincount(head, minlength=n), 1)

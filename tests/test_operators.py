@@ -129,6 +129,21 @@ def test_more_like_this_scores_in_tiles(spark, monkeypatch):
             assert (got[q].match_id, round(got[q].score, 6)) == (min(scored)[1], round(-min(scored)[0], 6))
 
 
+def test_words_of_one_stem_get_one_number(spark, monkeypatch):
+    """Words are stemmed once for all texts, frequent ones answered apart; texts of one id stay apart."""
+    rows = [(t, s, f, w) for t in range(4) for s in range(3) for f, w in (
+        (False, "meet"), (False, "meets"), (True, "continue"), (True, "continuer"), (False, f"robot{'s' * (t % 2)}"))]
+    words = spark.createDataFrame(rows, "_t long, s int, french boolean, token string")
+    for hot in (1, 4, 50_000):
+        monkeypatch.setattr(summary, "BROADCAST_ROWS", hot)
+        got = summary._numbered(words).collect()
+        assert len(got) == len(rows) and len({r.no for r in got}) == 3
+        per = Counter((r._t, r.s, r.no) for r in got)
+        assert sorted(per.values()) == [1] * 12 + [2] * 24
+    twice = spark.createDataFrame([(1, "Apples meet pears. Robots sing."), (1, "Robots sing. Robots sing.")], "id long, t string")
+    assert summary.summarise(twice, "id", "t", 1).count() == 2
+
+
 def test_article_files_come_back_whole(spark, tmp_path):
     """One file per article right below its source, whatever its name holds; equal names lose nothing."""
     rows = [("src", "1", "a\nb\n"), ("src", "2", ""), ("s/x", "a.gz", "é\u0003"), ("_s", "_1", "x"), (".s", "..", "y"),
