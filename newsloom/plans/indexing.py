@@ -25,7 +25,7 @@ def enrich(articles: DataFrame, title: str = "title", site: str = "source", cont
     routed = F.col("language").isin("french", "english")
     # Texts are cut for their words once, where they lie; summaries read what was written.
     rows = settle(rows.withColumn("mainwords", F.when(routed, digest.word_list(F.col("content"), "language"))))
-    texts = joins.placed(rows.where(routed).select("id", "content", "language"), "id")
+    texts = rows.where(routed).select("id", "content", "language")
     short = summary.summarise(texts, "id", "content", sentences, "language").withColumnRenamed("summary", "abstract")
     empty = F.lit("")
     return (rows.join(short, "id", "left")
