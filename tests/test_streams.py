@@ -109,3 +109,15 @@ def test_atom_links(spark, tmp_path):
 <entry><title>Three</title></entry></feed>""")
     got = {tuple(r) for r in feeds.read_atom_entries(spark, str(tmp_path)).collect()}
     assert got == {("One", "https://a/1", "p", None), ("Two", "https://e/2", "u", "S & s"), ("Three", None, None, None)}
+
+
+def test_days_are_written_by_all_cores(spark, tmp_path):
+    """Many days of few bytes are not left to one task; figures stay whole."""
+    from newsloom.plans import watcher
+
+    rows = spark.createDataFrame([(i, f"2024-01-{i % 30 + 1:02}", True, False, 3, ["a", f"t{i % 2}"], 2) for i in range(90)],
+                                 "id long, day string, accepted boolean, is_duplicate boolean, nbwords long, all_tags array<string>, nbtags long")
+    watcher.add_day_parts(rows, str(tmp_path), 0)
+    assert len({f.name[:10] for f in (tmp_path / "counters").rglob("part-*.parquet")}) > 1
+    got = watcher.day_figures(spark, str(tmp_path)).collect()
+    assert len(got) == 30 and {(r.total, r.nbwords, r.top_trend[0]) for r in got} == {(3, 9, "a")}
