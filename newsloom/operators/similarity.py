@@ -17,6 +17,8 @@ _EPS = 1e-9
 # Cells (a text and a word) of the block that a task holds, and texts that ask it.
 BLOCK_CELLS = 5_000_000
 ASK_ROWS = 131_072
+# Sums and products that a tile works out at once.
+TILE_CELLS = 1 << 20
 # Blocks that a corpus is cut into at least, unless they would hold few rows.
 BLOCKS = 8
 FEW_ROWS = 1_000
@@ -74,7 +76,7 @@ def _nearest(vec: DataFrame, asking: DataFrame, n: int, earlier: bool, block_row
     return dealt(ask).cogroup(dealt(held)).applyInPandas(_tile(n, earlier), "i long, j long, score double")
 
 
-def _tile(n: int, earlier: bool):
+def _tile(n: int, earlier: bool, most: int = TILE_CELLS):
     def score(asking, held):
         import numpy as np
         import pandas as pd
@@ -88,36 +90,53 @@ def _tile(n: int, earlier: bool):
             order = np.argsort(col, kind="stable")
             row, weight = row[order], np.concatenate(held["weights"].to_list())[order]
             at = np.searchsorted(col[order], np.arange(len(words) + 1))
-            for i, terms, weights in zip(asking["id"], asking["terms"], asking["weights"]):
-                k = np.minimum(np.searchsorted(words, terms), len(words) - 1)
-                known = words[k] == terms
-                lists = [(at[x], at[x + 1], w) for x, w in zip(k[known], weights[known])]
-                if not lists:
-                    continue
-                dots = np.bincount(np.concatenate([row[a:b] for a, b, _ in lists]),
-                                   np.concatenate([weight[a:b] * w for a, b, w in lists]), len(ids))
-                place = np.searchsorted(ids, i)
-                if earlier:
-                    dots = dots[:place]
-                elif place < len(ids) and ids[place] == i:
-                    dots[place] = 0.0
-                out += [(i, ids[j], dots[j]) for j in _largest(dots, n)]
-        return pd.DataFrame(out, columns=["i", "j", "score"])
+            # Cells of the asking texts with a word of the block, and the length of its list.
+            asker = np.repeat(np.arange(len(asking)), asking["terms"].map(len))
+            terms, w = np.concatenate(asking["terms"].to_list()), np.concatenate(asking["weights"].to_list())
+            k = np.minimum(np.searchsorted(words, terms), len(words) - 1)
+            known = words[k] == terms
+            asker, k, w = asker[known], k[known], w[known]
+            cells, long = np.searchsorted(asker, np.arange(len(asking) + 1)), at[k + 1] - at[k]
+            ends = np.concatenate([[0], np.cumsum(long)])
+            asks = asking["id"].to_numpy()
+            place = np.searchsorted(ids, asks)
+            start = 0
+            while start < len(asks):
+                # So many texts at once as stay below ``most`` sums and products, at least one.
+                bound = np.searchsorted(ends[cells], ends[cells[start]] + most, "right") - 1
+                stop = max(start + 1, min(start + most // len(ids), bound))
+                a, b = cells[start], cells[stop]
+                size = long[a:b]
+                take = np.arange(ends[b] - ends[a]) + np.repeat(at[k[a:b]] - (ends[a:b] - ends[a]), size)
+                spot = np.repeat((asker[a:b] - start) * len(ids), size) + row[take]
+                dots = np.bincount(spot, weight[take] * np.repeat(w[a:b], size), (stop - start) * len(ids))
+                dots = dots.reshape(stop - start, len(ids))
+                for r in np.flatnonzero(place[start:stop] < len(ids)):
+                    p = place[start + r]
+                    if earlier:
+                        dots[r, p:] = 0.0
+                    elif ids[p] == asks[start + r]:
+                        dots[r, p] = 0.0
+                r, j = _largest(dots, n)
+                out.append(pd.DataFrame({"i": asks[start + r], "j": ids[j], "score": dots[r, j]}))
+                start = stop
+        return pd.concat(out) if out else pd.DataFrame([], columns=["i", "j", "score"])
 
     return score
 
 
 def _largest(scores, n: int, step: int = 256):
-    """Places of the n highest scores above 0 at nine decimals, ties by place."""
+    """(row, place) of the n highest scores above 0 of every row at nine decimals, ties by place."""
     import numpy as np
 
-    if not len(scores):
-        return []
     # The n-th highest of the maxima of pieces is no higher than the n-th highest score.
-    tops = np.sort(np.maximum.reduceat(scores, np.arange(0, len(scores), step)))
-    least = tops[-n] if len(tops) >= n else 0.0
-    near = np.flatnonzero((scores > 0) & (scores >= least - 2 * _EPS))
-    return near[np.lexsort((near, -np.round(scores[near], 9)))[:n]]
+    tops = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], step), axis=1)
+    least = np.partition(tops, -n, axis=1)[:, -n] if tops.shape[1] >= n else np.zeros(len(scores))
+    row, place = np.nonzero((scores > 0) & (scores >= least[:, None] - 2 * _EPS))
+    order = np.lexsort((place, -np.round(scores[row, place], 9), row))
+    row, place = row[order], place[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[first], place[first]
 
 
 def best_earlier(titles: DataFrame, id_: str, title: str,

@@ -71,17 +71,31 @@ def stem_vocabulary(df: DataFrame, id_: str, body: str, language: str) -> DataFr
 def term_counts(df: DataFrame, id_: str, body: str) -> DataFrame:
     """(id, term, tf) of short texts: lower, detect, drop, stem, drop again.
 
-    Texts are placed by id first: that spreads the word work, and the grouping
-    by (id, term) then needs no exchange of the far larger word rows.
+    Texts are placed by id first: that spreads the word work, and the grouping by
+    (id, word) then needs no exchange of the far larger word rows.  The words of all
+    texts are written once and each distinct word is stemmed once, whatever the number
+    of texts that use it.
     """
     low = joins.placed(df.select(id_, F.lower(body).alias("_t")), id_)
     low = with_language(low, "_t", "language")
     rows = low.select(id_, "language", F.explode(text.tokens(F.col("_t"))).alias("token"))
     rows = rows.where(text.is_content("token", "language"))
-    # A word is stemmed once per text, however often it occurs there.
-    rows = rows.groupBy(id_, "language", "token").agg(F.count("*").alias("n"))
-    rows = stems.with_stem(rows, "token", "language", "term").where(text.is_free("term"))
-    return rows.groupBy(id_, "term").agg(F.sum("n").alias("tf"))
+    # French rules or the others: a word is looked up by a mark for them and the word itself.
+    word = F.concat(F.when(F.col("language").eqNullSafe("french"), "f").otherwise("-"), "token")
+    rows = settle(rows.groupBy(id_, word.alias("_word")).agg(F.count("*").alias("_n")))
+    stemmed = settle(_stemmed(rows))
+    # A word whose stem is no term finds nothing.
+    found = joins.lookup(rows, stemmed, "_word", "_uses", rows.count()).where("term is not null")
+    return found.groupBy(id_, "term").agg(F.sum("_n").alias("tf"))
+
+
+def _stemmed(rows: DataFrame) -> DataFrame:
+    """(_word, _uses, term): the stem of every distinct marked word, without those on a stop list."""
+    known = rows.groupBy("_word").agg(F.count("*").alias("_uses"))
+    known = known.withColumns({"_token": F.expr("substring(_word, 2)"),
+                               "_language": F.when(F.col("_word").startswith("f"), "french")})
+    known = stems.with_stem(known, "_token", "_language", "term").where(text.is_free("term"))
+    return known.select("_word", "_uses", "term")
 
 
 def document_frequency(counts: DataFrame, copies: str | None = None) -> DataFrame:

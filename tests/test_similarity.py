@@ -208,3 +208,50 @@ def test_top_titles_are_compared_without_a_row_per_pair(spark):
     finally:
         similarity.settle = kept
     assert max(w.count() for w in written) < 20 * len(rows)
+
+
+def test_a_word_is_stemmed_once_for_all_texts(spark, monkeypatch):
+    """The words of many texts reach the stemmer once each, per rule set."""
+    told, stem = [], vectors.stems.with_stem
+
+    def counting(df, *names):
+        told.append(df.count())
+        return stem(df, *names)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TITLES * 20)], "id long, title string")
+    plain = counts_of(spark, df.where("id < 10"))
+    monkeypatch.setattr(vectors.stems, "with_stem", counting)
+    found = counts_of(spark, df)
+    assert all(found.get(i) == plain.get(i % 10) for i in range(200))
+    assert sum(told) <= len({w for t in TITLES for w in t.split()})
+
+
+@pytest.mark.parametrize("n, earlier", [(1, True), (1, False), (3, True), (3, False)])
+def test_tile_scores_many_texts_at_once(monkeypatch, n, earlier):
+    """Exact against plain loops, cut anywhere, with few passes over the block."""
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = []
+    for i in rng.sample(range(1000), 300):
+        terms = rng.sample(range(40), rng.randint(1, 6))
+        w = [rng.choice([0.25, 0.5, 1.0]) for _ in terms]
+        norm = math.sqrt(sum(x * x for x in w))
+        rows.append((i, np.array(terms), np.array([x / norm for x in w])))
+    table = pd.DataFrame(rows, columns=["id", "terms", "weights"])
+    asking, held = table.iloc[:200], table.iloc[100:]
+    want = {}
+    for i, terms, w in asking.itertuples(index=False):
+        mine = dict(zip(terms, w))
+        scores = [(-round(sum(x * mine.get(t, 0.0) for t, x in zip(ts, ws)), 9), j)
+                  for j, ts, ws in held.itertuples(index=False) if (j < i if earlier else j != i)]
+        want[i] = [(j, -s) for s, j in sorted(scores) if s < 0][:n]
+    calls, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a: calls.append(1) or count(*a))
+    for most in (1, 1000, 1 << 20):
+        got = {i: [] for i in want}
+        for i, j, s in similarity._tile(n, earlier, most)(asking, held).itertuples(index=False):
+            got[i].append((j, round(s, 9)))
+        assert got == want
+    assert len(calls) <= 200 + 200 + 1
