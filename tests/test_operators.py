@@ -290,3 +290,11 @@ def test_feed_store_is_cut_by_its_own_size(spark, tmp_path):
     assert all(len(files(f"s{k}")) == 1 for k in range(30)) and 2 <= len(files("hot")) <= 4
     back = feeds.read_feed_store(spark, str(tmp_path / "s" / "*"))
     assert sorted(int(r.id) for r in back.collect()) == list(range(400))
+
+
+def test_spellings_are_folded_before_one_count(spark):
+    """One sort for the words of a text and one for their ranks, with the tags of two counts."""
+    docs = spark.createDataFrame([(1, "Café cafe CAFÉ the The robot ' robot drone Robot"), (2, "the ..."), (3, None)], "id long, t string")
+    found = digest.top_tags(docs, "id", "t", 3)
+    assert [(r.id, r.tags) for r in found.collect()] == [(1, ["cafe", "robot", "drone"])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 2
