@@ -10,18 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle, small_side
+from ..session import fresh_path, settle, small_side
 from . import joins, vectors
 
 _EPS = 1e-9
-# Cells (a text and a word) of the block that a task holds, and texts that ask it.
-BLOCK_CELLS = 5_000_000
+# Cells (a text and a word) of a block, texts that one task asks for, and cells of those laid out at once.
+BLOCK_CELLS = 4_000_000
 ASK_ROWS = 131_072
-# Sums and products that a tile works out at once.
-TILE_CELLS = 1 << 20
+TILE_CELLS = 1 << 18
 # Blocks that a corpus is cut into at least, unless they would hold few rows.
 BLOCKS = 8
-FEW_ROWS = 1_000
+FEW_ROWS = 50_000
+# A word of a block is frequent when one in so many of its texts holds it; this share of the texts, those
+# with the heaviest frequent words, is always scored in full.
+OFTEN = 25
+HEAVY = 0.02
 
 
 def _directions(counts: DataFrame) -> DataFrame:
@@ -49,94 +52,251 @@ def _unit_rows(counts: DataFrame, texts: int, df: DataFrame, hot_share: int) ->
         "id", F.col("v.no").alias("terms"), F.transform("v", lambda e: e["w"] / F.col("norm")).alias("weights"))
 
 
-def _nearest(vec: DataFrame, asking: DataFrame, n: int, earlier: bool, block_rows: int, salt_rows: int) -> DataFrame:
-    """(i, j, score): for each of the ``asking`` ids of ``vec`` the n highest cosines of every block.
+def _nearest(vec: DataFrame, asking: DataFrame, n: int, earlier: bool, block_rows: int, ask_rows: int) -> DataFrame:
+    """(i, j, score): for each of the ``asking`` ids of ``vec`` the n highest cosines.
 
-    The texts are cut along their ids into blocks, and every pair of a block that asks and a
-    block that answers (with ``earlier`` only those not after it) is one tile.  A task holds
-    the posting lists of one block and adds them up for one asking text after the other, so
-    neither postings nor pairs are joined, exchanged or written: each row is sent once per
-    block, and a tile gives at most n rows per asking text.  Exact, with no bound on a list.
+    The texts are cut along their ids into blocks.  The posting lists of a block are written once, as a
+    file below the shared folder, so neither postings nor pairs are joined or exchanged.  A task takes a
+    slice of the asking texts through one block after the other (with ``earlier`` through those not after
+    them) and holds one block at a time.  Exact, with no bound on a list, see ``_asked``.
     """
+    spark = vec.sparkSession
     rows, cells = vec.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
     blocks = max(1, min(BLOCKS, -(-rows // FEW_ROWS)), -(-rows // block_rows), -(-cells // BLOCK_CELLS))
-    size = max(1, -(-rows // blocks))
-    slices = -(-min(size, rows) // salt_rows) or 1
-    placed = settle(joins.block_of(vec, "id", rows, "theirs", size))
-    own = F.col("theirs") * slices + F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")
-    last = F.col("theirs") if earlier else F.lit(blocks - 1)
-    ask = placed.join(asking, "id", "left_semi").withColumn("mine", own).withColumn(
-        "theirs", F.explode(F.sequence(F.lit(0), last)))
-    first = F.col("theirs") * slices if earlier else F.lit(0)
-    held = placed.withColumn("mine", F.explode(F.sequence(first, F.lit(blocks * slices - 1))))
-    tiles = blocks * blocks * slices
-    # Columns are named anew: both sides come from one table.
-    named = lambda part: part.select(*[F.col(c).alias(c) for c in ("mine", "theirs", "id", "terms", "weights")])
-    dealt = lambda part: named(part).repartition(min(2 * tiles, 4096), "mine", "theirs").groupBy("mine", "theirs")
-    return dealt(ask).cogroup(dealt(held)).applyInPandas(_tile(n, earlier), "i long, j long, score double")
+    path = fresh_path(spark, "postings")
+    placed = joins.block_of(vec, "id", rows, "block", max(1, -(-rows // blocks)))
+    kept = placed.groupBy("block").applyInArrow(_kept(path), "block int, low long").collect()
+    files = [f"{path}/{r['block']}" for r in sorted(kept, key=lambda r: r["low"])]
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ask_rows))
+    # By a hash of the id: what lies by id already would be merged into few tasks by its bytes.
+    asks = vec.join(asking, "id", "left_semi").repartition(slices, F.xxhash64("id"))
+    return asks.mapInArrow(_answers(files, n, earlier, ask_rows), "i long, j long, score double")
+
+
+def _flat(table):
+    """Ids, numbers of cells, terms and weights of an Arrow table of unit rows, along the ids."""
+    import numpy as np
+
+    table = table.select(["id", "terms", "weights"]).sort_by("id").combine_chunks()
+    flat = lambda c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes = table["terms"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    return table["id"].to_numpy(), sizes.astype(np.int64), flat("terms"), flat("weights")
+
+
+def _kept(path: str):
+    def keep(table):
+        import uuid
+
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        block = table["block"][0].as_py()
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root)
+        index = _index(*_flat(table))
+        # A task that runs again replaces the file by an equal one.
+        part = f"{root}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(part, compression=None) as out:
+            np.savez(out, **index)
+        store.move(part, f"{root}/{block}")
+        return pa.table({"block": pa.array([block], pa.int32()), "low": pa.array([index["ids"].min()], pa.int64())})
+
+    return keep
+
+
+def _index(ids, sizes, terms, weights) -> dict:
+    """Posting lists of a block as arrays.
+
+    Texts are numbered by the length of their part of frequent words, longest first (``norm``), and a
+    list holds these numbers upwards.  ``own`` says where the frequent words of a text begin in
+    ``own_word`` and ``own_weight``.
+    """
+    import numpy as np
+
+    row = np.repeat(np.arange(len(ids)), sizes)
+    order = np.argsort(terms, kind="stable")
+    new = np.diff(terms[order], prepend=terms[order[:1]] - 1) != 0
+    col = np.empty(len(terms), np.int64)
+    col[order] = np.cumsum(new) - 1
+    words, uses = terms[order[new]], np.diff(np.append(np.flatnonzero(new), len(terms)))
+    often = uses * OFTEN >= len(ids)
+    cells = np.flatnonzero(often[col])
+    norm = np.sqrt(np.bincount(row[cells], weights[cells] ** 2, len(ids)))
+    by_norm = np.argsort(-norm, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[by_norm] = np.arange(len(ids))
+    row = place[row]
+    cells = cells[np.argsort(row[cells], kind="stable")]
+    order = np.lexsort((row, col))
+    return {"ids": ids[by_norm], "norm": norm[by_norm], "words": words, "often": often,
+            "at": np.append(0, np.cumsum(uses)), "rows": row[order], "weights": weights[order],
+            "own": np.searchsorted(row[cells], np.arange(len(ids) + 1)),
+            "own_word": (np.cumsum(often) - 1)[col[cells]], "own_weight": weights[cells]}
+
+
+def _answers(files: list[str], n: int, earlier: bool, ask_rows: int):
+    def answer(batches):
+        import pyarrow as pa
+
+        held, count = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                count += batch.num_rows
+            if count >= ask_rows:
+                yield told(pa.Table.from_batches(held))
+                held, count = [], 0
+        if held:
+            yield told(pa.Table.from_batches(held))
+
+    def told(table):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        asks = _flat(table)
+        best = [[] for _ in asks[0]]
+        for file in files:
+            store, name = fs.FileSystem.from_uri(file)
+            with store.open_input_file(name) as f, np.load(f) as block:
+                index = {k: block[k] for k in block.files}
+            _asked(index, *asks, n, earlier, best)
+        out = _listed(asks[0], best)
+        return pa.RecordBatch.from_arrays([pa.array(out[c]) for c in ("i", "j", "score")], ["i", "j", "score"])
+
+    return answer
+
+
+def _listed(asks, best) -> dict:
+    import numpy as np
+
+    found = [(j, score) for rows in best for _, j, score in rows]
+    return {"i": np.repeat(asks, [len(rows) for rows in best]).astype(np.int64),
+            "j": np.array([j for j, _ in found], np.int64), "score": np.array([s for _, s in found], float)}
 
 
 def _tile(n: int, earlier: bool, most: int = TILE_CELLS):
+    """The answers of one block to the asking texts, both as tables in memory."""
     def score(asking, held):
         import numpy as np
         import pandas as pd
 
-        out = []
+        def flat(part):
+            part = part.sort_values("id")
+            cells = lambda c: np.concatenate(part[c].to_list()) if len(part) else np.zeros(0)
+            return part["id"].to_numpy(), part["terms"].map(len).to_numpy(np.int64), cells("terms"), cells("weights")
+
+        asks = flat(asking)
+        best = [[] for _ in asks[0]]
         if len(asking) and len(held):
-            held = held.sort_values("id")
-            ids = held["id"].to_numpy()
-            row = np.repeat(np.arange(len(ids)), held["terms"].map(len))
-            words, col = np.unique(np.concatenate(held["terms"].to_list()), return_inverse=True)
-            order = np.argsort(col, kind="stable")
-            row, weight = row[order], np.concatenate(held["weights"].to_list())[order]
-            at = np.searchsorted(col[order], np.arange(len(words) + 1))
-            # Cells of the asking texts with a word of the block, and the length of its list.
-            asker = np.repeat(np.arange(len(asking)), asking["terms"].map(len))
-            terms, w = np.concatenate(asking["terms"].to_list()), np.concatenate(asking["weights"].to_list())
-            k = np.minimum(np.searchsorted(words, terms), len(words) - 1)
-            known = words[k] == terms
-            asker, k, w = asker[known], k[known], w[known]
-            cells, long = np.searchsorted(asker, np.arange(len(asking) + 1)), at[k + 1] - at[k]
-            ends = np.concatenate([[0], np.cumsum(long)])
-            asks = asking["id"].to_numpy()
-            place = np.searchsorted(ids, asks)
-            start = 0
-            while start < len(asks):
-                # So many texts at once as stay below ``most`` sums and products, at least one.
-                bound = np.searchsorted(ends[cells], ends[cells[start]] + most, "right") - 1
-                stop = max(start + 1, min(start + most // len(ids), bound))
-                a, b = cells[start], cells[stop]
-                size = long[a:b]
-                take = np.arange(ends[b] - ends[a]) + np.repeat(at[k[a:b]] - (ends[a:b] - ends[a]), size)
-                spot = np.repeat((asker[a:b] - start) * len(ids), size) + row[take]
-                dots = np.bincount(spot, weight[take] * np.repeat(w[a:b], size), (stop - start) * len(ids))
-                dots = dots.reshape(stop - start, len(ids))
-                for r in np.flatnonzero(place[start:stop] < len(ids)):
-                    p = place[start + r]
-                    if earlier:
-                        dots[r, p:] = 0.0
-                    elif ids[p] == asks[start + r]:
-                        dots[r, p] = 0.0
-                r, j = _largest(dots, n)
-                out.append(pd.DataFrame({"i": asks[start + r], "j": ids[j], "score": dots[r, j]}))
-                start = stop
-        return pd.concat(out) if out else pd.DataFrame([], columns=["i", "j", "score"])
+            _asked(_index(*flat(held)), *asks, n, earlier, best, most)
+        return pd.DataFrame(_listed(asks[0], best))
 
     return score
 
 
-def _largest(scores, n: int, step: int = 256):
-    """(row, place) of the n highest scores above 0 of every row at nine decimals, ties by place."""
+def _asked(index: dict, asks, sizes, terms, weights, n: int, earlier: bool, best: list, most: int = TILE_CELLS) -> None:
+    """Bring ``best``, per asking text its (-rounded score, id, score) so far, up to date with a block.
+
+    ``asks`` ascend.  The lists of the rare words of a text are added up for it.  What its frequent words
+    can add to a text of the block is at most the product of the lengths of both parts, so beside the texts
+    that have enough already only those count whose part is long: a beginning of every list, as texts are
+    numbered by it.  The texts left are scored in full.  ``most`` bounds the cells laid out at once.
+    """
+    import numpy as np
+
+    low, high = index["ids"].min(), index["ids"].max()
+    cells = np.append(0, np.cumsum(sizes))
+    start = int(np.searchsorted(asks, low, "right")) if earlier else 0
+    sums = np.zeros(len(index["ids"]))
+    while start < len(asks):
+        stop = max(start + 1, int(np.searchsorted(cells, cells[start] + most, "right")) - 1)
+        a, b = cells[start], cells[stop]
+        _ask_some(index, asks[start:stop], sizes[start:stop], terms[a:b], weights[a:b], n, earlier, best, start, low, high, sums)
+        start = stop
+
+
+def _ask_some(index, asks, sizes, terms, weights, n, earlier, best, first, low, high, sums) -> None:
     import numpy as np
 
-    # The n-th highest of the maxima of pieces is no higher than the n-th highest score.
-    tops = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], step), axis=1)
-    least = np.partition(tops, -n, axis=1)[:, -n] if tops.shape[1] >= n else np.zeros(len(scores))
-    row, place = np.nonzero((scores > 0) & (scores >= least[:, None] - 2 * _EPS))
-    order = np.lexsort((place, -np.round(scores[row, place], 9), row))
-    row, place = row[order], place[order]
-    first = np.arange(len(row)) - np.searchsorted(row, row) < n
-    return row[first], place[first]
+    ids, norm, at, rows, held = (index[k] for k in ("ids", "norm", "at", "rows", "weights"))
+    own, own_word, own_weight = (index[k] for k in ("own", "own_word", "own_weight"))
+    down, all_, none = -norm, len(ids), np.zeros(0, np.int64)
+    # Cells of the asking texts with a word of the block: lists of the rare and of the frequent ones.
+    asker = np.repeat(np.arange(len(asks)), sizes)
+    k = np.minimum(np.searchsorted(index["words"], terms), len(index["words"]) - 1)
+    known = index["words"][k] == terms
+    asker, k, w = asker[known], k[known], weights[known]
+    often = index["often"][k]
+    length = np.sqrt(np.bincount(asker[often], w[often] ** 2, len(asks))).tolist()
+
+    def lists(part):
+        cut = np.searchsorted(asker[part], np.arange(len(asks) + 1)).tolist()
+        spans = list(zip(at[k[part]].tolist(), at[k[part] + 1].tolist(), w[part].tolist()))
+        return [spans[a:b] for a, b in zip(cut, cut[1:])], cut
+
+    (rare, _), (frequent, cut) = lists(~often), lists(often)
+    word, word_w = (np.cumsum(index["often"]) - 1)[k[often]], w[often]
+    dense = np.zeros(int(index["often"].sum()))
+
+    def add(spans, whole, x):
+        r = np.concatenate([rows[a:b] for a, b, _ in spans])
+        v = np.concatenate([held[a:b] * c for a, b, c in spans])
+        if not whole:
+            some = np.flatnonzero(ids[r] < x if earlier else ids[r] != x)
+            r, v = r[some], v[some]
+        np.add.at(sums, r, v)
+        return r
+
+    def frequent_part(texts, q):
+        """What the frequent words add for some texts."""
+        out = np.zeros(len(texts))
+        size = own[texts + 1] - own[texts]
+        ends = np.cumsum(size)
+        if cut[q] < cut[q + 1] and len(texts) and ends[-1]:
+            mine = word[cut[q]:cut[q + 1]]
+            dense[mine] = word_w[cut[q]:cut[q + 1]]
+            take = np.arange(ends[-1]) + np.repeat(own[texts] - ends + size, size)
+            np.add.at(out, np.repeat(np.arange(len(texts)), size), dense[own_word[take]] * own_weight[take])
+            dense[mine] = 0.0
+        return out
+
+    for q, x in enumerate(asks.tolist()):
+        whole = x > high if earlier else not low <= x <= high
+        r, heavy = add(rare[q], whole, x) if rare[q] else none, none
+        so_far, least, end = best[first + q], 0.0, 0
+        # The n-th score so far, or that of n texts which the rare words place high, is a lower bound.
+        if len(so_far) == n:
+            least = so_far[-1][2]
+        elif len(r):
+            top = r[[sums[r].argmax()]] if n == 1 else np.array(
+                list(dict.fromkeys(r[np.argsort(sums[r])[:-1000:-1]].tolist()))[:n])
+            if len(top) == n:
+                least = (sums[top] + frequent_part(top, q)).min()
+        least -= 2 * _EPS
+        if frequent[q]:
+            end = all_ if least <= 0 else max(int(down.searchsorted(-least / length[q], "right")), int(all_ * HEAVY))
+            spans = frequent[q] if end == all_ else [
+                (a, a + int(rows[a:b].searchsorted(end)), c) for a, b, c in frequent[q]]
+            heavy = add(spans, whole, x)
+        near = heavy[np.flatnonzero(sums[heavy] >= least)]
+        far = r[np.flatnonzero(sums[r] >= least - (length[q] * norm[end] if end < all_ else 0.0))]
+        far = far[sums[far] + length[q] * norm[far] >= least]
+        if len(near) or len(far):
+            c = np.sort(np.concatenate([near, far]))
+            c = c[np.flatnonzero(np.diff(c, prepend=-1))]
+            score, beyond = sums[c], int(c.searchsorted(end))
+            if beyond < len(c):
+                score[beyond:] += frequent_part(c[beyond:], q)
+            if len(c) > n:
+                some = np.flatnonzero(score >= np.partition(score, -n)[-n] - 2 * _EPS)
+                c, score = c[some], score[some]
+            so_far = so_far + [(-round(s, 9), j, s) for s, j in zip(score.tolist(), ids[c].tolist()) if s > 0]
+            so_far.sort()
+            best[first + q] = so_far[:n]
+        sums[r] = 0.0
+        sums[heavy] = 0.0
 
 
 def best_earlier(titles: DataFrame, id_: str, title: str,

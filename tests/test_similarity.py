@@ -255,3 +255,54 @@ def test_tile_scores_many_texts_at_once(monkeypatch, n, earlier):
             got[i].append((j, round(s, 9)))
         assert got == want
     assert len(calls) <= 200 + 200 + 1
+
+
+@pytest.mark.parametrize("n, earlier", [(1, True), (3, False)])
+def test_blocks_add_up_only_what_can_win(monkeypatch, n, earlier):
+    """Exact over blocks that lie in any order of their words, by a part of the products of all lists."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(1200):
+        # Copies but for a word, among texts that share frequent words.
+        terms = set(rng.integers(0, 20, 6)) | set(rng.integers(20, 4000, 6))
+        if i % 2 and texts:
+            terms = set(texts[rng.integers(len(texts))]) ^ {int(rng.integers(20, 4000))}
+        texts.append(sorted(int(t) for t in terms))
+    uses = np.bincount(np.concatenate(texts))
+    weights = [(lambda w: w / np.sqrt((w * w).sum()))(np.log(1200 / uses[t]) + 1) for t in texts]
+    ids = np.arange(1200) * 3
+    cells = lambda part: (ids[part], np.array([len(texts[k]) for k in part]), np.concatenate([texts[k] for k in part]),
+                          np.concatenate([weights[k] for k in part]))
+    added, add = [], np.add.at
+    monkeypatch.setattr(np, "add", type("Add", (), {"at": staticmethod(lambda s, r, v: added.append(len(r)) or add(s, r, v))}))
+    asks = cells(range(1200))
+    best = [[] for _ in texts]
+    for start in range(0, 1200, 400):
+        similarity._asked(similarity._index(*cells(range(start, start + 400))), *asks, n, earlier, best, 500)
+    whole = np.zeros((1200, uses.size))
+    for k, t in enumerate(texts):
+        whole[k, t] = weights[k]
+    scores = whole @ whole.T
+    np.fill_diagonal(scores, 0)
+    scores = np.tril(scores) if earlier else scores
+    for k in range(1200):
+        order = np.lexsort((ids, -np.round(scores[k], 9)))[:n]
+        assert [j for _, j, _ in best[k]] == [ids[j] for j in order if scores[k, j] > 0]
+        assert np.allclose([s for _, _, s in best[k]], [scores[k, j] for j in order if scores[k, j] > 0], atol=1e-12)
+    products = (uses.astype(float) ** 2).sum() / (2 if earlier else 1)
+    assert sum(added) < 0.6 * products
+
+
+def test_texts_are_not_sent_once_per_block(spark, monkeypatch):
+    """What is exchanged grows with the texts, not with the blocks that they are compared in."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choices([f"kw{k}x" for k in range(50)], k=8))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, title string")
+    asked = []
+    near = similarity._nearest
+    monkeypatch.setattr(similarity, "_nearest", lambda *a: asked.append(near(*a)) or asked[-1])
+    assert similarity.best_earlier(df, "id", "title", block_rows=20).where("match_id is not null").count() > 250
+    plan = asked[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
