@@ -154,3 +154,37 @@ def test_running_sum(spark):
     rows = [([1] * 1000,), ([],), ([3, -1] * 300,), ([7],), (list(range(256)),), (list(range(257)),)]
     for (r,), (v,) in zip(spark.createDataFrame(rows, "v array<int>").select(arrays.running_sum(F.col("v"))).collect(), rows):
         assert r == [sum(v[:i + 1]) for i in range(len(v))]
+
+
+def test_words_of_whole_texts_are_those_of_the_columns(spark):
+    """Languages and counted words against the columns for one word, on odd texts; no lambda runs over the words."""
+    from collections import Counter
+
+    from newsloom.functions import lexicon, words
+    from newsloom.operators import digest, vectors
+
+    texts = ["The cat and the Cat_s CAT, and THE dog -- dog's!", "Le chat, l'été; Été ete ŒUVRE œuvre straße Strasse ÆØł Đ", "", None, "___ --- _ ,",
+             "der die das und Übung übung ubung", "ΑΣ.Β Σας ΣΑΣ İstanbul istanbul ﬁn ½ x² 中文 中文 é́ next blank\x1fend", "été the of\x85and",
+             "el la los las que de el", "aaa bbb aaa\r\nbbb\tccc\x0bddd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    cut = {r.id: r for r in df.select("id", text.tokens(F.col("body")).alias("t"), text.tokens(F.lower("body")).alias("low")).collect()}
+    flat = sorted({t for r in cut.values() for t in r.t or []})
+    spelt = {r.w: (r.low, r.folded) for r in spark.createDataFrame([(w,) for w in flat], "w string").select(
+        "w", F.lower("w").alias("low"), text.fold(F.col("w")).alias("folded")).collect()}
+    language = {r.id: r.language for r in vectors.with_language(df, "body").collect()}
+    for i, r in cut.items():
+        hits = [len(set(r.low or []) & set(lexicon.base_words(n))) for n in lexicon.LANGUAGES]
+        assert language[i] == (lexicon.LANGUAGES[hits.index(max(hits))] if max(hits) else None), i
+    for folded in (True, False):
+        told = digest.content_words(df, "body", folded=folded)
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "lambda" not in plan
+        for r in told.collect():
+            stop, uses, first = lexicon.stop_words(language[r.id] if language[r.id] in ("french", "english") else None), Counter(), {}
+            for k, w in enumerate(cut[r.id].t or []):
+                value = spelt[w][1] if folded else w
+                if spelt[w][0] not in stop and w not in stop and value:
+                    uses[value] += 1
+                    first.setdefault(value, k)
+            want = sorted(((w, first[w], n) for w, n in uses.items()), key=lambda e: e[1])
+            assert [tuple(e) for e in r._words or []] == want, (r.id, folded)
