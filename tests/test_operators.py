@@ -298,3 +298,21 @@ def test_spellings_are_folded_before_one_count(spark):
     found = digest.top_tags(docs, "id", "t", 3)
     assert [(r.id, r.tags) for r in found.collect()] == [(1, ["cafe", "robot", "drone"])]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 2
+
+
+def test_stores_of_days_are_written_by_all_cores_and_listed_once(spark, tmp_path, monkeypatch):
+    """A folder a day: small days are dealt to several tasks, and a reader lists them once."""
+    rows = [(i, f"202403{i % 30 + 1:02}", "src") for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, store string, service string")
+    counters = df.groupBy("store").agg(*[F.count("*").alias(c) for c in ("total", "twitted", "filtered", "duplicates", "nbwords", "nbtags")])
+    counters = counters.withColumn("top_trend", F.array(F.lit("a")))
+    stores.write_daily_store(df, counters, str(tmp_path / "s"))
+    parts = {}
+    for f in (tmp_path / "s").rglob("part-*.txt"):
+        parts.setdefault("statistics" in f.read_text(), set()).add(f.name[:10])
+    assert len(parts[True]) > 1 and len(parts[False]) > 1
+    listed, whole = [], feeds._whole_files
+    monkeypatch.setattr(feeds, "_whole_files", lambda *a: listed.append(a) or whole(*a))
+    stored, told = feeds.read_daily_store(spark, str(tmp_path / "s" / "*"))
+    assert len(listed) == 1 and sorted(int(r.id) for r in stored.collect()) == list(range(90))
+    assert {(str(r.day), r.total) for r in told.collect()} == {(f"2024-03-{k:02}", 3) for k in range(1, 31)}
