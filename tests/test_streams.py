@@ -121,3 +121,21 @@ def test_days_are_written_by_all_cores(spark, tmp_path):
     assert len({f.name[:10] for f in (tmp_path / "counters").rglob("part-*.parquet")}) > 1
     got = watcher.day_figures(spark, str(tmp_path)).collect()
     assert len(got) == 30 and {(r.total, r.nbwords, r.top_trend[0]) for r in got} == {(3, 9, "a")}
+
+
+def test_days_share_folders(spark, tmp_path):
+    """A folder a month, not a day; days of a touched month that a batch does not name stay as they are."""
+    make = lambda days: spark.createDataFrame(
+        [(k * 10 + i, day, True, False, 3, [f"t{i}"], 2) for k, day in enumerate(days) for i in range(3)],
+        "id long, day string, accepted boolean, is_duplicate boolean, nbwords long, all_tags array<string>, nbtags long")
+    days = [f"2024-{m:02}-{d:02}" for m in (1, 2, 3) for d in range(1, 28, 2)]
+    watcher.add_day_parts(make(days), str(tmp_path), 0)
+    for name in ("counters", "uses", "days"):
+        assert len(list((tmp_path / name).glob("*=2024-*"))) == 3
+    kept = {f: f.stat().st_mtime_ns for f in (tmp_path / "days").glob("*=2024-01/*.parquet")}
+    for _ in range(2):
+        watcher.add_day_parts(make(["2024-02-03", "2024-02-04"]), str(tmp_path), 1)
+        got = {r.day: (r.total, r.nbwords, r.top_trend) for r in watcher.day_figures(spark, str(tmp_path)).collect()}
+        assert set(got) == {*days, "2024-02-04"} and got["2024-02-03"][:2] == (6, 18)
+        assert all(v == (3, 9, ["t0", "t1", "t2"]) for d, v in got.items() if d != "2024-02-03")
+    assert kept and all(f.stat().st_mtime_ns == t for f, t in kept.items())
