@@ -316,3 +316,19 @@ def test_stores_of_days_are_written_by_all_cores_and_listed_once(spark, tmp_path
     stored, told = feeds.read_daily_store(spark, str(tmp_path / "s" / "*"))
     assert len(listed) == 1 and sorted(int(r.id) for r in stored.collect()) == list(range(90))
     assert {(str(r.day), r.total) for r in told.collect()} == {(f"2024-03-{k:02}", 3) for k in range(1, 31)}
+
+
+def test_article_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The names of the files stay in the tasks, whose batches are bounded; hidden and empty files give no row."""
+    path = f"file://{tmp_path}/f"
+    rows = [(f"s {i % 3}", f"t%{i}/x", "é" * (i % 50 + 1)) for i in range(120)]
+    stores.write_article_files(spark.createDataFrame(rows, "source string, title string, content string"), path)
+    for name in (".part", "_SUCCESS", "none"):
+        (tmp_path / "f" / "s%200" / name).write_text("" if name == "none" else "x")
+    (tmp_path / "f" / "s%200" / "bad").write_bytes(b"\xff\xfea")
+    monkeypatch.setattr(feeds, "READ_BYTES", 40)
+    got = feeds.read_article_files(spark, path, encoded=True)
+    assert got.inputFiles() == []
+    found = {(r.source, r.title): r.content for r in got.where("title <> 'bad'").collect()}
+    assert found == {(s, t): c for s, t, c in rows}
+    assert bytes(got.where("title = 'bad'").selectExpr("cast(content as binary) c").first().c) == b"\xff\xfea"
